@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +36,12 @@ def split_of(doc_id: Column, mod: int) -> Column:
 def hash_key(seed: int, *cols: Column) -> Column:
     """32 hex digits that look random and depend on the seed and the values alone."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols]))
+
+
+def share(df: DataFrame, value) -> Broadcast:
+    """Broadcast a model of bounded size; shared() opens it in a task."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(held: Broadcast):
+    return pickle.loads(held.value)

@@ -5,23 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cleargrain.llm.common import read_table
+from cleargrain.llm.common import read_table, split_of
+from cleargrain.llm.langid import fit_languages, identify_languages
 from cleargrain.llm.mixing import MIX_SQL, mix_sources
+from cleargrain.llm.packing import pack_documents
+from cleargrain.llm.quality import fit_quality, score_quality
 from cleargrain.llm.sharding import SHARD_SQL, shard_documents
+from cleargrain.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fit_languages(docs))
+    return found.select("doc_id", (split_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "n_words")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (split_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (split_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches", "matched"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
