@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from cleargrain.llm.common import read_table, split_of
 from cleargrain.llm.langid import fit_languages, identify_languages
 from cleargrain.llm.mixing import MIX_SQL, mix_sources
+from cleargrain.llm.neardup import NEAR_DUP_SQL, link_vectors
+from cleargrain.llm.ngram_join import NGRAM_SQL, join_ngrams
 from cleargrain.llm.packing import pack_documents
 from cleargrain.llm.quality import fit_quality, score_quality
 from cleargrain.llm.sharding import SHARD_SQL, shard_documents
+from cleargrain.llm.topk import TOP_K_SQL, quantise, search_top_k
 from cleargrain.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +47,15 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (split_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantise(read_table(spark, sf_dir, "embeddings"))
+    return search_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_ngrams(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
@@ -49,15 +65,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": NEAR_DUP_SQL,
     "op4_sharding": SHARD_SQL,
     "op6_mixing": MIX_SQL,
+    "op8_exact_top_k": TOP_K_SQL,
+    "op9_ngram_jaccard_join": NGRAM_SQL,
 }
