@@ -17,14 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so lost executors cost no recomputation.
-
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests) a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and read it back, so lost executors cost no recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

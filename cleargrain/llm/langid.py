@@ -101,15 +101,16 @@ def fit_languages(docs: DataFrame, max_docs: int = 10_000, max_words: int = 20_0
     return BackoffModel(counts) if counts else None
 
 
-def identify_languages(docs: DataFrame, model: BackoffModel | None) -> DataFrame:
-    """doc_id, lang_pred, score (share of the best language, 0 to 1) and n_words: one row per document.
+def with_language(docs: DataFrame, model: BackoffModel | None, name: str = "language") -> DataFrame:
+    """docs and a column of structs: lang_pred, score (share of the best language, 0 to 1), n_words.
 
     Null texts, texts without a letter, and all texts if nothing was learned: `und`, score 0. Ties go to the first
-    language by name. Every word of a text counts. Repeated rows repeat; other columns are ignored.
+    language by name. Every word of a text counts. Repeated rows repeat; other columns stay as they are.
     """
     held = share(docs, model)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, n_words long")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared(held)
         if m is not None:
             n_known = len(m.words)
@@ -117,7 +118,7 @@ def identify_languages(docs: DataFrame, model: BackoffModel | None) -> DataFrame
             rows, used = dict(m.words), n_known
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for text in batch:
                 words = LETTERS.findall(text.lower()) if text and m is not None else []
                 if not words:
                     out.append((UNKNOWN, 0.0, 0))
@@ -145,7 +146,11 @@ def identify_languages(docs: DataFrame, model: BackoffModel | None) -> DataFrame
                 best = int(total.argmax())
                 out.append((m.langs[best], float(share[best] / share.sum()), len(words)))
             lang, score, n = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": list(lang), "score": list(score), "n_words": list(n)})
+            yield pd.DataFrame({"lang_pred": list(lang), "score": np.array(score, dtype=float), "n_words": np.array(n, dtype=np.int64)})
+
+    return docs.withColumn(name, predict("text"))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(predict, f"doc_id {kind}, lang_pred string, score double, n_words long")
+
+def identify_languages(docs: DataFrame, model: BackoffModel | None) -> DataFrame:
+    """doc_id, lang_pred, score, n_words: one row per document, as with_language() finds them."""
+    return with_language(docs.select("doc_id", "text"), model).select("doc_id", "language.*")

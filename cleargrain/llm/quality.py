@@ -114,21 +114,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, r
     return model
 
 
-def score_quality(docs: DataFrame, model: NeighbourModel, k: int = 15) -> DataFrame:
-    """doc_id and score (0 to 1, higher: better): one row per document, from the whole text.
+def with_quality(docs: DataFrame, model: NeighbourModel, k: int = 15, name: str = "score") -> DataFrame:
+    """docs and a score (0 to 1, higher: better) of each whole text.
 
     Null or empty text, or nothing learned: the share of label 1 among the labelled rows (0.5 without any).
-    Ties among neighbours fall as the labelled rows stand. Repeated rows repeat; other columns are ignored.
+    Ties among neighbours fall as the labelled rows stand. Repeated rows repeat; other columns stay as they are.
     """
     held = share(docs, model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared(held)
         for batch in batches:
-            texts, out = list(batch["text"]), []
+            texts, out = list(batch), []
             for i in range(0, len(texts), BLOCK):
                 out.append(own.vote(np.vstack([features(t) for t in texts[i : i + BLOCK]]), k))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.concatenate(out) if out else np.zeros(0)})
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return docs.withColumn(name, score("text"))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, score double")
+
+def score_quality(docs: DataFrame, model: NeighbourModel, k: int = 15) -> DataFrame:
+    """doc_id and score: one row per document, as with_quality() finds them."""
+    return with_quality(docs.select("doc_id", "text"), model, k).select("doc_id", "score")
