@@ -1,8 +1,789 @@
-"""Registered queries over the driver tables."""
+"""Registered queries over the driver tables, each with its DuckDB twin where SQL can say the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+from uuid import uuid4
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cleargrain.functions import values as V
+from cleargrain.operators import charts, checks, edits, fixes, govern, query, score
+from cleargrain.operators.profile import dataset_profile, first_values, profile, profile_columns, value_frequencies
+from cleargrain.plans.dirty import COLUMNS, DUCK, dirty_rows, dirty_sales
+from cleargrain.sources import files
+from cleargrain.sources.rowid import ROW_ID, with_row_ids
+from cleargrain.sources.versions import VersionStore
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The dirty table with row numbers, for oracles.
+ROWS = DUCK + ", r AS (SELECT *, row_number() OVER (ORDER BY order_id) - 1 AS _row_id FROM d)"
+STRIP = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+EMAIL_SQL, URL_SQL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$", r"^https?://[^\s/$.?#].[^\s]*$"
+IS_EMAIL = f"regexp_matches({STRIP('email')}, '{EMAIL_SQL}')"
+IS_URL = f"regexp_matches({STRIP('site_url')}, '{URL_SQL}')"
+IS_PHONE = rf"(regexp_matches({STRIP('phone')}, '^\+?[\d\s().\-]{{7,20}}$') AND len(regexp_extract_all(phone, '\d')) BETWEEN 7 AND 15)"
+AS_DATE = "coalesce(try_strptime(order_date, '%Y-%m-%d'), try_strptime(order_date, '%Y/%m/%d'), try_strptime(order_date, '%d/%m/%Y'))"
+IS_NUMBER = lambda c: rf"regexp_matches({c}, '^-?\d+(\.\d+)?$')"
+QUARTILES = "q AS (SELECT quantile_cont(revenue, 0.25) AS q1, quantile_cont(revenue, 0.75) AS q3 FROM d)"
+OUTLIER = "(revenue < q1 - 1.5 * (q3 - q1) OR revenue > q3 + 1.5 * (q3 - q1))"
+TEXTS = tuple(c for c in COLUMNS if c not in ("order_id", "revenue"))
+BAD_EMAIL, BAD_PHONE, BAD_URL = f"email IS NOT NULL AND NOT {IS_EMAIL}", f"NOT {IS_PHONE}", f"NOT {IS_URL}"
+CORRUPT = r"regexp_matches(notes, '[\x00-\x08\x0b\x0c\x0e-\x1f]')"
+
+
+def canon(c: str) -> str:
+    """CTEs with the canonical spelling of a column."""
+    return f"""f_{c} AS (SELECT {c} AS v, lower({STRIP(c)}) AS k, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY 1, 2),
+    c_{c} AS (SELECT k, first(v ORDER BY n DESC, v) AS spelling FROM f_{c} GROUP BY k)"""
+
+
+def odd_spelling(c: str) -> str:
+    return f"{c} IS NOT NULL AND {c} <> (SELECT spelling FROM c_{c} WHERE k = lower({STRIP('d.' + c)}))"
+
+
+def register(name: str, oracle: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for round trips through files, in the shared checkpoint folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/files-{uuid4().hex}"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all checks on the dirty sales view."""
+    return checks.run_checks(dirty_rows(spark, sf_dir))
+
+
+# ---- sources, sinks, row numbers
+
+
+@register("a1_a2_csv_load", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_load(spark, d):
+    out = scratch(spark)
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    table(spark, d, "orders").select(*cols).write.option("header", True).option("sep", ";").csv(out)
+    return files.read_csv(spark, out)
+
+
+@register("a3_json_nested_load", "SELECT c_custkey AS id, c_name AS \"who.name\", c_mktsegment AS \"who.segment\" FROM customer")
+def json_load(spark, d):
+    out = scratch(spark)
+    table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("who")).write.json(out)
+    return files.flatten(spark.read.json(out))
+
+
+@register("a4_a5_parquet_dispatch", "SELECT r_regionkey, r_name FROM region")
+def parquet_dispatch(spark, d):
+    return files.read_dataset(spark, f"{d}/region.parquet", ".PARQUET")
+
+
+@register("a6_null_tokens", DUCK + "SELECT order_id, CASE WHEN notes NOT IN ('VIP') THEN notes END AS notes, revenue FROM d")
+def null_tokens(spark, d):
+    return files.normalise_nulls(dirty_sales(spark, d).select("order_id", "notes", "revenue"), ("VIP",))
+
+
+@register("a7_type_inference", DUCK + "SELECT order_id, CAST(code_text AS BIGINT) AS code_text, quantity FROM d")
+def type_inference(spark, d):
+    return files.infer_types(dirty_sales(spark, d).select("order_id", "code_text", "quantity"))
+
+
+@register("a8_column_names", 'SELECT r_regionkey AS "name", r_name AS "name_1" FROM region')
+def column_names(spark, d):
+    return table(spark, d, "region").toDF(*files.normalise_names([" name ", "name"]))
+
+
+@register("a10_a11_versions", "SELECT 1::BIGINT AS version, NULL::BIGINT AS parent, (SELECT count(*) FROM orders) AS rows, 6 AS columns, false AS is_cleaned UNION ALL "
+          "SELECT 2, 1, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), 6, true UNION ALL SELECT 3, NULL, (SELECT count(*) FROM orders), 6, false")
+def versions(spark, d):
+    store = VersionStore(spark, scratch(spark))
+    first = store.save(files.require_rows(table(spark, d, "orders")), "orders")
+    store.save(store.read(first).where("o_orderstatus = 'F'"), "orders", parent=first, is_cleaned=True)
+    store.restore(first)
+    return store.manifest().select("version", "parent", "rows", "columns", "is_cleaned")
+
+
+@register("a12_csv_export", DUCK + "SELECT order_id, segment FROM d WHERE order_id % 5 = 0")
+def csv_export(spark, d):
+    path = files.export_csv(dirty_sales(spark, d).where("order_id % 5 = 0").select("order_id", "segment"), scratch(spark), "dirty sales", cleaned=True)
+    return spark.read.option("header", True).option("ignoreTrailingWhiteSpace", False).schema("order_id bigint, segment string").csv(path)
+
+
+@register("a15_r1_preview", ROWS + " SELECT _row_id, order_id, full_name FROM r WHERE _row_id >= 100 AND _row_id < 150")
+def preview(spark, d):
+    return files.preview(dirty_rows(spark, d), 50, 100).select(ROW_ID, "order_id", "full_name")
+
+
+@register("r1_row_ids", "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS _row_id, l_orderkey, l_linenumber FROM lineitem")
+def row_ids(spark, d):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    return with_row_ids(table(spark, d, "lineitem").select(*keys), keys).select(ROW_ID, "l_orderkey", "l_linenumber")
+
+
+# ---- value functions
+
+
+@register("v1_v3_v8_v9_v10_validators", DUCK + f"""
+SELECT order_id, coalesce({IS_EMAIL}, false) AS email_ok, {IS_PHONE} AS phone_ok, {IS_URL} AS url_ok, coalesce({STRIP('notes')} = '', false) AS blank,
+  coalesce(notes <> {STRIP('notes')}, false) AS spaced, coalesce({CORRUPT}, false) AS corrupted, {IS_NUMBER('quantity')} AS number_ok FROM d""")
+def validators(spark, d):
+    return dirty_sales(spark, d).select(
+        "order_id", F.coalesce(V.is_email("email"), F.lit(False)).alias("email_ok"), V.is_phone("phone").alias("phone_ok"), V.is_url("site_url").alias("url_ok"),
+        V.is_blank("notes").alias("blank"), V.has_outer_space("notes").alias("spaced"), V.is_corrupted("notes").alias("corrupted"), V.is_number("quantity").alias("number_ok"),
+    )
+
+
+@register("v3_page_urls", f"SELECT page_id, regexp_matches(url, '{URL_SQL}') AS url_ok FROM pages")
+def page_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", V.is_url("url").alias("url_ok"))
+
+
+@register("v4_v5_currency_zip", r"""SELECT o_orderkey, regexp_matches(x, '^[$]?\d{1,3}(,\d{3})*(\.\d+)?$') AS money, regexp_matches(z, '^\d{5}(-\d{4})?$') AS zip
+FROM (SELECT o_orderkey, '$' || CAST(o_orderkey % 5000 AS VARCHAR) || '.50' AS x, CAST(10000 + o_orderkey AS VARCHAR) AS z FROM orders)""")
+def currency_zip(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", V.is_currency(F.concat(F.lit("$"), (F.col("o_orderkey") % 5000).cast("string"), F.lit(".50"))).alias("money"), V.is_zip((10000 + F.col("o_orderkey")).cast("string")).alias("zip"))
+
+
+@register("v6_v12_v18_dates", DUCK + f"SELECT order_id, {AS_DATE} IS NOT NULL AS date_ok, strftime({AS_DATE}, '%Y-%m') AS month FROM d")
+def dates(spark, d):
+    df = dirty_sales(spark, d)
+    return df.select("order_id", V.is_date("order_date").alias("date_ok"), V.month_of(charts.chosen_dates(df, "order_date")).alias("month"))
+
+
+@register("v11_v13_v14_v15_v19_text", DUCK + f"""SELECT order_id, try_cast(quantity AS DOUBLE) AS number, lower({STRIP('segment')}) AS folded,
+  upper(substr({STRIP('segment')}, 1, 1)) || lower(substr({STRIP('segment')}, 2)) AS title,
+  CASE tier WHEN 'A' THEN 'Male' WHEN 'B' THEN 'Female' ELSE 'x' END AS gender, 'Order Id' AS business FROM d""")
+def text_functions(spark, d):
+    sex = F.when(F.col("tier") == "A", " M ").when(F.col("tier") == "B", "woman").otherwise("x")
+    return dirty_sales(spark, d).select(
+        "order_id", V.to_number("quantity").alias("number"), V.casefold("segment").alias("folded"), V.title_case("segment").alias("title"),
+        V.mapped(sex, V.GENDERS).alias("gender"), V.business_name(F.lit("order_id")).alias("business"),
+    )
+
+
+@register("v16_v17_formats", """SELECT o_orderkey, regexp_replace(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), ' 00:00:00$', '') AS day,
+  '$' || format('{:,}', o_custkey) AS money FROM orders""")
+def formats(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", V.date_text("o_orderdate").alias("day"), V.kpi_text("o_custkey", "currency").alias("money"))
+
+
+@register("v20_v21_stated_numbers", r"""SELECT conv_id, turn, sum(len(regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?')))::BIGINT AS numbers FROM conversations GROUP BY 1, 2""")
+def stated(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.sum(F.size(V.stated_numbers("text"))).alias("numbers"))
+
+
+# ---- profiling
+
+
+def union_sql(part: Callable[[str], str], columns=TEXTS) -> str:
+    return DUCK + " UNION ALL ".join(part(c) for c in columns)
+
+
+@register("f1_value_frequencies", union_sql(lambda c: f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c}"))
+def frequencies(spark, d):
+    return value_frequencies(dirty_sales(spark, d), list(TEXTS))
+
+
+SEMANTIC = dict(zip(COLUMNS, ("id", "text", "email", "phone", "url", "categorical", "currency", "currency", "date", "categorical", "currency", "categorical", "categorical", "categorical")))
+
+
+@register("p1_p14_profile", DUCK + " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, {k} AS ordinal, '{SEMANTIC[c]}' AS semantic_type, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count,
+    {f'avg({c})' if c in ('order_id', 'revenue') else 'NULL'}::DOUBLE AS mean_val, {f'stddev_samp({c})' if c in ('order_id', 'revenue') else 'NULL'}::DOUBLE AS std_val,
+    {f'min({c})' if c != 'revenue' else 'NULL'}::VARCHAR AS min_val FROM d""" for k, c in enumerate(COLUMNS)))
+def profiled(spark, d):
+    p = profile(dirty_sales(spark, d))
+    lowest = F.when(F.col("name") != "revenue", F.col("min_val")).alias("min_val")  # large numbers are written in other forms
+    return p.select("name", "ordinal", "semantic_type", "null_count", "distinct_count", "mean_val", "std_val", lowest)
+
+
+@register("p1_p2_dataset", "SELECT count(*) AS row_count, 11 AS col_count FROM lineitem")
+def sized(spark, d):
+    return dataset_profile(table(spark, d, "lineitem")).select("row_count", "col_count")
+
+
+@register("p3_p6_lineitem_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, round(count(DISTINCT {c}) / count(*), 4) AS cardinality_ratio, avg({c})::DOUBLE AS mean_val FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")))
+def lineitem_profile(spark, d):
+    cols = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return profile(table(spark, d, "lineitem").select(*cols)).select("name", "null_count", "distinct_count", "cardinality_ratio", "mean_val")
+
+
+@register("p7_first_values", ROWS + " UNION ALL ".join(
+    f" SELECT '{c}' AS column_name, list({c} ORDER BY _row_id) AS sample_values FROM (SELECT * FROM r WHERE {c} IS NOT NULL ORDER BY _row_id LIMIT 5)" for c in ("email", "notes", "segment")))
+def firsts(spark, d):
+    return first_values(dirty_rows(spark, d).select(ROW_ID, "email", "notes", "segment"))
+
+
+# ---- checks and the rows behind them
+
+FINDING_PARTS = [
+    ("missing_values", "email", "completeness", "low", "email IS NULL"), ("missing_values", "revenue", "completeness", "medium", "revenue IS NULL"),
+    ("missing_values", "notes", "completeness", "medium", "notes IS NULL"), ("blank_strings", "notes", "completeness", "medium", f"notes IS NOT NULL AND {STRIP('notes')} = ''"),
+    ("whitespace", "full_name", "consistency", "low", f"full_name <> {STRIP('full_name')}"), ("whitespace", "segment", "consistency", "low", f"segment <> {STRIP('segment')}"),
+    ("whitespace", "notes", "consistency", "low", f"notes <> {STRIP('notes')}"), ("unicode_issues", "notes", "consistency", "low", CORRUPT),
+    ("mixed_types", "quantity", "consistency", "medium", f"NOT {IS_NUMBER('quantity')}"), ("invalid_email", "email", "validity", "high", BAD_EMAIL),
+    ("invalid_phone", "phone", "validity", "high", BAD_PHONE), ("invalid_url", "site_url", "validity", "high", BAD_URL),
+    ("invalid_date", "order_date", "validity", "medium", f"{AS_DATE} IS NULL"), ("negative_values", "revenue", "validity", "medium", "revenue < 0"),
+    ("outliers", "revenue", "accuracy", "low", OUTLIER), ("case_inconsistency", "segment", "consistency", "low", odd_spelling("segment")),
+    ("case_inconsistency", "full_name", "consistency", "low", odd_spelling("full_name")),
+]
+SPELLINGS = f"{DUCK}, {QUARTILES}, {canon('segment')}, {canon('full_name')}"
+FINDINGS_SQL = SPELLINGS + ", parts AS (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS check_key, '{c}' AS column_name, '{dim}' AS dimension, '{sev}' AS severity, (SELECT count(*) FROM d, q WHERE {cond}) AS count" for k, c, dim, sev, cond in FINDING_PARTS
+) + """ UNION ALL SELECT 'duplicate_rows', NULL, 'uniqueness', 'medium', (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d))
+UNION ALL SELECT 'duplicate_ids', 'order_id', 'integrity', 'high', (SELECT count(*) - count(DISTINCT order_id) FROM d)
+UNION ALL SELECT 'duplicate_columns', 'tier_copy', 'uniqueness', 'medium', 1
+UNION ALL SELECT 'constant_column', 'region', 'uniqueness', 'low', 1
+UNION ALL SELECT 'datatype_mismatch', 'code_text', 'accuracy', 'medium', (SELECT count(code_text) FROM d))
+SELECT check_key, column_name, dimension, severity, count::BIGINT AS count FROM parts WHERE count > 0"""
+
+
+@register("q1_q20_all_checks", FINDINGS_SQL)
+def all_checks(spark, d):
+    return checks.run_checks(dirty_rows(spark, d), samples=False).select("check_key", "column_name", "dimension", "severity", "count")
+
+
+@register("q3_duplicate_lineitems", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS repeats FROM lineitem")
+def duplicate_lineitems(spark, d):
+    keys = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    flagged, found = checks.flag_duplicates(keys, checks.Facts([]))
+    return flagged.agg(F.round(F.sum(found[0].counted)).cast("long").alias("repeats"))
+
+
+@register("q14_document_spellings", "SELECT count(*) AS keys, sum(v)::BIGINT AS spellings FROM (SELECT lower(lang) AS k, count(DISTINCT lang) AS v FROM documents GROUP BY 1)")
+def document_spellings(spark, d):
+    found = checks.canonical_spellings(value_frequencies(table(spark, d, "documents"), ["lang"]))
+    return found.agg(F.count("*").alias("keys"), F.sum("spellings").alias("spellings"))
+
+
+@register("q21_sample_values", DUCK + f"SELECT DISTINCT order_date AS value FROM d WHERE {AS_DATE} IS NULL")
+def samples(spark, d):
+    found = checks.run_checks(dirty_rows(spark, d).select(ROW_ID, "order_id", "order_date"))
+    return found.where("check_key = 'invalid_date'").select(F.explode("sample").alias("value"))
+
+
+@register("q22_u2_custom_rule", DUCK + "SELECT 'custom_big' AS check_key, 'accuracy' AS dimension, 'high' AS severity, count(*) AS count FROM d WHERE revenue > 400000 AND segment LIKE 'B%'")
+def custom_rule(spark, d):
+    df = dirty_rows(spark, d).select(ROW_ID, "order_id", "revenue", "segment")
+    rules = checks.Rules(spark).create(df, "big", "big B", "revenue > 400000 AND segment LIKE 'B%'", "accuracy", "high")
+    found = checks.run_checks(df, rules=rules.checks(df), samples=False)
+    return found.where("check_key = 'custom_big'").select("check_key", "dimension", "severity", "count")
+
+
+def mask_query(name: str, key: str, column: str | None, condition: str, ctes: str = DUCK) -> None:
+    def run(spark, d, key=key, column=column):
+        return checks.affected_rows(dirty_rows(spark, d), key, column).select("order_id")
+
+    register(name, ctes + f"SELECT order_id FROM d{', q' if 'q1' in condition else ''} WHERE {condition}")(run)
+
+
+mask_query("m1_duplicate_row_groups", "duplicate_rows", None, "order_id IN (SELECT order_id FROM d GROUP BY 1 HAVING count(*) > 1)")
+mask_query("m2_duplicate_id_groups", "duplicate_ids", "order_id", "order_id IN (SELECT order_id FROM d GROUP BY 1 HAVING count(*) > 1)")
+mask_query("m3_missing_rows", "missing_values", "revenue", "revenue IS NULL")
+mask_query("m3_blank_rows", "blank_strings", "notes", f"notes IS NOT NULL AND {STRIP('notes')} = ''")
+mask_query("m3_spaced_rows", "whitespace", "segment", f"segment <> {STRIP('segment')}")
+mask_query("m4_invalid_email_rows", "invalid_email", "email", BAD_EMAIL)
+mask_query("m4_invalid_phone_rows", "invalid_phone", "phone", BAD_PHONE)
+mask_query("m4_invalid_url_rows", "invalid_url", "site_url", BAD_URL)
+mask_query("m4_invalid_date_rows", "invalid_date", "order_date", f"{AS_DATE} IS NULL")
+mask_query("m5_negative_rows", "negative_values", "revenue", "revenue < 0")
+mask_query("m6_outlier_rows", "outliers", "revenue", OUTLIER, f"{DUCK}, {QUARTILES} ")
+mask_query("m7_corrupted_rows", "unicode_issues", "notes", CORRUPT)
+mask_query("m8_mixed_type_rows", "mixed_types", "quantity", f"NOT {IS_NUMBER('quantity')}")
+mask_query("m9_odd_spelling_rows", "case_inconsistency", "segment", odd_spelling("segment"), f"{DUCK}, {canon('segment')} ")
+mask_query("m10_column_rows", "constant_column", "region", "region IS NOT NULL")
+
+
+@register("m11_m13_drill_down", ROWS + f" SELECT _row_id, order_id, email FROM r WHERE {BAD_EMAIL} ORDER BY _row_id LIMIT 200")
+def drilled(spark, d):
+    return checks.drill_down(dirty_rows(spark, d), "invalid_email", "email")[0]
+
+
+@register("m12_rule_drill_down", ROWS + " SELECT _row_id, order_id, revenue FROM r WHERE revenue > 450000 ORDER BY _row_id LIMIT 50")
+def rule_drilled(spark, d):
+    df = dirty_rows(spark, d)
+    return df.where(checks.rule_check(df, "x", "revenue > 450000").mask).orderBy(ROW_ID).limit(50).select(ROW_ID, "order_id", "revenue")
+
+
+# ---- scores
+
+ANY_MASK = " OR ".join(f"coalesce({cond}, false)" for _, _, _, _, cond in FINDING_PARTS)
+DOUBLE = "order_id IN (SELECT order_id FROM d GROUP BY 1 HAVING count(*) > 1)"
+
+
+def _dimension_sql(dim: str) -> str:
+    masks = [f"coalesce({cond}, false)" for _, _, x, _, cond in FINDING_PARTS if x == dim]
+    masks += [DOUBLE] if dim in ("uniqueness", "integrity") else []
+    return f"round(100.0 * count(*) FILTER (WHERE NOT ({' OR '.join(masks) or 'false'})) / count(*), 1) AS {dim}"
+
+
+@register("s1_s5_score", SPELLINGS + f"""SELECT round(100.0 * count(*) FILTER (WHERE NOT ({ANY_MASK} OR {DOUBLE})) / count(*), 1) AS overall,
+  {', '.join(_dimension_sql(x) for x in checks.ALL_DIMENSIONS)}, count(*) AS row_count, count(*) FILTER (WHERE {ANY_MASK} OR {DOUBLE}) AS dirty_rows,
+  count(*) FILTER (WHERE NOT ({ANY_MASK} OR {DOUBLE})) AS clean_rows, (SELECT count(*) - count(DISTINCT order_id) FROM d) AS duplicate_rows FROM d, q""")
+def scored(spark, d):
+    return score.score(dirty_rows(spark, d))
+
+
+@register("s6_exclusions", FINDINGS_SQL.replace("SELECT check_key, column_name, dimension, severity, count::BIGINT AS count FROM parts", "SELECT check_key, column_name, check_key = 'outliers' AS excluded FROM parts"))
+def excluded(spark, d):
+    out = spark.createDataFrame([("outliers", "revenue")], "check_key string, column_name string")
+    found = checks.run_checks(dirty_rows(spark, d), samples=False)
+    return score.mark_excluded(found, out).select("check_key", "column_name", "excluded")
+
+
+@register("s7_failed_checks", SPELLINGS + f"""SELECT order_id, (coalesce({BAD_EMAIL}, false)::INT + ({BAD_PHONE})::INT + ({DOUBLE})::INT * 2 + (email IS NULL)::INT)::INTEGER AS failed FROM d""")
+def failed(spark, d):
+    df = dirty_rows(spark, d).select(ROW_ID, "order_id", "email", "phone")
+    rows, _ = score.scored_rows(df.drop(ROW_ID))
+    return rows.select("order_id", F.size("failed_checks").alias("failed"))
+
+
+@register("s8_approval", SPELLINGS + f"SELECT CASE WHEN round(100.0 * count(*) FILTER (WHERE NOT ({ANY_MASK} OR {DOUBLE})) / count(*), 1) >= 75 THEN 'approved' ELSE 'pending' END AS approval_status FROM d, q")
+def approved(spark, d):
+    return score.approval(score.score(dirty_rows(spark, d))).select("approval_status")
+
+
+@register("s9_s11_fix_flags", FINDINGS_SQL.replace("SELECT check_key, column_name, dimension, severity, count::BIGINT AS count FROM parts", "SELECT check_key, column_name, check_key <> 'datatype_mismatch' AS fixable, false AS suggest_drop FROM parts"))
+def fix_flags(spark, d):
+    df = dirty_rows(spark, d)
+    found = score.by_severity(checks.run_checks(df, samples=False))
+    return score.with_fix_flags(found, df.count()).select("check_key", "column_name", "fixable", "suggest_drop")
+
+
+@register("s10_explanations")
+def explained(spark, d):
+    df = dirty_rows(spark, d)
+    return score.explain(checks.run_checks(df), df.count())
+
+
+MONTHS = "SELECT o_orderstatus AS dataset_id, date_trunc('month', o_orderdate) AS created_at, avg(o_totalprice) AS overall_score FROM orders GROUP BY 1, 2"
+
+
+@register("s12_latest_reports", f"""WITH m AS ({MONTHS}), w AS (SELECT *, lag(overall_score) OVER (PARTITION BY dataset_id ORDER BY created_at) AS previous_score,
+  row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC) AS n FROM m) SELECT dataset_id, overall_score, previous_score FROM w WHERE n = 1""")
+def latest(spark, d):
+    months = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("dataset_id"), F.date_trunc("month", "o_orderdate").alias("created_at")).agg(F.avg("o_totalprice").alias("overall_score"))
+    return score.latest_reports(months).select("dataset_id", "overall_score", "previous_score")
+
+
+@register("s13_decisions", "SELECT user_id AS dataset_id, arg_max(event_type, (ts, event_id)) AS decision FROM events GROUP BY 1")
+def decisions(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("dataset_id"), F.col("event_type").alias("decision"), F.struct("ts", "event_id").alias("decided_at"))
+    return score.current_decisions(rows).select("dataset_id", "decision")
+
+
+# ---- fixes and cleaning
+
+
+def fix_query(name: str, key: str, column: str | None, select: str, columns: list[str], ctes: str = DUCK) -> None:
+    def run(spark, d):
+        return fixes.apply_fix(dirty_rows(spark, d), key, column).df.select(*columns)
+
+    register(name, ctes + select)(run)
+
+
+fix_query("x1_drop_duplicates", "duplicate_rows", None, "SELECT DISTINCT order_id, email FROM d", ["order_id", "email"])
+fix_query("x2_fill_median", "missing_values", "revenue", "SELECT order_id, coalesce(revenue, (SELECT median(revenue) FROM d)) AS revenue FROM d", ["order_id", "revenue"])
+fix_query("x3_fill_mode", "missing_values", "notes", "SELECT order_id, coalesce(notes, 'VIP') AS notes FROM d", ["order_id", "notes"])
+fix_query("x4_drop_contactless", "missing_values", "email", "SELECT order_id, email FROM d WHERE email IS NOT NULL", ["order_id", "email"])
+fix_query("x5_fill_blanks", "blank_strings", "notes", f"SELECT order_id, CASE WHEN {STRIP('notes')} = '' THEN 'VIP' ELSE notes END AS notes FROM d", ["order_id", "notes"])
+fix_query("x6_trim", "whitespace", "full_name", f"SELECT order_id, {STRIP('full_name')} AS full_name FROM d", ["order_id", "full_name"])
+fix_query("x7_null_invalid", "invalid_email", "email", f"SELECT order_id, CASE WHEN {IS_EMAIL} THEN email END AS email FROM d", ["order_id", "email"])
+fix_query("x8_null_negative", "negative_values", "revenue", "SELECT order_id, CASE WHEN revenue >= 0 THEN revenue END AS revenue FROM d", ["order_id", "revenue"])
+fix_query("x9_clip_outliers", "outliers", "revenue", "SELECT order_id, CASE WHEN revenue IS NOT NULL THEN least(greatest(revenue, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) END AS revenue FROM d, q", ["order_id", "revenue"], f"{DUCK}, {QUARTILES} ")
+fix_query("x10_unify_case", "case_inconsistency", "segment", f"SELECT order_id, (SELECT spelling FROM c_segment WHERE k = lower({STRIP('d.segment')})) AS segment FROM d", ["order_id", "segment"], f"{DUCK}, {canon('segment')} ")
+fix_query("x11_majority_type", "mixed_types", "quantity", "SELECT order_id, try_cast(quantity AS DOUBLE) AS quantity FROM d", ["order_id", "quantity"])
+fix_query("x12_unique_ids", "duplicate_ids", "order_id", "SELECT DISTINCT order_id FROM d", ["order_id"])
+
+
+@register("x13_drop_column", DUCK + "SELECT order_id, tier FROM d")
+def drop_column(spark, d):
+    return fixes.apply_fix(dirty_rows(spark, d).select(ROW_ID, "order_id", "tier", "tier_copy"), "duplicate_columns", "tier_copy").df.drop(ROW_ID)
+
+
+PLAN = [fixes.Fix("invalid_email", "email"), fixes.Fix("duplicate_rows"), fixes.Fix("whitespace", "full_name"), fixes.Fix("negative_values", "revenue")]
+FIXED = f"SELECT DISTINCT order_id, CASE WHEN {IS_EMAIL} THEN email END AS email, {STRIP('full_name')} AS full_name, CASE WHEN revenue >= 0 THEN revenue END AS revenue FROM d"
+
+
+@register("x14_fix_all", DUCK + FIXED)
+def fixed(spark, d):
+    return fixes.fix_all(dirty_rows(spark, d), PLAN)[0].select("order_id", "email", "full_name", "revenue")
+
+
+@register("x15_change_log", DUCK + f"SELECT 'changed' AS kind, 'email' AS column_name, count(*) AS n FROM d WHERE {BAD_EMAIL} UNION ALL SELECT 'changed', 'full_name', count(*) FROM d WHERE full_name <> {STRIP('full_name')}")
+def change_log(spark, d):
+    before = dirty_rows(spark, d)
+    after, _ = fixes.fix_all(before, [PLAN[0], PLAN[2]])
+    return fixes.changes(before, after, "order_id").groupBy("kind", "column_name").agg(F.count("*").alias("n"))
+
+
+@register("x16_x19_undo_one", DUCK + FIXED.replace(f"CASE WHEN {IS_EMAIL} THEN email END AS email", "email"))
+def undone(spark, d):
+    return fixes.replay(dirty_rows(spark, d), PLAN, without=PLAN[0])[0].select("order_id", "email", "full_name", "revenue")
+
+
+@register("c1_c8_clean", DUCK + f""", t AS (SELECT DISTINCT * REPLACE ({', '.join(f'{STRIP(c)} AS {c}' for c in TEXTS)}) FROM d),
+u AS (SELECT * REPLACE (CASE WHEN {IS_EMAIL} THEN email END AS email, CASE WHEN {IS_PHONE} THEN phone END AS phone) FROM t)
+SELECT order_id, email, phone, coalesce(notes, (SELECT mode FROM (SELECT notes AS mode, count(*) AS n FROM u WHERE notes IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1))) AS raw_notes,
+upper(substr(segment, 1, 1)) || lower(substr(segment, 2)) AS segment, code_text::DOUBLE AS code_text FROM u""")
+def cleaned(spark, d):
+    df, _ = fixes.clean(dirty_rows(spark, d))
+    # notes get title case too; compare them as they are filled
+    raw = F.when(F.lower("notes") == "vip", "VIP").when(F.lower("notes").startswith("caf"), F.concat(F.lit("caf"), F.lit("\x01"))).otherwise(F.col("notes"))
+    return df.select("order_id", "email", "phone", raw.alias("raw_notes"), "segment", "code_text")
+
+
+@register("c9_c10_before_after")
+def compared_sides(spark, d):
+    df = dirty_rows(spark, d)
+    return fixes.before_after(df, fixes.clean(df)[0])
+
+
+# ---- edits and row filters
+
+
+@register("e1_e5_edits", ROWS + """ SELECT _row_id, CASE _row_id WHEN 3 THEN 'gold' WHEN 5 THEN NULL ELSE tier END AS tier, CASE _row_id WHEN 4 THEN 12.5 ELSE revenue END AS revenue FROM r WHERE _row_id < 50""")
+def edited(spark, d):
+    batch = spark.createDataFrame([(1, 3, "tier", "silver"), (2, 3, "tier", "gold"), (3, 5, "tier", " "), (4, 4, "revenue", "12.5")], edits.EDITS)
+    return edits.apply_edits(dirty_rows(spark, d), batch)[0].where(F.col(ROW_ID) < 50).select(ROW_ID, "tier", "revenue")
+
+
+@register("e4_undo_edits", ROWS + " SELECT _row_id, tier, revenue FROM r WHERE _row_id < 50")
+def edits_undone(spark, d):
+    df = dirty_rows(spark, d)
+    batch = spark.createDataFrame([(1, 3, "tier", "gold"), (2, 4, "revenue", "12.5")], edits.EDITS)
+    after, log = edits.apply_edits(df, batch)
+    return edits.undo_edits(after, log, df.count()).where(F.col(ROW_ID) < 50).select(ROW_ID, "tier", "revenue")
+
+
+def filter_query(name: str, column: str, op: str, value: str | None, condition: str) -> None:
+    def run(spark, d):
+        return edits.query_rows(dirty_rows(spark, d), column, op, value, limit=200, offset=10)[0].select(ROW_ID, "order_id")
+
+    register(name, ROWS + f" SELECT _row_id, order_id FROM r WHERE {condition} ORDER BY _row_id LIMIT 200 OFFSET 10")(run)
+
+
+filter_query("w1_filter_eq", "segment", "eq", " building ", f"lower({STRIP('segment')}) = 'building'")
+filter_query("w2_filter_neq", "notes", "neq", "vip", "lower(notes) IS DISTINCT FROM 'vip'")
+filter_query("w3_filter_contains", "site_url", "contains", "/O/12", "contains(site_url, '/o/12')")
+filter_query("w4_filter_number", "revenue", "gte", "300000", "revenue >= 300000")
+filter_query("w5_filter_date", "order_date", "lt", "1993-01-01", f"coalesce(try_strptime(order_date, '%Y-%m-%d'), try_strptime(order_date, '%Y/%m/%d'), try_strptime(order_date, '%m/%d/%Y'), try_strptime(order_date, '%d/%m/%Y')) < TIMESTAMP '1993-01-01'")
+filter_query("w6_filter_empty", "notes", "empty", None, f"notes IS NULL OR {STRIP('notes')} = ''")
+
+
+@register("w7_filter_counts", DUCK + "SELECT count(*) FILTER (WHERE revenue > 100000) AS matched, count(*) AS total FROM d")
+def filter_counts(spark, d):
+    return edits.query_rows(dirty_rows(spark, d), "revenue", "gt", "100000")[1]
+
+
+# ---- KPIs and charts
+
+SQL_AGGS = {"sum": "sum({})", "avg": "avg({})", "median": "median({})", "min": "min({})", "max": "max({})", "stddev": "stddev_samp({})", "variance": "var_samp({})", "count": "count({})", "count_distinct": "count(DISTINCT {})"}
+
+
+@register("g1_u3_kpis", " UNION ALL ".join(f"SELECT 'kpi:{a}:l_quantity' AS id, round({s.format('l_quantity')}, 2)::DOUBLE AS value FROM lineitem" for a, s in SQL_AGGS.items()))
+def kpis(spark, d):
+    li, out = table(spark, d, "lineitem"), None
+    for a in charts.AGGREGATIONS:
+        one = charts.kpi(li, a, "l_quantity").select("id", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("g2_g3_kpi_pool", "SELECT 'kpi:rows' AS id, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'kpi:cols', 2 UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'kpi:{a}:o_totalprice', round({a}(o_totalprice), 2) FROM orders" for a in ("avg", "sum", "max")))
+def kpi_pool(spark, d):
+    df = table(spark, d, "orders").select("o_totalprice", "o_orderstatus")
+    return charts.kpi_pool(df, profile_columns(df)).select("id", "value")
+
+
+for _a, _s in SQL_AGGS.items():
+    def _chart(spark, d, a=_a):
+        return charts.category_chart(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", a)
+
+    register(f"g4_category_{_a}", f"SELECT l_returnflag AS name, {_s.format('l_extendedprice')}::DOUBLE AS value FROM lineitem GROUP BY 1")(_chart)
+
+
+@register("g5_count_by_category", "SELECT event_type AS name, count(*)::DOUBLE AS value FROM events GROUP BY 1")
+def counts(spark, d):
+    return charts.category_chart(table(spark, d, "events"), "event_type")
+
+
+TOP50 = "WITH g AS (SELECT CAST(l_suppkey AS VARCHAR) AS name, {}::DOUBLE AS value FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY value DESC, name) AS n FROM g) SELECT name, value FROM r WHERE n <= 50"
+
+
+@register("g6_other_slice", TOP50.format("sum(l_quantity)") + " UNION ALL SELECT 'Other', sum(value) FROM r WHERE n > 50 HAVING count(*) > 0")
+def other_slice(spark, d):
+    return charts.category_chart(table(spark, d, "lineitem"), "l_suppkey", "l_quantity")
+
+
+@register("g7_top_only", TOP50.format("max(l_extendedprice)"))
+def top_only(spark, d):
+    return charts.category_chart(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", "max")
+
+
+@register("g8_undefined_spread", DUCK + "SELECT email AS name, stddev_samp(revenue) AS value FROM d WHERE email IS NOT NULL AND revenue IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def spread(spark, d):
+    return charts.category_chart(dirty_sales(spark, d), "email", "revenue", "stddev")
+
+
+@register("g9_monthly_trend", DUCK + f"SELECT strftime({AS_DATE}, '%Y-%m') AS x, sum(revenue) AS y FROM d WHERE {AS_DATE} IS NOT NULL AND revenue IS NOT NULL GROUP BY 1")
+def trend(spark, d):
+    return charts.line_chart(dirty_sales(spark, d), "order_date", "revenue")
+
+
+@register("g10_scatter", """WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n, o_totalprice AS x, o_custkey::DOUBLE AS y FROM orders)
+SELECT x, y FROM p WHERE n <= 5000 OR i % (n // 5000 + 1) = 0""")
+def scatter(spark, d):
+    return charts.scatter_chart(with_row_ids(table(spark, d, "orders"), ["o_orderkey"]), "o_totalprice", "o_custkey")
+
+
+@register("g11_histogram", """WITH s AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 10 AS w FROM orders),
+b AS (SELECT least(greatest(ceil((o_totalprice - lo) / w), 1), 10)::INTEGER AS bin FROM orders, s)
+SELECT i::INTEGER AS bin, (SELECT count(*) FROM b WHERE bin = i) AS value FROM range(1, 11) t(i)""")
+def hist(spark, d):
+    return charts.histogram(table(spark, d, "orders"), "o_totalprice").select("bin", "value")
+
+
+@register("g12_g20_coverage", DUCK + f"""SELECT count(*) FILTER (WHERE revenue IS NOT NULL AND {AS_DATE} IS NOT NULL) AS rows_used, count(*) AS rows_total,
+  count(*) FILTER (WHERE revenue IS NOT NULL AND {AS_DATE} IS NOT NULL) / count(*) AS confidence,
+  count(*) FILTER (WHERE revenue IS NOT NULL AND {AS_DATE} IS NOT NULL) / count(*) < 0.6 AS needs_review,
+  count(*) FILTER (WHERE {AS_DATE} IS NULL) AS missing_order_date, count(*) FILTER (WHERE revenue IS NULL) AS missing_revenue FROM d""")
+def covered(spark, d):
+    return charts.coverage(dirty_sales(spark, d), {"order_date": "date", "revenue": "number"})
+
+
+@register("g13_g14_chart_type", "SELECT CASE WHEN count(DISTINCT l_returnflag) <= 4 THEN 'pie' ELSE 'bar' END AS type, 'Total l_quantity by l_returnflag' AS title FROM lineitem")
+def typed(spark, d):
+    points = charts.category_chart(table(spark, d, "lineitem"), "l_returnflag", "l_quantity")
+    return charts.chart_type(points).withColumn("title", F.lit(charts.chart_title("l_returnflag", "l_quantity")[0]))
+
+
+@register("g15_auto_dashboard")
+def dashboard(spark, d):
+    out = None
+    for widget, data in charts.dashboard(dirty_rows(spark, d)).items():
+        one = data.agg(F.count("*").alias("points")).select(F.lit(widget).alias("widget"), "points")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("g16_g17_default_widgets")
+def default_widgets(spark, d):
+    pool = charts.chart_pool(profile_columns(dirty_sales(spark, d)))
+    rows = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(pool)], "ord int, id string, type string")
+    return charts.default_selection(rows)
+
+
+@register("g18_widget", "SELECT o_orderpriority AS name, avg(o_totalprice) AS value FROM orders GROUP BY 1")
+def widget(spark, d):
+    return charts.build_widget(table(spark, d, "orders"), "chart:bar:o_orderpriority:avg(o_totalprice)")
+
+
+# ---- SQL over a dataset
+
+
+@register("k1_k3_guarded_sql", "SELECT o_orderpriority, count(*) AS n, avg(CAST(o_totalprice AS DOUBLE)) AS mean FROM orders WHERE o_orderpriority LIKE '%I%' GROUP BY 1")
+def guarded(spark, d):
+    q = """SELECT "o_orderpriority", COUNT(*) AS n, AVG(TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE)) AS mean FROM dataset WHERE regexp_matches("o_orderpriority", 'I') GROUP BY 1 ORDER BY 2"""
+    return query.run_sql(table(spark, d, "orders"), q)
+
+
+@register("k4_windows_in_sql", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS r FROM orders QUALIFY rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 100")
+def windows(spark, d):
+    return query.run_sql(table(spark, d, "orders"), "WITH x AS (SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS r FROM dataset) SELECT * FROM x WHERE r <= 100")
+
+
+@register("k5_query_frame", DUCK + f"SELECT 'order_date' AS column_name, count(*) FILTER (WHERE {AS_DATE} IS NULL) AS unparsed FROM d")
+def framed(spark, d):
+    df = dirty_sales(spark, d).select("order_date", "revenue")
+    return query.query_frame(df, profile_columns(df))[1]
+
+
+@register("k6_same_text", DUCK + f"SELECT order_id FROM d WHERE lower({STRIP('segment')}) = 'furniture'")
+def same_text(spark, d):
+    return dirty_sales(spark, d).where(query.same_text("segment", "Furniture ")).select("order_id")
+
+
+@register("k7_top_categories", "SELECT o_custkey, sum(o_totalprice) AS sum_o_totalprice FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top(spark, d):
+    return query.top_categories(table(spark, d, "orders"), "o_custkey", "o_totalprice")
+
+
+@register("k8_by_category", "SELECT o_orderpriority, max(o_totalprice) AS max_o_totalprice FROM orders GROUP BY 1")
+def by_cat(spark, d):
+    return query.by_category(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", "max")
+
+
+@register("k9_frequency_table", "SELECT source, count(*) AS count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def freq(spark, d):
+    return query.frequency_table(table(spark, d, "documents"), "source")
+
+
+@register("k10_raw_trend", "SELECT o_orderdate, sum(o_totalprice) AS sum_o_totalprice FROM orders GROUP BY 1 ORDER BY 1 LIMIT 500")
+def raw(spark, d):
+    return query.raw_trend(table(spark, d, "orders"), "o_orderdate", "o_totalprice")
+
+
+@register("k12_summary", "SELECT min(value) AS min_value, max(value) AS max_value, avg(value) AS avg_value FROM events")
+def summary(spark, d):
+    return query.measure_summary(table(spark, d, "events"), "value")
+
+
+@register("k13_k14_filtered", "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
+def filtered(spark, d):
+    o = table(spark, d, "orders")
+    return query.filtered(o, query.rule(o, "o_orderstatus", "=", "f") & query.rule(o, "o_totalprice", ">", 200000), "count")
+
+
+@register("k14_row_count", "SELECT count(*) AS row_count FROM events")
+def rows(spark, d):
+    return query.row_count(table(spark, d, "events"))
+
+
+@register("k15_find_value", "SELECT 'lang' AS column_name, 'de' AS value")
+def find(spark, d):
+    df = table(spark, d, "documents").select("lang", "source")
+    return query.find_value(df, profile_columns(df), "How many rows are in de?")
+
+
+@register("k16_variants", "SELECT lower(source) AS variant, count(*) AS n FROM documents WHERE starts_with(lower(source), 'src1') AND lower(source) <> 'src1' GROUP BY 1")
+def variants(spark, d):
+    return query.spelling_variants(table(spark, d, "documents"), "source", "src1")
+
+
+@register("k17_result_facts", """WITH g AS (SELECT o_orderpriority AS label, sum(o_totalprice) AS value FROM orders GROUP BY 1),
+r AS (SELECT row_number() OVER (ORDER BY value DESC)::INTEGER AS rank, label, value, value / sum(value) OVER () * 100 AS share, sum(value) OVER () AS total, count(*) OVER () AS rows FROM g)
+SELECT * FROM r WHERE rank <= 3 OR rank = rows""")
+def facts(spark, d):
+    return query.result_facts(table(spark, d, "orders").groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("v")))
+
+
+@register("k19_ungrounded_numbers", r"""WITH n AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?')) AS x FROM conversations)
+SELECT conv_id, replace(x, ',', '')::DOUBLE AS value FROM n WHERE abs(replace(x, ',', '')::DOUBLE - turn) > 1e-6""")
+def grounded(spark, d):
+    c = table(spark, d, "conversations")
+    said = c.select(F.struct("conv_id", "turn").alias("id"), "text")
+    known = c.select(F.struct("conv_id", "turn").alias("id"), F.col("turn").alias("value")).distinct()
+    return query.ungrounded(said, known).select("id.conv_id", "value")
+
+
+@register("k20_result_chart", "SELECT o_orderpriority AS name, count(*)::DOUBLE AS value FROM orders GROUP BY 1 ORDER BY 1 LIMIT 12")
+def result_chart(spark, d):
+    return query.result_chart(table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")))[0]
+
+
+@register("k21_k23_rules", DUCK + "SELECT count(*) FILTER (WHERE try_cast(quantity AS DOUBLE) > 5) AS matched, count(*) AS total FROM d")
+def rule_preview(spark, d):
+    return checks.preview_rule(dirty_sales(spark, d), query.heal_condition('"quantity" > 5'))[0]
+
+
+@register("k24_k25_sentence", "SELECT '3 groups — highest n: ' || arg_max(s, n) || ' (' || format('{:,}', max(n)) || '), lowest: ' || arg_min(s, n) || ' (' || format('{:,}', min(n)) || ').' AS answer FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1) HAVING count(*) = 3")
+def said(spark, d):
+    return query.sentence(table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")))
+
+
+# ---- governance, comparison, insights, history
+
+
+@register("h1_h6_governance", "SELECT 'pii' AS classification, ['full_name', 'email', 'phone'] AS pii_columns, 'Contains personal data in: full_name, email, phone.' AS rationale")
+def governed(spark, d):
+    return govern.classify(profile(dirty_sales(spark, d)))
+
+
+@register("h4_tier", SPELLINGS + f", s AS (SELECT round(100.0 * count(*) FILTER (WHERE NOT ({ANY_MASK} OR {DOUBLE})) / count(*), 1) AS overall FROM d, q) SELECT overall, CASE WHEN overall >= 80 THEN 'gold' WHEN overall >= 60 THEN 'silver' ELSE 'bronze' END AS ingestion_tier FROM s")
+def tiers(spark, d):
+    return govern.tier(score.score(dirty_rows(spark, d)), True).select("overall", "ingestion_tier")
+
+
+@register("h5_column_metadata")
+def metadata(spark, d):
+    return govern.column_metadata(profile(dirty_rows(spark, d)))
+
+
+def halves(spark, d):
+    o = table(spark, d, "orders")
+    return o.where("o_orderkey % 2 = 0").drop("o_orderpriority"), o.where("o_orderkey % 2 = 1").withColumn("extra", F.lit(1))
+
+
+@register("d1_schema_diff", "SELECT * FROM (VALUES ('o_orderkey', 'common'), ('o_custkey', 'common'), ('o_orderstatus', 'common'), ('o_totalprice', 'common'), ('o_orderdate', 'common'), ('o_orderpriority', 'added'), ('extra', 'added')) t(column_name, status) WHERE (SELECT count(*) FROM orders) > 0")
+def schema_diff(spark, d):
+    return govern.schema_diff(*halves(spark, d))
+
+
+DRIFT = " UNION ALL ".join(f"SELECT '{c}' AS column_name, avg({c}) FILTER (WHERE o_orderkey % 2 = 0) AS left_mean, avg({c}) FILTER (WHERE o_orderkey % 2 = 1) AS right_mean FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice"))
+
+
+@register("d2_d3_drift", f"SELECT *, (right_mean - left_mean) / abs(left_mean) * 100 AS mean_change_pct FROM ({DRIFT})")
+def drifted(spark, d):
+    a, b = halves(spark, d)
+    return govern.top_shifts(govern.drift(a.drop("o_orderdate"), b.drop("o_orderdate"))).select("column_name", "left_mean", "right_mean", "mean_change_pct")
+
+
+@register("d4_d5_compare", "SELECT (count(*) FILTER (WHERE o_orderkey % 2 = 1) - count(*) FILTER (WHERE o_orderkey % 2 = 0))::BIGINT AS row_delta, 2::BIGINT AS added, 0::BIGINT AS removed, 5::BIGINT AS common, 'equivalent' AS verdict FROM orders")
+def compared(spark, d):
+    a, b = halves(spark, d)
+    even = spark.createDataFrame([(90.0,)], "overall double")
+    return govern.compare(a, b, even, even).select("row_delta", "added", "removed", "common", "verdict")
+
+
+@register("d6_comparison_text")
+def narrated(spark, d):
+    a, b = halves(spark, d)
+    sa, sb = score.score(a), score.score(b)
+    return govern.comparison_text("even", "odd", govern.compare(a, b, sa, sb), govern.top_shifts(govern.drift(a, b)))
+
+
+@register("i1_insights")
+def insight(spark, d):
+    df = dirty_rows(spark, d)
+    return govern.insights(profile(df), score.score(df))
+
+
+@register("i2_story")
+def story(spark, d):
+    df = dirty_rows(spark, d)
+    return govern.data_story("dirty_sales", profile(df), score.score(df))
+
+
+@register("i3_questions")
+def questions(spark, d):
+    return spark.createDataFrame([(q,) for q in govern.starter_questions(profile_columns(dirty_sales(spark, d)))], "question string")
+
+
+@register("i4_explain_points", "SELECT 'price is highest for ' || arg_max(p, v) || ' (' || format('{:,.2f}', max(v)) || ') and lowest for ' || arg_min(p, v) || ' (' || format('{:,.2f}', min(v)) || ').' AS explanation FROM (SELECT o_orderpriority AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1)")
+def explained_points(spark, d):
+    return govern.explain_points(charts.category_chart(table(spark, d, "orders"), "o_orderpriority", "o_totalprice"), "price")
+
+
+@register("t1_activity", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40")
+def activity(spark, d):
+    log = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return govern.activity_page(log, 20, 40)[0].select("event_id", "event_type")
+
+
+@register("t2_catalogue", "SELECT 2::BIGINT AS version, 25::BIGINT AS rows UNION ALL SELECT 1, 5")
+def catalogue(spark, d):
+    store = VersionStore(spark, scratch(spark))
+    store.save(table(spark, d, "region"), "region")
+    store.save(table(spark, d, "nation"), "nation")
+    return store.catalogue()[0].select("version", "rows")
