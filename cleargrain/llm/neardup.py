@@ -20,9 +20,10 @@ from cleargrain.llm.common import cut_lineage, share, shared
 from cleargrain.llm.components import connected_components, forest
 
 THRESHOLD = 0.93
-WORDS = 256
+#: A code is CODES product codes, each with WORDS words a half.
+CODES, WORDS = 64, 32
 #: Filters that two vectors at the threshold share on average; none is shared with probability about exp(-SHARED).
-SHARED = 12.0
+SHARED = 14.0
 TRIALS = 96
 #: Rows of one filter that are compared in one block; filters with more are split into pairs of blocks.
 BLOCK = 2_000
@@ -30,25 +31,27 @@ BLOCK = 2_000
 
 @dataclass
 class ProductCode:
-    rotation: np.ndarray
+    rotations: np.ndarray
     first: np.ndarray
     second: np.ndarray
     bound: float
 
     def products(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        padded = np.zeros((len(units), len(self.rotation)))
+        """Inner products of each vector with all words of the first and of the second half: (vector, code, word)."""
+        padded = np.zeros((len(units), self.rotations.shape[1]))
         padded[:, : units.shape[1]] = units
-        turned = padded @ self.rotation
-        half = len(self.rotation) // 2
-        return turned[:, :half] @ self.first.T, turned[:, half:] @ self.second.T
+        codes, size, _ = self.rotations.shape
+        turned = (padded @ self.rotations.transpose(1, 0, 2).reshape(size, codes * size)).reshape(len(units), codes, size).transpose(1, 0, 2)
+        halves = turned[:, :, : size // 2] @ self.first.transpose(0, 2, 1), turned[:, :, size // 2 :] @ self.second.transpose(0, 2, 1)
+        return halves[0].transpose(1, 0, 2), halves[1].transpose(1, 0, 2)
 
     def decode(self, units: np.ndarray) -> list[np.ndarray]:
-        """Numbers of the filters that each unit vector passes."""
+        """Numbers of the filters that each unit vector passes, in rising order."""
         out = []
         for a, b in zip(*self.products(units)):
-            rows, cols = np.flatnonzero(a >= self.bound - b.max()), np.flatnonzero(b >= self.bound - a.max())
-            i, j = np.nonzero(a[rows][:, None] + b[cols] >= self.bound)
-            out.append((rows[i] * WORDS + cols[j]).astype(np.int32))
+            code, first = np.nonzero(a >= self.bound - b.max(axis=1, keepdims=True))  # words that some partner lifts to the bound
+            at, second = np.nonzero(a[code, first][:, None] + b[code] >= self.bound)
+            out.append(((code[at] * WORDS + first[at]) * WORDS + second).astype(np.int32))
         return out
 
 
@@ -56,24 +59,22 @@ def product_code(dim: int, threshold: float = THRESHOLD, shared_filters: float =
     """A code for dim dimensions. The bound is set by trial on random pairs at the threshold's angle."""
     size = max(4, dim + dim % 2)
     rng = np.random.default_rng([seed, dim])
-    rotation = np.linalg.qr(rng.standard_normal((size, size)))[0]
+    rotations = np.stack([np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(CODES)])
 
     def words() -> np.ndarray:
-        w = rng.standard_normal((WORDS, size // 2))
-        return w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(2)
+        w = rng.standard_normal((CODES, WORDS, size // 2))
+        return w / np.linalg.norm(w, axis=2, keepdims=True) / np.sqrt(2)
 
-    code = ProductCode(rotation, words(), words(), 0.0)
+    code = ProductCode(rotations, words(), words(), 0.0)
     x = rng.standard_normal((TRIALS, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = rng.standard_normal((TRIALS, dim))
     y -= (x * y).sum(axis=1, keepdims=True) * x
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    y = threshold * x + np.sqrt(1 - threshold**2) * y
+    y = threshold * x + np.sqrt(1 - threshold**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
     (a, b), (c, d) = code.products(x), code.products(y / np.linalg.norm(y, axis=1, keepdims=True))
-    both = np.array([np.minimum(p[:, None] + q, r[:, None] + s).ravel().astype(np.float32) for p, q, r, s in zip(a, b, c, d)], dtype=np.float32)
-    # the bound at which pairs share enough filters on average; every pair of the trial must share two at least
+    both = np.stack([np.minimum(p[:, :, None] + q[:, None], r[:, :, None] + s[:, None]).astype(np.float32).ravel() for p, q, r, s in zip(a, b, c, d)])
     place = -int(shared_filters * TRIALS)
-    code.bound = float(min(np.partition(both, place, axis=None)[place], np.partition(both, -2, axis=1)[:, -2].min()))
+    code.bound = float(np.partition(both, place, axis=None)[place])
     return code
 
 
@@ -103,35 +104,27 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared_filter
             for d, part in batch.groupby("d"):
                 x = np.stack(part["x"].to_list())
                 lists = codes[d].decode(x / np.abs(x).max(axis=1, keepdims=True) / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True))
-                times = [len(f) for f in lists]
-                at = np.repeat(np.arange(len(part)), times)
-                own = [f.tobytes() for f in lists]
-                blobs = [v.astype(stored).tobytes() for v in x]
-                for i in range(0, len(at), 10_000):
-                    k = at[i : i + 10_000]
-                    yield pd.DataFrame({
-                        "label": part["label"].to_numpy()[k], "dim": d, "filter": np.concatenate(lists)[i : i + 10_000],
-                        "rep": part["rep"].to_numpy()[k], "n": part["n"].to_numpy()[k], "x": [blobs[j] for j in k], "filters": [own[j] for j in k],
-                    })
+                yield pd.DataFrame({
+                    "label": part["label"], "dim": d, "rep": part["rep"], "n": part["n"], "x": [v.astype(stored).tobytes() for v in x],
+                    "filters": [f.tobytes() for f in lists], "passed": lists,
+                })
 
     label_kind = vectors.schema["label"].dataType.simpleString()
-    passed = classes.select("label", "x", "rep", "n").mapInPandas(decode, f"label {label_kind}, dim int, filter int, rep long, n long, x binary, filters binary")
-    passed = cut_lineage(passed)
+    decoded = classes.select("label", "x", "rep", "n").mapInPandas(decode, f"label {label_kind}, dim int, rep long, n long, x binary, filters binary, passed array<int>")
+    decoded = cut_lineage(decoded)
     groups = ["label", "dim", "filter"]
-    sizes = passed.groupBy(*groups).agg(F.count("*").alias("m"))
-    total = passed.count()
+    light = decoded.select("label", "dim", F.explode("passed").alias("filter"))
+    sizes = light.groupBy(*groups).agg(F.count("*").alias("m"))
+    total = decoded.agg(F.sum(F.size("passed"))).first()[0] or 0
     # a filter of more than BLOCK rows is cut into parts; each row meets every part once
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    crowded = sizes.where(F.col("m") > BLOCK).withColumn("parts", parts).drop("m")
-    marked = passed.join(sizes.where("m > 1 and m <= %d" % BLOCK).drop("m"), groups, "left_semi")
-    marked = marked.withColumns({"lo": F.lit(0), "hi": F.lit(0), "part": F.lit(0)})
-    split = passed.join(crowded, groups).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "parts")
+    crowded = sizes.where(F.col("m") > BLOCK).select(*groups, F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    rows_by_filter = decoded.select("label", "dim", F.explode("passed").alias("filter"), "rep", "n", "x", "filters").join(crowded, groups, "left")
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = rows_by_filter.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
     n_bins = max(1, total // rows_per_task)
-    dealt = marked.withColumn("bin", F.pmod(F.xxhash64(*groups), F.lit(n_bins))).unionByName(
-        split.withColumn("bin", F.pmod(F.xxhash64(*groups, "lo", "hi"), F.lit(2**40)) + n_bins)
-    )
+    small, large = F.pmod(F.xxhash64(*groups), F.lit(n_bins)), F.pmod(F.xxhash64(*groups, "lo", "hi"), F.lit(2**40)) + n_bins
+    dealt = dealt.withColumn("bin", F.when(F.col("parts").isNull(), small).otherwise(large)).drop("parts", "other")
 
     def solve(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values([*groups, "lo", "hi"], kind="stable").reset_index(drop=True)
