@@ -20,6 +20,7 @@ DATE_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss",
     "MM-dd-yyyy", "dd MMM yyyy", "dd MMMM yyyy",
 )
+DATE_START = r"^[+-]?\d{1,6}[-/ .T:]"
 COUNTRIES = {
     "usa": "United States", "us": "United States", "u.s.a.": "United States", "united states of america": "United States",
     "uk": "United Kingdom", "u.k.": "United Kingdom", "uae": "United Arab Emirates",
@@ -89,7 +90,8 @@ def is_date(c: Column | str) -> Column:
     """In one of the known formats, or a text of 8 characters or more that reads as a timestamp."""
     value = strip(c)
     wide = F.when(F.length(value) >= 8, value.try_cast("timestamp"))
-    return (value != "") & (_first_parse(value, DATE_FORMATS).isNotNull() | wide.isNotNull())
+    # parsers are slow to fail, so texts that no format can begin with are turned away first
+    return (value != "") & F.when(value.rlike(DATE_START), _first_parse(value, DATE_FORMATS).isNotNull() | wide.isNotNull()).otherwise(F.lit(False))
 
 
 def to_number(c: Column | str) -> Column:
@@ -102,14 +104,14 @@ def date_reading(c: Column | str, day_first: bool) -> Column:
     value = strip(c)
     order = (*_DAY_FIRST, *_MONTH_FIRST) if day_first else (*_MONTH_FIRST, *_DAY_FIRST)
     wide = F.when(F.length(value) >= 8, value.try_cast("timestamp"))
-    return F.coalesce(_first_parse(value, (*_PLAIN, *order)), wide)
+    return F.when(value.rlike(r"^[+\-]?\d|^[A-Za-z]{3} "), F.coalesce(_first_parse(value, (*_PLAIN, *order)), wide))
 
 
 def strict_reading(c: Column | str, day_first: bool) -> Column:
     """As date_reading, but without help from the other order; its hits decide which reading a column gets."""
     value = strip(c)
     wide = F.when(F.length(value) >= 8, value.try_cast("timestamp"))
-    return F.coalesce(_first_parse(value, (*_PLAIN, *(_DAY_FIRST if day_first else _MONTH_FIRST))), wide)
+    return F.when(value.rlike(r"^[+\-]?\d|^[A-Za-z]{3} "), F.coalesce(_first_parse(value, (*_PLAIN, *(_DAY_FIRST if day_first else _MONTH_FIRST))), wide))
 
 
 def casefold(c: Column | str) -> Column:

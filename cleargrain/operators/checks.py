@@ -95,7 +95,7 @@ def quartiles(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]
 def gather_facts(df: DataFrame, columns: list[ColumnProfile] | None = None, samples: bool = False) -> Facts:
     columns = profile_columns(df, samples) if columns is None else columns
     facts = Facts(columns)
-    facts.quartiles = quartiles(df, [c.name for c in columns if c.semantic_type in NUMERIC_TYPES and (is_numeric(df.schema[c.name].dataType) or c.number_share > 0)])
+    facts.quartiles = quartiles(df, [c.name for c in columns if c.semantic_type in NUMERIC_TYPES and is_numeric(df.schema[c.name].dataType)])
     texts = [c.name for c in columns if c.semantic_type in ("categorical", "text") and is_text(df.schema[c.name].dataType) and 0 < c.distinct_count <= 100_000]
     if texts:
         facts.canonical = canonical_spellings(value_frequencies(df, texts))
@@ -289,24 +289,24 @@ def preview_rule(df: DataFrame, condition: str, limit: int = 10) -> tuple[DataFr
 
 def affected_rows(df: DataFrame, key: str, column: str | None = None, facts: Facts | None = None) -> DataFrame:
     """The rows behind a finding. Unknown keys and columns have none; duplicates are whole groups; column checks take all filled rows."""
-    facts = facts or gather_facts(df)
     names = [f.name for f in data_columns(df)]
     if column is not None and column not in names:
         return df.limit(0)
-    if key == "duplicate_rows" or key == "duplicate_ids":
-        if column is not None:
-            facts = Facts([p if p.name != column else ColumnProfile(**{**p.__dict__, "semantic_type": "id"}) for p in facts.columns], facts.quartiles, facts.canonical, facts.cased)
-        flagged, checks = flag_duplicates(df, facts)
-        mask = next((x.mask for x in checks if x.key == key and (column is None or x.column in (None, column))), F.lit(False))
-        return flagged.where(mask).select(*df.columns)
+    if key in ("duplicate_rows", "duplicate_ids"):
+        ids = [ColumnProfile(column, 0, "", "id", 0, 0.0, 0, 0.0)] if column else facts.columns if facts else []
+        flagged, checks = flag_duplicates(df, Facts(ids))
+        mask = next((x.mask for x in checks if x.key == key), F.lit(False))
+        return flagged.where(mask).select(*[quoted(c) for c in df.columns])
     if column is None:
         return df.limit(0)
-    return df.where(mask_of(df, facts, key, column))
+    # the facts of one column are enough
+    own = facts or Facts(profile_columns(df.select(quoted(column)), samples=False) if key == "mixed_types" else [])
+    return df.where(mask_of(df, own, key, column))
 
 
 def mask_of(df: DataFrame, facts: Facts, key: str, column: str) -> Column:
     """The mask of a check on a column, whether or not the check would be made there."""
-    c, p = quoted(column), facts[column]
+    c = quoted(column)
     number = V.to_number(c)
     if key == "outliers":
         q = facts.quartiles.get(column) or quartiles(df, [column]).get(column)
@@ -316,7 +316,7 @@ def mask_of(df: DataFrame, facts: Facts, key: str, column: str) -> Column:
         known = facts if column in facts.cased else Facts(facts.columns, canonical=canonical_spellings(value_frequencies(df, [column])))
         mask = spelling_mask(df, known, column)
     elif key == "mixed_types":
-        mask = c.isNotNull() & (~V.is_number(c.cast("string")) if p.number_share >= 0.5 else V.is_number(c.cast("string")))
+        mask = c.isNotNull() & (~V.is_number(c.cast("string")) if facts[column].number_share >= 0.5 else V.is_number(c.cast("string")))
     elif key.removeprefix("invalid_") in VALIDATORS:
         mask = c.isNotNull() & ~_false_if_null(VALIDATORS[key.removeprefix("invalid_")](c.cast("string")))
     elif key in COLUMN_LEVEL:

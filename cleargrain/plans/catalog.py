@@ -86,7 +86,7 @@ def csv_load(spark, d):
 def json_load(spark, d):
     out = scratch(spark)
     table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("who")).write.json(out)
-    return files.flatten(spark.read.json(out))
+    return files.flatten(spark.read.json(out)).select("id", "`who.name`", "`who.segment`")
 
 
 @register("a4_a5_parquet_dispatch", "SELECT r_regionkey, r_name FROM region")
@@ -240,7 +240,7 @@ FINDING_PARTS = [
     ("missing_values", "notes", "completeness", "medium", "notes IS NULL"), ("blank_strings", "notes", "completeness", "medium", f"notes IS NOT NULL AND {STRIP('notes')} = ''"),
     ("whitespace", "full_name", "consistency", "low", f"full_name <> {STRIP('full_name')}"), ("whitespace", "segment", "consistency", "low", f"segment <> {STRIP('segment')}"),
     ("whitespace", "notes", "consistency", "low", f"notes <> {STRIP('notes')}"), ("unicode_issues", "notes", "consistency", "low", CORRUPT),
-    ("mixed_types", "quantity", "consistency", "medium", f"NOT {IS_NUMBER('quantity')}"), ("invalid_email", "email", "validity", "high", BAD_EMAIL),
+    ("mixed_types", "quantity", "consistency", "medium", f"NOT {IS_NUMBER('quantity')}"), ("mixed_types", "phone", "consistency", "medium", IS_NUMBER("phone")), ("invalid_email", "email", "validity", "high", BAD_EMAIL),
     ("invalid_phone", "phone", "validity", "high", BAD_PHONE), ("invalid_url", "site_url", "validity", "high", BAD_URL),
     ("invalid_date", "order_date", "validity", "medium", f"{AS_DATE} IS NULL"), ("negative_values", "revenue", "validity", "medium", "revenue < 0"),
     ("outliers", "revenue", "accuracy", "low", OUTLIER), ("case_inconsistency", "segment", "consistency", "low", odd_spelling("segment")),
@@ -350,7 +350,7 @@ def excluded(spark, d):
     return score.mark_excluded(found, out).select("check_key", "column_name", "excluded")
 
 
-@register("s7_failed_checks", SPELLINGS + f"""SELECT order_id, (coalesce({BAD_EMAIL}, false)::INT + ({BAD_PHONE})::INT + ({DOUBLE})::INT * 2 + (email IS NULL)::INT)::INTEGER AS failed FROM d""")
+@register("s7_failed_checks", SPELLINGS + f"""SELECT order_id, (coalesce({BAD_EMAIL}, false)::INT + ({BAD_PHONE})::INT + {IS_NUMBER('phone')}::INT + ({DOUBLE})::INT * 2 + (email IS NULL)::INT)::INTEGER AS failed FROM d""")
 def failed(spark, d):
     df = dirty_rows(spark, d).select(ROW_ID, "order_id", "email", "phone")
     rows, _ = score.scored_rows(df.drop(ROW_ID))
@@ -362,7 +362,7 @@ def approved(spark, d):
     return score.approval(score.score(dirty_rows(spark, d))).select("approval_status")
 
 
-@register("s9_s11_fix_flags", FINDINGS_SQL.replace("SELECT check_key, column_name, dimension, severity, count::BIGINT AS count FROM parts", "SELECT check_key, column_name, check_key <> 'datatype_mismatch' AS fixable, false AS suggest_drop FROM parts"))
+@register("s9_s11_fix_flags", FINDINGS_SQL.replace("SELECT check_key, column_name, dimension, severity, count::BIGINT AS count FROM parts", "SELECT check_key, column_name, check_key NOT IN ('datatype_mismatch', 'unicode_issues') AS fixable, false AS suggest_drop FROM parts"))
 def fix_flags(spark, d):
     df = dirty_rows(spark, d)
     found = score.by_severity(checks.run_checks(df, samples=False))

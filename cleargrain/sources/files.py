@@ -130,7 +130,7 @@ def export_name(name: str, cleaned: bool = False) -> str:
 
 def export_csv(df: DataFrame, folder: str, name: str, cleaned: bool = False) -> str:
     path = f"{folder.rstrip('/')}/{export_name(name, cleaned)}"
-    df.drop(ROW_ID).write.option("header", True).mode("overwrite").csv(path)
+    df.drop(ROW_ID).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
     return path
 
 
