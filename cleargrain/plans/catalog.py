@@ -486,7 +486,7 @@ filter_query("w1_filter_eq", "segment", "eq", " building ", f"lower({STRIP('segm
 filter_query("w2_filter_neq", "notes", "neq", "vip", "lower(notes) IS DISTINCT FROM 'vip'")
 filter_query("w3_filter_contains", "site_url", "contains", "/O/12", "contains(site_url, '/o/12')")
 filter_query("w4_filter_number", "revenue", "gte", "300000", "revenue >= 300000")
-filter_query("w5_filter_date", "order_date", "lt", "1993-01-01", f"coalesce(try_strptime(order_date, '%Y-%m-%d'), try_strptime(order_date, '%Y/%m/%d'), try_strptime(order_date, '%m/%d/%Y'), try_strptime(order_date, '%d/%m/%Y')) < TIMESTAMP '1993-01-01'")
+filter_query("w5_filter_date", "order_date", "lt", "1995-06-01", f"coalesce(try_strptime(order_date, '%Y-%m-%d'), try_strptime(order_date, '%Y/%m/%d'), try_strptime(order_date, '%m/%d/%Y'), try_strptime(order_date, '%d/%m/%Y')) < TIMESTAMP '1995-06-01'")
 filter_query("w6_filter_empty", "notes", "empty", None, f"notes IS NULL OR {STRIP('notes')} = ''")
 
 
@@ -736,7 +736,7 @@ DRIFT = " UNION ALL ".join(f"SELECT '{c}' AS column_name, avg({c}) FILTER (WHERE
 @register("d2_d3_drift", f"SELECT *, (right_mean - left_mean) / abs(left_mean) * 100 AS mean_change_pct FROM ({DRIFT})")
 def drifted(spark, d):
     a, b = halves(spark, d)
-    return govern.top_shifts(govern.drift(a.drop("o_orderdate"), b.drop("o_orderdate"))).select("column_name", "left_mean", "right_mean", "mean_change_pct")
+    return govern.top_shifts(govern.drift(a, b)).select("column_name", "left_mean", "right_mean", "mean_change_pct")
 
 
 @register("d4_d5_compare", "SELECT (count(*) FILTER (WHERE o_orderkey % 2 = 1) - count(*) FILTER (WHERE o_orderkey % 2 = 0))::BIGINT AS row_delta, 2::BIGINT AS added, 0::BIGINT AS removed, 5::BIGINT AS common, 'equivalent' AS verdict FROM orders")
