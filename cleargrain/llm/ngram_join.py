@@ -1,14 +1,15 @@
 """Exact Jaccard join of documents on word n-grams, as a metric-space join.
 
-Jaccard distance is a metric. Documents with equal shingle sets are one point. The first pivots are single shingles:
-a point lies within reach of the pivot {s} only if it holds s, and of two points at distance 1 - t or less the
-first shared shingle, in one fixed order for all, stands among the first n - ceil(t n) + 1 of either. So each point
-is replicated to that window of pivots, which no linked pair can miss, and regions that share a point are drawn
-together. Frequent shingles come last in the order, so that passages shared by many documents draw
-nothing together unless documents consist of little else. Within a region, documents become pivots: their Voronoi cells take
-in, by the triangle inequality, every point that may link with a member, and cells are joined recursively and
-exactly; points already connected need no comparison. Regions beyond a bounded size are split into cells by
-Spark before they are solved.
+Jaccard distance is a metric. Documents with equal shingle sets are one point. The first pivots are single shingles: a
+point can be near the pivot {s} only if it holds s. If two sets of n and m shingles link at similarity t, at most n - ceil(t n)
+of the first are missing in the second; so of any window of the n shingles with the lowest hashes, all but that many
+are shared. That gives three windows, each a bound that no linked pair can miss: points with too few shared
+shingles in a window of about 40 % of their set, and then in the whole set, have no partner; points left are
+replicated to the pivots of such a window, frequent shingles last, and pairs that meet at enough of them (or at a
+frequent one, which only points made of frequent passages reach) are drawn together into regions.
+Within a region documents become pivots: their Voronoi cells take in, by the triangle inequality, every point that
+may link with a member, and cells are joined recursively and exactly; points already connected need no
+comparison. Regions beyond a bounded size are split into cells by Spark before they are solved.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ from cleargrain.llm.components import connected_components, forest
 
 N = 5
 PERCENT = 80
-#: Shingles in this many documents or more may be called frequent; at most MAX_FREQUENT of them are (8 bytes each are broadcast).
-FREQUENT = 32
+#: Shingles in more sets than this, among those left, are frequent; the limit doubles until MAX_FREQUENT (8 bytes each) suffice.
+FREQUENT = 64
 MAX_FREQUENT = 2_000_000
+#: Shingles that a task gathers before it sends them on.
+FLUSH = 2_000_000
 #: Shingles of a region that one task solves; larger regions are split first.
 REGION_SHINGLES = 4_000_000
 LEAF = 12
+MAX_PIVOTS = 64
 BITMAP_BITS = 1 << 26
 
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -101,120 +105,184 @@ def shared_needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def _frequent_shingles(docs: DataFrame, n: int, n_buckets: int) -> np.ndarray:
-    """Leading 48 bits of shingles that many documents hold, in rising order; counted over all documents."""
+def _send(parts: list[tuple[int, np.ndarray]], n_buckets: int) -> pd.DataFrame:
+    """Shingles of points by bucket. What the points at hand share with each other is counted here, under a bucket below 0.
+
+    Of a shingle that several points hold one entry goes on, marked as shared; so a shingle that very many documents
+    hold makes one entry per task and flush. bucket, shingles (32 bits that follow the bucket's), places in the
+    table of points (the top bit marks shared), the table.
+    """
+    bits = n_buckets.bit_length() - 1
+    table = np.array([p for p, _ in parts], dtype=np.int64)
+    s = np.concatenate([w for _, w in parts])
+    own = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(w) for _, w in parts])
+    order = np.argsort(s, kind="stable")
+    s, own = s[order], own[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    run = np.cumsum(first) - 1
+    several = np.bincount(run) > 1
+    counts = np.bincount(own[several[run]], minlength=len(table))
+    s, own = s[first], own[first] | (several.astype(np.uint32) << np.uint32(31))
+    short = ((s << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    edges = np.searchsorted((s >> np.uint64(64 - bits)).astype(np.int64), np.arange(n_buckets + 1))
+    rows = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            place = own[a:b] & np.uint32(2**31 - 1)
+            used, at = np.unique(place, return_inverse=True)
+            rows.append((k, short[a:b].tobytes(), (at.astype(np.uint32) | (own[a:b] & np.uint32(1 << 31))).tobytes(), table[used].tobytes()))
+    has = counts > 0
+    if has.any():
+        rows.append((-1 - int(table[0]) % n_buckets, b"", counts[has].astype(np.uint32).tobytes(), table[has].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "shingle", "place", "points"])
+
+
+def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
+    """point, shared: how many of a point's shingles in the bucket other points hold too; copies may count twice."""
+    if block["bucket"].iloc[0] < 0:
+        point = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in block["points"]])
+        times = np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in block["place"]])
+        points, index = np.unique(point, return_inverse=True)
+        return pd.DataFrame({"point": points, "shared": np.bincount(index, weights=times).astype(np.int64)})
+    s = np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in block["shingle"]])
+    at = [np.frombuffer(b, dtype=np.uint32) for b in block["place"]]
+    marked = np.concatenate(at) >> np.uint32(31) == 1
+    point = np.concatenate([np.frombuffer(t, dtype=np.int64)[a & np.uint32(2**31 - 1)] for t, a in zip(block["points"], at)])
+    order = np.lexsort((point, s))
+    s, point, marked = s[order], point[order], marked[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    run = np.cumsum(first) - 1
+    differ = np.concatenate([[False], ~first[1:] & (point[1:] != point[:-1])])
+    several = (np.bincount(run, weights=differ) + np.bincount(run, weights=marked)) > 0
+    points, counts = np.unique(point[several[run] & ~marked], return_counts=True)
+    return pd.DataFrame({"point": points, "shared": counts})
+
+
+def shared_counts(rows: DataFrame, window, n_buckets: int) -> DataFrame:
+    """point, shared for rows that window, a function of a batch, turns into (point, shingles) pairs."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, seen, held = [], set(), 0
+        for batch in batches:
+            for point, s in window(batch):
+                if len(s) and point not in seen:
+                    seen.add(point)
+                    parts.append((point, s))
+                    held += len(s)
+                    if held > FLUSH:
+                        yield _send(parts, n_buckets)
+                        parts, seen, held = [], set(), 0
+        if parts:
+            yield _send(parts, n_buckets)
+
+    dealt = rows.mapInPandas(deal, "bucket long, shingle binary, place binary, points binary")
+    counted = dealt.groupBy("bucket").applyInPandas(_shared_counts, "point long, shared long")
+    return counted.groupBy("point").agg(F.sum("shared").alias("shared"))
+
+
+def frequent_shingles(sets: DataFrame, n_buckets: int) -> np.ndarray:
+    """Shingles of more than FREQUENT sets, in rising order; counted over all sets."""
     bits = np.uint64(64 - (n_buckets.bit_length() - 1))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, held, size = Shingler(n), [], 0
+        held, size = [], 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> pd.DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            edges = np.searchsorted(values, np.arange(n_buckets, dtype=np.uint64) << bits)
-            once = counts == 1
-            # a bucket's values share their leading bits, so the next 32 bits tell them apart
-            short = ((values << (np.uint64(64) - bits)) >> np.uint64(32)).astype(np.uint32)
-            rows = []
-            for k, (a, b) in enumerate(zip(edges, [*edges[1:], len(values)])):
-                v, c, o = short[a:b], counts[a:b], once[a:b]
-                rows.append((k, v[o].tobytes(), v[~o].tobytes(), c[~o].astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "once", "more", "times"])
+            edges = np.searchsorted((values >> bits).astype(np.int64), np.arange(n_buckets + 1))
+            rows = [(k, values[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            return pd.DataFrame(rows, columns=["bucket", "shingle", "times"])
 
         for batch in batches:
-            for text in batch["text"]:
-                held.append(shingle(text))
+            for blob in batch["shingles"]:
+                held.append(np.frombuffer(blob, dtype=np.uint64))
                 size += len(held[-1])
-                if size > 3_000_000:
-                    yield from flush()
+                if size > FLUSH:
+                    yield flush()
                     held, size = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
     def add(block: pd.DataFrame) -> pd.DataFrame:
-        read = lambda c: np.frombuffer(b"".join(block[c]), dtype=np.uint32)
-        once, more, times = read("once"), read("more"), read("times")
-        values, index = np.unique(np.concatenate([once, more]), return_inverse=True)
-        df = np.bincount(index, weights=np.concatenate([np.ones(len(once)), times])).astype(np.int64)
-        keep = df >= FREQUENT
-        lead = np.uint64(int(block["bucket"].iloc[0])) << np.uint64(32)
-        return pd.DataFrame({"key": (values[keep].astype(np.uint64) | lead).astype(np.int64), "df": df[keep]})
-
-    counted = docs.select("text").mapInPandas(count, "bucket int, once binary, more binary, times binary").groupBy("bucket").applyInPandas(add, "key long, df long")
+        values = np.frombuffer(b"".join(block["shingle"]), dtype=np.uint64)
+        values, index = np.unique(values, return_inverse=True)
+        df = np.bincount(index, weights=np.frombuffer(b"".join(block["times"]), dtype=np.uint32)).astype(np.int64)
+        return pd.DataFrame({"shingle": values[df > FREQUENT].astype(np.int64), "df": df[df > FREQUENT]})
+
+    counted = sets.select("shingles").mapInPandas(count, "bucket int, shingle binary, times binary").groupBy("bucket").applyInPandas(add, "shingle long, df long")
     counted = cut_lineage(counted)
     levels = [FREQUENT << k for k in range(40)]
-    above = counted.agg(*[F.count_if(F.col("df") >= x).alias(str(x)) for x in levels]).first()
-    least = next(x for x, c in zip(levels, above) if c <= MAX_FREQUENT)
-    keys = counted.where(F.col("df") >= least).select("key").toPandas()["key"].to_numpy(np.int64)
-    return np.sort(keys).astype(np.uint64)
+    above = counted.agg(*[F.count_if(F.col("df") > x).alias(str(x)) for x in levels]).first()
+    limit = next(x for x, c in zip(levels, above) if c <= MAX_FREQUENT)
+    return np.sort(counted.where(F.col("df") > limit).select("shingle").toPandas()["shingle"].to_numpy(np.int64).astype(np.uint64))
 
 
 def link_in_region(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """For each set the number of the first set that it is connected with by links.
 
-    A Voronoi cell join: pivots are chosen until every set lies within twice the link distance of one or is one; each set
-    belongs to the nearest pivot, and visits any other cell whose radius plus the link distance reaches it.
-    Cells larger than LEAF that are smaller than the whole are joined the same way.
+    A Voronoi cell join: pivots are chosen until every set lies within twice the link distance of one or is one, MAX_PIVOTS
+    at a time; each set belongs to the nearest pivot, and visits any other cell whose radius plus the link distance reaches
+    it. Cells larger than LEAF that are smaller than the whole are joined the same way. A pivot's distances come
+    from the lists of sets that hold each of its shingles.
     """
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, flat = np.unique(flat, return_inverse=True)
-    sizes = np.bincount(owner, minlength=len(sets))
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, dtype=bool)
-    root = np.arange(len(sets))
+    owner = np.repeat(np.arange(n), sizes)
+    by_shingle = owner[np.argsort(flat, kind="stable")]
+    df = np.bincount(flat)
+    ends = np.cumsum(df)
+    kin = np.bincount(owner, weights=df[flat], minlength=n) / np.maximum(sizes, 1)
+    root = np.arange(n)
     eps = 1 - percent / 100
 
-    def against(p: int, rows: np.ndarray) -> np.ndarray:
-        """Jaccard distances of rows from p; links found on the way are noted."""
-        mark[flat[starts[p] : starts[p + 1]]] = True
-        at = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in rows])
-        common = np.bincount(np.repeat(np.arange(len(rows)), sizes[rows])[mark[flat[at]]], minlength=len(rows))
-        mark[flat[starts[p] : starts[p + 1]]] = False
-        union = sizes[rows] + sizes[p] - common
-        linked = rows[100 * common >= percent * union]
-        if len(linked):
-            joined = np.unique(np.concatenate([root[linked], [root[p]]]))
-            if len(joined) > 1:
-                root[np.isin(root, joined)] = joined[0]
+    def against(p: int) -> np.ndarray:
+        """Jaccard distances of all sets from p; links found on the way are noted."""
+        nonlocal root
+        own = flat[starts[p] : starts[p + 1]]
+        length = df[own]
+        at = np.repeat(ends[own] - np.cumsum(length), length) + np.arange(int(length.sum()))
+        common = np.bincount(by_shingle[at], minlength=n)
+        union = sizes + sizes[p] - common
+        linked = 100 * common >= percent * union
+        joined = np.unique(root[linked])
+        if len(joined) > 1:
+            root = np.where(np.isin(root, joined), joined[0], root)
         return 1 - common / union
 
-    def join(rows: np.ndarray) -> None:
+    todo = [np.arange(n)]
+    while todo:
+        rows = todo.pop()
         if len(np.unique(root[rows])) < 2:
-            return
+            continue
         if len(rows) > LEAF:
             left, pivots, distances = np.ones(len(rows), bool), [], []
-            while left.any() and len(pivots) < len(rows) // 2:
-                # the set with the most kin is likely a centre; without one, the largest
-                k = int(np.flatnonzero(left)[np.argmax(weight[rows[left]])])
+            while left.any() and len(pivots) < min(MAX_PIVOTS, len(rows) // 2):
+                # the set whose shingles are most common in the region is likely a centre
+                k = int(np.flatnonzero(left)[np.argmax(kin[rows[left]])])
                 pivots.append(k)
-                distances.append(against(int(rows[k]), rows))
+                distances.append(against(int(rows[k]))[rows])
                 left &= distances[-1] > 2 * eps
                 left[k] = False
+            if len(np.unique(root[rows])) < 2:
+                continue
             d = np.array(distances)
-            home = d.argmin(axis=0)
-            outside = left if left.any() else np.zeros(len(rows), bool)
-            near = d.min(axis=0)
+            home, near = d.argmin(axis=0), d.min(axis=0)
             cells = []
             for c in range(len(pivots)):
-                own = (home == c) & ~outside
+                own = (home == c) & ~left
                 if own.any():
                     cells.append(own | (d[c] <= near[own].max() + eps + 1e-9))
-            if outside.any():  # pivots ran out: the rest is a cell of its own, with all that may reach it
-                cells.append(outside | (near + eps + 1e-9 >= near[outside].min()))
+            if left.any():  # the rest is a cell of its own, with all that may reach it
+                cells.append(left | (near + eps + 1e-9 >= near[left].min()))
             if all(cell.sum() < len(rows) for cell in cells):
-                for cell in cells:
-                    join(rows[cell])
-                return
-        for k, p in enumerate(rows[:-1]):
-            rest = rows[k + 1 :]
-            rest = rest[root[rest] != root[p]]
-            if len(rest):
-                against(int(p), rest)
-
-    # kin: how common a set's shingles are in the region, per shingle
-    counts = np.bincount(flat, minlength=1)
-    weight = np.bincount(owner, weights=counts[flat], minlength=len(sets)) / np.maximum(sizes, 1)
-    join(np.arange(len(sets)))
+                todo += [rows[cell] for cell in cells]
+                continue
+        for p in rows[:-1]:
+            if len(np.unique(root[rows])) < 2:
+                break
+            against(int(p))
     return root
 
 
@@ -223,38 +291,123 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
 
     component_id is the smallest doc_id reachable by links, the document itself included. Words are runs
     of non-space, A-Z in lower case; a text of fewer than n words is one shingle; null texts and those
-    without words have none, link with nothing and are their own component. Repeated rows repeat; a null doc_id is never a
-    component's name unless alone. An empty table gives no rows. Other columns are ignored.
+    without words have none, link with nothing and are their own component. Repeated rows repeat. A row with a null doc_id
+    links with equal sets only and names no component but its own. An empty table gives no rows. Other columns are
+    ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
-    n_docs = texts.count()
-    n_buckets = 1 << max(4, (n_docs // 4_000).bit_length())
-    frequent = share(docs, _frequent_shingles(texts, n, n_buckets))  # 8 * MAX_FREQUENT bytes at most
-    lead_bits = n_buckets.bit_length() - 1
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, often = Shingler(n), shared(frequent)
+        shingle = Shingler(n)
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                s = shingle(text)
-                if not len(s):
-                    out.append((0, 0, b""))
-                    continue
-                keys = s >> np.uint64(32 - lead_bits)
-                at = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
-                last = often[at] == keys if len(often) else np.zeros(len(s), bool)
-                window = np.concatenate([s[~last], s[last]])[: len(s) - shared_needed(len(s), percent) + 1]
-                out.append((len(s), point_of(s), window.tobytes()))
-            done = pd.DataFrame(out, columns=["n_shingles", "point", "window"])
+            sets = [shingle(t) for t in batch["text"]]
+            done = pd.DataFrame({"n_shingles": [len(s) for s in sets], "point": [point_of(s) if len(s) else 0 for s in sets]})
             done.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield done
 
-    described = cut_lineage(texts.mapInPandas(describe, f"doc_id {kind}, n_shingles long, point long, window binary"))
-    places = described.select("doc_id", "n_shingles", "point")
-    points = described.where("n_shingles > 0").groupBy("point").agg(F.first("n_shingles").alias("n_shingles"), F.first("window").alias("window"))
+    places = cut_lineage(texts.mapInPandas(describe, f"doc_id {kind}, n_shingles long, point long"))
+    firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    firsts = cut_lineage(firsts)
+    n_buckets = 1 << max(4, (firsts.count() // 4_000).bit_length())
+    lead_bits = n_buckets.bit_length() - 1
+
+    # 1. of a window of 2 * spare + 1 shingles, all but spare must be shared
+    shingle = Shingler(n)
+
+    def wide(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        for text in batch["text"]:
+            s = shingle(text)
+            if len(s):
+                yield point_of(s), s[: 2 * (len(s) - shared_needed(len(s), percent)) + 1]
 
+    size = F.col("n_shingles")
+    need = F.expr(f"({percent} * n_shingles + 99) div 100")
+    spare = size - need
+    counted = shared_counts(texts.select("text"), wide, n_buckets)
+    chosen = firsts.where("doc_id is not null").join(counted, "point").where(F.col("shared") >= F.least(size, 2 * spare + 1) - spare)
+    chosen = cut_lineage(chosen.drop("shared"))
+
+    # 2. the sets of what is left, of which all but spare must be shared. A bitmap of fixed size spares the
+    # other documents' texts the work; the join after it is exact.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
+    marks = chosen.select((place + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    for row in marks.toLocalIterator():
+        bitmap[(row[0] - 1) * 4096 : row[0] * 4096] = np.frombuffer(row[1], dtype=np.uint8)
+    held_bitmap = share(docs, bitmap)
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared(held_bitmap)
+        for batch in batches:
+            at = batch["place"].to_numpy(np.int64)
+            batch = batch[(bits[at >> 3] >> (at & 7)) & 1 == 1]
+            for i in range(0, len(batch), 500):
+                part = batch.iloc[i : i + 500]
+                sets = [shingle(t) for t in part["text"]]
+                points = [point_of(s) if len(s) else 0 for s in sets]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "point": points, "shingles": [s.tobytes() for s in sets]})
+
+    sets = texts.where("doc_id is not null").withColumn("place", place).mapInPandas(expand, f"doc_id {kind}, point long, shingles binary")
+    sets = cut_lineage(sets.join(chosen, ["doc_id", "point"]).select("point", "n_shingles", "shingles").drop_duplicates(["point"]))
+    counted = shared_counts(sets.select("point", "shingles"), lambda batch: ((p, np.frombuffer(b, dtype=np.uint64)) for p, b in zip(batch["point"], batch["shingles"])), n_buckets)
+    alive = counted.join(chosen.select("point", "n_shingles"), "point").where(F.col("shared") >= need).select("point")
+    sets = cut_lineage(sets.join(alive, "point", "left_semi"))
+
+    # 3. regions, from windows of 2 * spare + 1 shingles, frequent ones last
+    often = share(docs, frequent_shingles(sets, n_buckets))
+
+    def windows(batch: pd.DataFrame, known: np.ndarray, frequent: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(point, spare or, for frequent shingles, size, and the window's shingles of that kind)."""
+        for p, blob in zip(batch["point"], batch["shingles"]):
+            s = np.frombuffer(blob, dtype=np.uint64)
+            last = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+            free = len(s) - shared_needed(len(s), percent)
+            rare = s[~last][: 2 * free + 1]
+            yield (p, len(s), s[last][: 2 * free + 1 - len(rare)]) if frequent else (p, free, rare)
+
+    # pairs that meet at enough rare pivots: of the window with the lower end all but spare are in the other one too
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    n_pair_buckets = 1 << max(2, (total // 1_000_000).bit_length())
+
+    def deal_rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, bits = shared(often), n_pair_buckets.bit_length() - 1
+        for batch in batches:
+            parts = list(windows(batch, known, frequent=False))
+            times = [len(w) for _, _, w in parts]
+            s = np.concatenate([w for _, _, w in parts]) if parts else np.zeros(0, np.uint64)
+            point = np.repeat(np.array([p for p, _, _ in parts], dtype=np.int64), times)
+            free = np.repeat(np.array([f for _, f, _ in parts], dtype=np.uint32), times)
+            order = np.argsort(s, kind="stable")
+            s, point, free = s[order], point[order], free[order]
+            edges = np.searchsorted((s >> np.uint64(64 - bits)).astype(np.int64), np.arange(n_pair_buckets + 1))
+            rows = [(k, s[a:b].tobytes(), point[a:b].tobytes(), free[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            yield pd.DataFrame(rows, columns=["bucket", "shingle", "point", "spare"])
+
+    def pair(block: pd.DataFrame) -> pd.DataFrame:
+        """a, b, met, needed: pairs of points with the number of the bucket's shingles that they share. A rare shingle has few points."""
+        s = np.frombuffer(b"".join(block["shingle"]), dtype=np.uint64)
+        names, at = np.unique(np.frombuffer(b"".join(block["point"]), dtype=np.int64), return_inverse=True)
+        free = np.zeros(len(names), np.int64)
+        free[at] = np.frombuffer(b"".join(block["spare"]), dtype=np.uint32)
+        order = np.argsort(s, kind="stable")
+        s, at = s[order], at[order]
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        counts = np.diff(np.append(starts, len(s)))
+        keys = [np.zeros(0, np.int64)]
+        for size in np.unique(counts[counts > 1]):
+            group = np.sort(at[starts[counts == size][:, None] + np.arange(size)], axis=1)
+            i, j = np.triu_indices(size, 1)
+            keys.append((group[:, i] * len(names) + group[:, j]).ravel())
+        key, met = np.unique(np.concatenate(keys), return_counts=True)
+        a, b = key // max(1, len(names)), key % max(1, len(names))
+        return pd.DataFrame({"a": names[a], "b": names[b], "met": met.astype(np.int64), "needed": np.minimum(free[a], free[b]) + 1})
+
+    met = sets.select("point", "shingles").mapInPandas(deal_rare, "bucket int, shingle binary, point binary, spare binary")
+    met = met.groupBy("bucket").applyInPandas(pair, "a long, b long, met long, needed long")
+    met = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("needed").alias("needed")).where("met >= needed").select("a", "b")
+
+    # points that meet at a frequent pivot and may link by size
     def draw(s: np.ndarray, point: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
         """Rows in order of shingle and size; which go with the row before; the first row of each run.
 
@@ -273,7 +426,7 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Window entries by bucket of their shingle. Entries that a task can join itself become edges there."""
 
-        def pack(parts: list) -> Iterator[pd.DataFrame]:
+        def pack(parts: list) -> pd.DataFrame:
             times = [len(w) for _, _, w in parts]
             point = np.repeat(np.array([p for p, _, _ in parts], dtype=np.int64), times)
             size = np.repeat(np.array([z for _, z, _ in parts], dtype=np.int64), times)
@@ -293,21 +446,22 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
             ]
             if keep.any():  # edges wait in a bucket below 0
                 rows.append((-1 - int(roots[keep][0]) % n_buckets, b"", nodes[keep].tobytes() + roots[keep].tobytes(), b"", b""))
-            yield pd.DataFrame(rows, columns=["bucket", "shingle", "point", "lo", "hi"])
+            return pd.DataFrame(rows, columns=["bucket", "shingle", "point", "lo", "hi"])
 
-        parts, held = [], 0
+        parts, held, known = [], 0, shared(often)
         for batch in batches:
-            for p, z, w in zip(batch["point"], batch["n_shingles"], batch["window"]):
-                parts.append((p, z, np.frombuffer(w, dtype=np.uint64)))
-                held += len(w) // 8
-                if held > 1_000_000:
-                    yield from pack(parts)
+            for part in windows(batch, known, frequent=True):
+                if not len(part[2]):
+                    continue
+                parts.append(part)
+                held += len(part[2])
+                if held > FLUSH:
+                    yield pack(parts)
                     parts, held = [], 0
         if parts:
-            yield from pack(parts)
+            yield pack(parts)
 
     def meet(block: pd.DataFrame) -> pd.DataFrame:
-        """Edges between points that share a pivot and may link by size."""
         if block["bucket"].iloc[0] < 0:
             pairs = [np.frombuffer(b, dtype=np.int64).reshape(2, -1) for b in block["point"]]
             a, b = np.concatenate(pairs, axis=1)
@@ -322,36 +476,14 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
         keep = nodes != roots
         return pd.DataFrame({"a": nodes[keep], "b": roots[keep]})
 
-    dealt = points.mapInPandas(deal, "bucket long, shingle binary, point binary, lo binary, hi binary")
-    regions = connected_components(dealt.groupBy("bucket").applyInPandas(meet, "a long, b long"))
-    firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    firsts = cut_lineage(firsts)
-    chosen = firsts.where("doc_id is not null").join(regions.select(F.col("node").alias("point"), F.col("component").alias("region")), "point")
-    chosen = cut_lineage(chosen)
-    weights = chosen.groupBy("region").agg(F.sum("n_shingles").alias("weight"))
-    n_bins = max(1, (chosen.agg(F.sum("n_shingles")).first()[0] or 0) // (region_shingles // 4))
+    dealt = sets.select("point", "shingles").mapInPandas(deal, "bucket long, shingle binary, point binary, lo binary, hi binary")
+    regions = connected_components(dealt.groupBy("bucket").applyInPandas(meet, "a long, b long").unionByName(met))
+    regions = regions.select(F.col("node").alias("point"), F.col("component").alias("region"))
+    members = sets.select("point", "n_shingles").join(regions, "point")
+    weights = cut_lineage(members.groupBy("region").agg(F.sum("n_shingles").alias("weight")))
+    n_bins = max(1, (weights.agg(F.sum("weight")).first()[0] or 0) // (region_shingles // 4))
     heavy = weights.where(F.col("weight") > region_shingles).select("region")
-    # a bitmap of fixed size spares the other documents' texts the work; the join after it is exact
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    marks = chosen.select((place + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in marks.toLocalIterator():
-        bitmap[(row[0] - 1) * 4096 : row[0] * 4096] = np.frombuffer(row[1], dtype=np.uint8)
-    held_bitmap = share(docs, bitmap)
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, bits = Shingler(n), shared(held_bitmap)
-        for batch in batches:
-            at = batch["place"].to_numpy(np.int64)
-            batch = batch[(bits[at >> 3] >> (at & 7)) & 1 == 1]
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                sets = [shingle(t) for t in part["text"]]
-                points = [point_of(s) if len(s) else 0 for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "point": points, "shingles": [s.tobytes() for s in sets]})
-
-    wanted = texts.withColumn("place", place).mapInPandas(expand, f"doc_id {kind}, point long, shingles binary")
-    wanted = wanted.join(chosen.select("doc_id", "point", "region"), ["doc_id", "point"]).select("region", "point", "shingles")
+    wanted = sets.select("point", "shingles").join(regions, "point").select("region", "point", "shingles")
 
     def solve(block: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -368,7 +500,7 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
     light = wanted if not n_heavy else wanted.join(heavy, "region", "left_anti")
     links = light.withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(n_bins))).groupBy("bin").applyInPandas(solve, "a long, b long")
     if n_heavy:
-        cells, star = _split_regions(cut_lineage(wanted.join(heavy, "region", "left_semi")), region_shingles, percent)
+        cells, star = _split_regions(wanted.join(heavy, "region", "left_semi"), region_shingles, percent)
         links = links.unionByName(cells.groupBy("region", "cell").applyInPandas(solve, "a long, b long")).unionByName(star)
     component = connected_components(links).withColumnRenamed("node", "point")
     grouped = firsts.join(component, "point", "left").withColumn("component", F.coalesce("component", "point"))
@@ -387,13 +519,16 @@ def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_c
     still too large are split again; what max_rounds leave is solved as it is.
     """
     eps = 1 - percent / 100
-    left = members.drop_duplicates(["region", "point"]).withColumn("cell", F.lit(""))
+    left = cut_lineage(members.drop_duplicates(["region", "point"]).withColumn("cell", F.lit("")))
     keys, keep = ["region", "cell"], ["region", "cell", "point", "shingles"]
     ready, links = None, None
 
     def measure(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(b, dtype=np.uint64) for b in pivots["shingles"]]
-        out = []
+        pivots = pivots.sort_values("p_point")
+        sets = [np.frombuffer(b, dtype=np.uint64) for b in pivots["p_shingles"]]
+        out: list[list[float]] = []
+        if not len(rows):
+            return pd.DataFrame(columns=[*keep, "pivot", "d"])
         for blob in rows["shingles"]:
             s, d = np.frombuffer(blob, dtype=np.uint64), []
             for other in sets:
@@ -401,17 +536,18 @@ def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_c
                 union = len(s) + len(other) - common
                 d.append(0.0 if 100 * common >= percent * union else 1 - common / union)
             out.append(d)
-        return rows[keep].assign(pivot=[pivots["point"].to_list()] * len(rows), d=out)
+        return rows[keep].assign(pivot=[pivots["p_point"].to_list()] * len(rows), d=out)
 
     for round_no in range(max_rounds):
         counts = left.groupBy(*keys).agg(F.count("*").alias("m"), F.min("point").alias("least"), F.ceil(F.sum(F.length("shingles")) / (8 * region_shingles)).alias("chunks"))
-        rows = left.join(counts, keys)
+        rows = cut_lineage(left.join(counts, keys))
         drawn = F.pmod(F.xxhash64(F.lit(round_no), "point"), F.col("m")) < per_cell
         pivots = rows.where(drawn | (F.col("point") == F.col("least"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("point"), "chunks").cast("int"))
         by = [*keys, "chunk"]
+        pivots = pivots.select(*[F.col(c).alias(f"p_{c}") for c in (*keep, "chunk")])  # names of their own, as both sides stem from one table
         schema = "region long, cell string, point long, shingles binary, pivot array<long>, d array<double>"
-        measured = rows.select(*keep, "chunk").groupBy(*by).cogroup(pivots.select(*keep, "chunk").orderBy("point").groupBy(*by)).applyInPandas(measure, schema)
+        measured = rows.select(*keep, "chunk").groupBy(*by).cogroup(pivots.groupBy(*[f"p_{c}" for c in by])).applyInPandas(measure, schema)
         measured = cut_lineage(measured.withColumn("near", F.array_min("d")).withColumn("home", F.array_position("d", F.array_min("d")).cast("int")))
         measured = measured.withColumn("home", F.element_at("pivot", F.col("home")))
         met = measured.select(*keep, "near", "home", F.explode(F.arrays_zip("pivot", "d")).alias("z")).select("*", F.col("z.pivot").alias("pivot"), F.col("z.d").alias("dk")).drop("z")
@@ -434,7 +570,8 @@ def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_c
 #: The same join in DuckDB SQL, from all pairs of documents that share a shingle.
 NGRAM_SQL = r"""
 WITH RECURSIVE worded AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 shingled AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded),
