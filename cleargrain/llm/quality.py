@@ -89,7 +89,7 @@ class NeighbourModel:
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4
         total = weight.sum(axis=1)
         score = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
-        return np.where(total > 1e-9, score, self.prior)
+        return np.clip(np.where(total > 1e-9, score, self.prior), 0.0, 1.0)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, rank: int = 48, seed: int = 7) -> NeighbourModel:

@@ -171,7 +171,8 @@ def fit_toxicity(
         for batch in batches:
             for text in batch["text"]:
                 counted.update(terms_of(fold(text)))
-        yield pd.DataFrame({"term": list(counted), "n": list(counted.values())})
+        if counted:
+            yield pd.DataFrame({"term": list(counted), "n": list(counted.values())})
 
     candidates = (
         toxic.mapInPandas(list_terms, "term string, n long")
@@ -220,7 +221,8 @@ def fit_toxicity(
                 found = lexicon.matches(machine, folded)
                 phrases = sorted({p for _, _, *both in found for p in both if " " in p})
                 out.append((int(label), lexicon.density(found, folded), phrases))
-        yield pd.DataFrame(out, columns=["label", "density", "phrases"])
+        if out:
+            yield pd.DataFrame(out, columns=["label", "density", "phrases"])
 
     rows = train.where("label in (0, 1)").mapInPandas(list_matches, "label int, density double, phrases array<string>").collect()
     phrases = [Counter(), Counter()]
