@@ -52,25 +52,57 @@ def has_outer_space(c: Column | str) -> Column:
     return F.coalesce(_col(c) != strip(c), F.lit(False))
 
 
+# The tests of trimmed text; the public ones trim first.
+
+
+def _email(value: Column) -> Column:
+    return value.rlike(EMAIL)
+
+
+def _phone(value: Column) -> Column:
+    return value.rlike(PHONE) & F.regexp_count(value, F.lit(r"\d")).between(7, 15)
+
+
+def _url(value: Column) -> Column:
+    return value.rlike(URL)
+
+
+def _currency(value: Column) -> Column:
+    return value.rlike(CURRENCY) & value.rlike(r"\d")
+
+
+def _zip(value: Column) -> Column:
+    return value.rlike(ZIP)
+
+
+def _date(value: Column) -> Column:
+    wide = F.when(F.length(value) >= 8, value.try_cast("timestamp"))
+    # parsers are slow to fail, so texts that no format can begin with are turned away first
+    return (value != "") & F.when(value.rlike(DATE_START), _first_parse(value, DATE_FORMATS).isNotNull() | wide.isNotNull()).otherwise(F.lit(False))
+
+
+#: Meanings by the pattern of trimmed text, in the order in which they are tried; a date of digits would pass for a phone number.
+TRIMMED_TESTS = {"email": _email, "url": _url, "date": _date, "zip": _zip, "phone": _phone, "currency": _currency}
+
+
 def is_email(c: Column | str) -> Column:
-    return strip(c).rlike(EMAIL)
+    return _email(strip(c))
 
 
 def is_phone(c: Column | str) -> Column:
-    value = strip(c)
-    return value.rlike(PHONE) & F.regexp_count(value, F.lit(r"\d")).between(7, 15)
+    return _phone(strip(c))
 
 
 def is_url(c: Column | str) -> Column:
-    return strip(c).rlike(URL)
+    return _url(strip(c))
 
 
 def is_currency(c: Column | str) -> Column:
-    return strip(c).rlike(CURRENCY) & _col(c).rlike(r"\d")
+    return _currency(strip(c))
 
 
 def is_zip(c: Column | str) -> Column:
-    return strip(c).rlike(ZIP)
+    return _zip(strip(c))
 
 
 def is_number(c: Column | str) -> Column:
@@ -88,10 +120,7 @@ def _first_parse(value: Column, formats) -> Column:
 
 def is_date(c: Column | str) -> Column:
     """In one of the known formats, or a text of 8 characters or more that reads as a timestamp."""
-    value = strip(c)
-    wide = F.when(F.length(value) >= 8, value.try_cast("timestamp"))
-    # parsers are slow to fail, so texts that no format can begin with are turned away first
-    return (value != "") & F.when(value.rlike(DATE_START), _first_parse(value, DATE_FORMATS).isNotNull() | wide.isNotNull()).otherwise(F.lit(False))
+    return _date(strip(c))
 
 
 def to_number(c: Column | str) -> Column:

@@ -21,8 +21,7 @@ NAME_HINTS = (
 NUMERIC_HINTS = ("currency", "latitude", "longitude", "zip", "id")
 PATTERN_SHARE = 0.7
 SAMPLES = 5
-#: Tested in this order; a date of digits would pass for a phone number.
-PATTERNS = (("email", V.is_email), ("url", V.is_url), ("date", V.is_date), ("zip", V.is_zip), ("phone", V.is_phone), ("currency", V.is_currency))
+PATTERNS = tuple(V.TRIMMED_TESTS.items())
 
 
 @dataclass
@@ -126,8 +125,13 @@ def profile_columns(df: DataFrame, samples: bool = True, first_rows: int | None
         if is_numeric(f.dataType):
             aggs += [F.avg(c).cast("double").alias(f"mean{k}"), F.stddev_samp(c).cast("double").alias(f"std{k}")]
         elif is_text(f.dataType):
-            aggs += [F.count_if(V.is_number(c)).alias(f"num{k}"), *[F.count_if(test(c)).alias(f"{p}{k}") for p, test in PATTERNS]]
-    seen = df.agg(*aggs).first()
+            aggs += [F.count_if(V.is_number(c)).alias(f"num{k}"), *[F.count_if(F.col(f"_{p}{k}")).alias(f"{p}{k}") for p, _ in PATTERNS]]
+    # texts are trimmed once, in a projection of their own, and tested in the next
+    texts = [(k, f.name) for k, f in enumerate(fields) if is_text(f.dataType)]
+    raw = [quoted(f.name) for f in fields]
+    tested = df.select(*raw, *[V.strip(quoted(n)).alias(f"_s{k}") for k, n in texts])
+    tested = tested.select(*raw, *[test(F.col(f"_s{k}")).alias(f"_{p}{k}") for k, _ in texts for p, test in PATTERNS])
+    seen = tested.agg(*aggs).first()
     frequencies = value_frequencies(df)
     distinct = {r[0]: r[1] for r in distinct_counts(frequencies).collect()}  # a row per column
     firsts = {r[0]: r[1] for r in first_values(df).collect()} if samples and ROW_ID in df.columns else {}
@@ -156,7 +160,7 @@ def _first_shares(df: DataFrame, fields, n: int) -> dict[str, dict[str, float]]:
     for f in fields:
         if is_text(f.dataType):
             head = df.where(quoted(f.name).isNotNull()).orderBy(ROW_ID).limit(n)
-            row = head.agg(*[F.avg(F.coalesce(test(quoted(f.name)), F.lit(False)).cast("double")).alias(p) for p, test in PATTERNS]).first()
+            row = head.agg(*[F.avg(F.coalesce(test(V.strip(quoted(f.name))), F.lit(False)).cast("double")).alias(p) for p, test in PATTERNS]).first()
             out[f.name] = {p: row[p] or 0.0 for p, _ in PATTERNS}
     return out
 
