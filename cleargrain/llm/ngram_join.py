@@ -30,7 +30,9 @@ PERCENT = 80
 FREQUENT = 64
 MAX_FREQUENT = 2_000_000
 #: Shingles that a task gathers before it sends them on.
-FLUSH = 2_000_000
+FLUSH = 700_000
+#: Buckets of shingles number 2 to this power at least; more as points grow.
+LEAST_BUCKET_BITS = 6
 #: Shingles of a region that one task solves; larger regions are split first.
 REGION_SHINGLES = 4_000_000
 LEAF = 12
@@ -309,7 +311,7 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
     places = cut_lineage(texts.mapInPandas(describe, f"doc_id {kind}, n_shingles long, point long"))
     firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
     firsts = cut_lineage(firsts)
-    n_buckets = 1 << max(4, (firsts.count() // 4_000).bit_length())
+    n_buckets = 1 << max(LEAST_BUCKET_BITS, (firsts.count() // 4_000).bit_length())
     lead_bits = n_buckets.bit_length() - 1
 
     # 1. of a window of 2 * spare + 1 shingles, all but spare must be shared
