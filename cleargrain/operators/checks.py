@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cleargrain.functions import values as V
 from cleargrain.operators.profile import ColumnProfile, data_columns, is_numeric, is_text, profile_columns, quoted, value_frequencies
 from cleargrain.sources.rowid import ROW_ID
+from cleargrain.sources.versions import settled
 
 # Dimension of each check, checks on a whole column, order of severities.
 DIMENSIONS = {
@@ -31,6 +32,8 @@ COLUMN_LEVEL = ("constant_column", "duplicate_columns", "high_cardinality", "low
 SEVERITY_ORDER = ("critical", "high", "medium", "low", "info")
 VALIDATORS = {"email": V.is_email, "phone": V.is_phone, "url": V.is_url, "date": V.is_date}
 NUMERIC_TYPES = ("numeric", "integer", "currency")
+#: Odd spellings of a column are broadcast up to this size, with ROW_BYTES for each; beyond it they are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 4_000_000, 64
 FINDINGS = "check_key string, dimension string, severity string, count long, column_name string, sample array<string>"
 
 
@@ -53,8 +56,9 @@ class Facts:
 
     columns: list[ColumnProfile]
     quartiles: dict[str, tuple[float, float]] = field(default_factory=dict)
-    canonical: DataFrame | None = None
-    cased: list[str] = field(default_factory=list)
+    odd: DataFrame | None = None
+    #: Columns with odd spellings, and the bytes that these take.
+    cased: dict[str, int] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> ColumnProfile:
         return next(c for c in self.columns if c.name == name)
@@ -77,6 +81,13 @@ def canonical_spellings(frequencies: DataFrame) -> DataFrame:
     return keyed.groupBy("column_name", "key").agg(best.alias("spelling"), F.count("*").alias("spellings"))
 
 
+def odd_spellings(frequencies: DataFrame) -> DataFrame:
+    """column_name, value: the spellings that are not the canonical one of their key."""
+    several = canonical_spellings(frequencies).where("spellings > 1")
+    keyed = frequencies.withColumn("key", V.casefold("value"))
+    return keyed.join(several, ["column_name", "key"]).where("value != spelling").select("column_name", "value")
+
+
 def quartiles(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """Exact first and third quartiles, from value frequencies, so equal values count once."""
     if not names:
@@ -96,10 +107,11 @@ def gather_facts(df: DataFrame, columns: list[ColumnProfile] | None = None, samp
     columns = profile_columns(df, samples) if columns is None else columns
     facts = Facts(columns)
     facts.quartiles = quartiles(df, [c.name for c in columns if c.semantic_type in NUMERIC_TYPES and is_numeric(df.schema[c.name].dataType)])
-    texts = [c.name for c in columns if c.semantic_type in ("categorical", "text") and is_text(df.schema[c.name].dataType) and 0 < c.distinct_count <= 100_000]
+    texts = [c.name for c in columns if c.semantic_type in ("categorical", "text") and is_text(df.schema[c.name].dataType) and c.distinct_count]
     if texts:
-        facts.canonical = canonical_spellings(value_frequencies(df, texts))
-        facts.cased = [r[0] for r in facts.canonical.where("spellings > 1").select("column_name").distinct().collect()]
+        facts.odd = settled(odd_spellings(value_frequencies(df, texts)))
+        sizes = {r[0]: r[1] for r in facts.odd.groupBy("column_name").agg(F.sum(F.octet_length("value") + ROW_BYTES)).collect()}  # a row per column
+        facts.cased = {c: sizes[c] for c in texts if c in sizes}
     return facts
 
 
@@ -112,14 +124,13 @@ def outlier_bounds(q: tuple[float, float]) -> tuple[float, float]:
     return q[0] - 1.5 * spread, q[1] + 1.5 * spread
 
 
-def spelling_mask(df: DataFrame, facts: Facts, name: str) -> Column:
-    """Rows whose spelling is not the canonical one. The odd spellings of a column with few distinct values are literals."""
-    odd = value_frequencies(df, [name]).withColumn("key", V.casefold("value")).join(facts.canonical, ["column_name", "key"]).where("value != spelling")
-    return _false_if_null(quoted(name).isin([r[0] for r in odd.select("value").collect()]))
+def spelling_mask(df: DataFrame, name: str) -> Column:
+    """Rows whose spelling is not the canonical one, the odd ones as literals."""
+    return _false_if_null(quoted(name).isin([r[0] for r in odd_spellings(value_frequencies(df, [name])).select("value").collect()]))
 
 
 def row_checks(df: DataFrame, facts: Facts) -> list[RowCheck]:
-    """All checks that flag rows and apply to the table; the two on duplicates are added by flag_duplicates()."""
+    """All checks that flag rows and apply to the table, but for those of flag_spellings() and flag_duplicates()."""
     out: list[RowCheck] = []
 
     def add(key: str, column: str, mask: Column, severity=None, **more) -> None:
@@ -136,8 +147,6 @@ def row_checks(df: DataFrame, facts: Facts) -> list[RowCheck]:
             add("unicode_issues", p.name, V.is_corrupted(c))
             if 0.1 < p.number_share < 0.9:
                 add("mixed_types", p.name, c.isNotNull() & (~V.is_number(c) if p.number_share >= 0.5 else V.is_number(c)))
-            if p.name in facts.cased:
-                add("case_inconsistency", p.name, spelling_mask(df, facts, p.name))
         if kind in VALIDATORS and text:
             add(f"invalid_{kind}", p.name, c.isNotNull() & ~_false_if_null(VALIDATORS[kind](c)))
         if kind in ("currency", "zip") and is_numeric(df.schema[p.name].dataType):
@@ -151,6 +160,19 @@ def row_checks(df: DataFrame, facts: Facts) -> list[RowCheck]:
     return out
 
 
+def flag_spellings(df: DataFrame, facts: Facts) -> tuple[DataFrame, list[RowCheck]]:
+    """df with a column per column in facts.cased that is null but in rows with an odd spelling, and the checks on them.
+
+    Odd spellings are joined back by value, however many they are.
+    """
+    checks: list[RowCheck] = []
+    for k, (name, size) in enumerate(facts.cased.items()):
+        odd = facts.odd.where(F.col("column_name") == name).select(F.col("value").alias(f"_odd{k}"))
+        df = df.join(F.broadcast(odd) if size <= BROADCAST_BYTES else odd, quoted(name).cast("string") == F.col(f"_odd{k}"), "left")
+        checks.append(RowCheck("case_inconsistency", name, F.col(f"_odd{k}").isNotNull(), DIMENSIONS["case_inconsistency"], SEVERITIES["case_inconsistency"]))
+    return df, checks
+
+
 def flag_duplicates(df: DataFrame, facts: Facts) -> tuple[DataFrame, list[RowCheck]]:
     """df with the size of each row's group of equal rows and of equal ids, and the checks on them.
 
@@ -221,11 +243,12 @@ def run_checks(df: DataFrame, facts: Facts | None = None, rules: list[RowCheck]
     if not n:
         return spark.createDataFrame([("empty_dataset", "integrity", "critical", 1, None, [])], FINDINGS)
     flagged, doubles = flag_duplicates(df, facts)
-    checks = [*row_checks(df, facts), *doubles, *rules]
+    flagged, casings = flag_spellings(flagged, facts)
+    checks = [*row_checks(df, facts), *casings, *doubles, *rules]
     counts = flagged.agg(*[(F.round(F.sum(x.counted)) if x.counted is not None else F.count_if(x.mask)).cast("long").alias(f"c{k}") for k, x in enumerate(checks)]).first()
     rows = column_findings(df, facts)
     hit = [(k, x) for k, x in enumerate(checks) if counts[k]]
-    shown = sample_values(df, [x for _, x in hit if x.column and x.counted is None]) if samples else {}
+    shown = sample_values(flag_spellings(df, facts)[0], [x for _, x in hit if x.column and x.counted is None]) if samples else {}
     for k, x in hit:
         severity = x.severity(counts[k], n) if callable(x.severity) else x.severity
         rows.append((x.key, x.dimension, severity, counts[k], x.column, shown.get((x.key, x.column), [])))
@@ -313,8 +336,7 @@ def mask_of(df: DataFrame, facts: Facts, key: str, column: str) -> Column:
         lo, hi = outlier_bounds(q) if q else (0.0, 0.0)
         mask = (number < lo) | (number > hi) if q and lo != hi else F.lit(False)
     elif key == "case_inconsistency":
-        known = facts if column in facts.cased else Facts(facts.columns, canonical=canonical_spellings(value_frequencies(df, [column])))
-        mask = spelling_mask(df, known, column)
+        mask = spelling_mask(df, column)
     elif key == "mixed_types":
         mask = c.isNotNull() & (~V.is_number(c.cast("string")) if facts[column].number_share >= 0.5 else V.is_number(c.cast("string")))
     elif key.removeprefix("invalid_") in VALIDATORS:

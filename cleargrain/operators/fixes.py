@@ -104,7 +104,7 @@ def apply_fix(df: DataFrame, key: str, column: str | None = None, facts: Facts |
         return put(clipped, (x < lo) | (x > hi), "clip", f"to {lo:g} … {hi:g}")
     if key == "case_inconsistency":
         names = canonical_spellings(value_frequencies(df, [column])).where("spellings > 1").select("key", "spelling")
-        wrong = spelling_mask(df, Facts([], canonical=canonical_spellings(value_frequencies(df, [column]))), column)
+        wrong = spelling_mask(df, column)
         fixed = df.withColumn("_k", V.casefold(c)).join(names.withColumnRenamed("key", "_k"), "_k", "left")
         fixed = fixed.withColumn(column, F.coalesce("spelling", c)).select(*[quoted(x) for x in df.columns])
         return FixResult(fixed, "unify_case", df.where(wrong).count(), "most frequent spelling")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleargrain.operators.checks import ALL_DIMENSIONS, SEVERITY_ORDER, Facts, RowCheck, flag_duplicates, gather_facts, row_checks
+from cleargrain.operators.checks import ALL_DIMENSIONS, SEVERITY_ORDER, Facts, RowCheck, flag_duplicates, flag_spellings, gather_facts, row_checks
 
 APPROVED_FROM = 75.0
 
@@ -50,7 +50,8 @@ def scored_rows(df: DataFrame, facts: Facts | None = None, rules: list[RowCheck]
     """df with failed_checks, the keys of the checks that flag each row; and the checks. excluded: pairs (key, column)."""
     facts = facts or gather_facts(df)
     flagged, doubles = flag_duplicates(df, facts)
-    checks = [x for x in (*row_checks(df, facts), *doubles, *rules) if (x.key, x.column) not in excluded]
+    flagged, casings = flag_spellings(flagged, facts)
+    checks = [x for x in (*row_checks(df, facts), *casings, *doubles, *rules) if (x.key, x.column) not in excluded]
     marks = F.array(*[F.when(x.mask, F.lit(x.key)) for x in checks]) if checks else F.array().cast("array<string>")
     shape = [*df.columns, *[c for c in flagged.columns if c not in df.columns]]
     return flagged.select(*[F.col(f"`{c}`") for c in shape], F.array_distinct(F.array_compact(marks)).alias("failed_checks")), checks

@@ -61,6 +61,17 @@ def test_fix_counts_match_findings(golden, facts):
         fixes.apply_fix(golden, "unicode_issues", "notes")
 
 
+@pytest.mark.parametrize("bytes_broadcast", [checks.BROADCAST_BYTES, 0])
+def test_odd_spellings_of_a_large_column(spark, monkeypatch, bytes_broadcast):
+    monkeypatch.setattr(checks, "BROADCAST_BYTES", bytes_broadcast)
+    df = spark.range(100_003).selectExpr(f"id as {ROW_ID}", "case when id < 2 then 'Ann Lee' when id = 2 then 'ann lee' when id > 3 then concat('name ', id) end as full_name")
+    facts = checks.gather_facts(df)
+    found = checks.run_checks(df, facts).where("check_key = 'case_inconsistency'").collect()
+    assert [(r["count"], r["sample"]) for r in found] == [(1, ["ann lee"])]
+    dirty = score.scored_rows(df, facts)[0].where("size(failed_checks) > 0").select(ROW_ID, "failed_checks").collect()
+    assert {r[0]: r[1] for r in dirty} == {0: ["duplicate_rows"], 1: ["duplicate_rows"], 2: ["case_inconsistency"], 3: ["missing_values"]}
+
+
 def test_undo_of_a_middle_fix_keeps_later_ones(golden):
     plan = [fixes.Fix("whitespace", "notes"), fixes.Fix("invalid_email", "email"), fixes.Fix("duplicate_rows")]
     df, kept = fixes.replay(golden, plan, without=plan[1])
