@@ -15,6 +15,7 @@ comparison. Regions beyond a bounded size are split into cells by Spark before t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -107,6 +108,23 @@ def shared_needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def window_size(n, percent: int = PERCENT):
+    """Shingles with the lowest hashes that make up the window of a set of n."""
+    return np.minimum(n, 2 * (n - shared_needed(n, percent)) + 1)
+
+
+@lru_cache(maxsize=1 << 16)
+def window_needed(n: int, percent: int = PERCENT) -> int:
+    """Shingles of its window that a set of n shares at least with the window of any set that it links with.
+
+    If two sets share c, the j-th of these is in the window of a set of k once j + (k - c) is no more than the window's size.
+    """
+    m = np.arange(shared_needed(n, percent), 100 * n // percent + 1)
+    c = -(-percent * (n + m) // (100 + percent))
+    both = np.minimum(window_size(n, percent) - (n - c), window_size(m, percent) - (m - c))
+    return int(both[c <= np.minimum(n, m)].min())
+
+
 def _send(parts: list[tuple[int, np.ndarray]], n_buckets: int) -> pd.DataFrame:
     """Shingles of points by bucket. What the points at hand share with each other is counted here, under a bucket below 0.
 
@@ -304,31 +322,30 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
         shingle = Shingler(n)
         for batch in batches:
             sets = [shingle(t) for t in batch["text"]]
-            done = pd.DataFrame({"n_shingles": [len(s) for s in sets], "point": [point_of(s) if len(s) else 0 for s in sets]})
+            needed = [window_needed(len(s), percent) if len(s) else 0 for s in sets]
+            done = pd.DataFrame({"n_shingles": [len(s) for s in sets], "window_needed": needed, "point": [point_of(s) if len(s) else 0 for s in sets]})
             done.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield done
 
-    places = cut_lineage(texts.mapInPandas(describe, f"doc_id {kind}, n_shingles long, point long"))
-    firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    places = cut_lineage(texts.mapInPandas(describe, f"doc_id {kind}, n_shingles long, window_needed long, point long"))
+    firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "window_needed")])
     firsts = cut_lineage(firsts)
     n_buckets = 1 << max(LEAST_BUCKET_BITS, (firsts.count() // 4_000).bit_length())
     lead_bits = n_buckets.bit_length() - 1
 
-    # 1. of a window of 2 * spare + 1 shingles, all but spare must be shared
+    # 1. of a window of 2 * spare + 1 shingles, all but spare must be shared, or fewer where a smaller set's window ends before
     shingle = Shingler(n)
 
     def wide(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
         for text in batch["text"]:
             s = shingle(text)
             if len(s):
-                yield point_of(s), s[: 2 * (len(s) - shared_needed(len(s), percent)) + 1]
+                yield point_of(s), s[: window_size(len(s), percent)]
 
-    size = F.col("n_shingles")
     need = F.expr(f"({percent} * n_shingles + 99) div 100")
-    spare = size - need
     counted = shared_counts(texts.select("text"), wide, n_buckets)
-    chosen = firsts.where("doc_id is not null").join(counted, "point").where(F.col("shared") >= F.least(size, 2 * spare + 1) - spare)
-    chosen = cut_lineage(chosen.drop("shared"))
+    chosen = firsts.where("doc_id is not null").join(counted, "point").where("shared >= window_needed")
+    chosen = cut_lineage(chosen.drop("shared", "window_needed"))
 
     # 2. the sets of what is left, of which all but spare must be shared. A bitmap of fixed size spares the
     # other documents' texts the work; the join after it is exact.
@@ -360,13 +377,13 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
     often = share(docs, frequent_shingles(sets, n_buckets))
 
     def windows(batch: pd.DataFrame, known: np.ndarray, frequent: bool) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(point, spare or, for frequent shingles, size, and the window's shingles of that kind)."""
+        """(point, one less than it must share or, for frequent shingles, size, and the window's shingles of that kind)."""
         for p, blob in zip(batch["point"], batch["shingles"]):
             s = np.frombuffer(blob, dtype=np.uint64)
             last = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
             free = len(s) - shared_needed(len(s), percent)
             rare = s[~last][: 2 * free + 1]
-            yield (p, len(s), s[last][: 2 * free + 1 - len(rare)]) if frequent else (p, free, rare)
+            yield (p, len(s), s[last][: 2 * free + 1 - len(rare)]) if frequent else (p, min(free, len(s) - free - 1), rare)
 
     # pairs that meet at enough rare pivots: of the window with the lower end all but spare are in the other one too
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0

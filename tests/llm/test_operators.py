@@ -1,5 +1,6 @@
 """The training-data operators on small tables: brute force, ties, nulls, empty and long texts, repeated rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -308,6 +309,30 @@ def test_ngram_join_matches_brute_force(spark, region_shingles):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("percent", [40, 60, 70, 75, 80, 85])
+def test_windows_share_what_is_needed_in_all_orders(percent):
+    for size in range(1, 10):
+        for owners in itertools.product("abc", repeat=size):  # of the first set, of the second, common
+            a, b = [k for k, x in enumerate(owners) if x != "b"], [k for k, x in enumerate(owners) if x != "a"]
+            if a and b and 100 * owners.count("c") >= percent * size:
+                met = len({*a[: ngram_join.window_size(len(a), percent)]} & {*b[: ngram_join.window_size(len(b), percent)]})
+                assert met >= max(ngram_join.window_needed(len(s), percent) for s in (a, b)) > 0, (a, b)
+    assert [ngram_join.window_needed(n, 80) for n in (4, 5, 6, 10, 100)] == [1, 1, 2, 3, 21]
+
+
+def test_ngram_join_links_short_texts_with_a_word_added(spark):
+    texts = {}
+    for i in range(0, 200, 10):
+        words = [f"w{i}x{k}" for k in range(13)]
+        for k in range(9):  # 1 to 9 shingles
+            texts[i + k] = " ".join(words[: 5 + k]) if i % 20 else " ".join(words[8 - k :])
+        if i % 40 == 0:  # the pair of 4 and 5 alone
+            texts = {j: t for j, t in texts.items() if j < i or j - i in (3, 4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_ngrams(docs).collect()}
+    assert got == brute_components(texts) and got[4] == (5, 3)
+
+
 def test_ngram_join_of_odd_rows(spark, odd_docs):
     got = rows_of(ngram_join.join_ngrams(odd_docs))
     assert len(got) == 10 and {r["component_id"] for r in got if r["doc_id"] in (1, 5)} == {1}
