@@ -147,6 +147,21 @@ def test_extraction(spark):
     assert sorted(r["text"] for r in joined.collect()) == sorted(t for ts in got.values() for t in ts)
 
 
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div id=comments-open", "form action=/"])
+@pytest.mark.parametrize("article", ["article", "main", "div class=body"])
+def test_wrappers_do_not_take_the_article_along(spark, wrapper, article):
+    close = [x.split()[0] for x in (wrapper, article)]
+    text = "one long story of some twenty words that the page is about and that goes on for a while"
+    rows = [
+        (i, "http://w.example.com", f"<body><nav>menu</nav><{wrapper}><{article}><p>{text} {i}</p></{close[1]}><aside>side</aside><div class=comments><article>reply</article></div></{close[0]}></body>")
+        for i in range(4)
+    ]
+    if article.startswith("div"):  # articles in comments would pass for the page's own
+        rows = [(i, u, h.replace("<article>", "").replace("</article>", "")) for i, u, h in rows]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"{text} {i}") for i in range(4)]
+
+
 # ---- 4 sharding
 
 
