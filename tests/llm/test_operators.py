@@ -162,6 +162,17 @@ def test_wrappers_do_not_take_the_article_along(spark, wrapper, article):
     assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"{text} {i}") for i in range(4)]
 
 
+def test_lists_of_links_stay_unless_they_repeat(spark):
+    text = "a story of a good many words with its sources below it"
+    rows = [
+        (i, "http://l.example.com", f"<body><nav>menu</nav><article><a name=top><div class=text><p>{text} {i}</p></div><ul class=sources><li><a href=/>source {i} alone</a></ul><ul class=tags><li><a href=/>all tags</a></ul></article></body>")
+        for i in range(4)
+    ]
+    rows += [(9, "http://one.example.com", rows[0][2].replace("<ul class=tags><li><a href=/>all tags</a></ul>", ""))] * 2
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["page_id"], r["text"]) for r in got} == {(i, f"{text} {i} source {i} alone") for i in range(4)} | {(9, f"{text} 0 source 0 alone")}
+
+
 # ---- 4 sharding
 
 
