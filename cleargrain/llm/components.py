@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from cleargrain.llm.common import cut_lineage
 
+#: Tasks over which a node's edges are dealt.
+SALTS = 8
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the edges (a, b) and, for each, the smallest node that it is joined with."""
@@ -40,15 +43,21 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """a's least neighbour m beside each of a's edges, which are dealt over SALTS tasks a node by their other end."""
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return _ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    return _ordered(_with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(edges, least).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _ordered(moved.unionByName(least.select("a", F.col("m").alias("b"))))
 
 
@@ -56,8 +65,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """node, component (smallest node reachable): one row per node that has an edge.
 
     Edges are pairs of longs; null ends, loops and repeats don't count. Each task first replaces the edges it
-    holds by a forest; then rounds go on until every edge leads to its component's smallest node. A
-    node's edges are never brought together in one task: minima are aggregated before they are joined back.
+    holds by a forest; then rounds go on until every edge leads to its component's smallest node.
+    Minima are aggregated before the shuffle, and joined back to a node's edges in SALTS tasks.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a != b")
     left = cut_lineage(_ordered(pairs.mapInPandas(_forests, "a long, b long")))

@@ -1,15 +1,12 @@
 """Exact Jaccard join of documents on word n-grams, as a metric-space join.
 
-Jaccard distance is a metric. Documents with equal shingle sets are one point. The first pivots are single shingles: a
-point can be near the pivot {s} only if it holds s. If two sets of n and m shingles link at similarity t, at most n - ceil(t n)
-of the first are missing in the second; so of any window of the n shingles with the lowest hashes, all but that many
-are shared. That gives three windows, each a bound that no linked pair can miss: points with too few shared
-shingles in a window of about 40 % of their set, and then in the whole set, have no partner; points left are
-replicated to the pivots of such a window, frequent shingles last, and pairs that meet at enough of them (or at a
-frequent one, which only points made of frequent passages reach) are drawn together into regions.
-Within a region documents become pivots: their Voronoi cells take in, by the triangle inequality, every point that
-may link with a member, and cells are joined recursively and exactly; points already connected need no
-comparison. Regions beyond a bounded size are split into cells by Spark before they are solved.
+Documents with equal shingle sets are one point. Two points of n and m shingles that link at similarity t differ by at most
+n - ceil(t n) of the first's shingles; a count over windows of the lowest hashes takes out points that can have no partner.
+Pivots are documents: each shingle elects the least point that holds it. A point lives in the region of the pivot that has won most of
+its shingles and, by the triangle inequality for the shingles by which two sets differ, visits every region that may hold a point
+that links with it. Within a region documents are pivots again, now by Jaccard distance: Voronoi cells take in,
+by the triangle inequality, every point that may link with a member, and are joined recursively and exactly;
+points already connected need no comparison. Regions beyond a bounded size are split into cells by Spark first.
 """
 
 from __future__ import annotations
@@ -19,23 +16,24 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.common import cut_lineage, share, shared
-from cleargrain.llm.components import connected_components, forest
+from cleargrain.llm.components import connected_components
 
 N = 5
 PERCENT = 80
-#: Shingles in more sets than this, among those left, are frequent; the limit doubles until MAX_FREQUENT (8 bytes each) suffice.
-FREQUENT = 64
-MAX_FREQUENT = 2_000_000
-#: Shingles that a task gathers before it sends them on.
-FLUSH = 700_000
+#: Shingles that a task gathers before it sends them on, and those of a block of points.
+FLUSH = 500_000
+BLOCK_SHINGLES = 500_000
+#: Tasks over which the points of one component, or the copies of one point, are dealt when names are joined back.
+SALTS = 8
 #: Buckets of shingles number 2 to this power at least; more as points grow.
 LEAST_BUCKET_BITS = 6
 #: Shingles of a region that one task solves; larger regions are split first.
-REGION_SHINGLES = 4_000_000
+REGION_SHINGLES = 2_000_000
 LEAF = 12
 MAX_PIVOTS = 64
 BITMAP_BITS = 1 << 26
@@ -200,56 +198,145 @@ def shared_counts(rows: DataFrame, window, n_buckets: int) -> DataFrame:
     return counted.groupBy("point").agg(F.sum("shared").alias("shared"))
 
 
-def frequent_shingles(sets: DataFrame, n_buckets: int) -> np.ndarray:
-    """Shingles of more than FREQUENT sets, in rising order; counted over all sets."""
-    bits = np.uint64(64 - (n_buckets.bit_length() - 1))
+def spare(n, percent: int = PERCENT):
+    """Shingles of a set of n that may lack in a set that it links with."""
+    return n - (-(-percent * n // 100))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
 
-        def flush() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            edges = np.searchsorted((values >> bits).astype(np.int64), np.arange(n_buckets + 1))
-            rows = [(k, values[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-            return pd.DataFrame(rows, columns=["bucket", "shingle", "times"])
+def pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Points and their shingles in blocks of about BLOCK_SHINGLES: one row each, named by its least point."""
+    points, sizes, blobs, held = [], [], [], 0
 
+    def block() -> pd.DataFrame:
+        p = np.array(points, dtype=np.int64)
+        return pd.DataFrame({"block": [int(p.min())], "points": [p.tobytes()], "sizes": [np.array(sizes, dtype=np.int64).tobytes()], "shingles": [b"".join(blobs)]})
+
+    for batch in batches:
+        for p, blob in zip(batch["point"], batch["shingles"]):
+            points.append(p)
+            sizes.append(len(blob) // 8)
+            blobs.append(blob)
+            held += sizes[-1]
+            if held > BLOCK_SHINGLES:
+                yield block()
+                points, sizes, blobs, held = [], [], [], 0
+    if points:
+        yield block()
+
+
+def elect_pivots(blocks: DataFrame, n_buckets: int) -> DataFrame:
+    """block, bucket, key, pivot, times: the document pivot of each shingle that several points hold, told to every block that holds it.
+
+    A shingle elects the least point that holds it. A block names one candidate a shingle, so a shingle that a third of all points
+    hold makes one entry a block. Shingles are cut to 32 bits after the bucket's: two that fall together elect one pivot.
+    """
+    bits = n_buckets.bit_length() - 1
+
+    def nominate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for blob in batch["shingles"]:
-                held.append(np.frombuffer(blob, dtype=np.uint64))
-                size += len(held[-1])
-                if size > FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    def add(block: pd.DataFrame) -> pd.DataFrame:
-        values = np.frombuffer(b"".join(block["shingle"]), dtype=np.uint64)
-        values, index = np.unique(values, return_inverse=True)
-        df = np.bincount(index, weights=np.frombuffer(b"".join(block["times"]), dtype=np.uint32)).astype(np.int64)
-        return pd.DataFrame({"shingle": values[df > FREQUENT].astype(np.int64), "df": df[df > FREQUENT]})
-
-    counted = sets.select("shingles").mapInPandas(count, "bucket int, shingle binary, times binary").groupBy("bucket").applyInPandas(add, "shingle long, df long")
-    counted = cut_lineage(counted)
-    levels = [FREQUENT << k for k in range(40)]
-    above = counted.agg(*[F.count_if(F.col("df") > x).alias(str(x)) for x in levels]).first()
-    limit = next(x for x, c in zip(levels, above) if c <= MAX_FREQUENT)
-    return np.sort(counted.where(F.col("df") > limit).select("shingle").toPandas()["shingle"].to_numpy(np.int64).astype(np.uint64))
-
-
-def link_in_region(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """For each set the number of the first set that it is connected with by links.
-
-    A Voronoi cell join: pivots are chosen until every set lies within twice the link distance of one or is one, MAX_PIVOTS
-    at a time; each set belongs to the nearest pivot, and visits any other cell whose radius plus the link distance reaches
+            for name, points, sizes, blob in zip(batch["block"], batch["points"], batch["sizes"], batch["shingles"]):
+                s = np.frombuffer(blob, dtype=np.uint64) >> np.uint64(32 - bits)
+                own = np.repeat(np.frombuffer(points, dtype=np.int64), np.frombuffer(sizes, dtype=np.int64))
+                order = np.lexsort((own, s))
+                s, own = s[order], own[order]
+                starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                times = np.diff(np.append(starts, len(s))).astype(np.uint32)
+                s, own = s[starts], own[starts]
+                key, edges = s.astype(np.uint32), np.searchsorted((s >> np.uint64(32)).astype(np.int64), np.arange(n_buckets + 1))
+                rows = [(name, k, key[a:b].tobytes(), own[a:b].tobytes(), times[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                yield pd.DataFrame(rows, columns=["block", "bucket", "key", "pivot", "times"])
+
+    def elect(bucket: pd.DataFrame) -> pd.DataFrame:
+        key, point, times = (np.frombuffer(b"".join(bucket[c]), dtype=t) for c, t in (("key", np.uint32), ("pivot", np.int64), ("times", np.uint32)))
+        ends = np.cumsum(bucket["key"].map(len).to_numpy() // 4)
+        order = np.lexsort((point, key))
+        first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        run = np.empty(len(key), np.int64)
+        run[order] = np.cumsum(first) - 1
+        winner, total = point[order][first], np.bincount(run, weights=times).astype(np.uint32)
+        rows = []
+        for name, a, b in zip(bucket["block"], np.concatenate([[0], ends[:-1]]), ends):
+            r = run[a:b]
+            r, k = r[total[r] > 1], key[a:b][total[r] > 1]
+            if len(r):
+                rows.append((name, bucket["bucket"].iloc[0], k.tobytes(), winner[r].tobytes(), total[r].tobytes()))
+        return pd.DataFrame(rows, columns=["block", "bucket", "key", "pivot", "times"])
+
+    schema = "block long, bucket int, key binary, pivot binary, times binary"
+    return blocks.mapInPandas(nominate, schema).groupBy("bucket").applyInPandas(elect, schema)
+
+
+def assign_regions(blocks: DataFrame, pivots: DataFrame, n_buckets: int, percent: int) -> DataFrame:
+    """region, point, home, shingles: where each point lives and which regions it visits.
+
+    How many of a set's shingles a pivot has won moves by no more between two sets than the shingles that one has and the other lacks. So a
+    point with more than twice spare() of its shingles won by one pivot lives there alone, with the nearest such pivot, and whatever links
+    with it has at least spare() + 1 shingles there: points visit all pivots that have won so many. A point without
+    such a pivot lives with the pivots of its spare() + 1 rarest shingles, one of which it shares with any
+    other such point that it links with. Points of whose shingles too few are shared at all have no partner.
+    """
+    bits = n_buckets.bit_length() - 1
+
+    def settle(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        columns = ["region", "point", "home", "shingles"]
+        if not len(block) or not len(told):
+            return pd.DataFrame(columns=columns)
+        points, sizes = (np.frombuffer(block[c].iloc[0], dtype=np.int64) for c in ("points", "sizes"))
+        blob = block["shingles"].iloc[0]
+        key = np.frombuffer(blob, dtype=np.uint64) >> np.uint64(32 - bits)
+        known = np.concatenate([np.frombuffer(b, dtype=np.uint32).astype(np.uint64) | np.uint64(int(k) << 32) for k, b in zip(told["bucket"], told["key"])])
+        pivot, times = (np.frombuffer(b"".join(told[c]), dtype=t) for c, t in (("pivot", np.int64), ("times", np.uint32)))
+        order = np.argsort(known)
+        known, pivot, times = known[order], pivot[order], times[order]
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        has = known[at] == key
+        own = np.repeat(np.arange(len(points)), sizes)
+        free = spare(sizes, percent)
+        alive = np.bincount(own[has], minlength=len(points)) >= sizes - free
+        has &= alive[own]
+        names, place = np.unique(pivot, return_inverse=True)
+        pair, won = np.unique(own[has] * len(names) + place[at[has]], return_counts=True)
+        who, where = pair // len(names), pair % len(names)
+        # the nearest pivot that has won enough, the smallest of equals
+        near = np.lexsort((where, -won, who))
+        near = near[(won > 2 * free[who])[near]]
+        near = near[np.concatenate([[True], who[near][1:] != who[near][:-1]])] if len(near) else near
+        home = np.zeros(len(pair), bool)
+        home[near] = True
+        settled = np.zeros(len(points), bool)
+        settled[who[near]] = True
+        # of the others, the pivots of their rarest shingles
+        rare = np.flatnonzero(alive[own] & ~settled[own])
+        rare = rare[np.lexsort((key[rare], np.where(has[rare], times[at[rare]], 1), own[rare]))]
+        rank = np.arange(len(rare)) - np.searchsorted(own[rare], own[rare])
+        rare = rare[(rank <= free[own[rare]]) & has[rare]]
+        home[np.searchsorted(pair, np.unique(own[rare] * len(names) + place[at[rare]]))] = True
+        # the smallest set that may link has ceil(percent of n) shingles
+        visit = won > spare(sizes - free, percent)[who]
+        own_region = names[where] == points[who]
+        take = np.flatnonzero(home | visit | own_region)
+        ends = np.cumsum(sizes) * 8
+        sets = [blob[ends[i] - 8 * sizes[i] : ends[i]] for i in who[take]]
+        return pd.DataFrame({"region": names[where[take]], "point": points[who[take]], "home": home[take] | own_region[take], "shingles": sets})
+
+    told = pivots.select(F.col("block").alias("told"), "bucket", "key", "pivot", "times")
+    return blocks.groupBy("block").cogroup(told.groupBy("told")).applyInPandas(settle, "region long, point long, home boolean, shingles binary")
+
+
+def link_in_region(sets: list[np.ndarray], home: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """For each set the number of the first set that it is connected with by links of which one end at least is at home.
+
+    A Voronoi cell join: pivots are chosen among the sets at home until each of these lies within twice the link distance of one or is one,
+    MAX_PIVOTS at a time; each set belongs to the nearest pivot, and visits any other cell whose radius plus the link distance reaches
     it. Cells larger than LEAF that are smaller than the whole are joined the same way. A pivot's distances come
-    from the lists of sets that hold each of its shingles.
+    from the lists of sets that hold each of its shingles. What is connected already needs no comparison.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat = flat.astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     by_shingle = owner[np.argsort(flat, kind="stable")]
     df = np.bincount(flat)
     ends = np.cumsum(df)
@@ -260,10 +347,16 @@ def link_in_region(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray
     def against(p: int) -> np.ndarray:
         """Jaccard distances of all sets from p; links found on the way are noted."""
         nonlocal root
-        own = flat[starts[p] : starts[p + 1]]
-        length = df[own]
-        at = np.repeat(ends[own] - np.cumsum(length), length) + np.arange(int(length.sum()))
-        common = np.bincount(by_shingle[at], minlength=n)
+        common = np.zeros(n, np.int64)
+        lists, held = [], 0
+        for s in flat[starts[p] : starts[p + 1]]:
+            lists.append(by_shingle[ends[s] - df[s] : ends[s]])
+            held += len(lists[-1])
+            if held > 1_000_000:
+                common += np.bincount(np.concatenate(lists), minlength=n)
+                lists, held = [], 0
+        if lists:
+            common += np.bincount(np.concatenate(lists), minlength=n)
         union = sizes + sizes[p] - common
         linked = 100 * common >= percent * union
         joined = np.unique(root[linked])
@@ -271,67 +364,180 @@ def link_in_region(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray
             root = np.where(np.isin(root, joined), joined[0], root)
         return 1 - common / union
 
+    def one(rows: np.ndarray) -> bool:
+        return bool((root[rows] == root[rows[0]]).all())
+
     todo = [np.arange(n)]
     while todo:
         rows = todo.pop()
-        if len(np.unique(root[rows])) < 2:
+        if one(rows) or not home[rows].any():
             continue
         if len(rows) > LEAF:
-            left, pivots, distances = np.ones(len(rows), bool), [], []
+            left, pivots, distances = home[rows].copy(), [], []
             while left.any() and len(pivots) < min(MAX_PIVOTS, len(rows) // 2):
                 # the set whose shingles are most common in the region is likely a centre
                 k = int(np.flatnonzero(left)[np.argmax(kin[rows[left]])])
                 pivots.append(k)
-                distances.append(against(int(rows[k]))[rows])
+                distances.append(against(int(rows[k]))[rows].astype(np.float32))
                 left &= distances[-1] > 2 * eps
                 left[k] = False
-            if len(np.unique(root[rows])) < 2:
+            if one(rows):
                 continue
             d = np.array(distances)
-            home, near = d.argmin(axis=0), d.min(axis=0)
+            cell_of, near = d.argmin(axis=0), d.min(axis=0)
             cells = []
             for c in range(len(pivots)):
-                own = (home == c) & ~left
+                own = (cell_of == c) & ~left & home[rows]
                 if own.any():
-                    cells.append(own | (d[c] <= near[own].max() + eps + 1e-9))
+                    cells.append(own | (d[c] <= near[own].max() + eps + 1e-6))
             if left.any():  # the rest is a cell of its own, with all that may reach it
-                cells.append(left | (near + eps + 1e-9 >= near[left].min()))
+                cells.append(left | (near + eps + 1e-6 >= near[left].min()))
             if all(cell.sum() < len(rows) for cell in cells):
                 todo += [rows[cell] for cell in cells]
                 continue
-        for p in rows[:-1]:
-            if len(np.unique(root[rows])) < 2:
+        # links between components have an end outside the largest, and one at home: the fewer of both are compared with all
+        names, counts = np.unique(root[rows], return_counts=True)
+        apart, at_home = rows[root[rows] != names[counts.argmax()]], rows[home[rows]]
+        for p in apart if len(apart) < len(at_home) else at_home:
+            if one(rows):
                 break
             against(int(p))
     return root
 
 
+def _solve(percent: int):
+    """Links (a, b) that connect the points of each region, or of each cell or pair of blocks of one."""
+
+    def solve(bin_: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in bin_.groupby([c for c in ("region", "cell", "pair") if c in bin_], sort=True):
+            part = part.sort_values(["point", "home"], ascending=[True, False]).drop_duplicates("point")
+            if len(part) > 1 and part["home"].any():
+                root = link_in_region([np.frombuffer(b, dtype=np.uint64) for b in part["shingles"]], part["home"].to_numpy(bool), percent)
+                names = part["point"].to_numpy()
+                joined = root != np.arange(len(root))
+                out.append(pd.DataFrame({"a": names[joined], "b": names[root[joined]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype(np.int64)
+
+    return solve
+
+
+def link_regions(placed: DataFrame, region_shingles: int, percent: int) -> DataFrame:
+    """Links (a, b) of all regions (region, point, home, shingles). Small ones share tasks, those beyond region_shingles are split first."""
+    size = F.length("shingles") / 8
+    weights = placed.groupBy("region").agg(F.sum(size).alias("weight"), F.count("*").alias("m")).where("m > 1")
+    weights = cut_lineage(weights)
+    total, n_heavy = weights.agg(F.sum("weight"), F.count_if(F.col("weight") > region_shingles)).first()
+    n_bins = max(1, int(total or 0) // (region_shingles // 4))
+    light = placed
+    heavy = weights.where(F.col("weight") > region_shingles).select("region")
+    if n_heavy:
+        light = placed.join(heavy, "region", "left_anti")
+    links = light.withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(n_bins))).groupBy("bin").applyInPandas(_solve(percent), "a long, b long")
+    if n_heavy:
+        for part in _split_regions(placed.join(heavy, "region", "left_semi"), region_shingles, percent):
+            links = links.unionByName(part)
+    return links
+
+
+def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_cell: int = 16, max_rounds: int = 4) -> list[DataFrame]:
+    """Links (a, b) of regions too large for one task, in parts.
+
+    In a round each large cell gets about per_cell pivots among its points at home; those go to the nearest, and any point visits each cell that it
+    may reach. Points that link with the cell's pivot are connected through it, so only the others stay at home there; a cell
+    without others is done. Cells of a bounded size are solved, larger ones split again. What gets no smaller is cut into
+    blocks of a bounded size, and each block of points at home is compared with each block of its cell.
+    """
+    eps = 1 - percent / 100
+    keys, keep = ["region", "cell"], ["region", "cell", "point", "home", "shingles"]
+    left = cut_lineage(members.groupBy("region", "point").agg(F.max("home").alias("home"), F.first("shingles").alias("shingles")).withColumn("cell", F.lit("")))
+    out = []
+    size = F.length("shingles") / 8
+
+    def measure(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        pivots = pivots.sort_values("p_point")
+        sets = [np.frombuffer(b, dtype=np.uint64) for b in pivots["p_shingles"]]
+        if not len(rows) or not len(sets):
+            return pd.DataFrame(columns=[*keep, "pivot", "d"])
+        far: list[list[float]] = []
+        for blob in rows["shingles"]:
+            s, d = np.frombuffer(blob, dtype=np.uint64), []
+            for other in sets:
+                common = np.intersect1d(s, other, assume_unique=True).size
+                union = len(s) + len(other) - common
+                d.append(0.0 if 100 * common >= percent * union else 1 - common / union)
+            far.append(d)
+        return rows[keep].assign(pivot=[pivots["p_point"].to_list()] * len(rows), d=far)
+
+    for round_no in range(max_rounds):
+        counts = left.groupBy(*keys).agg(
+            F.count_if("home").alias("m"), F.min(F.when(F.col("home"), F.col("point"))).alias("least"), F.ceil(F.sum(size) / region_shingles).cast("int").alias("chunks")
+        )
+        rows = cut_lineage(left.join(counts.where("m > 0"), keys))
+        drawn = F.pmod(F.xxhash64(F.lit(round_no), "point"), F.col("m")) < per_cell
+        pivots = rows.where(F.col("home") & (drawn | (F.col("point") == F.col("least")))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("point"), "chunks").cast("int"))
+        by = [*keys, "chunk"]
+        pivots = pivots.select(*[F.col(c).alias(f"p_{c}") for c in (*keep, "chunk")])  # names of their own, as both sides stem from one table
+        schema = "region long, cell string, point long, home boolean, shingles binary, pivot array<long>, d array<double>"
+        measured = rows.select(*keep, "chunk").groupBy(*by).cogroup(pivots.groupBy(*[f"p_{c}" for c in by])).applyInPandas(measure, schema)
+        measured = cut_lineage(measured.withColumn("near", F.array_min("d")).withColumn("nearest", F.element_at("pivot", F.array_position("d", F.array_min("d")).cast("int"))))
+        met = measured.select(*keep, "near", "nearest", F.explode(F.arrays_zip("pivot", "d")).alias("z")).select("*", F.col("z.pivot").alias("pivot"), F.col("z.d").alias("dk")).drop("z")
+        out.append(met.where("dk = 0 and point != pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b")))
+        # a linked point is at a distance of eps or less
+        bound = measured.where("home").groupBy(*keys, F.col("nearest").alias("pivot")).agg(F.max(F.greatest("near", F.lit(eps))).alias("radius"))
+        visits = met.join(bound, [*keys, "pivot"]).where((F.col("home") & (F.col("pivot") == F.col("nearest"))) | (F.col("dk") <= F.col("radius") + eps + 1e-9))
+        cells = visits.select("region", F.concat_ws("/", "cell", F.col("pivot").cast("string")).alias("cell"), "point", (F.col("dk") > 0).alias("home"), "shingles")
+        cells = cut_lineage(cells)
+        sizes = cut_lineage(cells.groupBy(*keys).agg(F.sum(size).alias("weight"), F.count_if("home").alias("open")).where("open > 0"))
+        small, large = sizes.where(F.col("weight") <= region_shingles), sizes.where(F.col("weight") > region_shingles)
+        out.append(cells.join(small.select(*keys), keys, "left_semi").groupBy(*keys).applyInPandas(_solve(percent), "a long, b long"))
+        before = left.agg(F.sum(size)).first()[0] or 0
+        left = cut_lineage(cells.join(large.select(*keys), keys, "left_semi").select(*keep))
+        after = left.agg(F.sum(size)).first()[0] or 0
+        if not after or after > before:
+            break
+    # each block of points at home meets each block of all points of its cell
+    counts = left.groupBy(*keys).agg(F.ceil(F.sum(F.when(F.col("home"), size)) / region_shingles).cast("int").alias("across"), F.ceil(F.sum(size) / region_shingles).cast("int").alias("down"))
+    rows = left.join(counts.where("across > 0"), keys)
+    place = F.xxhash64("point")
+    pair = lambda x, y: F.concat_ws(":", x.cast("string"), y.cast("string"))
+    lives = rows.where("home").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).withColumn("pair", pair(F.pmod(place, F.col("across")), F.col("y")))
+    meets = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("across") - 1))).withColumn("pair", pair(F.col("x"), F.pmod(place, F.col("down")))).withColumn("home", F.lit(False))
+    met = lives.select(*keep, "pair").unionByName(meets.select(*keep, "pair"))
+    out.append(met.groupBy(*keys, "pair").applyInPandas(_solve(percent), "a long, b long"))
+    return out
+
+
 def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document.
 
     component_id is the smallest doc_id reachable by links, the document itself included. Words are runs
     of non-space, A-Z in lower case; a text of fewer than n words is one shingle; null texts and those
-    without words have none, link with nothing and are their own component. Repeated rows repeat. A row with a null doc_id
-    links with equal sets only and names no component but its own. An empty table gives no rows. Other columns are
-    ignored.
+    without words have none, link with nothing and are their own component. Repeated rows repeat. A null doc_id is never the
+    smallest: its row links like any other and is null in component_id only where no linked row has an id. An empty
+    table gives no rows. Other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
-            sets = [shingle(t) for t in batch["text"]]
-            needed = [window_needed(len(s), percent) if len(s) else 0 for s in sets]
-            done = pd.DataFrame({"n_shingles": [len(s) for s in sets], "window_needed": needed, "point": [point_of(s) if len(s) else 0 for s in sets]})
-            done.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield done
-
-    places = cut_lineage(texts.mapInPandas(describe, f"doc_id {kind}, n_shingles long, window_needed long, point long"))
-    firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "window_needed")])
+            found = np.zeros((3, batch.num_rows), dtype=np.int64)
+            for i, text in enumerate(batch.column("text")):
+                s = shingle(text.as_py())
+                if len(s):
+                    found[:, i] = len(s), window_needed(len(s), percent), point_of(s)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("mark"), *[pa.array(x) for x in found]], ["doc_id", "mark", "n_shingles", "window_needed", "point"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    places = cut_lineage(texts.mapInArrow(describe, f"doc_id {kind}, mark long, n_shingles long, window_needed long, point long"))
+    # equal sets are one point; the text of the smallest mark stands for it
+    firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"), F.first("window_needed").alias("window_needed"))
     firsts = cut_lineage(firsts)
     n_buckets = 1 << max(LEAST_BUCKET_BITS, (firsts.count() // 4_000).bit_length())
-    lead_bits = n_buckets.bit_length() - 1
 
     # 1. of a window of 2 * spare + 1 shingles, all but spare must be shared, or fewer where a smaller set's window ends before
     shingle = Shingler(n)
@@ -342,14 +548,11 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
             if len(s):
                 yield point_of(s), s[: window_size(len(s), percent)]
 
-    need = F.expr(f"({percent} * n_shingles + 99) div 100")
     counted = shared_counts(texts.select("text"), wide, n_buckets)
-    chosen = firsts.where("doc_id is not null").join(counted, "point").where("shared >= window_needed")
-    chosen = cut_lineage(chosen.drop("shared", "window_needed"))
+    chosen = cut_lineage(firsts.join(counted, "point").where("shared >= window_needed").select("point", "mark", "n_shingles"))
 
-    # 2. the sets of what is left, of which all but spare must be shared. A bitmap of fixed size spares the
-    # other documents' texts the work; the join after it is exact.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
+    # 2. the sets of what is left. A bitmap of fixed size spares the other texts the work; the join after it is exact.
+    place = F.pmod(F.xxhash64("mark"), F.lit(BITMAP_BITS))
     marks = chosen.select((place + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
     for row in marks.toLocalIterator():
@@ -358,234 +561,49 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = shared(held_bitmap)
+        points, sets, held = [], [], 0
         for batch in batches:
             at = batch["place"].to_numpy(np.int64)
-            batch = batch[(bits[at >> 3] >> (at & 7)) & 1 == 1]
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                sets = [shingle(t) for t in part["text"]]
-                points = [point_of(s) if len(s) else 0 for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "point": points, "shingles": [s.tobytes() for s in sets]})
-
-    sets = texts.where("doc_id is not null").withColumn("place", place).mapInPandas(expand, f"doc_id {kind}, point long, shingles binary")
-    sets = cut_lineage(sets.join(chosen, ["doc_id", "point"]).select("point", "n_shingles", "shingles").drop_duplicates(["point"]))
-    counted = shared_counts(sets.select("point", "shingles"), lambda batch: ((p, np.frombuffer(b, dtype=np.uint64)) for p, b in zip(batch["point"], batch["shingles"])), n_buckets)
-    alive = counted.join(chosen.select("point", "n_shingles"), "point").where(F.col("shared") >= need).select("point")
-    sets = cut_lineage(sets.join(alive, "point", "left_semi"))
-
-    # 3. regions, from windows of 2 * spare + 1 shingles, frequent ones last
-    often = share(docs, frequent_shingles(sets, n_buckets))
-
-    def windows(batch: pd.DataFrame, known: np.ndarray, frequent: bool) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(point, one less than it must share or, for frequent shingles, size, and the window's shingles of that kind)."""
-        for p, blob in zip(batch["point"], batch["shingles"]):
-            s = np.frombuffer(blob, dtype=np.uint64)
-            last = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
-            free = len(s) - shared_needed(len(s), percent)
-            rare = s[~last][: 2 * free + 1]
-            yield (p, len(s), s[last][: 2 * free + 1 - len(rare)]) if frequent else (p, min(free, len(s) - free - 1), rare)
-
-    # pairs that meet at enough rare pivots: of the window with the lower end all but spare are in the other one too
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    n_pair_buckets = 1 << max(2, (total // 1_000_000).bit_length())
-
-    def deal_rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, bits = shared(often), n_pair_buckets.bit_length() - 1
-        for batch in batches:
-            parts = list(windows(batch, known, frequent=False))
-            times = [len(w) for _, _, w in parts]
-            s = np.concatenate([w for _, _, w in parts]) if parts else np.zeros(0, np.uint64)
-            point = np.repeat(np.array([p for p, _, _ in parts], dtype=np.int64), times)
-            free = np.repeat(np.array([f for _, f, _ in parts], dtype=np.uint32), times)
-            order = np.argsort(s, kind="stable")
-            s, point, free = s[order], point[order], free[order]
-            edges = np.searchsorted((s >> np.uint64(64 - bits)).astype(np.int64), np.arange(n_pair_buckets + 1))
-            rows = [(k, s[a:b].tobytes(), point[a:b].tobytes(), free[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-            yield pd.DataFrame(rows, columns=["bucket", "shingle", "point", "spare"])
-
-    def pair(block: pd.DataFrame) -> pd.DataFrame:
-        """a, b, met, needed: pairs of points with the number of the bucket's shingles that they share. A rare shingle has few points."""
-        s = np.frombuffer(b"".join(block["shingle"]), dtype=np.uint64)
-        names, at = np.unique(np.frombuffer(b"".join(block["point"]), dtype=np.int64), return_inverse=True)
-        free = np.zeros(len(names), np.int64)
-        free[at] = np.frombuffer(b"".join(block["spare"]), dtype=np.uint32)
-        order = np.argsort(s, kind="stable")
-        s, at = s[order], at[order]
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        counts = np.diff(np.append(starts, len(s)))
-        keys = [np.zeros(0, np.int64)]
-        for size in np.unique(counts[counts > 1]):
-            group = np.sort(at[starts[counts == size][:, None] + np.arange(size)], axis=1)
-            i, j = np.triu_indices(size, 1)
-            keys.append((group[:, i] * len(names) + group[:, j]).ravel())
-        key, met = np.unique(np.concatenate(keys), return_counts=True)
-        a, b = key // max(1, len(names)), key % max(1, len(names))
-        return pd.DataFrame({"a": names[a], "b": names[b], "met": met.astype(np.int64), "needed": np.minimum(free[a], free[b]) + 1})
-
-    met = sets.select("point", "shingles").mapInPandas(deal_rare, "bucket int, shingle binary, point binary, spare binary")
-    met = met.groupBy("bucket").applyInPandas(pair, "a long, b long, met long, needed long")
-    met = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("needed").alias("needed")).where("met >= needed").select("a", "b")
-
-    # points that meet at a frequent pivot and may link by size
-    def draw(s: np.ndarray, point: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Rows in order of shingle and size; which go with the row before; the first row of each run.
-
-        Rows of one shingle go together while the next smallest size may link with the largest so far.
-        """
-        order = np.lexsort((lo, s))
-        s, point, lo, hi = s[order], point[order], lo[order], hi[order]
-        same = np.concatenate([[False], s[1:] == s[:-1]])
-        turn = np.cumsum(~same) << 33
-        most = np.maximum.accumulate(hi + turn) - turn  # the largest of the shingle's sizes so far
-        joined = same.copy()
-        joined[1:] &= 100 * most[:-1] >= percent * lo[1:]
-        first = np.maximum.accumulate(np.where(joined, 0, np.arange(len(s))))
-        return s, point, lo, most, joined, first
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Window entries by bucket of their shingle. Entries that a task can join itself become edges there."""
-
-        def pack(parts: list) -> pd.DataFrame:
-            times = [len(w) for _, _, w in parts]
-            point = np.repeat(np.array([p for p, _, _ in parts], dtype=np.int64), times)
-            size = np.repeat(np.array([z for _, z, _ in parts], dtype=np.int64), times)
-            s, point, lo, most, joined, first = draw(np.concatenate([w for _, _, w in parts]), point, size, size)
-            heads = np.flatnonzero(~joined)
-            hi = most[np.concatenate([heads[1:], [len(s)]]) - 1]
-            nodes, roots = forest(point[joined], point[first[joined]]) if joined.any() else (point[:0], point[:0])
-            keep = nodes != roots
-            s, lo = s[heads], lo[heads]
-            bucket = (s >> np.uint64(64 - lead_bits)).astype(np.int64)
-            short = ((s << np.uint64(lead_bits)) >> np.uint64(32)).astype(np.uint32)
-            edges, own = np.searchsorted(bucket, np.arange(n_buckets + 1)), point[heads]
-            rows = [
-                (k, short[a:b].tobytes(), own[a:b].tobytes(), lo[a:b].astype(np.uint32).tobytes(), hi[a:b].astype(np.uint32).tobytes())
-                for k, (a, b) in enumerate(zip(edges, edges[1:]))
-                if b > a
-            ]
-            if keep.any():  # edges wait in a bucket below 0
-                rows.append((-1 - int(roots[keep][0]) % n_buckets, b"", nodes[keep].tobytes() + roots[keep].tobytes(), b"", b""))
-            return pd.DataFrame(rows, columns=["bucket", "shingle", "point", "lo", "hi"])
-
-        parts, held, known = [], 0, shared(often)
-        for batch in batches:
-            for part in windows(batch, known, frequent=True):
-                if not len(part[2]):
-                    continue
-                parts.append(part)
-                held += len(part[2])
+            for text in batch["text"][(bits[at >> 3] >> (at & 7)) & 1 == 1]:
+                s = shingle(text)
+                if len(s):
+                    points.append(point_of(s))
+                    sets.append(s.tobytes())
+                    held += len(s)
                 if held > FLUSH:
-                    yield pack(parts)
-                    parts, held = [], 0
-        if parts:
-            yield pack(parts)
-
-    def meet(block: pd.DataFrame) -> pd.DataFrame:
-        if block["bucket"].iloc[0] < 0:
-            pairs = [np.frombuffer(b, dtype=np.int64).reshape(2, -1) for b in block["point"]]
-            a, b = np.concatenate(pairs, axis=1)
-        else:
-            read = lambda c, t: np.frombuffer(b"".join(block[c]), dtype=t)
-            lo, hi = read("lo", np.uint32).astype(np.int64), read("hi", np.uint32).astype(np.int64)
-            _, point, _, _, joined, first = draw(read("shingle", np.uint32), read("point", np.int64), lo, hi)
-            a, b = point[joined], point[first[joined]]
-        if not len(a):
-            return pd.DataFrame({"a": [], "b": []}).astype(np.int64)
-        nodes, roots = forest(a, b)
-        keep = nodes != roots
-        return pd.DataFrame({"a": nodes[keep], "b": roots[keep]})
-
-    dealt = sets.select("point", "shingles").mapInPandas(deal, "bucket long, shingle binary, point binary, lo binary, hi binary")
-    regions = connected_components(dealt.groupBy("bucket").applyInPandas(meet, "a long, b long").unionByName(met))
-    regions = regions.select(F.col("node").alias("point"), F.col("component").alias("region"))
-    members = sets.select("point", "n_shingles").join(regions, "point")
-    weights = cut_lineage(members.groupBy("region").agg(F.sum("n_shingles").alias("weight")))
-    n_bins = max(1, (weights.agg(F.sum("weight")).first()[0] or 0) // (region_shingles // 4))
-    heavy = weights.where(F.col("weight") > region_shingles).select("region")
-    wanted = sets.select("point", "shingles").join(regions, "point").select("region", "point", "shingles")
-
-    def solve(block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in block.groupby(["region", "cell"] if "cell" in block else "region", sort=True):
-            part = part.drop_duplicates("point").sort_values("point")
-            if len(part) > 1:
-                root = link_in_region([np.frombuffer(b, dtype=np.uint64) for b in part["shingles"]], percent)
-                names = part["point"].to_numpy()
-                joined = root != np.arange(len(root))
-                out.append(pd.DataFrame({"a": names[joined], "b": names[root[joined]]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype(np.int64)
-
-    n_heavy = heavy.count()
-    light = wanted if not n_heavy else wanted.join(heavy, "region", "left_anti")
-    links = light.withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(n_bins))).groupBy("bin").applyInPandas(solve, "a long, b long")
-    if n_heavy:
-        cells, star = _split_regions(wanted.join(heavy, "region", "left_semi"), region_shingles, percent)
-        links = links.unionByName(cells.groupBy("region", "cell").applyInPandas(solve, "a long, b long")).unionByName(star)
-    component = connected_components(links).withColumnRenamed("node", "point")
-    grouped = firsts.join(component, "point", "left").withColumn("component", F.coalesce("component", "point"))
-    names = grouped.groupBy("component").agg(F.min("doc_id").alias("name"))
-    named = grouped.join(names, "component").select("point", "name")
-    return places.join(named, "point", "left").select(
+                    yield pd.DataFrame({"point": points, "shingles": sets})
+                    points, sets, held = [], [], 0
+        if points:
+            yield pd.DataFrame({"point": points, "shingles": sets})
+
+    sets = texts.select("text", place.alias("place")).mapInPandas(expand, "point long, shingles binary").drop_duplicates(["point"])
+    sets = sets.join(chosen.select("point"), "point", "left_semi")
+    blocks = cut_lineage(sets.mapInPandas(pack_blocks, "block long, points binary, sizes binary, shingles binary"))
+
+    # 3. documents elected as pivots, the regions around them, and the points that visit
+    shingles = blocks.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
+    n_lists = 1 << max(LEAST_BUCKET_BITS, min(31, int(shingles // BLOCK_SHINGLES).bit_length()))
+    placed = cut_lineage(assign_regions(blocks, elect_pivots(blocks, n_lists), n_lists, percent))
+    component = connected_components(link_regions(placed, region_shingles, percent)).withColumnRenamed("node", "point")
+
+    # names of the components; a component's points are dealt over SALTS tasks when its name is joined back
+    linked = cut_lineage(firsts.select("point", "doc_id").join(component, "point"))
+    names = linked.groupBy("component").agg(F.min("doc_id").alias("name")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("point"), F.lit(SALTS)).cast("int")
+    named = linked.select("point", "component", salt.alias("salt")).join(names, ["component", "salt"]).select("point", "name")
+    named = firsts.select("point", "doc_id").join(named, "point", "left").select("point", F.coalesce("name", "doc_id").alias("name"))
+    return _by_point(places, named)
+
+
+def _by_point(places: DataFrame, named: DataFrame) -> DataFrame:
+    """Names of points joined to their documents, which are dealt over SALTS tasks a point: a third of them may be copies."""
+    salt = F.pmod(F.xxhash64("mark", "doc_id"), F.lit(SALTS)).cast("int")
+    names = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return places.withColumn("salt", salt).join(names, ["point", "salt"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
-def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_cell: int = 16, max_rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Cells (region, cell, point, shingles) of regions too large for one task, and the links (a, b) found on the way.
-
-    In a round each large cell gets about per_cell pivots; a point goes to the nearest and visits each cell that it
-    may reach. A cell whose points all link with its pivot is connected through it and needs no more work. Cells
-    still too large are split again; what max_rounds leave is solved as it is.
-    """
-    eps = 1 - percent / 100
-    left = cut_lineage(members.drop_duplicates(["region", "point"]).withColumn("cell", F.lit("")))
-    keys, keep = ["region", "cell"], ["region", "cell", "point", "shingles"]
-    ready, links = None, None
-
-    def measure(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        pivots = pivots.sort_values("p_point")
-        sets = [np.frombuffer(b, dtype=np.uint64) for b in pivots["p_shingles"]]
-        out: list[list[float]] = []
-        if not len(rows):
-            return pd.DataFrame(columns=[*keep, "pivot", "d"])
-        for blob in rows["shingles"]:
-            s, d = np.frombuffer(blob, dtype=np.uint64), []
-            for other in sets:
-                common = np.intersect1d(s, other, assume_unique=True).size
-                union = len(s) + len(other) - common
-                d.append(0.0 if 100 * common >= percent * union else 1 - common / union)
-            out.append(d)
-        return rows[keep].assign(pivot=[pivots["p_point"].to_list()] * len(rows), d=out)
-
-    for round_no in range(max_rounds):
-        counts = left.groupBy(*keys).agg(F.count("*").alias("m"), F.min("point").alias("least"), F.ceil(F.sum(F.length("shingles")) / (8 * region_shingles)).alias("chunks"))
-        rows = cut_lineage(left.join(counts, keys))
-        drawn = F.pmod(F.xxhash64(F.lit(round_no), "point"), F.col("m")) < per_cell
-        pivots = rows.where(drawn | (F.col("point") == F.col("least"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("point"), "chunks").cast("int"))
-        by = [*keys, "chunk"]
-        pivots = pivots.select(*[F.col(c).alias(f"p_{c}") for c in (*keep, "chunk")])  # names of their own, as both sides stem from one table
-        schema = "region long, cell string, point long, shingles binary, pivot array<long>, d array<double>"
-        measured = rows.select(*keep, "chunk").groupBy(*by).cogroup(pivots.groupBy(*[f"p_{c}" for c in by])).applyInPandas(measure, schema)
-        measured = cut_lineage(measured.withColumn("near", F.array_min("d")).withColumn("home", F.array_position("d", F.array_min("d")).cast("int")))
-        measured = measured.withColumn("home", F.element_at("pivot", F.col("home")))
-        met = measured.select(*keep, "near", "home", F.explode(F.arrays_zip("pivot", "d")).alias("z")).select("*", F.col("z.pivot").alias("pivot"), F.col("z.d").alias("dk")).drop("z")
-        star = met.where("dk = 0 and point != pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b"))
-        links = star if links is None else links.unionByName(star)
-        # a linked point is at a distance of eps or less
-        bound = measured.groupBy(*keys, "home").agg(F.max(F.greatest("near", F.lit(eps))).alias("radius")).withColumnRenamed("home", "pivot")
-        visits = met.join(bound, [*keys, "pivot"]).where((F.col("pivot") == F.col("home")) | (F.col("dk") <= F.col("radius") + eps + 1e-9))
-        cells = cut_lineage(visits.select("region", F.concat_ws("/", "cell", F.col("pivot").cast("string")).alias("cell"), "point", "shingles", "dk"))
-        sizes = cells.groupBy(*keys).agg(F.sum(F.length("shingles") / 8).alias("weight"), F.count_if(F.col("dk") > 0).alias("open")).where("open > 0")
-        small, large = sizes.where(F.col("weight") <= region_shingles), sizes.where(F.col("weight") > region_shingles)
-        done = cells.join(small.select(*keys), keys, "left_semi").select(*keep)
-        ready = done if ready is None else ready.unionByName(done)
-        left = cut_lineage(cells.join(large.select(*keys), keys, "left_semi").select(*keep))
-        if left.isEmpty():
-            break
-    return ready.unionByName(left), links
-
-
 #: The same join in DuckDB SQL, from all pairs of documents that share a shingle.
 NGRAM_SQL = r"""
 WITH RECURSIVE worded AS (
