@@ -45,13 +45,13 @@ def source_targets(totals: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS)
     return level.select("no_source", "source_name", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size (words), source_size, target, taken (words, repeats counted): one row per document.
+def mix_rows(docs: DataFrame, seed: int = 17, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, text_md5, source, size (words), source_size, target, taken (words, repeats counted): one row per document.
 
     A source below its size is taken in key order up to the budget floor(target); one above it is taken
     whole floor(budget / size) times and then in key order. The document on the cut gives the words that are left.
     Null or empty text: size 0, taken 0. Null source: a source of its own, last in order. Rows with equal
-    ids keep apart rows; ties of the key go to the smaller size. Other columns are ignored. Same seed, same result.
+    ids keep apart rows. The key comes from doc_id and text, so rows equal in both share a bucket and a key. Other columns are ignored. Same seed, same result.
     """
     sized = cut_lineage(
         docs.select(
@@ -59,8 +59,10 @@ def mix_sources(docs: DataFrame, seed: int = 17, cycle=CYCLE, max_epochs: int =
             F.col("source").isNull().alias("no_source"),
             F.coalesce("source", F.lit("")).alias("source_name"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            hash_key(seed, F.col("doc_id")).alias("key"),
-        ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+            F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
+        )
+        .withColumn("key", hash_key(seed, F.col("doc_id"), F.col("text_md5")))
+        .withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     )
     buckets = sized.groupBy("no_source", "source_name", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("no_source", "source_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,6 +81,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, cycle=CYCLE, max_epochs: int =
     last = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("bucket_start") - F.col("inside")))
     return placed.select(
         "doc_id",
+        "text_md5",
         F.when(~F.col("no_source"), F.col("source_name")).alias("source"),
         "size",
         "source_size",
@@ -87,11 +90,16 @@ def mix_sources(docs: DataFrame, seed: int = 17, cycle=CYCLE, max_epochs: int =
     )
 
 
+def mix_sources(docs: DataFrame, seed: int = 17, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: one row per document, as mix_rows() finds them."""
+    return mix_rows(docs, seed, cycle, max_epochs).drop("text_md5")
+
+
 #: The same law in DuckDB SQL, over a table or view named documents.
 MIX_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size,

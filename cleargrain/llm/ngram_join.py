@@ -132,7 +132,7 @@ def _send(parts: list[tuple[int, np.ndarray]], n_buckets: int) -> pd.DataFrame:
     """
     bits = n_buckets.bit_length() - 1
     table = np.array([p for p, _ in parts], dtype=np.int64)
-    s = np.concatenate([w for _, w in parts])
+    s = mix(np.concatenate([w for _, w in parts]))  # windows hold low hashes; mixed again they fall evenly into buckets
     own = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(w) for _, w in parts])
     order = np.argsort(s, kind="stable")
     s, own = s[order], own[order]
@@ -509,13 +509,14 @@ def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_c
     return out
 
 
-def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shingles: int = REGION_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document.
+def group_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """doc_id, mark (xxhash64 of the text), n_shingles, component_id, kept: one row per document.
 
     component_id is the smallest doc_id reachable by links, the document itself included. Words are runs
     of non-space, A-Z in lower case; a text of fewer than n words is one shingle; null texts and those
-    without words have none, link with nothing and are their own component. Repeated rows repeat. A null doc_id is never the
-    smallest: its row links like any other and is null in component_id only where no linked row has an id. An empty
+    without words have none, link with nothing, are their own component and kept. Of any other component the row with the smallest doc_id is
+    kept and, of several with that id, the smallest mark; rows equal in both are all marked. A null doc_id is never the
+    smallest: its row links like any other and is null in component_id only where no linked row has an id. Repeated rows repeat. An empty
     table gives no rows. Other columns are ignored.
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
@@ -534,9 +535,10 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     places = cut_lineage(texts.mapInArrow(describe, f"doc_id {kind}, mark long, n_shingles long, window_needed long, point long"))
-    # equal sets are one point; the text of the smallest mark stands for it
-    firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"), F.first("window_needed").alias("window_needed"))
-    firsts = cut_lineage(firsts)
+    # equal sets are one point; the text of its least row stands for it
+    least = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
+    firsts = places.where("n_shingles > 0").groupBy("point").agg(F.min(least).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("window_needed").alias("window_needed"))
+    firsts = cut_lineage(firsts.withColumn("mark", F.col("least.mark")))
     n_buckets = 1 << max(LEAST_BUCKET_BITS, (firsts.count() // 4_000).bit_length())
 
     # 1. of a window of 2 * spare + 1 shingles, all but spare must be shared, or fewer where a smaller set's window ends before
@@ -586,22 +588,21 @@ def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shin
     placed = cut_lineage(assign_regions(blocks, elect_pivots(blocks, n_lists), n_lists, percent))
     component = connected_components(link_regions(placed, region_shingles, percent)).withColumnRenamed("node", "point")
 
-    # names of the components; a component's points are dealt over SALTS tasks when its name is joined back
-    linked = cut_lineage(firsts.select("point", "doc_id").join(component, "point"))
-    names = linked.groupBy("component").agg(F.min("doc_id").alias("name")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("point"), F.lit(SALTS)).cast("int")
-    named = linked.select("point", "component", salt.alias("salt")).join(names, ["component", "salt"]).select("point", "name")
-    named = firsts.select("point", "doc_id").join(named, "point", "left").select("point", F.coalesce("name", "doc_id").alias("name"))
-    return _by_point(places, named)
-
-
-def _by_point(places: DataFrame, named: DataFrame) -> DataFrame:
-    """Names of points joined to their documents, which are dealt over SALTS tasks a point: a third of them may be copies."""
-    salt = F.pmod(F.xxhash64("mark", "doc_id"), F.lit(SALTS)).cast("int")
-    names = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return places.withColumn("salt", salt).join(names, ["point", "salt"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    # the least row of each component; its points, and the copies of a point, are dealt over SALTS tasks when it is joined back
+    linked = cut_lineage(firsts.select("point", "least").join(component, "point"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    names = linked.groupBy("component").agg(F.min("least").alias("name")).withColumn("salt", salts)
+    named = linked.select("point", "component", F.pmod(F.xxhash64("point"), F.lit(SALTS)).cast("int").alias("salt")).join(names, ["component", "salt"])
+    named = firsts.select("point", "least").join(named.select("point", "name"), "point", "left").select("point", F.coalesce("name", "least").alias("name"))
+    placed = places.withColumn("salt", F.pmod(F.xxhash64("mark", "doc_id"), F.lit(SALTS)).cast("int")).join(named.withColumn("salt", salts), ["point", "salt"], "left")
+    worded = F.col("n_shingles") > 0
+    first = F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("mark") == F.col("name.mark"))
+    return placed.select("doc_id", "mark", "n_shingles", F.when(worded, F.col("name.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~worded | first).alias("kept"))
+
+
+def join_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per document, as group_ngrams() finds them."""
+    return group_ngrams(docs, n, percent, region_shingles).select("doc_id", "n_shingles", "component_id")
 
 
 #: The same join in DuckDB SQL, from all pairs of documents that share a shingle.

@@ -31,8 +31,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataF
             F.coalesce("source", F.lit("")).alias("source_name"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-            hash_key(seed, F.col("doc_id")).alias("key"),
-        ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+        )
+        .withColumn("key", hash_key(seed, F.col("doc_id"), F.col("text_crc32")))
+        .withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     )
     stratum = ["no_source", "source_name"]
     counts = sized.groupBy(*stratum, "bucket").agg(F.count("*").alias("n"))
@@ -86,13 +87,13 @@ sized AS (
   SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
          xor(list_reduce(list_prepend(4294967295::BIGINT,
                list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-             lambda c, b: xor(c >> 8, steps.t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
-         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+             lambda c, b: xor(c >> 8, steps.t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM documents, steps),
+keyed AS (SELECT *, md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32::VARCHAR) AS key FROM sized),
 ranked AS (
   SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 1)::DOUBLE
             / (2 * count(*) OVER (PARTITION BY source)) AS fraction
-  FROM sized),
+  FROM keyed),
 placed AS (
   SELECT *, row_number() OVER (ORDER BY fraction, source IS NULL, source, key, doc_id, text_crc32, size) - 1 AS place,
          count(*) OVER () AS n FROM ranked),
