@@ -294,11 +294,43 @@ def test_top_k_matches_brute_force(spark):
         best = sorted((i for i in range(301) if i != q), key=lambda i: (-s[i], ids[i]))[:5]
         assert sorted(got[q]) == [(k + 1, None if i == 300 else ids[i], int(s[i])) for k, i in enumerate(best)]
     assert set(got) == set(range(0, 300, 50))
+    groups, _, _ = topk.make_groups(vectors, 5, 50, 8, 13)
+    assert groups.size.sum() == 301 and len(groups.pivots) == 8
     few = topk.quantise(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"))
     assert topk.search_top_k(few, few.where("vec_id = 0")).count() == 2
     assert topk.search_top_k(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_top_k_sends_queries_only_where_needed(spark):
+    rng = np.random.default_rng(9)
+    centres = 4 * rng.standard_normal((20, 16))
+    x = np.repeat(centres, 20, axis=0) * rng.uniform(0.9, 1.1, (400, 1)) + 0.05 * rng.standard_normal((400, 16))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)]
+    vectors = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    groups, _, _ = topk.make_groups(vectors, 5, 30, 4096, 13)
+    v = np.floor(256 * x)
+    assert groups.wanted(v, 5).mean() < 0.5  # of all copies of queries
+    got = {}
+    for r in topk.search_top_k(vectors, vectors, chunk_rows=30).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(400):
+        s = v @ v[q]
+        best = sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert sorted(got[q]) == [(k + 1, i, int(s[i])) for k, i in enumerate(best)]
+
+
+def test_top_k_of_odd_rows(spark):
+    big = 2**60
+    rows = [(big + 1, [1.0, 2.0]), (big + 1, [1.0, 2.0]), (None, [1.0]), (big + 3, [1.0, 2.0, 0.5]), (5, [0.0, 0.0]), (6, [])]
+    docs = spark.createDataFrame([(i, x, "c", 1) for i, x in rows], "vec_id long, embedding array<double>, cell string, row int")
+    vectors = topk.quantise(docs)
+    got = sorted(map(tuple, topk.search_top_k(vectors, vectors.where(f"vec_id = {big + 1}"), k=3).collect()))
+    assert got == sorted([(big + 1, 1, big + 1, 327680), (big + 1, 2, big + 3, 327680), (big + 1, 3, None, 65536)] * 2)
+    huge = topk.quantise(spark.createDataFrame([(0, [2.0**60, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0]), (3, [-(2.0**60), 0.0]), (4, [2.0**62, 0.0])], "vec_id long, embedding array<double>"))
+    got = {r["rank"]: (r["vec_id"], r["score"]) for r in topk.search_top_k(huge, huge.where("vec_id = 0")).collect()}
+    assert got == {1: (4, 2**63 - 1), 2: (1, 2**63 - 1), 3: (2, 2**63 - 1), 4: (3, -(2**63))}
+
+
 # ---- 9 n-gram join
 
 
