@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,21 +98,36 @@ def tokenize_pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPA
     empty texts are one piece of one token. Repeated rows give repeated pieces. Other columns are ignored.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = ChunkEncoder(path), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
+            rows, out, parts, held = [], [], [], 0
+
+            def done() -> pa.RecordBatch:
+                columns = [batch.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(zip(*out), kinds)]]
+                return pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.list_(pa.int64()))] * with_ids, names)
+
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
                 ids = (encoder.encode(text) if text else b"") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    row = (None if pd.isna(doc_id) else doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
-                    out.append((*row, np.frombuffer(part, dtype="<u4").astype(np.int64)) if with_ids else row)
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-
+                    rows.append(i)
+                    out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    if with_ids:
+                        parts.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
+                        held += len(part)
+                if held > MEMO_CHUNKS:
+                    yield done()
+                    rows, out, parts, held = [], [], [], 0
+            if rows:
+                yield done()
+
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -209,19 +225,24 @@ def pack_block(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, seed: int = 3) -> DataFrame:
     """Adds sequence_id and offset to pieces: no sequence exceeds capacity, offsets are gapless from 0.
 
-    Pieces of full length are sequences of their own. Ties of length fall by the order of doc_id and piece.
+    Pieces of full length are sequences of their own. Ties of length fall by the order of doc_id (as text) and piece.
+    Bins with SLACK tokens or fewer left are done, and the rest packed anew in fewer blocks. Where that no longer helps, bins
+    more than half full are done; what is left then comes down to one block, so that no two bins could be one.
     An empty table gives no rows.
     """
-    spark = pieces.sparkSession
     keys = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    id_kind = pieces.schema["doc_id"].dataType.simpleString()
+    pieces = pieces.withColumn("doc_id", F.col("doc_id").cast("string"))  # whole in pandas, beside nulls too
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", sequence_id long, offset long, filled boolean"
     done = []
-    left, before, round_no = cut_lineage(pieces), None, 0
+    left, before, round_no, slack = cut_lineage(pieces), None, 0, SLACK
     while True:
         n = left.count()
         n_blocks = max(1, -(-n // block_rows))
-        last = n_blocks == 1 or (before is not None and n > 0.7 * before)
+        last = n_blocks == 1
+        if before is not None and n > 0.7 * before:
+            slack = capacity // 2 - 1
         # the low bits of sequence_id number a block's bins, the next ones the block, the top ones the round
         base = round_no << 56
 
@@ -234,7 +255,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = B
             for k, rows in enumerate(pack_block(lengths, capacity)):
                 sizes = lengths[rows]
                 sequence[rows], offset[rows] = start + k, np.cumsum(sizes) - sizes
-                filled[rows] = capacity - int(sizes.sum()) <= SLACK
+                filled[rows] = capacity - int(sizes.sum()) <= slack
             return block[keys].assign(sequence_id=sequence, offset=offset, filled=filled)
 
         block = F.pmod(F.xxhash64(F.lit(seed + round_no), "doc_id", "piece", "ids_crc32"), F.lit(n_blocks))
@@ -248,7 +269,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = B
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.withColumn("doc_id", F.col("doc_id").cast(id_kind))
 
 
 def pack_documents(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
