@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.common import hash_key, share, shared, split_of
@@ -25,13 +25,24 @@ MEMO_ROWS = 200_000
 UNKNOWN = "und"
 
 
-def sample_rows(rows: DataFrame, max_rows: int, seed: int) -> DataFrame:
-    """About max_rows of the rows (all, if fewer), chosen by a hash of doc_id."""
+def sample_rows(rows: DataFrame, max_rows: int, seed: int, *by: str) -> DataFrame:
+    """About max_rows of the rows (all, if fewer), chosen by a hash of the columns named."""
     n = rows.count()
     if n <= max_rows:
         return rows
     edge = f"{int(max_rows / n * 16**8):08x}"
-    return rows.where(F.substring(hash_key(seed, F.col("doc_id")), 1, 8) < edge)
+    return rows.where(F.substring(hash_key(seed, *map(F.col, by)), 1, 8) < edge)
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (Unicode category L) of the text in lower case; training and prediction share it."""
+    found = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    out = []
+    for word in found:  # numbers that the pattern takes for letters, such as fractions, part words
+        out += [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -81,22 +92,25 @@ class BackoffModel:
         return out
 
 
-def fit_languages(docs: DataFrame, max_docs: int = 10_000, max_words: int = 20_000, seed: int = 5) -> BackoffModel | None:
-    """Learn from about max_docs documents with text and lang whose crc32(doc_id) mod 4 is not 2.
+def fit_languages(docs: DataFrame, max_docs: int = 10_000, seed: int = 5) -> BackoffModel | None:
+    """Learn from about max_docs documents with text and lang whose crc32(doc_id) mod 4 is not 2: all words of their whole texts.
 
-    Of each language the max_words most frequent words stay, so the model's size is bounded. No rows: None.
+    No rows: None. Repeated rows count each time; a null doc_id takes part.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of(F.col("doc_id"), 4) != 2))
-    words = (
-        sample_rows(known, max_docs, seed)
-        .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
-        .groupBy("lang", "word")
-        .count()
-    )
-    most = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    kept = words.withColumn("place", F.row_number().over(most)).where(F.col("place") <= max_words)
+    known = known.withColumn("text_key", F.crc32(F.col("text").cast("binary")))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted: Counter = Counter()
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"]):
+                counted.update((lang, w) for w in words_of(text))
+        if counted:
+            yield pd.DataFrame([(lang, w, n) for (lang, w), n in counted.items()], columns=["lang", "word", "n"])
+
+    words = sample_rows(known, max_docs, seed, "doc_id", "text_key").select("lang", "text").mapInPandas(count, "lang string, word string, n long")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for row in kept.select("lang", "word", "count").toLocalIterator():
+    for row in words.groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():  # the words of max_docs documents
         counts[row[0]][row[1]] = row[2]
     return BackoffModel(counts) if counts else None
 
@@ -119,7 +133,7 @@ def with_language(docs: DataFrame, model: BackoffModel | None, name: str = "lang
         for batch in batches:
             out = []
             for text in batch:
-                words = LETTERS.findall(text.lower()) if text and m is not None else []
+                words = words_of(text) if m is not None else []
                 if not words:
                     out.append((UNKNOWN, 0.0, 0))
                     continue

@@ -95,7 +95,7 @@ class NeighbourModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, rank: int = 48, seed: int = 7) -> NeighbourModel:
     """Fit on about max_labelled labelled rows whose crc32(doc_id) mod 5 is not 0; null labels and texts don't count."""
     usable = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isNotNull() & (split_of(F.col("doc_id"), 5) != 0))
-    chosen = sample_rows(usable, max_labelled, seed)  # bounded, so it may be broadcast
+    chosen = sample_rows(usable, max_labelled, seed, "doc_id")  # bounded, so it may be broadcast
     train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "label")
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
