@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heapreplace
 
 import ahocorasick
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import share, shared, split_of
+from cleargrain.llm.common import cut_lineage, share, shared, split_of
 from cleargrain.llm.langid import sample_rows
 
 # Look-alike letters of other scripts, and digits and signs that stand for letters.
@@ -68,12 +69,27 @@ def terms_of(folded: str) -> set[str]:
     """Distinct words as ` word ` and their beginnings as ` beg`."""
     out = set()
     for word in set(folded.split()):
-        if len(word) <= 40:
-            out.add(f" {word} ")
-            out.update(f" {word[:n]}" for n in range(SHORTEST_STEM, min(len(word), 9)))
+        out.add(f" {word} ")
+        out.update(f" {word[:n]}" for n in range(SHORTEST_STEM, min(len(word), 9)))
     return out
 
 
+def next_word(folded: str, at: int) -> tuple[str, int]:
+    """The first word from a place on, and where it ends."""
+    while at < len(folded) and folded[at] == " ":
+        at += 1
+    stop = folded.find(" ", at)
+    stop = len(folded) if stop < 0 else stop
+    return folded[at:stop], stop
+
+
+def last_word(folded: str, at: int) -> str:
+    """The word that ends before a place."""
+    while at > 0 and folded[at - 1] == " ":
+        at -= 1
+    return folded[folded.rfind(" ", 0, at) + 1 : at]
+
+
 @dataclass
 class ToxicLexicon:
     weights: dict[str, float] = field(default_factory=dict)
@@ -100,8 +116,8 @@ class ToxicLexicon:
                 best[start] = (term, weight)
         out = []
         for start, (term, weight) in best.items():
-            before, after = folded[max(0, start - 40) : start + 1].split(), folded[start + 1 : start + 90].split()[:2]
-            left, right = " ".join([*before[-1:], after[0]]), " ".join(after)
+            word, stop = next_word(folded, start)
+            left, right = f"{last_word(folded, start)} {word}".strip(), f"{word} {next_word(folded, stop)[0]}".strip()
             if left not in self.exceptions and right not in self.exceptions:
                 out.append((term, weight, left, right))
         return out
@@ -130,40 +146,53 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def choose_terms(tox: dict[str, int], clean: dict[str, int], n_tox: int, n_clean: int, members: dict[str, list[int]], max_terms: int) -> dict[str, float]:
+def choose_terms(tox: dict[str, int], clean: dict[str, int], n_tox: int, n_clean: int, members: dict[str, list[int]]) -> dict[str, float]:
     """Terms with weights, picked one by one by the toxic rows they still have to explain.
 
     Each pick lowers the weight of the rows that hold it, so rare words of one much-copied toxic row lose
     their support to the words that toxic rows of all kinds share. A stem that adds little to the words already
-    picked is left out the same way.
+    picked is left out the same way. Gains only fall, so a term is weighed anew when it heads the queue.
     """
     odds = {t: math.log((c + 0.5) / (n_tox + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1)) for t, c in tox.items()}
     usable = {t for t in tox if odds[t] >= 2.5 and clean.get(t, 0) <= 0.02 * tox[t] + 0.0005 * n_clean}
+    rows = {t: np.array(members[t]) for t in usable}
     left = np.ones(n_tox)
     least = max(1.0, 0.002 * n_tox)
     weights: dict[str, float] = {}
-    while usable and len(weights) < max_terms:
-        gain = {t: left[members[t]].sum() * (1 - clean.get(t, 0) / (tox[t] + clean.get(t, 0))) for t in usable}
-        best = max(gain, key=lambda t: (round(gain[t], 6), len(t), t))
-        if gain[best] < least:
+
+    def entry(t: str) -> tuple[float, int, list[int], str]:
+        gain = left[rows[t]].sum() * (1 - clean.get(t, 0) / (tox[t] + clean.get(t, 0)))
+        return -round(float(gain), 6), -len(t), [-ord(c) for c in t], t  # of equal gains the longest term, then the last by name
+
+    queue = [entry(t) for t in usable]
+    heapify(queue)
+    while queue:
+        now = entry(queue[0][3])
+        if now != queue[0]:
+            heapreplace(queue, now)
+            continue
+        if -now[0] < least:
             break
-        weights[best] = odds[best]
-        left[members[best]] *= 0.3
-        usable = {t for t in usable if gain[t] >= least and t != best}
+        heappop(queue)
+        weights[now[3]] = odds[now[3]]
+        left[rows[now[3]]] *= 0.3
     return weights
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_candidates: int = 20_000, max_terms: int = 500, min_docs: int = 3, seed: int = 11
-) -> ToxicLexicon:
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text, label: each labelled document once a label; of several texts of one doc_id the smallest, so no more rows than chosen has."""
+    met = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.distinct()), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, min_docs: int = 3, seed: int = 11) -> ToxicLexicon:
     """Learn from about max_labelled labelled rows whose crc32(doc_id) mod 4 is not 2. Null labels and texts don't count.
 
-    The lexicon holds max_terms terms at most, chosen from the max_candidates terms most frequent in toxic
-    rows. Without toxic rows it is empty and every score is 0.
+    Terms are those of at least min_docs toxic rows. Without toxic rows the lexicon is empty and every score is 0.
     """
     usable = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isNotNull() & (split_of(F.col("doc_id"), 4) != 2))
-    chosen = sample_rows(usable, max_labelled, seed)  # bounded, so it may be broadcast
-    train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    chosen = sample_rows(usable, max_labelled, seed, "doc_id")  # bounded, so it may be broadcast
+    train = cut_lineage(labelled_texts(docs, chosen))
     toxic, clean = train.where("label = 1"), train.where("label = 0")
 
     def list_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,8 +208,6 @@ def fit_toxicity(
         .groupBy("term")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= min_docs)
-        .orderBy(F.desc("n"), "term")
-        .limit(max_candidates)
     )
     tox = {r[0]: r[1] for r in candidates.collect()}
     if not tox:
@@ -210,7 +237,7 @@ def fit_toxicity(
     for i, row in enumerate(toxic_rows):
         for t in row[0]:
             members[names[t]].append(i)
-    weights = choose_terms({t: tox[t] for t in strong if t in members}, in_clean, len(toxic_rows), n_clean, members, max_terms)
+    weights = choose_terms({t: tox[t] for t in strong if t in members}, in_clean, len(toxic_rows), n_clean, members)
     lexicon = ToxicLexicon(weights)
 
     def list_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,26 +262,29 @@ def fit_toxicity(
     return lexicon
 
 
-def score_toxicity(docs: DataFrame, lexicon: ToxicLexicon) -> DataFrame:
-    """doc_id, score (0 to 1, higher: toxic), n_matches and matched (distinct lexicon terms): one row per document.
+def with_toxicity(docs: DataFrame, lexicon: ToxicLexicon, name: str = "toxicity") -> DataFrame:
+    """docs and a column of structs: score (0 to 1, higher: toxic), n_matches and matched (distinct lexicon terms).
 
-    The whole text counts. Null or empty text has no match and the score of documents without one. Repeated
-    rows repeat; other columns are ignored.
+    The whole text counts. Null or empty text has no match and the score of documents without one. Equal texts get equal scores. Repeated
+    rows repeat; other columns stay as they are.
     """
     held = share(docs, lexicon)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, n_matches long, matched array<string>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared(held)
         machine = own.matcher()
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for text in batch:
                 folded = fold(text)
                 found = own.matches(machine, folded)
                 out.append((own.calibrated(own.density(found, folded)), len(found), sorted({t.strip() for t, *_ in found})))
-            done = pd.DataFrame(out, columns=["score", "n_matches", "matched"])
-            done.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield done
+            yield pd.DataFrame(out, columns=["score", "n_matches", "matched"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, score double, n_matches long, matched array<string>")
+    return docs.withColumn(name, score("text"))
+
+
+def score_toxicity(docs: DataFrame, lexicon: ToxicLexicon) -> DataFrame:
+    """doc_id, score, n_matches and matched: one row per document, as with_toxicity() finds them."""
+    return with_toxicity(docs.select("doc_id", "text"), lexicon).select("doc_id", "toxicity.*")

@@ -126,6 +126,19 @@ def test_rounds_pack_what_blocks_leave(spark):
     assert got.count() == 500 and max(fills) <= 4096 and len(fills) <= 1.03 * math.ceil(sum(fills) / 4096)
 
 
+def test_ids_stay_whole_beside_nulls(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "one two"), (None, "three"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    lexicon = toxicity.ToxicLexicon()
+    for got in (packing.pack_documents(docs), toxicity.score_toxicity(docs, lexicon), ngram_join.join_ngrams(docs), langid.identify_languages(docs, None)):
+        assert {r["doc_id"] for r in got.collect()} == {big, big + 2, None}
+    pages = docs.selectExpr("doc_id as page_id", "cast(null as string) as url", "text as html")
+    assert {r["page_id"] for r in html_extract.extract_pages(pages).collect()} == {big, big + 2, None}
+    assert packing.pack_documents(docs.limit(0)).count() == 0
+    ids = packing.tokenize_pieces(docs, with_ids=True).collect()
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in ids)
+
+
 # ---- 3 html
 
 
@@ -199,11 +212,42 @@ def test_language(spark, odd_docs):
     tests = spark.createDataFrame([(1, "the waters and houses"), (2, "wasserhaus und nichts"), (3, None), (4, "123 !!"), (5, "")], "doc_id long, text string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_languages(tests, model).collect()}
     assert (got[1][0], got[2][0]) == ("en", "de") and got[3] == got[4] == got[5] == ("und", 0.0)
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ 3"), (2, "½the² water"), (3, "ª")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["lang_pred"], r["n_words"]) for r in langid.identify_languages(odd, model).collect() if r["doc_id"] < 3} == {1: ("und", 0), 2: ("en", 2)}
     assert langid.identify_languages(odd_docs, model).count() == 10
     assert langid.fit_languages(odd_docs.limit(0)) is None
     assert {r["lang_pred"] for r in langid.identify_languages(odd_docs, None).collect()} == {"und"}
 
 
+def test_language_matches_plain_counts(spark):
+    """Scores by word-first backoff, from plain Python counts over the same rows."""
+    rng = random.Random(8)
+    vocabulary = {"en": "the of and water house stone".split(), "de": "der und wasser haus stein".split()}
+    rows = [(i, " ".join(rng.choices(vocabulary[lang], k=15)), lang) for i in range(60) for lang in (("en", "de")[i % 2],)]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    count = {lang: [w for _, t, x in kept if x == lang for w in t.split()] for lang in ("de", "en")}
+
+    def log_share(items, item):
+        kinds = {x for xs in items.values() for x in xs}
+        return [math.log((items[lang].count(item) + 0.5) / (len(items[lang]) + 0.5 * (len(kinds) + 1))) for lang in ("de", "en")] if item in kinds else None
+
+    def score(word):
+        own = log_share(count, word)
+        for n in (4, 3, 2, 1):
+            if own is None:
+                pieces = {lang: [g for w in set(ws) for g in langid.grams(w, n)] for lang, ws in count.items()}
+                found = [x for g in langid.grams(word, n) if (x := log_share(pieces, g)) is not None]
+                own = [sum(x[k] for x in found) / len(found) for k in (0, 1)] if found else None
+        return own or [0.0, 0.0]
+
+    texts = {0: "the wasser waters hausen", 1: "stones stone zzz", 2: "und undstone q" + " steinhaus" * 50, 3: "xq " + "unseen" * 5_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in langid.identify_languages(docs, langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect():
+        total = [sum(score(w)[k] for w in texts[r["doc_id"]].split()) for k in (0, 1)]
+        share = [math.exp((x - max(total)) / max(1.0, len(texts[r["doc_id"]].split()) / 20)) for x in total]
+        assert r["lang_pred"] == ("de" if total[0] >= total[1] else "en") and abs(r["score"] - max(share) / sum(share)) < 1e-9
+
+
 # ---- 6 mixing
 
 
@@ -266,6 +310,44 @@ def test_toxicity(spark, odd_docs):
     assert {r["score"] for r in toxicity.score_toxicity(odd_docs, none).collect()} == {0.0}
 
 
+def test_toxicity_matches_plain_matching(spark):
+    """Matches by plain search for every term at every place, and densities, over odd spacing and words of any length."""
+    lexicon = toxicity.ToxicLexicon({" bad ": 2.0, " badder ": 3.0, " badd": 2.5, f" {'z' * 60} ": 4.0}, frozenset({"not bad", "bad luck"}), np.array([0.0, 1.0]), np.array([0.1, 0.9]))
+    machine = lexicon.matcher()
+    texts = ["bad", "not   bad", "bad -- luck", "badder bad", "baddest; b4d", "z" * 60, "x" * 300 + " bad " + "y" * 300, "", "bad bad"]
+    for text in texts:
+        folded = toxicity.fold(text)
+        places = {}
+        for term, weight in lexicon.weights.items():
+            for at in range(len(folded)):
+                if folded.startswith(term, at):
+                    places[at] = max(places.get(at, (0, "")), (weight, term))
+        plain = []
+        for at, (weight, term) in sorted(places.items()):
+            before, after = folded[:at].split()[-1:], folded[at:].split()[:2]
+            if " ".join([*before, after[0]]) not in lexicon.exceptions and " ".join(after) not in lexicon.exceptions:
+                plain.append((term, weight))
+        assert sorted((t, w) for t, w, *_ in lexicon.matches(machine, folded)) == sorted(plain), text
+        assert lexicon.density([(t, w, "", "") for t, w in plain], folded) == (sum(w for _, w in plain) / math.log2(4 + folded.count(" ")) if plain else 0.0)
+
+
+def test_terms_are_picked_like_a_plain_greedy_search():
+    rng = random.Random(4)
+    tox = {f" t{i} ": sorted(rng.sample(range(60), rng.randint(3, 30))) for i in range(40)}
+    clean = {t: rng.choice([0, 0, 0, 1]) for t in tox}
+    got = toxicity.choose_terms({t: len(m) for t, m in tox.items()}, clean, 60, 4_000, tox)
+    left, picked, usable = np.ones(60), [], {t for t in tox if t in got or clean[t] <= 0.02 * len(tox[t]) + 2}
+    while usable:
+        gain = {t: left[tox[t]].sum() * (1 - clean[t] / (len(tox[t]) + clean[t])) for t in usable}
+        best = max(gain, key=lambda t: (round(float(gain[t]), 6), len(t), t))
+        if gain[best] < 1:
+            break
+        picked.append(best)
+        left[tox[best]] *= 0.3
+        usable.remove(best)
+    assert list(got) == picked
+
+
 def test_exception_phrases(spark):
     rows = [(i, "you zorgle now") for i in range(40)] + [(i, "hot zorgle soup today") for i in range(100, 104)] + [(i, "calm river day") for i in range(200, 2400)]
     labels = spark.createDataFrame([(i, 1, int(i < 40)) for i, _ in rows], "doc_id long, quality int, toxic int")
