@@ -71,7 +71,8 @@ class Shingler:
         self.up, self.down = _powers(_BASE, 1 << 12), _powers(_INVERSE, 1 << 12)
         self.factors = _powers(0xD6E8FEB86659FD93, n + 1)[1:]
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def words(self, text: str | None) -> np.ndarray:
+        """64-bit hashes of the words in order."""
         if not text:
             return np.zeros(0, np.uint64)
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -85,7 +86,12 @@ class Shingler:
             return np.zeros(0, np.uint64)
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((_LOWER[raw] + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
-        words = mix((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+        return mix((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = self.words(text)
+        if not len(words):
+            return words
         if len(words) < self.n:  # the whole sequence is one shingle; its length is part of it
             one = (words * self.factors[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words))
             return mix(np.array([one], dtype=np.uint64))

@@ -1,13 +1,14 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-The terms of a document are trigrams of its character classes (letters, digits, each punctuation sign, breaks), with
-runs of letters drawn together, and terms for how often words and lines repeat. They are weighted by tf-idf and
-projected by a truncated singular value decomposition fitted on a bounded sample of labelled rows. The
+The terms of a document are its words and pairs of neighbouring words, hashed, and beside them trigrams of its character classes
+(letters, digits, each punctuation sign, breaks; runs of letters drawn together) and how often words and lines repeat. They are
+weighted by tf-idf and projected by a truncated singular value decomposition fitted on a bounded sample of labelled rows. The
 labelled vectors are broadcast; each block of documents takes its exact cosine products with all of them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.common import share, shared, split_of
-from cleargrain.llm.langid import sample_rows
+from cleargrain.llm.langid import labelled_texts, sample_rows
+from cleargrain.llm.ngram_join import Shingler, mix
 
-HASHED = 2048
+WORD_CELLS, CLASS_CELLS = 8192, 2048
 REPEAT_BINS = 8
-DIMENSION = HASHED + 3 * REPEAT_BINS
+DIMENSION = WORD_CELLS + CLASS_CELLS + 3 * REPEAT_BINS
+#: Shares of a document's length in the space that words, character classes and repeats take.
+WORD_PART, CLASS_PART, REPEAT_PART = 0.35, 0.5, 0.15
 BLOCK = 256
 
 
@@ -49,23 +53,37 @@ def repeat_shares(text: str) -> list[float]:
     return [same, 1 - min(1.0, len(set(words)) / (n**0.8)), 1 - len(set(lines)) / max(1, len(lines))]
 
 
-def features(text: str | None) -> np.ndarray:
-    """Term weights before idf: 1 + log of the count of each hashed trigram, and one-hot bins of the repeat shares."""
+def term_weights(text: str | None, shingler: Shingler) -> np.ndarray:
+    """Weights of a document's terms before idf: square roots of their shares among the words and pairs, and among the class
+    trigrams, and one-hot bins of the repeat shares. Each part's squares sum to its share of the length."""
     out = np.zeros(DIMENSION, dtype=np.float32)
-    if not text:
+    words = shingler.words(text)
+    if not len(words):
         return out
+    terms = np.concatenate((words, mix(words[:-1] * np.uint64(3) + words[1:])))
+    out[:WORD_CELLS] = np.sqrt(WORD_PART * np.bincount((terms % np.uint64(WORD_CELLS)).astype(np.int64), minlength=WORD_CELLS) / len(terms))
     c = CLASSES[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)]
     keep = np.ones(len(c), dtype=bool)
     keep[1:] = (c[1:] != c[:-1]) | (c[1:] > 2)
     c = np.concatenate(([0, 0], c[keep], [0]))
-    code = (c[:-2] * 40503 + c[1:-1] * 10007 + c[2:] * 101) % HASHED
-    counts = np.bincount(code, minlength=HASHED)
-    out[:HASHED] = np.sqrt(counts / len(code))
+    code = (c[:-2] * 40503 + c[1:-1] * 10007 + c[2:] * 101) % CLASS_CELLS
+    at = WORD_CELLS + CLASS_CELLS
+    out[WORD_CELLS:at] = np.sqrt(CLASS_PART * np.bincount(code, minlength=CLASS_CELLS) / len(code))
     for k, share in enumerate(repeat_shares(text)):
-        out[HASHED + k * REPEAT_BINS + min(REPEAT_BINS - 1, int(share * REPEAT_BINS))] = 0.3
+        out[at + k * REPEAT_BINS + min(REPEAT_BINS - 1, int(share * REPEAT_BINS))] = (REPEAT_PART / 3) ** 0.5
     return out
 
 
+def latent_axes(weighted: np.ndarray, rank: int, seed: int, turns: int = 6) -> np.ndarray:
+    """The leading right singular vectors of the rows, by subspace iteration with room for half as many more."""
+    rng = np.random.default_rng(seed)
+    basis = rng.standard_normal((weighted.shape[1], rank + rank // 2)).astype(np.float32)
+    for _ in range(turns):
+        basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
+    _, _, axes = np.linalg.svd(weighted @ basis, full_matrices=False)
+    return (basis @ axes.T)[:, :rank].astype(np.float32)
+
+
 @dataclass
 class NeighbourModel:
     idf: np.ndarray
@@ -80,13 +98,13 @@ class NeighbourModel:
         return np.divide(latent, size, out=np.zeros_like(latent), where=size > 1e-9)
 
     def vote(self, weighted: np.ndarray, k: int) -> np.ndarray:
-        """Share of label 1 among the k most similar labelled rows, weighted by similarity to the fourth power."""
+        """Share of label 1 among the k most similar labelled rows, weighted by similarity (cosines below 0 count as 0)."""
         if not len(self.labels):
             return np.full(len(weighted), self.prior)
         cosine = self.project(weighted) @ self.vectors.T
         k = min(k, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0)
         total = weight.sum(axis=1)
         score = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
         return np.clip(np.where(total > 1e-9, score, self.prior), 0.0, 1.0)
@@ -96,20 +114,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, r
     """Fit on about max_labelled labelled rows whose crc32(doc_id) mod 5 is not 0; null labels and texts don't count."""
     usable = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isNotNull() & (split_of(F.col("doc_id"), 5) != 0))
     chosen = sample_rows(usable, max_labelled, seed, "doc_id")  # bounded, so it may be broadcast
-    train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "label")
+    train = labelled_texts(docs, chosen).select("text", "label")
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler()
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "weights": [features(t).astype(np.float16).tobytes() for t in batch["text"]]})
-
-    rows = train.mapInPandas(weigh, "label int, weights binary").collect()
-    y = np.array([r[0] for r in rows], dtype=np.float64)
-    x = np.vstack([np.frombuffer(r[1], dtype=np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIMENSION), np.float32)
+            for text, label in zip(batch["text"], batch["label"]):
+                w = term_weights(text, shingler)
+                at = np.flatnonzero(w)
+                yield pd.DataFrame({"key": [zlib.crc32(text.encode("utf-8", "replace"))], "label": [int(label)], "terms": [at.astype(np.int16).tobytes()], "weights": [w[at].astype(np.float16).tobytes()]})
+
+    rows = sorted(train.mapInPandas(weigh, "key long, label int, terms binary, weights binary").collect())  # about max_labelled rows
+    y = np.array([r["label"] for r in rows], dtype=np.float64)
+    x = np.zeros((len(rows), DIMENSION), np.float32)
+    for line, r in zip(x, rows):
+        line[np.frombuffer(r["terms"], dtype=np.int16)] = np.frombuffer(r["weights"], dtype=np.float16)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    weighted = x * idf
-    rank = min(rank, DIMENSION)
-    _, components = np.linalg.eigh(weighted.T @ weighted)
-    model = NeighbourModel(idf, components[:, ::-1][:, :rank].astype(np.float32), np.zeros((0, rank), np.float32), y, float(y.mean()) if len(y) else 0.5)
+    rank = min(rank, max(1, len(x)))
+    axes = latent_axes(x * idf, rank, seed) if len(x) else np.zeros((DIMENSION, rank), np.float32)
+    model = NeighbourModel(idf, axes, np.zeros((0, rank), np.float32), y, float(y.mean()) if len(y) else 0.5)
     model.vectors = model.project(x)
     return model
 
@@ -124,11 +147,11 @@ def with_quality(docs: DataFrame, model: NeighbourModel, k: int = 15, name: str
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared(held)
+        own, shingler = shared(held), Shingler()
         for batch in batches:
             texts, out = list(batch), []
             for i in range(0, len(texts), BLOCK):
-                out.append(own.vote(np.vstack([features(t) for t in texts[i : i + BLOCK]]), k))
+                out.append(own.vote(np.vstack([term_weights(t, shingler) for t in texts[i : i + BLOCK]]), k))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(name, score("text"))

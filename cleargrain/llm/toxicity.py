@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.common import cut_lineage, share, shared, split_of
-from cleargrain.llm.langid import sample_rows
+from cleargrain.llm.langid import labelled_texts, sample_rows
 
 # Look-alike letters of other scripts, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -179,12 +179,6 @@ def choose_terms(tox: dict[str, int], clean: dict[str, int], n_tox: int, n_clean
     return weights
 
 
-def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, text, label: each labelled document once a label; of several texts of one doc_id the smallest, so no more rows than chosen has."""
-    met = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.distinct()), "doc_id")
-    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, min_docs: int = 3, seed: int = 11) -> ToxicLexicon:
     """Learn from about max_labelled labelled rows whose crc32(doc_id) mod 4 is not 2. Null labels and texts don't count.
 

@@ -294,6 +294,35 @@ def test_quality(spark, odd_docs):
     assert {r["score"] for r in quality.score_quality(odd_docs, quality.fit_quality(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_votes_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("river stone cloud walk under bright tea market".split(), k=20)) + ("!" * (i % 3)), i % 2) for i in range(120)] + [(500, "", 1), (501, None, 1)]
+    rows += [(600, rows[1][1], 0), (1, "same id, other text", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels, rank=8)
+    shingler = ngram_join.Shingler()
+    got = sorted((r["doc_id"], round(r["score"], 9)) for r in quality.score_quality(docs, model, k=7).collect())
+    plain = []
+    for i, text, _ in rows:
+        v = (quality.term_weights(text, shingler).astype(float) * model.idf) @ model.components
+        v = v / np.linalg.norm(v) if np.linalg.norm(v) > 1e-9 else v
+        near = sorted(((float(v @ u), y) for u, y in zip(model.vectors.astype(float), model.labels)), key=lambda x: -x[0])[:7]
+        total = sum(max(c, 0) for c, _ in near)
+        plain.append((i, sum(max(c, 0) * y for c, y in near) / total if total > 1e-9 else model.prior))
+    assert [i for i, _ in got] == sorted(i for i, _ in plain) and all(abs(a[1] - b[1]) < 1e-4 for a, b in zip(got, sorted(plain)))
+    assert quality.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_quality_space_knows_words(spark):
+    rng = random.Random(3)
+    of = lambda words, k: " ".join(rng.choices(words.split(), k=k))
+    rows = [(i, of("river stone cloud hill", 20) if i % 2 else of("casino bonus jackpot spin", 20), i % 2) for i in range(200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()}
+    assert all((got[i] > 0.5) == (i % 2 == 1) for i in range(200))
+
+
 def test_toxicity(spark, odd_docs):
     rng = random.Random(1)
     plain = lambda: " ".join(rng.choices("river stone cloud walks under bright morning you there".split(), k=30))
