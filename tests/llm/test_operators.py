@@ -156,7 +156,7 @@ def test_extraction(spark):
         assert r["n_chars"] == len(r["text"])
     assert got[3] == ["Head 3 A&B bold 3 x y"] and got[10] == ["Head 10 cut off"] and got[11] == ["plain <text>"] and got[12] == [""] and got[13] == ["", ""]
     assert got[21] == ["word 1 of a longer text"]
-    joined = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), max_broadcast_hosts=0)
+    joined = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), max_broadcast_bytes=0)
     assert sorted(r["text"] for r in joined.collect()) == sorted(t for ts in got.values() for t in ts)
 
 
@@ -186,6 +186,47 @@ def test_lists_of_links_stay_unless_they_repeat(spark):
     assert {(r["page_id"], r["text"]) for r in got} == {(i, f"{text} {i} source {i} alone") for i in range(4)} | {(9, f"{text} 0 source 0 alone")}
 
 
+def test_texts_of_the_template_are_no_content(spark):
+    """A notice and a reader comment in elements of neutral names, more words than some articles, the same on all pages."""
+    story = lambda i: " ".join(f"word{i}x{k}" for k in range(12 + i))
+    notice = "please note that this site moves to another address in the coming month and that all readers should take note of that"
+    rows = [
+        (i, "http://n.example.com", f"<body><div class=x><div><p>{story(i)}</p><p class=advert>buy {i}</p><p>Share this story<p>{story(i)} again</div><div><p>{notice}</p><span>first! {notice}</span></div></div></body>")
+        for i in range(8)
+    ]
+    # a host of copies keeps its text
+    rows += [(20 + i, "http://c.example.com", "<body><div><p>one and the same story on each page</p></div></body>") for i in range(6)]
+    rows += [(30, "http://s.example.com", "<table><tr><td class=sidebar>links<td><p>a layout of tables<tr><td class=menu>more<td>goes on</table>")]
+    rows += [(31, "http://d.example.com", "<div>" * 3_000 + "deep text" + "</div>" * 3_000), (32, "http://e.example.com", "<body><p>" + "long words " * 50_000)]
+    odd = spark.createDataFrame([(*r, "c", [1]) for r in rows], "page_id long, url string, html string, host string, texts array<long>")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(odd).collect()}
+    assert all(got[i] == f"{story(i)} {story(i)} again" for i in range(8))
+    assert all(got[20 + i] == "one and the same story on each page" for i in range(6))
+    assert got[30] == "a layout of tables goes on" and got[31] == "deep text" and got[32] == ("long words " * 50_000).strip()
+    assert html_extract.extract_pages(odd.limit(0)).count() == 0
+    beside = {r["page_id"]: r["text"] for r in html_extract.extract_pages(odd, max_broadcast_bytes=0).collect()}
+    assert beside == got
+
+
+def test_extraction_of_made_pages_is_whole(spark):
+    """Pages made from known blocks: what comes out is the article's blocks and no other, whatever the page's parts are called."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(500)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    rows, wanted = [], {}
+    for h in range(6):
+        menu, foot = say(6), say(25)
+        for i in range(12):
+            blocks = [say(rng.randint(5, 40)) for _ in range(rng.randint(1, 5))]
+            body = "".join(f"<p>{b}</p>" if rng.random() < 0.7 else f"<ul><li>{b}</ul>" for b in blocks)
+            tag = ("article", "main", "div class=c1", "div id=text", "section", "td")[h]
+            html = f"<html><head><title>{say(4)}</title></head><body><div class=k><a href=/>{menu}</a></div><{tag}>{body}</{tag.split()[0]}><div class=z>{foot}</div></body></html>"
+            rows.append((100 * h + i, f"http://h{h}.example.com/{i}", html))
+            wanted[100 * h + i] = " ".join(blocks)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == wanted
+
+
 # ---- 4 sharding
 
 
