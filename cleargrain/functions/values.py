@@ -15,12 +15,6 @@ CURRENCY = r"^[\s]*[$€£₹¥]?\s?-?\d{1,3}(,\d{3})*(\.\d+)?\s*[$€£₹¥]?\
 ZIP = r"^\d{5}(-\d{4})?$"
 NUMBER = r"^-?\d+(\.\d+)?$"
 CORRUPTED = r"[\x00-\x08\x0b\x0c\x0e-\x1f�]"
-DATE_FORMATS = (
-    "yyyy-MM-dd", "dd-MM-yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss",
-    "MM-dd-yyyy", "dd MMM yyyy", "dd MMMM yyyy",
-)
-DATE_START = r"^[+-]?\d{1,6}[-/ .T:]"
 COUNTRIES = {
     "usa": "United States", "us": "United States", "u.s.a.": "United States", "united states of america": "United States",
     "uk": "United Kingdom", "u.k.": "United Kingdom", "uae": "United Arab Emirates",
@@ -28,10 +22,21 @@ COUNTRIES = {
 GENDERS = {"m": "Male", "male": "Male", "f": "Female", "female": "Female", "man": "Male", "woman": "Female"}
 
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-#: One and two digits of day and month both count in lenient parsing.
-_MONTH_FIRST = ("M/d/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]")
-_DAY_FIRST = ("d/M/yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]")
-_PLAIN = ("yyyy-M-d['T'][ ][H:mm[:ss[.SSS]]]", "yyyy/M/d[ H:mm[:ss]]", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy")
+_TIME, _TIME_FORMAT = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?", "H:mm[:ss[.SSSSSSSSS]]"
+#: Shapes of dates and the formats for each; a text is parsed by those of its own shape alone, as parsers are slow to fail.
+#: Day and month may have one digit or two. {order} takes d and M in the order of the reading.
+_SHAPES = (
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[T ]{_TIME})?$", (f"yyyy-M-d['T'][ ][{_TIME_FORMAT}]",)),
+    (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}(?: {_TIME})?$", (f"yyyy/M/d[ {_TIME_FORMAT}]",)),
+    (rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}(?: {_TIME})?$", (f"{{order/}}/yyyy[ {_TIME_FORMAT}]",)),
+    (rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}}(?: {_TIME})?$", (f"{{order-}}-yyyy[ {_TIME_FORMAT}]",)),
+    (r"^\d{8}$", ("yyyyMMdd",)),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}$", ("d MMM yyyy", "d MMMM yyyy")),
+    (r"^\d{1,2}-[A-Za-z]{3,9}-\d{4}$", ("d-MMM-yyyy", "d-MMMM-yyyy")),
+    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$", ("MMM d[,] yyyy", "MMMM d[,] yyyy")),
+)
+#: What else may read as a timestamp, one with a zone above all.
+_WIDE = r"^[+-]?\d{1,6}[-/ .T:]"
 
 
 def _col(c: Column | str) -> Column:
@@ -75,10 +80,25 @@ def _zip(value: Column) -> Column:
     return value.rlike(ZIP)
 
 
+def _reading(value: Column, orders: tuple[str, ...]) -> Column:
+    """The timestamp of trimmed text, or null. orders: "Md", "dM" or both, for dates that do not tell day from month."""
+    out = None
+    for shape, formats in _SHAPES:
+        tried = []
+        for f in formats:
+            for mark in "/-":
+                if f"{{order{mark}}}" in f:
+                    tried += [f.replace(f"{{order{mark}}}", mark.join(o)) for o in orders]
+                    break
+            else:
+                tried.append(f)
+        parsed = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in tried])
+        out = F.when(value.rlike(shape), parsed) if out is None else out.when(value.rlike(shape), parsed)
+    return out.when(value.rlike(_WIDE) & (F.length(value) >= 8), value.try_cast("timestamp"))
+
+
 def _date(value: Column) -> Column:
-    wide = F.when(F.length(value) >= 8, value.try_cast("timestamp"))
-    # parsers are slow to fail, so texts that no format can begin with are turned away first
-    return (value != "") & F.when(value.rlike(DATE_START), _first_parse(value, DATE_FORMATS).isNotNull() | wide.isNotNull()).otherwise(F.lit(False))
+    return value.isNotNull() & _reading(value, ("Md", "dM")).isNotNull()
 
 
 #: Meanings by the pattern of trimmed text, in the order in which they are tried; a date of digits would pass for a phone number.
@@ -114,12 +134,9 @@ def is_corrupted(c: Column | str) -> Column:
     return F.coalesce(_col(c).rlike(CORRUPTED), F.lit(False))
 
 
-def _first_parse(value: Column, formats) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
-
-
 def is_date(c: Column | str) -> Column:
-    """In one of the known formats, or a text of 8 characters or more that reads as a timestamp."""
+    """A date or timestamp: numbers of year, month and day in any usual order, with one digit or two, compact (20240105), with a named month, with a
+    time or a zone."""
     return _date(strip(c))
 
 
@@ -130,17 +147,12 @@ def to_number(c: Column | str) -> Column:
 
 def date_reading(c: Column | str, day_first: bool) -> Column:
     """The timestamp of a text under one reading of ambiguous dates; the other one still helps where the first fails."""
-    value = strip(c)
-    order = (*_DAY_FIRST, *_MONTH_FIRST) if day_first else (*_MONTH_FIRST, *_DAY_FIRST)
-    wide = F.when(F.length(value) >= 8, value.try_cast("timestamp"))
-    return F.when(value.rlike(r"^[+\-]?\d|^[A-Za-z]{3} "), F.coalesce(_first_parse(value, (*_PLAIN, *order)), wide))
+    return _reading(strip(c), ("dM", "Md") if day_first else ("Md", "dM"))
 
 
 def strict_reading(c: Column | str, day_first: bool) -> Column:
     """As date_reading, but without help from the other order; its hits decide which reading a column gets."""
-    value = strip(c)
-    wide = F.when(F.length(value) >= 8, value.try_cast("timestamp"))
-    return F.when(value.rlike(r"^[+\-]?\d|^[A-Za-z]{3} "), F.coalesce(_first_parse(value, (*_PLAIN, *(_DAY_FIRST if day_first else _MONTH_FIRST))), wide))
+    return _reading(strip(c), ("dM",) if day_first else ("Md",))
 
 
 def casefold(c: Column | str) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleargrain.functions import values as V
-from cleargrain.operators.profile import ColumnProfile, data_columns, is_numeric, is_text, profile_columns, quoted, value_frequencies
+from cleargrain.operators.profile import ColumnProfile, data_columns, exact_quantiles, is_numeric, is_text, profile_columns, quoted, row_key, value_frequencies
 from cleargrain.sources.rowid import ROW_ID
 from cleargrain.sources.versions import settled
 
@@ -34,6 +36,8 @@ VALIDATORS = {"email": V.is_email, "phone": V.is_phone, "url": V.is_url, "date":
 NUMERIC_TYPES = ("numeric", "integer", "currency")
 #: Odd spellings of a column are broadcast up to this size, with ROW_BYTES for each; beyond it they are shuffled.
 BROADCAST_BYTES, ROW_BYTES = 4_000_000, 64
+#: Tasks over which the rows of one repeated key are dealt.
+SALTS = 16
 FINDINGS = "check_key string, dimension string, severity string, count long, column_name string, sample array<string>"
 
 
@@ -47,7 +51,8 @@ class RowCheck:
     dimension: str
     severity: str | Callable[[int, int], str]
     counted: Column | None = None
-    sample_column: str | None = None
+    #: The mask as a function of the column's text, if it depends on that alone: it is then counted on distinct values.
+    test: Callable[[Column], Column] | None = None
 
 
 @dataclass
@@ -59,6 +64,7 @@ class Facts:
     odd: DataFrame | None = None
     #: Columns with odd spellings, and the bytes that these take.
     cased: dict[str, int] = field(default_factory=dict)
+    frequencies: DataFrame | None = None
 
     def __getitem__(self, name: str) -> ColumnProfile:
         return next(c for c in self.columns if c.name == name)
@@ -82,34 +88,29 @@ def canonical_spellings(frequencies: DataFrame) -> DataFrame:
 
 
 def odd_spellings(frequencies: DataFrame) -> DataFrame:
-    """column_name, value: the spellings that are not the canonical one of their key."""
+    """column_name, value, n: the spellings that are not the canonical one of their key."""
     several = canonical_spellings(frequencies).where("spellings > 1")
     keyed = frequencies.withColumn("key", V.casefold("value"))
-    return keyed.join(several, ["column_name", "key"]).where("value != spelling").select("column_name", "value")
+    return keyed.join(several, ["column_name", "key"]).where("value != spelling").select("column_name", "value", "n")
 
 
-def quartiles(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
+def quartiles(df: DataFrame, names: list[str], frequencies: DataFrame | None = None) -> dict[str, tuple[float, float]]:
     """Exact first and third quartiles, from value frequencies, so equal values count once."""
     if not names:
         return {}
-    rows = (
-        value_frequencies(df, names)
-        .withColumn("x", V.to_number("value"))
-        .where("x is not null")
-        .groupBy("column_name")
-        .agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
-        .collect()
-    )
-    return {r[0]: tuple(r[1]) for r in rows}
+    own = value_frequencies(df, names) if frequencies is None else frequencies.where(F.col("column_name").isin(names))
+    return {name: tuple(q) for name, q in exact_quantiles(own, [0.25, 0.75]).items()}
 
 
 def gather_facts(df: DataFrame, columns: list[ColumnProfile] | None = None, samples: bool = False) -> Facts:
-    columns = profile_columns(df, samples) if columns is None else columns
-    facts = Facts(columns)
-    facts.quartiles = quartiles(df, [c.name for c in columns if c.semantic_type in NUMERIC_TYPES and is_numeric(df.schema[c.name].dataType)])
+    """Profiles, quartiles and odd spellings, all from one table of value frequencies that is computed once."""
+    frequencies = settled(value_frequencies(df))
+    columns = profile_columns(df, samples, frequencies=frequencies) if columns is None else columns
+    facts = Facts(columns, frequencies=frequencies)
+    facts.quartiles = quartiles(df, [c.name for c in columns if c.semantic_type in NUMERIC_TYPES and is_numeric(df.schema[c.name].dataType)], frequencies)
     texts = [c.name for c in columns if c.semantic_type in ("categorical", "text") and is_text(df.schema[c.name].dataType) and c.distinct_count]
     if texts:
-        facts.odd = settled(odd_spellings(value_frequencies(df, texts)))
+        facts.odd = settled(odd_spellings(frequencies.where(F.col("column_name").isin(texts))))
         sizes = {r[0]: r[1] for r in facts.odd.groupBy("column_name").agg(F.sum(F.octet_length("value") + ROW_BYTES)).collect()}  # a row per column
         facts.cased = {c: sizes[c] for c in texts if c in sizes}
     return facts
@@ -124,17 +125,20 @@ def outlier_bounds(q: tuple[float, float]) -> tuple[float, float]:
     return q[0] - 1.5 * spread, q[1] + 1.5 * spread
 
 
-def spelling_mask(df: DataFrame, name: str) -> Column:
-    """Rows whose spelling is not the canonical one, the odd ones as literals."""
-    return _false_if_null(quoted(name).isin([r[0] for r in odd_spellings(value_frequencies(df, [name])).select("value").collect()]))
+def with_odd_spelling(df: DataFrame, name: str) -> DataFrame:
+    """Rows whose spelling is not the canonical one; odd spellings are joined, never collected."""
+    odd = odd_spellings(value_frequencies(df, [name])).select(F.col("value").alias("_odd"))
+    return df.join(odd, quoted(name).cast("string") == F.col("_odd"), "left_semi")
 
 
 def row_checks(df: DataFrame, facts: Facts) -> list[RowCheck]:
     """All checks that flag rows and apply to the table, but for those of flag_spellings() and flag_duplicates()."""
     out: list[RowCheck] = []
 
-    def add(key: str, column: str, mask: Column, severity=None, **more) -> None:
-        out.append(RowCheck(key, column, _false_if_null(mask), DIMENSIONS[key], severity or SEVERITIES[key], **more))
+    def add(key: str, column: str, mask, severity=None) -> None:
+        test = (lambda c: _false_if_null(mask(c))) if callable(mask) else None
+        whole = test(quoted(column)) if test else _false_if_null(mask)
+        out.append(RowCheck(key, column, whole, DIMENSIONS[key], severity or SEVERITIES[key], test=test))
 
     for p in facts.columns:
         c, kind, text = quoted(p.name), p.semantic_type, is_text(df.schema[p.name].dataType)
@@ -142,13 +146,13 @@ def row_checks(df: DataFrame, facts: Facts) -> list[RowCheck]:
             pct = p.null_count / p.rows * 100
             add("missing_values", p.name, c.isNull(), "critical" if pct > 50 else "high" if pct > 20 else "medium" if pct > 5 else "low")
         if text:
-            add("blank_strings", p.name, V.is_blank(c))
-            add("whitespace", p.name, V.has_outer_space(c))
-            add("unicode_issues", p.name, V.is_corrupted(c))
+            add("blank_strings", p.name, V.is_blank)
+            add("whitespace", p.name, V.has_outer_space)
+            add("unicode_issues", p.name, V.is_corrupted)
             if 0.1 < p.number_share < 0.9:
-                add("mixed_types", p.name, c.isNotNull() & (~V.is_number(c) if p.number_share >= 0.5 else V.is_number(c)))
+                add("mixed_types", p.name, (lambda c: ~V.is_number(c)) if p.number_share >= 0.5 else V.is_number)
         if kind in VALIDATORS and text:
-            add(f"invalid_{kind}", p.name, c.isNotNull() & ~_false_if_null(VALIDATORS[kind](c)))
+            add(f"invalid_{kind}", p.name, lambda c, valid=VALIDATORS[kind]: c.isNotNull() & ~_false_if_null(valid(c)))
         if kind in ("currency", "zip") and is_numeric(df.schema[p.name].dataType):
             add("negative_values", p.name, c < 0)
         if p.name in facts.quartiles and is_numeric(df.schema[p.name].dataType) and p.filled >= 10:
@@ -156,7 +160,24 @@ def row_checks(df: DataFrame, facts: Facts) -> list[RowCheck]:
             if lo != hi:
                 add("outliers", p.name, (c < lo) | (c > hi))
     for fn in CHECKS:
-        out += fn(df, facts)
+        out += user_checks(df, facts, fn)
+    return out
+
+
+def user_checks(df: DataFrame, facts: Facts, fn: Callable[[DataFrame, Facts], list[RowCheck]]) -> list[RowCheck]:
+    """The checks of a registered function; one that raises, or whose mask Spark cannot analyse, is left out with a warning."""
+    try:
+        found = list(fn(df, facts))
+    except Exception as e:  # whatever a user's function raises must not end the run
+        warnings.warn(f"check {getattr(fn, '__name__', fn)} left out: {e}", stacklevel=2)
+        return []
+    out = []
+    for x in found:
+        try:
+            df.select(x.mask, *([] if x.counted is None else [x.counted])).schema  # noqa: B018  analysis only
+            out.append(x)
+        except AnalysisException as e:
+            warnings.warn(f"check {x.key} left out: {e}", stacklevel=2)
     return out
 
 
@@ -173,23 +194,31 @@ def flag_spellings(df: DataFrame, facts: Facts) -> tuple[DataFrame, list[RowChec
     return df, checks
 
 
+def _with_sizes(df: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """df left joined with the sizes of repeated keys."""
+    sizes = settled(sizes)
+    if sizes.count() * ROW_BYTES <= BROADCAST_BYTES:
+        return df.join(F.broadcast(sizes), key, "left")
+    salt = F.pmod(F.xxhash64(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", salt).join(spread, [key, "_salt"], "left").drop("_salt")
+
+
 def flag_duplicates(df: DataFrame, facts: Facts) -> tuple[DataFrame, list[RowCheck]]:
     """df with the size of each row's group of equal rows and of equal ids, and the checks on them.
 
-    Sizes are aggregated first and joined back on a hash, so a group with very many copies meets in no one task.
-    Masks take all members of a group; counts leave one of each group out.
+    Sizes are aggregated first and joined back on a hash: broadcast while the repeated keys are few, else by key and salt, so a group with
+    very many copies meets in no one task. Masks take all members of a group; counts leave one of each group out.
     """
     names = [f.name for f in data_columns(df)]
     checks: list[RowCheck] = []
-    whole = F.struct(F.xxhash64(*map(quoted, names)).alias("h1"), F.xxhash64(F.lit(1), *map(quoted, names)).alias("h2"))
-    keyed = df.withColumn("_whole", whole)
-    groups = keyed.groupBy("_whole").agg(F.count("*").alias("_copies"))
-    keyed = keyed.join(groups.where("_copies > 1"), "_whole", "left")
+    keyed = df.withColumn("_whole", row_key(names) if names else F.lit(None).cast("int"))
+    keyed = _with_sizes(keyed, keyed.groupBy("_whole").agg(F.count("*").alias("_copies")).where("_copies > 1"), "_whole")
     extra = lambda size: F.when(size > 1, (size - 1) / size).otherwise(0.0)  # noqa: E731  sums to copies - 1 over a group
     checks.append(RowCheck("duplicate_rows", None, _false_if_null(F.col("_copies") > 1), "uniqueness", lambda n, rows: "high" if n > 0.05 * rows else "medium", extra(F.col("_copies"))))
     for k, p in enumerate(x for x in facts.columns if x.semantic_type == "id"):
         sizes = df.where(quoted(p.name).isNotNull()).groupBy(quoted(p.name).alias(f"_id{k}")).agg(F.count("*").alias(f"_same{k}"))
-        keyed = keyed.join(sizes.where(F.col(f"_same{k}") > 1), quoted(p.name) == F.col(f"_id{k}"), "left").drop(f"_id{k}")
+        keyed = _with_sizes(keyed.withColumn(f"_id{k}", quoted(p.name)), sizes.where(F.col(f"_same{k}") > 1), f"_id{k}").drop(f"_id{k}")
         checks.append(RowCheck("duplicate_ids", p.name, _false_if_null(F.col(f"_same{k}") > 1), "integrity", "high", extra(F.col(f"_same{k}"))))
     return keyed.drop("_whole"), checks
 
@@ -236,25 +265,75 @@ def column_findings(df: DataFrame, facts: Facts) -> list[tuple]:
 
 
 def run_checks(df: DataFrame, facts: Facts | None = None, rules: list[RowCheck] = (), samples: bool = True) -> DataFrame:
-    """Findings: one row per check and column with a count above 0. A broken rule is left out, the others run."""
+    """Findings: one row per check and column with a count above 0. A broken rule is left out, the others run.
+
+    Checks on a text alone are counted, and sampled, on distinct values with their frequencies; the others in one scan of the rows.
+    """
     facts = facts or gather_facts(df)
     spark = df.sparkSession
     n = facts.columns[0].rows if facts.columns else df.count()
     if not n:
         return spark.createDataFrame([("empty_dataset", "integrity", "critical", 1, None, [])], FINDINGS)
     flagged, doubles = flag_duplicates(df, facts)
-    flagged, casings = flag_spellings(flagged, facts)
-    checks = [*row_checks(df, facts), *casings, *doubles, *rules]
-    counts = flagged.agg(*[(F.round(F.sum(x.counted)) if x.counted is not None else F.count_if(x.mask)).cast("long").alias(f"c{k}") for k, x in enumerate(checks)]).first()
+    mine = row_checks(df, facts)
+    by_value, by_row = [x for x in mine if x.test], [*[x for x in mine if not x.test], *doubles, *rules]
+    found = value_findings(facts, df, by_value, samples)
+    counts = count_checks(flagged, by_row)
+    shown = sample_values(df, [x for x, c in zip(by_row, counts) if c and x.column and x.counted is None and x.key != "missing_values"]) if samples else {}
+    found += [(x, c, shown.get((x.key, x.column), [])) for x, c in zip(by_row, counts)]
     rows = column_findings(df, facts)
-    hit = [(k, x) for k, x in enumerate(checks) if counts[k]]
-    shown = sample_values(flag_spellings(df, facts)[0], [x for _, x in hit if x.column and x.counted is None]) if samples else {}
-    for k, x in hit:
-        severity = x.severity(counts[k], n) if callable(x.severity) else x.severity
-        rows.append((x.key, x.dimension, severity, counts[k], x.column, shown.get((x.key, x.column), [])))
+    for x, c, sample in found:
+        if c:
+            rows.append((x.key, x.dimension, x.severity(c, n) if callable(x.severity) else x.severity, c, x.column, sample))
     return spark.createDataFrame(rows, FINDINGS)
 
 
+def value_findings(facts: Facts, df: DataFrame, checks: list[RowCheck], samples: bool, k: int = 5) -> list[tuple[RowCheck, int, list[str]]]:
+    """(check, rows, up to k distinct offending values) of checks on texts, and of odd spellings."""
+    frequencies = facts.frequencies if facts.frequencies is not None else value_frequencies(df, list(dict.fromkeys(x.column for x in checks)))
+    cased = [RowCheck("case_inconsistency", c, F.lit(True), DIMENSIONS["case_inconsistency"], SEVERITIES["case_inconsistency"]) for c in facts.cased]
+    named = [*checks, *cased]
+    if not named:
+        return []
+    marks = [F.when((F.col("column_name") == x.column) & x.test(F.col("value")), F.lit(i)) for i, x in enumerate(checks)]
+    hits = frequencies.select("value", "n", F.explode(F.array_compact(F.array(*marks))).alias("i")) if marks else None
+    if cased:
+        number = F.create_map(*[F.lit(v) for j, x in enumerate(cased) for v in (x.column, len(checks) + j)])
+        odd = facts.odd.where(F.col("column_name").isin(list(facts.cased))).select("value", "n", F.element_at(number, F.col("column_name")).alias("i"))
+        hits = odd if hits is None else hits.unionByName(odd)
+    hits = settled(hits)
+    counts = {r[0]: r[1] for r in hits.groupBy("i").agg(F.sum("n")).collect()}  # a row per check
+    shown: dict[int, list[str]] = {}
+    if samples:
+        place = F.row_number().over(Window.partitionBy("i").orderBy("value"))
+        for i, value in hits.withColumn("place", place).where(F.col("place") <= k).orderBy("i", "place").select("i", "value").collect():
+            shown.setdefault(i, []).append(value)
+    return [(x, counts.get(i, 0), shown.get(i, [])) for i, x in enumerate(named)]
+
+
+def count_checks(flagged: DataFrame, checks: list[RowCheck]) -> list[int]:
+    """Rows that each check flags, in one scan. If that fails, checks beside the built-in ones are counted one by one, and a failing one counts none."""
+
+    def count(some: list[RowCheck]) -> list[int]:
+        return list(flagged.agg(*[(F.round(F.sum(x.counted)) if x.counted is not None else F.count_if(x.mask)).cast("long").alias(f"c{k}") for k, x in enumerate(some)]).first())
+
+    own = [x for x in checks if x.key in DIMENSIONS]
+    if len(own) == len(checks):
+        return count(checks)
+    try:
+        return count(checks)
+    except PySparkException:  # a value that a user's mask cannot take
+        found = dict(zip(map(id, own), count(own)))
+        for x in checks:
+            if id(x) not in found:
+                try:
+                    found[id(x)] = count([x])[0]
+                except PySparkException as e:
+                    warnings.warn(f"check {x.key} left out: {e}", stacklevel=2)
+                    found[id(x)] = 0
+        return [found[id(x)] for x in checks]
+
+
 def sample_values(df: DataFrame, checks: list[RowCheck], k: int = 5) -> dict[tuple[str, str], list[str]]:
     """Up to k distinct offending values of each check."""
     if not checks:
@@ -298,9 +377,8 @@ class Rules:
         for r in self.rows.where("active").collect():
             try:
                 out.append(rule_check(df, r["rule_id"], r["condition"], r["dimension"], r["severity"]))
-            except Exception as e:
-                if "[" not in str(e) and not isinstance(e, ValueError):  # Spark's analysis errors carry a [CLASS]
-                    raise
+            except (AnalysisException, ValueError) as e:
+                warnings.warn(f"rule {r['rule_id']} left out: {e}", stacklevel=2)
         return out
 
 
@@ -322,6 +400,8 @@ def affected_rows(df: DataFrame, key: str, column: str | None = None, facts: Fac
         return flagged.where(mask).select(*[quoted(c) for c in df.columns])
     if column is None:
         return df.limit(0)
+    if key == "case_inconsistency":
+        return with_odd_spelling(df, column)
     # the facts of one column are enough
     own = facts or Facts(profile_columns(df.select(quoted(column)), samples=False) if key == "mixed_types" else [])
     return df.where(mask_of(df, own, key, column))
@@ -335,8 +415,6 @@ def mask_of(df: DataFrame, facts: Facts, key: str, column: str) -> Column:
         q = facts.quartiles.get(column) or quartiles(df, [column]).get(column)
         lo, hi = outlier_bounds(q) if q else (0.0, 0.0)
         mask = (number < lo) | (number > hi) if q and lo != hi else F.lit(False)
-    elif key == "case_inconsistency":
-        mask = spelling_mask(df, column)
     elif key == "mixed_types":
         mask = c.isNotNull() & (~V.is_number(c.cast("string")) if facts[column].number_share >= 0.5 else V.is_number(c.cast("string")))
     elif key.removeprefix("invalid_") in VALIDATORS:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleargrain.functions import values as V
-from cleargrain.operators.checks import VALIDATORS, Facts, canonical_spellings, gather_facts, outlier_bounds, quartiles, spelling_mask
-from cleargrain.operators.profile import data_columns, is_numeric, is_text, profile_columns, quoted, value_frequencies
+from cleargrain.operators.checks import VALIDATORS, Facts, canonical_spellings, gather_facts, outlier_bounds, quartiles, with_odd_spelling
+from cleargrain.operators.profile import data_columns, exact_quantiles, is_numeric, is_text, profile_columns, quoted, row_key, value_frequencies
 from cleargrain.operators.score import FIXABLE, severity_rank
 from cleargrain.sources.rowid import ROW_ID
 from cleargrain.sources.versions import settled
@@ -45,8 +45,7 @@ def never_filled(name: str) -> bool:
 
 def keep_first(df: DataFrame, names: list[str]) -> DataFrame:
     """The first row by number of each group of equal values; nulls are equal. The least number of a group is aggregated, then joined."""
-    key = F.struct(F.xxhash64(*map(quoted, names)).alias("a"), F.xxhash64(F.lit(1), *map(quoted, names)).alias("b"))
-    first = df.groupBy(key.alias("_k")).agg(F.min(ROW_ID).alias(ROW_ID)).select(ROW_ID)
+    first = df.groupBy(row_key(names).alias("_k")).agg(F.min(ROW_ID).alias(ROW_ID)).select(ROW_ID)
     return df.join(first, ROW_ID, "left_semi")
 
 
@@ -54,7 +53,8 @@ def typical_value(df: DataFrame, name: str) -> tuple[object, str]:
     """What fills a gap: the median of numbers, the most frequent text (smallest of ties) that isn't blank, or Unknown."""
     c = quoted(name)
     if is_numeric(df.schema[name].dataType):
-        return df.agg(F.percentile(c, 0.5)).first()[0], "median"
+        found = exact_quantiles(value_frequencies(df, [name]), [0.5])
+        return (found[name][0] if found else None), "median"
     values = value_frequencies(df, [name]).where(~V.is_blank("value"))
     best = values.agg(F.min_by("value", F.struct(-F.col("n"), F.col("value")))).first()[0]
     return ("Unknown", "Unknown") if best is None else (best, "mode")
@@ -104,10 +104,9 @@ def apply_fix(df: DataFrame, key: str, column: str | None = None, facts: Facts |
         return put(clipped, (x < lo) | (x > hi), "clip", f"to {lo:g} … {hi:g}")
     if key == "case_inconsistency":
         names = canonical_spellings(value_frequencies(df, [column])).where("spellings > 1").select("key", "spelling")
-        wrong = spelling_mask(df, column)
         fixed = df.withColumn("_k", V.casefold(c)).join(names.withColumnRenamed("key", "_k"), "_k", "left")
         fixed = fixed.withColumn(column, F.coalesce("spelling", c)).select(*[quoted(x) for x in df.columns])
-        return FixResult(fixed, "unify_case", df.where(wrong).count(), "most frequent spelling")
+        return FixResult(fixed, "unify_case", with_odd_spelling(df, column).count(), "most frequent spelling")
     if key == "mixed_types":
         numbers = V.is_number(c)
         share = df.agg(F.avg(numbers.cast("double"))).first()[0] or 0.0

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from math import ceil, floor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleargrain.functions import values as V
 from cleargrain.sources.rowid import ROW_ID
+from cleargrain.sources.versions import settled
 
 # Parts of column names, in order, and the meaning that they suggest.
 NAME_HINTS = (
@@ -61,6 +63,12 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_key(names: list[str]) -> Column:
+    """Two 64-bit hashes of a row's values. A null counts at its own place: the hash passes nulls over, so their marks go in too."""
+    parts = [x for n in names for x in (quoted(n).isNull(), quoted(n))]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def is_text(kind: T.DataType) -> bool:
     return isinstance(kind, T.StringType)
 
@@ -82,6 +90,34 @@ def distinct_counts(frequencies: DataFrame) -> DataFrame:
     return frequencies.groupBy("column_name").agg(F.count("*").alias("distinct_count"))
 
 
+def exact_quantiles(frequencies: DataFrame, shares: list[float]) -> dict[str, list[float]]:
+    """Exact quantiles, with linear interpolation, of the numbers among the values of each column.
+
+    Distinct values are dealt to tasks by ranges; prefix sums of the ranges' counts tell where each rank lies, so no task holds a column.
+    """
+    n_ranges = int(frequencies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = frequencies.select("column_name", V.to_number("value").alias("x"), "n").where("x is not null")
+    ranged = settled(numbers.repartitionByRange(n_ranges, "column_name", "x").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("column_name", "part").agg(F.sum("n").alias("m"))  # n_ranges rows a column at most
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("column_name", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"), F.sum("m").over(Window.partitionBy("column_name")).alias("total"))
+    inside = Window.partitionBy("column_name", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ranged.join(starts, ["column_name", "part"]).withColumn("end", F.col("start") + F.sum("n").over(inside))
+    place = lambda share: F.lit(share) * (F.col("total") - 1)
+    ranks = F.array(*[r(place(s)).cast("long") for s in shares for r in (F.floor, F.ceil)])
+    held = F.filter(ranks, lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("n")))
+    found: dict[str, dict[int, float]] = {}
+    totals: dict[str, int] = {}
+    for name, x, total, own in ends.select("column_name", "x", "total", held.alias("r")).where(F.size("r") > 0).collect():  # two rows a share and column at most
+        totals[name] = total
+        found.setdefault(name, {}).update(dict.fromkeys(own, x))
+    out = {}
+    for name, by_rank in found.items():
+        places = [s * (totals[name] - 1) for s in shares]
+        out[name] = [by_rank[floor(p)] + (p - floor(p)) * (by_rank[ceil(p)] - by_rank[floor(p)]) for p in places]
+    return out
+
+
 def first_values(df: DataFrame, k: int = SAMPLES) -> DataFrame:
     """column_name, sample_values: the first k non-null values by row number."""
     pairs = [F.struct(F.lit(f.name).alias("column_name"), quoted(f.name).cast("string").alias("value")) for f in data_columns(df)]
@@ -92,6 +128,27 @@ def first_values(df: DataFrame, k: int = SAMPLES) -> DataFrame:
     return top.groupBy("column_name").agg(F.transform(listed, lambda x: x["value"]).alias("sample_values"))
 
 
+def leading_values(df: DataFrame, k: int = SAMPLES, head: int = 1_000) -> dict[str, list[str]]:
+    """As first_values(): from the first rows and, for columns with fewer than k values there, from all."""
+    fields = [f.name for f in data_columns(df)]
+    top = df.orderBy(ROW_ID).limit(head).select(*[quoted(c).cast("string") for c in fields]).collect()
+    out = {c: [v for r in top if (v := r[i]) is not None][:k] for i, c in enumerate(fields)}
+    short = [c for c in fields if len(out[c]) < k] if len(top) == head else []
+    if short:
+        out |= {r[0]: r[1] for r in first_values(df.select(ROW_ID, *map(quoted, short)), k).collect()}
+    return out
+
+
+def pattern_counts(frequencies: DataFrame, names: list[str]) -> dict[str, dict[str, int]]:
+    """How many values of each column match each pattern; distinct values are trimmed and tested once."""
+    if not names:
+        return {}
+    rows = frequencies.where(F.col("column_name").isin(names)).select("column_name", "n", V.is_number("value").alias("num"), V.strip("value").alias("s"))
+    rows = rows.select("column_name", "n", "num", *[test(F.col("s")).alias(p) for p, test in PATTERNS])
+    counted = rows.groupBy("column_name").agg(*[F.sum(F.when(F.col(p), F.col("n")).otherwise(0)).alias(p) for p in ("num", *(p for p, _ in PATTERNS))])
+    return {r["column_name"]: r.asDict() for r in counted.collect()}  # a row per column
+
+
 def name_hint(name: str, allowed=None) -> str | None:
     low = name.lower()
     return next((kind for part, kind in NAME_HINTS if part in low and (allowed is None or kind in allowed)), None)
@@ -115,8 +172,11 @@ def semantic_type(name: str, kind: T.DataType, filled: int, distinct: int, share
     return name_hint(name) or "text"
 
 
-def profile_columns(df: DataFrame, samples: bool = True, first_rows: int | None = None) -> list[ColumnProfile]:
-    """A profile per column. Patterns are tested on all rows, or on the first_rows first values by row number."""
+def profile_columns(df: DataFrame, samples: bool = True, first_rows: int | None = None, frequencies: DataFrame | None = None) -> list[ColumnProfile]:
+    """A profile per column. Patterns are tested on all rows, or on the first_rows first values by row number.
+
+    frequencies: value_frequencies(df), if they are there already.
+    """
     fields = data_columns(df)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for k, f in enumerate(fields):
@@ -124,22 +184,16 @@ def profile_columns(df: DataFrame, samples: bool = True, first_rows: int | None
         aggs += [F.count(c).alias(f"n{k}"), F.min(c).cast("string").alias(f"lo{k}"), F.max(c).cast("string").alias(f"hi{k}")]
         if is_numeric(f.dataType):
             aggs += [F.avg(c).cast("double").alias(f"mean{k}"), F.stddev_samp(c).cast("double").alias(f"std{k}")]
-        elif is_text(f.dataType):
-            aggs += [F.count_if(V.is_number(c)).alias(f"num{k}"), *[F.count_if(F.col(f"_{p}{k}")).alias(f"{p}{k}") for p, _ in PATTERNS]]
-    # texts are trimmed once, in a projection of their own, and tested in the next
-    texts = [(k, f.name) for k, f in enumerate(fields) if is_text(f.dataType)]
-    raw = [quoted(f.name) for f in fields]
-    tested = df.select(*raw, *[V.strip(quoted(n)).alias(f"_s{k}") for k, n in texts])
-    tested = tested.select(*raw, *[test(F.col(f"_s{k}")).alias(f"_{p}{k}") for k, _ in texts for p, test in PATTERNS])
-    seen = tested.agg(*aggs).first()
-    frequencies = value_frequencies(df)
+    seen = df.agg(*aggs).first()
+    frequencies = settled(value_frequencies(df)) if frequencies is None else frequencies
     distinct = {r[0]: r[1] for r in distinct_counts(frequencies).collect()}  # a row per column
-    firsts = {r[0]: r[1] for r in first_values(df).collect()} if samples and ROW_ID in df.columns else {}
+    matches = pattern_counts(frequencies, [f.name for f in fields if is_text(f.dataType)])
+    firsts = leading_values(df) if samples and ROW_ID in df.columns else {}
     head = _first_shares(df, fields, first_rows) if first_rows and ROW_ID in df.columns else {}
     rows, out = seen["rows"], []
     for k, f in enumerate(fields):
         filled, d = seen[f"n{k}"], distinct.get(f.name, 0)
-        share = lambda p: seen[f"{p}{k}"] / filled if filled else 0.0  # noqa: B023, E731
+        share = lambda p: matches[f.name][p] / filled if filled and f.name in matches else 0.0  # noqa: B023, E731
         text = is_text(f.dataType)
         shares = head.get(f.name) or ({p: share(p) for p, _ in PATTERNS} if text else {})
         numeric = is_numeric(f.dataType)

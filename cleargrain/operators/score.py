@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleargrain.operators.checks import ALL_DIMENSIONS, SEVERITY_ORDER, Facts, RowCheck, flag_duplicates, flag_spellings, gather_facts, row_checks
@@ -53,8 +56,11 @@ def scored_rows(df: DataFrame, facts: Facts | None = None, rules: list[RowCheck]
     flagged, casings = flag_spellings(flagged, facts)
     checks = [x for x in (*row_checks(df, facts), *casings, *doubles, *rules) if (x.key, x.column) not in excluded]
     marks = F.array(*[F.when(x.mask, F.lit(x.key)) for x in checks]) if checks else F.array().cast("array<string>")
-    shape = [*df.columns, *[c for c in flagged.columns if c not in df.columns]]
-    return flagged.select(*[F.col(f"`{c}`") for c in shape], F.array_distinct(F.array_compact(marks)).alias("failed_checks")), checks
+    return flagged.select(*[F.col(f"`{c}`") for c in df.columns], F.array_distinct(F.array_compact(marks)).alias("failed_checks")), checks
+
+
+def any_of(masks: list[Column]) -> Column:
+    return reduce(or_, masks, F.lit(False))
 
 
 def score(df: DataFrame, facts: Facts | None = None, rules: list[RowCheck] = (), excluded: set = frozenset()) -> DataFrame:
@@ -62,20 +68,22 @@ def score(df: DataFrame, facts: Facts | None = None, rules: list[RowCheck] = (),
 
     A row is dirty once, however many checks flag it. Checks on whole columns flag no row. No rows: all scores 0.
     """
-    rows, checks = scored_rows(df, facts, rules, excluded)
-    dirty = F.size("failed_checks") > 0
+    facts = facts or gather_facts(df)
+    flagged, doubles = flag_duplicates(df, facts)
+    flagged, casings = flag_spellings(flagged, facts)
+    checks = [x for x in (*row_checks(df, facts), *casings, *doubles, *rules) if (x.key, x.column) not in excluded]
+    # each mask is worked out once, in a projection of its own
+    counted = [x.counted.alias("_extra") for x in checks if x.key == "duplicate_rows"]
+    rows = flagged.select(F.lit(0).alias("_none"), *[x.mask.alias(f"_m{k}") for k, x in enumerate(checks)], *counted)
+    dirty = any_of([F.col(f"_m{k}") for k in range(len(checks))])
     n = F.count(F.lit(1))
     share = lambda clean: F.coalesce(F.round(100 * clean / F.nullif(n, F.lit(0)), 1), F.lit(0.0))
 
     def clean_in(dimension: str):
-        bad = F.lit(False)
-        for x in checks:
-            if x.dimension == dimension:
-                bad = bad | x.mask
+        bad = any_of([F.col(f"_m{k}") for k, x in enumerate(checks) if x.dimension == dimension])
         return share(F.count_if(~bad)).alias(dimension)
 
-    extra = next((x for x in checks if x.key == "duplicate_rows"), None)
-    doubles = F.coalesce(F.round(F.sum(extra.counted)).cast("long"), F.lit(0)) if extra else F.lit(0)
+    doubles = F.coalesce(F.round(F.sum("_extra")).cast("long"), F.lit(0)) if counted else F.lit(0)
     return rows.agg(
         share(F.count_if(~dirty)).alias("overall"), *[clean_in(d) for d in ALL_DIMENSIONS], n.alias("row_count"), F.count_if(dirty).alias("dirty_rows"),
         F.count_if(~dirty).alias("clean_rows"), doubles.cast("long").alias("duplicate_rows"),

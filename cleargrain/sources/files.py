@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
     "n/a", "nan", "null",
 )
+#: A first line of so many characters is read by lines, whatever it holds.
+LONG_LINE = 1_000_000
 FORMATS = {"csv": "csv", "txt": "csv", "tsv": "csv", "json": "json", "parquet": "parquet", "pq": "parquet"}
 
 
@@ -71,12 +74,18 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A header line, then records; the delimiter is found from the first line that isn't blank."""
-    lines = spark.read.option("encoding", encoding).text(path).where(F.trim("value") != "").limit(1).collect()
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
+    """A header line, then records; the delimiter is found from the first line that isn't blank.
+
+    multi_line: whether quoted values may hold line ends, which makes a file one task. If None, a scan looks for a line with an odd number of quotes.
+    """
+    text = spark.read.option("encoding", encoding).text(path)
+    lines = text.where(F.trim("value") != "").limit(1).collect()
+    if multi_line is None:
+        multi_line = not text.where(F.length(F.translate("value", '"', "")) % 2 != F.length("value") % 2).isEmpty()
     header = lines[0][0] if lines else ""
     delimiter = delimiter or detect_delimiter(header)
-    raw = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"').csv(path)
     names = next(csv.reader([header], delimiter=delimiter), [])
     names = names if len(names) == len(raw.columns) else raw.columns
     return infer_types(normalise_nulls(raw.toDF(*normalise_names(names))))
@@ -95,9 +104,21 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[(F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields])
 
 
+def _is_whole(line: str) -> bool:
+    """Whether a line is a JSON value by itself; one of LONG_LINE characters and more is taken for one."""
+    try:
+        return len(line) >= LONG_LINE or isinstance(json.loads(line), (dict, list))
+    except ValueError:
+        return False
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of records, one record a line, or an object with the records under "data"; nested records are flattened."""
-    raw = spark.read.option("multiLine", True).json(path)
+    """One record a line, an array of records, one record, or an object with the records under "data"; nested records are flattened.
+
+    Files whose first line is a whole value are read by lines, so they can be split; others as one value each.
+    """
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.substring("value", 1, LONG_LINE).alias("value")).limit(1).collect()
+    raw = spark.read.option("multiLine", not _is_whole(first[0][0] if first else "")).json(path)
     if raw.columns == ["data"] and isinstance(raw.schema["data"].dataType, T.ArrayType):
         raw = raw.select(F.explode("data").alias("r")).select("r.*")
     out = flatten(raw)
@@ -134,11 +155,11 @@ def export_csv(df: DataFrame, folder: str, name: str, cleaned: bool = False) ->
     return path
 
 
-def export_issues(findings: DataFrame, path: str) -> None:
-    """The issue report as CSV: check, column, severity, count, fix."""
+def export_issues(findings: DataFrame, path: str, total: int = 0) -> None:
+    """The issue report as CSV: check, column, severity, count, fix. total: the rows of the table, by which a column without any value is known."""
     from cleargrain.operators.score import explain
 
-    explain(findings, 0).select("check_key", "column_name", "severity", "count", "recommended_fix").write.option("header", True).mode("overwrite").csv(path)
+    explain(findings, total).select("check_key", "column_name", "severity", "count", "recommended_fix").write.option("header", True).mode("overwrite").csv(path)
 
 
 def report_payload(**parts: DataFrame) -> DataFrame:
