@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Words of the text contracts: runs of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of texts that a Python task holds at a time.
+BATCH_ROWS = 1_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +39,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(df: DataFrame) -> None:
+    """Have Spark hand Python BATCH_ROWS rows at a time at most: texts may be long, and a batch lies in memory several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(name, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and read it back, so lost executors cost no recomputation."""
     checkpoint_folder(df.sparkSession)

@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import hash_key, share, shared, split_of
+from cleargrain.llm.common import hash_key, share, shared, small_batches, split_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 4
 #: Unseen words whose backoff scores a task keeps at most; past that it starts the store anew.
-MEMO_ROWS = 200_000
+MEMO_ROWS = 50_000
 UNKNOWN = "und"
 
 
@@ -98,10 +98,11 @@ class BackoffModel:
         return out
 
 
-def fit_languages(docs: DataFrame, max_docs: int = 10_000, seed: int = 5) -> BackoffModel | None:
+def fit_languages(docs: DataFrame, max_docs: int = 10_000, min_count: int = 2, seed: int = 5) -> BackoffModel | None:
     """Learn from about max_docs documents with text and lang whose crc32(doc_id) mod 4 is not 2: all words of their whole texts.
 
-    No rows: None. Repeated rows count each time; a null doc_id takes part.
+    A word seen fewer than min_count times in a language tells no more than its n-grams and is no known word. No rows: None. Repeated rows
+    count each time; a null doc_id takes part.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of(F.col("doc_id"), 4) != 2))
     known = known.withColumn("text_key", F.crc32(F.col("text").cast("binary")))
@@ -116,7 +117,8 @@ def fit_languages(docs: DataFrame, max_docs: int = 10_000, seed: int = 5) -> Bac
 
     words = sample_rows(known, max_docs, seed, "doc_id", "text_key").select("lang", "text").mapInPandas(count, "lang string, word string, n long")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for row in words.groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():  # the words of max_docs documents
+    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    for row in words.toLocalIterator():  # the words of max_docs documents
         counts[row[0]][row[1]] = row[2]
     return BackoffModel(counts) if counts else None
 
@@ -127,6 +129,7 @@ def with_language(docs: DataFrame, model: BackoffModel | None, name: str = "lang
     Null texts, texts without a letter, and all texts if nothing was learned: `und`, score 0. Ties go to the first
     language by name. Every word of a text counts. Repeated rows repeat; other columns stay as they are.
     """
+    small_batches(docs)
     held = share(docs, model)
 
     @F.pandas_udf("lang_pred string, score double, n_words long")

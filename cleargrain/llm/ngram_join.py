@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import cut_lineage, share, shared
+from cleargrain.llm.common import cut_lineage, share, shared, small_batches
 from cleargrain.llm.components import connected_components
 
 N = 5
@@ -525,6 +525,7 @@ def group_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shi
     smallest: its row links like any other and is null in component_id only where no linked row has an id. Repeated rows repeat. An empty
     table gives no rows. Other columns are ignored.
     """
+    small_batches(docs)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

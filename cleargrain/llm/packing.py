@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import cut_lineage
+from cleargrain.llm.common import cut_lineage, small_batches
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Chunks whose ids a task keeps at most; past that it starts anew.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 100_000
 BLOCK_ROWS = 20_000
 #: A bin with no more free tokens than this is full.
 SLACK = CAPACITY // 512
@@ -123,6 +123,7 @@ def tokenize_pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPA
             if rows:
                 yield done()
 
+    small_batches(docs)
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import share, shared, split_of
+from cleargrain.llm.common import share, shared, small_batches, split_of
 from cleargrain.llm.langid import labelled_texts, sample_rows
 from cleargrain.llm.ngram_join import Shingler, mix
 
@@ -143,6 +143,7 @@ def with_quality(docs: DataFrame, model: NeighbourModel, k: int = 15, name: str
     Null or empty text, or nothing learned: the share of label 1 among the labelled rows (0.5 without any).
     Ties among neighbours fall as the labelled rows stand. Repeated rows repeat; other columns stay as they are.
     """
+    small_batches(docs)
     held = share(docs, model)
 
     @F.pandas_udf("double")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import cut_lineage, share, shared, split_of
+from cleargrain.llm.common import cut_lineage, share, shared, small_batches, split_of
 from cleargrain.llm.langid import labelled_texts, sample_rows
 
 # Look-alike letters of other scripts, and digits and signs that stand for letters.
@@ -186,6 +186,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     """
     usable = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isNotNull() & (split_of(F.col("doc_id"), 4) != 2))
     chosen = sample_rows(usable, max_labelled, seed, "doc_id")  # bounded, so it may be broadcast
+    small_batches(docs)
     train = cut_lineage(labelled_texts(docs, chosen))
     toxic, clean = train.where("label = 1"), train.where("label = 0")
 
@@ -262,6 +263,7 @@ def with_toxicity(docs: DataFrame, lexicon: ToxicLexicon, name: str = "toxicity"
     The whole text counts. Null or empty text has no match and the score of documents without one. Equal texts get equal scores. Repeated
     rows repeat; other columns stay as they are.
     """
+    small_batches(docs)
     held = share(docs, lexicon)
 
     @F.pandas_udf("score double, n_matches long, matched array<string>")
