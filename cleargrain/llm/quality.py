@@ -93,7 +93,7 @@ class NeighbourModel:
     prior: float
 
     def project(self, weighted: np.ndarray) -> np.ndarray:
-        latent = (weighted * self.idf) @ self.components
+        latent = weighted @ (self.idf[:, None] * self.components)
         size = np.linalg.norm(latent, axis=1, keepdims=True)
         return np.divide(latent, size, out=np.zeros_like(latent), where=size > 1e-9)
 
@@ -129,9 +129,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, r
     x = np.zeros((len(rows), DIMENSION), np.float32)
     for line, r in zip(x, rows):
         line[np.frombuffer(r["terms"], dtype=np.int16)] = np.frombuffer(r["weights"], dtype=np.float16)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
     rank = min(rank, max(1, len(x)))
-    axes = latent_axes(x * idf, rank, seed) if len(x) else np.zeros((DIMENSION, rank), np.float32)
+    x *= idf
+    axes = latent_axes(x, rank, seed) if len(x) else np.zeros((DIMENSION, rank), np.float32)
+    x /= idf
     model = NeighbourModel(idf, axes, np.zeros((0, rank), np.float32), y, float(y.mean()) if len(y) else 0.5)
     model.vectors = model.project(x)
     return model
