@@ -149,12 +149,12 @@ def result_facts(result: DataFrame) -> DataFrame:
 
 def truncation_note(row_count: int, sql: str, cap: int = MAX_ROWS) -> str | None:
     if row_count >= cap:
-        return f"only the first {cap:,} rows are shown, so any total you compute from this table would be incomplete."
+        return f"The table stops at {cap:,} rows; sums over it leave the others out."
     if re.search(r"\border\s+by\b", sql, re.I):
         return None
     limit = re.search(r"\blimit\s+(\d+)\s*$", sql, re.I)
     if limit and cap > int(limit[1]) <= row_count:
-        return f"this query was limited to {int(limit[1]):,} rows, so the list may be incomplete — ask for a count if you need the true total."
+        return f"LIMIT {int(limit[1])} cut the list without an order; count the rows for a total."
     return None
 
 
@@ -210,17 +210,17 @@ def sentence(result: DataFrame) -> DataFrame:
         label, value = result.columns
         name, x = quoted(label).cast("string"), quoted(value).cast("double")
         groups = F.format_string(
-            f"%d groups — highest {value}: %s (%s), lowest: %s (%s).", rows, F.max_by(name, x), number(F.max(x)), F.min_by(name, x), number(F.min(x))
+            f"{value} over %d groups: most in %s (%s), least in %s (%s).", rows, F.max_by(name, x), number(F.max(x)), F.min_by(name, x), number(F.min(x))
         )
-        plain = F.format_string("Returned %d row(s).", rows)
+        plain = F.format_string("Rows: %d.", rows)
         return result.agg(F.when((rows >= 2) & (F.count_distinct(F.coalesce(name, F.lit("None"))) == rows), groups).otherwise(plain).alias("answer"))
     parts = []
     for c in result.columns:
         v = F.first(quoted(c))
         text = number(F.first(quoted(c).cast("double"))) if isinstance(result.schema[c].dataType, T.NumericType) else v.cast("string")
         parts.append(F.concat(F.lit(f"{axis_label(c)}: "), F.coalesce(text, F.lit("no value"))))
-    said = F.concat(F.lit("Here's the result — "), F.concat_ws(", ", *parts), F.lit("."))
-    return result.agg(F.when(rows == 1, said).otherwise(F.format_string("Returned %d row(s).", rows)).alias("answer"))
+    said = F.concat(F.concat_ws("; ", *parts), F.lit("."))
+    return result.agg(F.when(rows == 1, said).otherwise(F.format_string("Rows: %d.", rows)).alias("answer"))
 
 
 def axis_label(name: str) -> str:

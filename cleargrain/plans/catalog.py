@@ -459,18 +459,18 @@ def compared_sides(spark, d):
 # ---- edits and row filters
 
 
-@register("e1_e5_edits", ROWS + """ SELECT _row_id, CASE _row_id WHEN 3 THEN 'gold' WHEN 5 THEN NULL ELSE tier END AS tier, CASE _row_id WHEN 4 THEN 12.5 ELSE revenue END AS revenue FROM r WHERE _row_id < 50""")
+@register("e1_e5_edits", ROWS + """ SELECT _row_id, CASE _row_id WHEN 3 THEN 'gold' WHEN 5 THEN NULL ELSE tier END AS tier, CASE _row_id WHEN 4 THEN 12.5 ELSE revenue END AS revenue FROM r""")
 def edited(spark, d):
     batch = spark.createDataFrame([(1, 3, "tier", "silver"), (2, 3, "tier", "gold"), (3, 5, "tier", " "), (4, 4, "revenue", "12.5")], edits.EDITS)
-    return edits.apply_edits(dirty_rows(spark, d), batch)[0].where(F.col(ROW_ID) < 50).select(ROW_ID, "tier", "revenue")
+    return edits.apply_edits(dirty_rows(spark, d), batch)[0].select(ROW_ID, "tier", "revenue")
 
 
-@register("e4_undo_edits", ROWS + " SELECT _row_id, tier, revenue FROM r WHERE _row_id < 50")
+@register("e4_undo_edits", ROWS + " SELECT _row_id, tier, revenue FROM r")
 def edits_undone(spark, d):
     df = dirty_rows(spark, d)
     batch = spark.createDataFrame([(1, 3, "tier", "gold"), (2, 4, "revenue", "12.5")], edits.EDITS)
     after, log = edits.apply_edits(df, batch)
-    return edits.undo_edits(after, log, df.count()).where(F.col(ROW_ID) < 50).select(ROW_ID, "tier", "revenue")
+    return edits.undo_edits(after, log, df.count()).select(ROW_ID, "tier", "revenue")
 
 
 def filter_query(name: str, column: str, op: str, value: str | None, condition: str) -> None:
@@ -658,7 +658,7 @@ def rows(spark, d):
     return query.row_count(table(spark, d, "events"))
 
 
-@register("k15_find_value", "SELECT 'lang' AS column_name, 'de' AS value")
+@register("k15_find_value", "SELECT DISTINCT 'lang' AS column_name, lang AS value FROM documents WHERE lower(lang) = 'de'")
 def find(spark, d):
     df = table(spark, d, "documents").select("lang", "source")
     return query.find_value(df, profile_columns(df), "How many rows are in de?")
@@ -676,13 +676,13 @@ def facts(spark, d):
     return query.result_facts(table(spark, d, "orders").groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("v")))
 
 
-@register("k19_ungrounded_numbers", r"""WITH n AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?')) AS x FROM conversations)
-SELECT conv_id, replace(x, ',', '')::DOUBLE AS value FROM n WHERE abs(replace(x, ',', '')::DOUBLE - turn) > 1e-6""")
+@register("k19_ungrounded_numbers", "SELECT o_orderkey, round(o_totalprice + 7, 2) AS value FROM orders WHERE o_orderkey % 10 = 3")
 def grounded(spark, d):
-    c = table(spark, d, "conversations")
-    said = c.select(F.struct("conv_id", "turn").alias("id"), "text")
-    known = c.select(F.struct("conv_id", "turn").alias("id"), F.col("turn").alias("value")).distinct()
-    return query.ungrounded(said, known).select("id.conv_id", "value")
+    # an answer states its order's price, rounded to one decimal or two; every tenth one states another number
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    text = F.when(F.col("o_orderkey") % 10 == 3, F.format_number(F.col("o_totalprice") + 7, 2)).when(F.col("o_orderkey") % 2 == 0, F.format_number("o_totalprice", 2)).otherwise(F.format_number("o_totalprice", 1))
+    said = o.select("o_orderkey", F.concat(F.lit("It comes to "), text, F.lit(" in all.")).alias("text"))
+    return query.ungrounded(said, o.select("o_orderkey", F.col("o_totalprice").alias("value")), "o_orderkey")
 
 
 @register("k20_result_chart", "SELECT o_orderpriority AS name, count(*)::DOUBLE AS value FROM orders GROUP BY 1 ORDER BY 1 LIMIT 12")
@@ -703,7 +703,8 @@ def said(spark, d):
 # ---- governance, comparison, insights, history
 
 
-@register("h1_h6_governance", "SELECT 'pii' AS classification, ['full_name', 'email', 'phone'] AS pii_columns, 'Contains personal data in: full_name, email, phone.' AS rationale")
+@register("h1_h6_governance", f"""WITH c AS (SELECT name, i FROM (SELECT unnest({list(COLUMNS)!r}) AS name, generate_subscripts({list(COLUMNS)!r}, 1) AS i)
+WHERE regexp_matches(lower(name), '{"|".join(govern.PII_HINTS)}')) SELECT 'pii' AS classification, list(name ORDER BY i) AS pii_columns, 'Personal by name or meaning: ' || string_agg(name, ', ' ORDER BY i) AS rationale FROM c""")
 def governed(spark, d):
     return govern.classify(profile(dirty_sales(spark, d)))
 
@@ -737,11 +738,16 @@ def drifted(spark, d):
     return govern.top_shifts(govern.drift(a, b)).select("column_name", "left_mean", "right_mean", "mean_change_pct")
 
 
-@register("d4_d5_compare", "SELECT (count(*) FILTER (WHERE o_orderkey % 2 = 1) - count(*) FILTER (WHERE o_orderkey % 2 = 0))::BIGINT AS row_delta, 2::BIGINT AS added, 0::BIGINT AS removed, 5::BIGINT AS common, 'equivalent' AS verdict FROM orders")
+@register("d4_d5_compare", """WITH s AS (SELECT round(100 * avg((o_orderstatus = 'F')::INT) FILTER (WHERE o_orderkey % 2 = 0), 1) AS a,
+  round(100 * avg((o_orderstatus = 'F')::INT) FILTER (WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 <> 0 OR o_orderkey % 2 = 1 AND o_orderstatus = 'F'), 1) AS b FROM orders)
+SELECT (count(*) FILTER (WHERE o_orderkey % 2 = 1) - count(*) FILTER (WHERE o_orderkey % 2 = 0))::BIGINT AS row_delta, 2::BIGINT AS added, 0::BIGINT AS removed, 5::BIGINT AS common,
+round(b - a, 1) AS score_delta, CASE WHEN b - a >= 2 THEN 'improved' WHEN b - a <= -2 THEN 'regressed' ELSE 'equivalent' END AS verdict FROM orders, s GROUP BY a, b""")
 def compared(spark, d):
+    # as scores the shares of closed orders, the second half without a third of its open ones
     a, b = halves(spark, d)
-    even = spark.createDataFrame([(90.0,)], "overall double")
-    return govern.compare(a, b, even, even).select("row_delta", "added", "removed", "common", "verdict")
+    share = lambda x: x.agg(F.round(100 * F.avg((F.col("o_orderstatus") == "F").cast("int")), 1).alias("overall"))
+    scores = share(a), share(b.where("o_orderkey % 3 <> 0 or o_orderstatus = 'F'"))
+    return govern.compare(a, b, *scores).select("row_delta", "added", "removed", "common", "score_delta", "verdict")
 
 
 @register("d6_comparison_text")
@@ -785,3 +791,140 @@ def catalogue(spark, d):
     store.save(table(spark, d, "region"), "region")
     store.save(table(spark, d, "nation"), "nation")
     return store.catalogue()[0].select("version", "rows")
+
+
+# ---- identity with nulls, forms of dates, exports, rules, cleaned names
+
+
+SWAPPED = """WITH s AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'v' || CAST(c_custkey % 100 // 2 AS VARCHAR) END AS a, CASE WHEN c_custkey % 2 = 1 THEN 'v' || CAST(c_custkey % 100 // 2 AS VARCHAR) END AS b FROM customer) """
+
+
+def swapped_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (x, null) and (null, x) for the same x."""
+    value = F.concat(F.lit("v"), F.floor(F.col("c_custkey") % 100 / 2).cast("string"))
+    odd = F.col("c_custkey") % 2 == 1
+    rows = table(spark, d, "customer").select("c_custkey", F.when(~odd, value).alias("a"), F.when(odd, value).alias("b"))
+    return with_row_ids(rows, ["c_custkey"]).drop("c_custkey")
+
+
+@register("q3_m1_swapped_nulls", SWAPPED + "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT a, b FROM s)) AS repeats, (SELECT count(*) FROM s JOIN (SELECT a, b FROM s GROUP BY a, b HAVING count(*) > 1) g ON s.a IS NOT DISTINCT FROM g.a AND s.b IS NOT DISTINCT FROM g.b) AS listed FROM s")
+def swapped_counts(spark, d):
+    df = swapped_nulls(spark, d)
+    found = checks.run_checks(df, samples=False).where("check_key = 'duplicate_rows'").select(F.col("count").alias("repeats"), F.lit(1).alias("_k"))
+    listed = checks.affected_rows(df, "duplicate_rows").agg(F.count(F.lit(1)).alias("listed")).withColumn("_k", F.lit(1))
+    return found.join(listed, "_k").drop("_k")
+
+
+@register("x1_swapped_nulls", SWAPPED + "SELECT DISTINCT a, b FROM s")
+def swapped_first(spark, d):
+    return fixes.apply_fix(swapped_nulls(spark, d), "duplicate_rows").df.select("a", "b")
+
+
+@register("x12_first_of_each_id", "SELECT l_orderkey, first(l_linenumber ORDER BY l_linenumber, l_partkey) AS l_linenumber, first(l_partkey ORDER BY l_linenumber, l_partkey) AS l_partkey FROM lineitem GROUP BY 1")
+def first_of_id(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return fixes.apply_fix(with_row_ids(rows, ["l_orderkey", "l_linenumber", "l_partkey"]), "duplicate_ids", "l_orderkey").df.drop(ROW_ID)
+
+
+@register("v6_forms_of_dates", """SELECT o_orderkey, o_orderkey % 10 < 8 AS date_ok, CASE WHEN o_orderkey % 10 < 8 THEN strftime(o_orderdate, '%Y-%m') END AS month FROM orders""")
+def date_forms(spark, d):
+    forms = ["M/d/yyyy", "d MMMM yyyy", "MMMM d, yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy/M/d", "d MMM yyyy", "yyyy-M-d H:mm"]
+    kind = F.col("o_orderkey") % 10
+    text = F.when(kind == 8, "32/13/2024").when(kind == 9, "some day")
+    for k, form in enumerate(forms):
+        text = text.when(kind == k, F.date_format("o_orderdate", form))
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("t"))
+    return rows.select("o_orderkey", V.is_date("t").alias("date_ok"), V.month_of(V.date_reading("t", day_first=False)).alias("month"))
+
+
+@register("q14_many_spellings", "SELECT 'Part ' || CAST(k AS VARCHAR) || ' x' AS value, 1::BIGINT AS n FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k FROM lineitem) WHERE k % 1000 = 1")
+def many_spellings(spark, d):
+    # twice as many spellings as rows of lineitem, two for every key that ends in 001
+    keys = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("k")).distinct()
+    upper = keys.select(F.concat(F.lit("PART "), "k", F.lit(" X")).alias("t"))
+    more = keys.select(F.concat(F.lit("other "), "k").alias("t"))
+    odd = keys.where("cast(k as long) % 1000 = 1").select(F.concat(F.lit("Part "), "k", F.lit(" x")).alias("t"))
+    return checks.odd_spellings(value_frequencies(upper.unionByName(more).unionByName(odd), ["t"])).select("value", "n")
+
+
+@register("a13_issue_report", FINDINGS_SQL.replace("SELECT check_key, column_name, dimension, severity, count::BIGINT AS count FROM parts", "SELECT check_key, column_name, severity, count::BIGINT AS count FROM parts"))
+def issue_report(spark, d):
+    df, out = dirty_rows(spark, d), scratch(spark)
+    files.export_issues(checks.run_checks(df, samples=False), out, df.count())
+    return spark.read.option("header", True).schema("check_key string, column_name string, severity string, count long, recommended_fix string").csv(out).drop("recommended_fix")
+
+
+@register("a14_report_payload", "SELECT o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT o_orderstatus, count(*) FROM orders GROUP BY 1")
+def payload(spark, d):
+    o = table(spark, d, "orders")
+    parts = {k: o.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")) for k, c in (("priorities", "o_orderpriority"), ("states", "o_orderstatus"))}
+    read = lambda k: F.from_json(F.get_json_object("payload", f"$.{k}"), "array<struct<name string, n long>>")
+    return files.report_payload(**parts).select(F.explode(F.concat(read("priorities"), read("states"))).alias("r")).select("r.*")
+
+
+@register("s4_score_with_rules", SPELLINGS + f"SELECT round(100.0 * count(*) FILTER (WHERE NOT ({ANY_MASK} OR {DOUBLE} OR order_id % 4 = 1)) / count(*), 1) AS overall, round(100.0 * count(*) FILTER (WHERE order_id % 4 <> 1) / count(*), 1) AS kept FROM d, q")
+def scored_with_rules(spark, d):
+    df = dirty_rows(spark, d)
+    rule = checks.rule_check(df, "fourth", "order_id % 4 = 1", "accuracy", "high")
+    others = {(x.key, x.column) for x in score.scored_rows(df)[1]}
+    alone = score.score(df, rules=[rule], excluded=others).select(F.col("overall").alias("kept"), F.lit(1).alias("_k"))
+    return score.score(df, rules=[rule]).select("overall", F.lit(1).alias("_k")).join(alone, "_k").drop("_k")
+
+
+@register("s3_total_issues", FINDINGS_SQL.replace("SELECT check_key, column_name, dimension, severity, count::BIGINT AS count FROM parts", "SELECT sum(count)::BIGINT AS total_issues FROM parts"))
+def issue_total(spark, d):
+    df = dirty_rows(spark, d)
+    return score.with_issue_total(spark.createDataFrame([(0,)], "overall int"), checks.run_checks(df, samples=False)).select("total_issues")
+
+
+@register("u1_registered_check", "SELECT 'big_orders' AS check_key, count(*) AS count FROM orders WHERE o_totalprice > 300000")
+def registered(spark, d):
+    def big(df, facts):
+        return [checks.RowCheck("big_orders", "o_totalprice", F.col("o_totalprice") > 300000, "accuracy", "info")]
+
+    def broken(df, facts):
+        raise RuntimeError("a user's mistake")
+
+    def unknown(df, facts):
+        return [checks.RowCheck("unknown", None, F.col("no_such_column") > 0, "accuracy", "info")]
+
+    own = [checks.register_check(f) for f in (broken, unknown, big)]
+    try:
+        found = checks.run_checks(with_row_ids(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"]), samples=False)
+        return found.where("check_key in ('big_orders', 'unknown')").select("check_key", "count")
+    finally:
+        for f in own:
+            checks.CHECKS.remove(f)
+
+
+@register("c4_c6_c8_clean_names", """WITH c AS (SELECT c_custkey AS customer_id, CASE c_custkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'Male' WHEN 2 THEN 'f' ELSE 'woman' END AS gender,
+  CASE c_custkey % 3 WHEN 0 THEN 'usa' WHEN 1 THEN 'UK' ELSE 'Peru' END AS country, CASE WHEN c_custkey % 50 = 7 THEN NULL WHEN c_custkey % 97 = 0 THEN c_acctbal * 1000 ELSE c_acctbal END AS amount FROM customer),
+f AS (SELECT * REPLACE (coalesce(amount, (SELECT median(amount) FROM c)) AS amount) FROM c), q AS (SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.75) AS b FROM f)
+SELECT customer_id, CASE gender WHEN 'm' THEN 'Male' WHEN 'Male' THEN 'Male' ELSE 'Female' END AS gender, CASE country WHEN 'usa' THEN 'United States' WHEN 'UK' THEN 'United Kingdom' ELSE 'Peru' END AS country,
+  least(greatest(amount, a - 1.5 * (b - a)), b + 1.5 * (b - a)) AS amount FROM f, q""")
+def cleaned_names(spark, d):
+    k, of = F.col("c_custkey"), lambda c, *v: F.element_at(F.array(*map(F.lit, v)), (c + 1).cast("int"))
+    amount = F.when(k % 50 == 7, None).when(k % 97 == 0, F.col("c_acctbal") * 1000).otherwise(F.col("c_acctbal"))
+    rows = table(spark, d, "customer").select(k.alias("customer_id"), of(k % 4, "m", "Male", "f", "woman").alias("gender"), of(k % 3, "usa", "UK", "Peru").alias("country"), amount.alias("amount"))
+    return fixes.clean(with_row_ids(rows, ["customer_id"]))[0].drop(ROW_ID)
+
+
+@register("x18_baseline", "SELECT o_orderkey, o_orderstatus FROM orders")
+def baseline(spark, d):
+    store = VersionStore(spark, scratch(spark))
+    first = store.save(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "orders")
+    store.save(store.read(first).where("o_orderstatus = 'F'"), "orders", parent=first, is_cleaned=True)
+    return store.read(store.baseline())
+
+
+@register("x19_newest_changes", "SELECT o_orderdate AS at, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 20")
+def newest(spark, d):
+    return fixes.newest_first(table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("at")).agg(F.count("*").alias("n")))
+
+
+@register("s10_texts", FINDINGS_SQL.replace("SELECT check_key, column_name, dimension, severity, count::BIGINT AS count FROM parts", "SELECT check_key, column_name, column_name || ': ' || count || ' of ' || (SELECT count(*) FROM d) || ' rows (' || printf('%.1f', round(count * 100.0 / (SELECT count(*) FROM d), 1)) || ' %) are flagged: ' || cause || '.' AS why FROM parts JOIN (VALUES "
+          + ", ".join("('" + k + "', '" + v[0] + "')" for k, v in score.EXPLANATIONS.items()) + ") w(key, cause) ON key = check_key") + f" AND column_name IS NOT NULL AND check_key NOT IN {checks.COLUMN_LEVEL}")
+def texts(spark, d):
+    df = dirty_rows(spark, d)
+    told = score.explain(checks.run_checks(df, samples=False), df.count())
+    return told.where(F.col("column_name").isNotNull() & ~F.col("check_key").isin(*checks.COLUMN_LEVEL)).select("check_key", "column_name", "why")

@@ -1,9 +1,18 @@
+import json
+import os
+import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import numpy as np
 import pytest
 from golden import SCHEMA, golden_rows
 from pyspark.sql import functions as F
 
 from cleargrain.functions import values as V
-from cleargrain.operators import charts, checks, edits, fixes, govern, query, score
+from cleargrain.operators import charts, checks, edits, fixes, govern, profile, query, score
 from cleargrain.operators.profile import profile_columns
 from cleargrain.sources import files
 from cleargrain.sources.rowid import ROW_ID, with_row_ids
@@ -99,8 +108,8 @@ def test_rules_and_exclusions(golden, findings):
 
 def test_explanations(findings):
     rows = {(r["check_key"], r["column_name"]): r for r in score.explain(findings, 24).collect()}
-    assert rows["invalid_email", "email"]["why"].startswith("3 of 24 rows (12.5%) are affected in “email”")
-    assert "“tier”" in rows["duplicate_columns", "tier_copy"]["why"]
+    assert rows["invalid_email", "email"]["why"].startswith("email: 3 of 24 rows (12.5 %) are flagged")
+    assert rows["duplicate_columns", "tier_copy"]["why"] == "tier_copy: the values are those of tier."
 
 
 def test_empty_table(golden):
@@ -202,3 +211,66 @@ def test_stream_masks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["finding"], r["n"]) for r in spark.table("found").collect()] == [("invalid_email:email", 1)]
+
+
+def test_rows_with_swapped_nulls_differ(spark):
+    df = spark.createDataFrame([(0, "x", None), (1, None, "x"), (2, "x", None), (3, None, None)], f"{ROW_ID} long, a string, b string")
+    assert [r[ROW_ID] for r in checks.affected_rows(df, "duplicate_rows").orderBy(ROW_ID).collect()] == [0, 2]
+    assert {(r["a"], r["b"]) for r in fixes.apply_fix(df, "duplicate_rows").df.collect()} == {("x", None), (None, "x"), (None, None)}
+    assert score.score(df).first()["duplicate_rows"] == 1
+
+
+def test_json_forms(spark, tmp_path):
+    rows = [{"a": i, "b": {"c": f"x{i}"}} for i in range(3)]
+    forms = {
+        "lines": "\n".join(json.dumps(r) for r in rows), "array": json.dumps(rows), "pretty": json.dumps(rows, indent=2),
+        "data": json.dumps({"data": rows}), "pretty_data": json.dumps({"data": rows}, indent=2), "one": json.dumps(rows[1], indent=1),
+    }
+    for name, text in forms.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        got = sorted((r["a"], r["b.c"]) for r in files.read_json(spark, str(tmp_path / f"{name}.json")).collect())
+        assert got == ([(1, "x1")] if name == "one" else [(i, f"x{i}") for i in range(3)]), name
+
+
+def test_csv_lines(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('k,t\n1,"a ""q"" b"\n2,c\n')
+    (tmp_path / "broken.csv").write_text('k,t\n1,"a\nb"\n2,c\n')
+    assert {r["t"] for r in files.read_csv(spark, str(tmp_path / "plain.csv")).collect()} == {'a "q" b', "c"}
+    assert {r["t"] for r in files.read_csv(spark, str(tmp_path / "broken.csv")).collect()} == {"a\nb", "c"}
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "x", *map(str, range(9))]), rng.gauss(0, 5) if rng.random() < 0.9 else 7.0) for _ in range(501)]
+    df = spark.createDataFrame(rows, "a string, b double").repartition(7)
+    got = profile.exact_quantiles(profile.value_frequencies(df), [0.25, 0.5, 0.75])
+    for i, name in enumerate("ab"):
+        x = [float(r[i]) for r in rows if r[i] not in (None, "x")]
+        assert got[name] == pytest.approx(list(np.percentile(x, [25, 50, 75])))
+    assert profile.exact_quantiles(profile.value_frequencies(df.limit(0)), [0.5]) == {}
+
+
+def test_a_failing_user_check_ends_nothing(golden):
+    def broken(df, facts):
+        raise RuntimeError("no")
+
+    def late(df, facts):
+        return [checks.RowCheck("late", "email", F.raise_error(F.lit("boom")).cast("boolean"), "accuracy", "info")]
+
+    before = {(r["check_key"], r["column_name"], r["count"]) for r in checks.run_checks(golden, samples=False).collect()}
+    own = [checks.register_check(f) for f in (broken, late)]
+    try:
+        with pytest.warns(UserWarning, match="left out"):
+            assert {(r["check_key"], r["column_name"], r["count"]) for r in checks.run_checks(golden, samples=False).collect()} == before
+    finally:
+        for f in own:
+            checks.CHECKS.remove(f)
+
+
+def test_registers_without_the_llm_folders(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    for name in ("cleargrain", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = root / name
+        shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
