@@ -15,11 +15,9 @@ from cleargrain.llm.common import cut_lineage
 SALTS = 8
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the edges (a, b) and, for each, the smallest node that it is joined with."""
-    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = np.arange(len(nodes))
-    x, y = index[: len(a)], index[len(a) :]
+def roots_of(count: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0 to count - 1 the smallest node that the edges (x, y) join it with."""
+    root = np.arange(count)
     while True:
         low = np.minimum(root[x], root[y])
         old = root.copy()
@@ -28,7 +26,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while not np.array_equal(root, root[root]):
             root = root[root]
         if np.array_equal(root[x], root[y]):
-            return nodes, nodes[root]
+            return root
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b) and, for each, the smallest node that it is joined with."""
+    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return nodes, nodes[roots_of(len(nodes), index[: len(a)], index[len(a) :])]
 
 
 def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

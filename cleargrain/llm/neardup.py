@@ -2,7 +2,8 @@
 
 A filter is a direction; a vector passes it when their inner product reaches a bound, so a filter keeps a cap of the
 sphere. Directions are all pairs of a code word of the first half of the (randomly rotated) coordinates and
-one of the second, so that the list of passed filters is decoded from two small tables of products. Vectors
+one of the second, so that the list of passed filters is decoded from two small tables of products. Rotations are
+Hadamard transforms between random signs, so a code takes memory in proportion to the dimension. Vectors
 at a small angle share filters with near certainty; they are joined on filters and verified exactly.
 """
 
@@ -17,33 +18,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.common import cut_lineage, share, shared
-from cleargrain.llm.components import connected_components, forest
+from cleargrain.llm.components import connected_components, forest, roots_of
 
 THRESHOLD = 0.93
-#: A code is CODES product codes, each with WORDS words a half.
-CODES, WORDS = 64, 32
-#: Filters that two vectors at the threshold share on average; none is shared with probability about exp(-SHARED).
-SHARED = 14.0
+#: A code is CODES product codes, each with WORDS words a half: 32,768 filters, whose numbers take two bytes.
+CODES, WORDS = 128, 16
+#: Filters that two vectors at the threshold share on average. Of 12,000 trial pairs at the threshold none shared no filter.
+SHARED = 18.0
 TRIALS = 96
-#: Rows of one filter that are compared in one block; filters with more are split into pairs of blocks.
+#: Rounds of signs and Hadamard transform in a rotation.
+ROUNDS = 3
+#: Rows that are compared in one block.
 BLOCK = 2_000
 
 
+def hadamard(size: int) -> np.ndarray:
+    """The orthogonal Hadamard matrix of a power of two."""
+    out = np.ones((1, 1))
+    while len(out) < size:
+        out = np.block([[out, out], [out, -out]]) / np.sqrt(2)
+    return out
+
+
 @dataclass
 class ProductCode:
-    rotations: np.ndarray
+    #: (round, code, coordinate): 1 or -1
+    signs: np.ndarray
+    #: (code, word, coordinate) of the first and of the second half
     first: np.ndarray
     second: np.ndarray
     bound: float
 
     def products(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inner products of each vector with all words of the first and of the second half: (vector, code, word)."""
-        padded = np.zeros((len(units), self.rotations.shape[1]))
-        padded[:, : units.shape[1]] = units
-        codes, size, _ = self.rotations.shape
-        turned = (padded @ self.rotations.transpose(1, 0, 2).reshape(size, codes * size)).reshape(len(units), codes, size).transpose(1, 0, 2)
-        halves = turned[:, :, : size // 2] @ self.first.transpose(0, 2, 1), turned[:, :, size // 2 :] @ self.second.transpose(0, 2, 1)
-        return halves[0].transpose(1, 0, 2), halves[1].transpose(1, 0, 2)
+        _, codes, size = self.signs.shape
+        outer = 1 << (size.bit_length() - 1) // 2
+        left, right = hadamard(outer), hadamard(size // outer)
+        turned = np.zeros((len(units), 1, size))
+        turned[:, 0, : units.shape[1]] = units
+        for signs in self.signs:
+            grid = (turned * signs).reshape(len(units) * codes, outer, size // outer)
+            turned = (left @ grid @ right).reshape(len(units), codes, size)
+        halves = turned.transpose(1, 0, 2)
+        first, second = halves[:, :, : size // 2] @ self.first.transpose(0, 2, 1), halves[:, :, size // 2 :] @ self.second.transpose(0, 2, 1)
+        return first.transpose(1, 0, 2), second.transpose(1, 0, 2)
 
     def decode(self, units: np.ndarray) -> list[np.ndarray]:
         """Numbers of the filters that each unit vector passes, in rising order."""
@@ -57,15 +75,15 @@ class ProductCode:
 
 def product_code(dim: int, threshold: float = THRESHOLD, shared_filters: float = SHARED, seed: int = 19) -> ProductCode:
     """A code for dim dimensions. The bound is set by trial on random pairs at the threshold's angle."""
-    size = max(4, dim + dim % 2)
+    size = max(4, 1 << (dim - 1).bit_length())
     rng = np.random.default_rng([seed, dim])
-    rotations = np.stack([np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(CODES)])
+    signs = rng.choice(np.array([-1, 1], np.int8), (ROUNDS, CODES, size))
 
     def words() -> np.ndarray:
-        w = rng.standard_normal((CODES, WORDS, size // 2))
-        return w / np.linalg.norm(w, axis=2, keepdims=True) / np.sqrt(2)
+        w = rng.standard_normal((CODES, WORDS, size // 2), np.float32)
+        return w / np.linalg.norm(w, axis=2, keepdims=True) / np.sqrt(np.float32(2))
 
-    code = ProductCode(rotations, words(), words(), 0.0)
+    code = ProductCode(signs, words(), words(), 0.0)
     x = rng.standard_normal((TRIALS, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = rng.standard_normal((TRIALS, dim))
@@ -103,10 +121,13 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared_filter
             batch["d"] = [len(x) for x in batch["x"]]
             for d, part in batch.groupby("d"):
                 x = np.stack(part["x"].to_list())
-                lists = codes[d].decode(x / np.abs(x).max(axis=1, keepdims=True) / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True))
+                units = x / np.abs(x).max(axis=1, keepdims=True)
+                units /= np.linalg.norm(units, axis=1, keepdims=True)
+                step = max(1, 2**24 // (CODES * d))  # rotated copies of these lie in memory at once
+                lists = [f for at in range(0, len(units), step) for f in codes[d].decode(units[at : at + step])]
                 yield pd.DataFrame({
                     "label": part["label"], "dim": d, "rep": part["rep"], "n": part["n"], "x": [v.astype(stored).tobytes() for v in x],
-                    "filters": [f.tobytes() for f in lists], "passed": lists,
+                    "filters": [f.astype(np.uint16).tobytes() for f in lists], "passed": lists,
                 })
 
     label_kind = vectors.schema["label"].dataType.simpleString()
@@ -116,8 +137,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared_filter
     light = decoded.select("label", "dim", F.explode("passed").alias("filter"))
     sizes = light.groupBy(*groups).agg(F.count("*").alias("m"))
     total = decoded.agg(F.sum(F.size("passed"))).first()[0] or 0
-    # a filter of more than BLOCK rows is cut into parts; each row meets every part once
-    crowded = sizes.where(F.col("m") > BLOCK).select(*groups, F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    # a filter of more rows than a task takes is cut into parts; each row meets every part once
+    rows_per_task = max(BLOCK, min(rows_per_task, 2**26 // (int(stored[2]) * max(dims, default=1))))
+    crowded = sizes.where(F.col("m") > rows_per_task).select(*groups, F.ceil(F.col("m") / rows_per_task).cast("int").alias("parts"))
     rows_by_filter = decoded.select("label", "dim", F.explode("passed").alias("filter"), "rep", "n", "x", "filters").join(crowded, groups, "left")
     part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = rows_by_filter.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
@@ -129,46 +151,62 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared_filter
     def solve(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values([*groups, "lo", "hi"], kind="stable").reset_index(drop=True)
         rep, n = block["rep"].to_numpy(np.int64), block["n"].to_numpy(np.int64)
-        part, lo, hi = (block[c].to_numpy() for c in ("part", "lo", "hi"))
+        part, lo, hi, filters = (block[c].to_numpy() for c in ("part", "lo", "hi", "filter"))
         blobs, lists = block["x"].to_list(), block["filters"].to_list()
-        names, filters = block[[*groups, "lo", "hi"]], block["filter"].to_numpy()
+        names = block[[*groups, "lo", "hi"]]
         edges = np.flatnonzero((names != names.shift()).any(axis=1).to_numpy())
         found: list[tuple[np.ndarray, np.ndarray]] = []
         links = np.zeros(len(block), np.int64)
-        for start, stop in zip(edges, [*edges[1:], len(block)]):
-            if stop - start < 2:
-                continue
+
+        def units(start: int, stop: int) -> np.ndarray:
             x = np.stack([np.frombuffer(b, dtype=stored) for b in blobs[start:stop]]).astype(np.float64)
             x = x / np.abs(x).max(axis=1, keepdims=True)
-            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            near = np.triu(x @ x.T >= threshold, 1)
-            if lo[start] != hi[start]:  # a pair of parts: pairs within a part are compared elsewhere
-                p = part[start:stop]
-                near &= p[:, None] != p
+            return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+        def compare(a: int, x: np.ndarray, b: int, y: np.ndarray) -> None:
+            """Link the rows from a on to those from b on, both of one filter."""
+            near = x @ y.T >= threshold
+            if a == b:
+                near = np.triu(near, 1)
+            if lo[a] != hi[a]:  # a pair of parts: pairs within a part are compared elsewhere
+                near &= part[a : a + len(x)][:, None] != part[b : b + len(y)]
             i, j = np.nonzero(near)
             if not len(i):
-                continue
+                return
+            i, j = i + a, j + b
             # the first filter that a pair shares counts it
             members = np.unique(np.concatenate([i, j]))
-            own = [np.frombuffer(lists[start + m], dtype=np.int32) for m in members]
-            smaller = [f[f < filters[start]] for f in own]
+            i, j = np.searchsorted(members, i), np.searchsorted(members, j)
+            own = [np.frombuffer(lists[m], dtype=np.uint16) for m in members]
+            smaller = [f[f < filters[a]] for f in own]
             names_of, at = np.unique(np.concatenate(smaller), return_inverse=True)
             if len(names_of):
                 has = np.zeros((len(members), len(names_of)), np.float32)
                 has[np.repeat(np.arange(len(members)), [len(f) for f in smaller]), at] = 1
-                where = np.searchsorted(members, np.arange(stop - start))
-                before = has @ has.T > 0
-                new = ~before[where[i], where[j]]
+                new = ~(has @ has.T > 0)[i, j]
                 i, j = i[new], j[new]
-            np.add.at(links, start + i, n[start + j])
-            np.add.at(links, start + j, n[start + i])
-            found.append((rep[start + i], rep[start + j]))
+            np.add.at(links, members[i], n[members[j]])
+            np.add.at(links, members[j], n[members[i]])
+            root = roots_of(len(members), i, j)
+            joined = np.flatnonzero(root != np.arange(len(members)))
+            found.append((rep[members[joined]], rep[members[root[joined]]]))
+
+        for start, stop in zip(edges, [*edges[1:], len(block)]):
+            if stop - start < 2:
+                continue
+            for a in range(start, stop, BLOCK):
+                x = units(a, min(a + BLOCK, stop))
+                compare(a, x, a, x)
+                for b in range(a + BLOCK, stop, BLOCK):
+                    compare(a, x, b, units(b, min(b + BLOCK, stop)))
         a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
         if not len(a):
             return pd.DataFrame({"rep": [], "links": [], "root": []}).astype(np.int64)
         nodes, roots = forest(a, b)
-        return pd.DataFrame({"rep": nodes, "links": np.bincount(np.searchsorted(nodes, rep[links > 0]), links[links > 0], len(nodes)).astype(np.int64), "root": roots})
+        counts = np.zeros(len(nodes), np.int64)
+        np.add.at(counts, np.searchsorted(nodes, rep[links > 0]), links[links > 0])
+        return pd.DataFrame({"rep": nodes, "links": counts, "root": roots})
 
     solved = cut_lineage(dealt.groupBy("bin").applyInPandas(solve, "rep long, links long, root long"))
     links = solved.groupBy("rep").agg(F.sum("links").alias("links"))

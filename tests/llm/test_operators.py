@@ -63,12 +63,24 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 906))
 
 
+@pytest.mark.parametrize("dim", [24, 64])
+def test_no_pair_at_the_threshold_is_missed(dim):
+    code, rng = neardup.product_code(dim), np.random.default_rng(dim)
+    assert code.signs.nbytes <= neardup.ROUNDS * neardup.CODES * 2 * dim
+    x = rng.standard_normal((1000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    assert all(len(np.intersect1d(a, b)) for a, b in zip(code.decode(x), code.decode(y)))
+
+
 def test_crowded_filters_are_split(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = np.random.default_rng(4)
     one = rng.standard_normal(32)
     rows = [(i, [float(v) for v in one + 0.01 * rng.standard_normal(32)], 1) for i in range(80)]
-    got = rows_of(neardup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")))
+    got = rows_of(neardup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows_per_task=16))
     assert {(r["n_links"], r["component_id"]) for r in got} == {(79, 0)}
 
 
