@@ -203,15 +203,14 @@ def heal_condition(condition: str) -> str:
 
 
 def sentence(result: DataFrame) -> DataFrame:
-    """answer: single values read out; of two-column groups the highest and lowest; else the number of rows."""
+    """answer: single values read out; of two-column groups the highest and lowest (ties: the least name); else the number of rows."""
     rows = F.count(F.lit(1))
     number = lambda c: F.when(c == F.floor(c), F.format_number(c, 0)).otherwise(F.format_number(c, 2))
     if len(result.columns) == 2 and isinstance(result.schema[result.columns[1]].dataType, T.NumericType):
         label, value = result.columns
         name, x = quoted(label).cast("string"), quoted(value).cast("double")
-        groups = F.format_string(
-            f"{value} over %d groups: most in %s (%s), least in %s (%s).", rows, F.max_by(name, x), number(F.max(x)), F.min_by(name, x), number(F.min(x))
-        )
+        most, least = (F.min(F.when(x.isNotNull(), F.struct(v.alias("x"), name.alias("name"))))["name"] for v in (-x, x))
+        groups = F.format_string(f"{value} over %d groups: most in %s (%s), least in %s (%s).", rows, most, number(F.max(x)), least, number(F.min(x)))
         plain = F.format_string("Rows: %d.", rows)
         return result.agg(F.when((rows >= 2) & (F.count_distinct(F.coalesce(name, F.lit("None"))) == rows), groups).otherwise(plain).alias("answer"))
     parts = []

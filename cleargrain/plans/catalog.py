@@ -695,7 +695,7 @@ def rule_preview(spark, d):
     return checks.preview_rule(dirty_sales(spark, d), query.heal_condition('"quantity" > 5'))[0]
 
 
-@register("k24_k25_sentence", "SELECT '3 groups — highest n: ' || arg_max(s, n) || ' (' || format('{:,}', max(n)) || '), lowest: ' || arg_min(s, n) || ' (' || format('{:,}', min(n)) || ').' AS answer FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1) HAVING count(*) = 3")
+@register("k24_k25_sentence", "SELECT 'n over 3 groups: most in ' || arg_min(s, (-n, s)) || ' (' || format('{:,}', max(n)) || '), least in ' || arg_min(s, (n, s)) || ' (' || format('{:,}', min(n)) || ').' AS answer FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1) HAVING count(*) = 3")
 def said(spark, d):
     return query.sentence(table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")))
 
@@ -714,7 +714,13 @@ def tiers(spark, d):
     return govern.tier(score.score(dirty_rows(spark, d)), True).select("overall", "ingestion_tier")
 
 
-@register("h5_column_metadata")
+KINDS = dict(zip(COLUMNS, ("id", "text", "email", "phone", "url", "categorical", "currency", "currency", "date", "categorical", "currency", "categorical", "categorical", "categorical")))
+META = " UNION ALL ".join(f"SELECT '{c}' AS name, '{k}' AS kind, arg_min({c}::VARCHAR, order_id) FILTER (WHERE {c} IS NOT NULL) AS sample_value FROM d" for c, k in KINDS.items())
+
+
+@register("h5_column_metadata", DUCK + f""", m AS ({META}), p AS (SELECT *, kind IN ('email', 'phone') OR regexp_matches(name, '{"|".join(govern.PII_HINTS)}') AS is_pii FROM m)
+SELECT name, array_to_string(list_transform(string_split(name, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS business_name, kind || ' column' AS description,
+CASE WHEN is_pii THEN 'pii' ELSE 'internal' END AS sensitivity, is_pii, sample_value FROM p""")
 def metadata(spark, d):
     return govern.column_metadata(profile(dirty_rows(spark, d)))
 
@@ -763,7 +769,14 @@ def insight(spark, d):
     return govern.insights(profile(df), score.score(df))
 
 
-@register("i2_story")
+NULL_SHARES = " UNION ALL ".join(f"SELECT '{c}' AS name, round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS pct FROM d" for c in COLUMNS)
+
+
+@register("i2_story", SPELLINGS + f""", s AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT ({ANY_MASK} OR {DOUBLE})) AS clean FROM d, q), g AS ({NULL_SHARES}),
+o AS (SELECT n, clean, round(100.0 * clean / n, 1) AS overall, (SELECT arg_max(name, pct) FROM g) AS gap, (SELECT max(pct) FROM g) AS pct FROM s)
+SELECT concat_ws(chr(10), 'Table dirty_sales: ' || format('{{:,}}', n) || ' rows by {len(COLUMNS)} columns.', 'Score ' || overall || ', ' || format('{{:,}}', clean) || ' rows pass all checks.',
+'Most nulls: ' || gap || ' with ' || pct || ' %.', '{sum(k == "currency" for k in KINDS.values())} measures, {sum(k in ("categorical", "text") for k in KINDS.values())} groupings.',
+'Next: ' || CASE WHEN overall < 90 THEN 'clean the table.' ELSE 'query or chart the table.' END) AS story FROM o""")
 def story(spark, d):
     df = dirty_rows(spark, d)
     return govern.data_story("dirty_sales", profile(df), score.score(df))
@@ -774,7 +787,7 @@ def questions(spark, d):
     return spark.createDataFrame([(q,) for q in govern.starter_questions(profile_columns(dirty_sales(spark, d)))], "question string")
 
 
-@register("i4_explain_points", "SELECT 'price is highest for ' || arg_max(p, v) || ' (' || format('{:,.2f}', max(v)) || ') and lowest for ' || arg_min(p, v) || ' (' || format('{:,.2f}', min(v)) || ').' AS explanation FROM (SELECT o_orderpriority AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1)")
+@register("i4_explain_points", "SELECT 'price: most in ' || arg_min(p, (-v, p)) || ' (' || format('{:,.2f}', max(v)) || '), least in ' || arg_min(p, (v, p)) || ' (' || format('{:,.2f}', min(v)) || ').' AS explanation FROM (SELECT o_orderpriority AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1)")
 def explained_points(spark, d):
     return govern.explain_points(charts.category_chart(table(spark, d, "orders"), "o_orderpriority", "o_totalprice"), "price")
 
