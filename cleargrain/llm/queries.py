@@ -14,10 +14,13 @@ from cleargrain.llm.mixing import MIX_SQL, mix_sources
 from cleargrain.llm.neardup import NEAR_DUP_SQL, link_vectors
 from cleargrain.llm.ngram_join import NGRAM_SQL, join_ngrams
 from cleargrain.llm.packing import pack_documents
+from cleargrain.llm.pii import digest_spans, find_spans, fit_segments
+from cleargrain.llm.prefix_trie import PREFIX_TRIE_SQL, prefix_trie
 from cleargrain.llm.quality import fit_quality, score_quality
 from cleargrain.llm.sharding import SHARD_SQL, shard_documents
 from cleargrain.llm.topk import TOP_K_SQL, quantise, search_top_k
 from cleargrain.llm.toxicity import fit_toxicity, score_toxicity
+from cleargrain.llm.vector_codes import VECTOR_CODES_SQL, compress_vectors
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +72,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return digest_spans(find_spans(docs, fit_segments(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -80,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +107,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": MIX_SQL,
     "op8_exact_top_k": TOP_K_SQL,
     "op9_ngram_jaccard_join": NGRAM_SQL,
+    "op11_prefix_trie": PREFIX_TRIE_SQL,
+    "op12_vector_codes": VECTOR_CODES_SQL,
 }
