@@ -23,18 +23,37 @@ GENDERS = {"m": "Male", "male": "Male", "f": "Female", "female": "Female", "man"
 
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 _TIME, _TIME_FORMAT = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?", "H:mm[:ss[.SSSSSSSSS]]"
-#: Shapes of dates and the formats for each; a text is parsed by those of its own shape alone, as parsers are slow to fail.
+#: Common shapes of dates and the formats for each; a text is parsed by those of its own shape alone, as parsers are slow to fail.
 #: Day and month may have one digit or two. {order} takes d and M in the order of the reading.
-_SHAPES = (
+_COMMON = (
     (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[T ]{_TIME})?$", (f"yyyy-M-d['T'][ ][{_TIME_FORMAT}]",)),
     (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}(?: {_TIME})?$", (f"yyyy/M/d[ {_TIME_FORMAT}]",)),
     (rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}(?: {_TIME})?$", (f"{{order/}}/yyyy[ {_TIME_FORMAT}]",)),
     (rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}}(?: {_TIME})?$", (f"{{order-}}-yyyy[ {_TIME_FORMAT}]",)),
     (r"^\d{8}$", ("yyyyMMdd",)),
-    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}$", ("d MMM yyyy", "d MMMM yyyy")),
-    (r"^\d{1,2}-[A-Za-z]{3,9}-\d{4}$", ("d-MMM-yyyy", "d-MMMM-yyyy")),
-    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$", ("MMM d[,] yyyy", "MMMM d[,] yyyy")),
+    (r"^\d{1,2} (?!(?i:sept) )[A-Za-z]{3,9} \d{4}$", ("d MMM yyyy", "d MMMM yyyy")),
+    (r"^\d{1,2}-(?!(?i:sept)-)[A-Za-z]{3,9}-\d{4}$", ("d-MMM-yyyy", "d-MMMM-yyyy")),
+    (r"^(?!(?i:sept) )[A-Za-z]{3,9} \d{1,2},? \d{4}$", ("MMM d[,] yyyy", "MMMM d[,] yyyy")),
 )
+#: Names in other shapes; a clock of 12 hours, with its hours that change and by how much.
+_MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?[.,]* +)?"
+_HALF_DAY = r"(?i)\b((?:0?[1-9]|1[0-2]):\d\d(?::\d\d)?) *[ap]\.?m\.?$"
+_HALF_DAY_SHIFTS = ((r"(?i)\b(?:0?[1-9]|1[01]):[0-9:]+ *p\.?m\.?$", 12), (r"(?i)\b12:[0-9:]+ *a\.?m\.?$", -12))
+_NAMED = rf"(?i)^{_WEEKDAY}(?:\d{{1,2}}(?:st|nd|rd|th)?[ .-]+(?:of +)?|\d{{4}}[ -])?{_MONTH}\b"
+#: What makes a date with a named month "d MMM yyyy", step by step.
+_NAMED_STEPS = (
+    (_HALF_DAY, "$1"), (rf"(?i)^{_WEEKDAY}", ""), (r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1"), (rf"(?i)\b{_MONTH}\b\.?", "$1"), (r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*", "$1"),
+    (r"(?i)(?:[,.]| of\b| at\b|(?<=[a-z])-|-(?=[a-z])) *", " "), (" +", " "), (r"(?i)^([a-z]{3}) (\d{1,2}) ", "$2 $1 "), (r"(?i)^([a-z]{3} \d{4})$", "1 $1"), (r"(?i)^(\d{4}) ([a-z]{3})[ -](\d{1,2})\b", "$3 $2 $1"),
+    (r"(?i)^(\d{1,2} [a-z]{3}) (69|[7-9]\d)(?= |$)", "$1 19$2"), (r"(?i)^(\d{1,2} [a-z]{3}) (\d{2})(?= |$)", "$1 20$2"),
+)
+_NAMED_FORMAT = f"d MMM yyyy[ {_TIME_FORMAT}]"
+#: What makes a date of numbers "yyyy-M-d"; {order} is where month and day stand.
+_NUMBERED = r"^(?:\d{1,2}([-/.])\d{1,2}\1(?:\d{4}|\d{2})|\d{4}[-/.]\d{1,2}(?:[-/.]\d{1,2})?|\d{8}T\d{6})(?![0-9.])"
+_NUMBERED_STEPS = (
+    (_HALF_DAY, "$1"), (r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)", "$1-$2-$3 $4:$5:$6"), (r"^(\d{1,2})([-/.])(\d{1,2})\2(69|[7-9]\d)(?!\d)", "$1-$3-19$4"), (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{2})(?!\d)", "$1-$3-20$4"), (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", "$3-{order}"),
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3"), (r"^(\d{4})/(\d{1,2})$", "$1-$2"), (", *| +at +", " "), (r" *([+-]\d\d):?(\d\d)$(?<=:\d\d[+-]\d\d:?\d\d| [+-]\d\d:?\d\d)", "$1:$2"),
+)
 #: What else may read as a timestamp, one with a zone above all.
 _WIDE = r"^[+-]?\d{1,6}[-/ .T:]"
 
@@ -80,10 +99,16 @@ def _zip(value: Column) -> Column:
     return value.rlike(ZIP)
 
 
+def _stepped(value: Column, steps: tuple, **names: str) -> Column:
+    for pattern, new in steps:
+        value = F.regexp_replace(value, pattern, new.format(**names) if "{" in new else new)
+    return value
+
+
 def _reading(value: Column, orders: tuple[str, ...]) -> Column:
     """The timestamp of trimmed text, or null. orders: "Md", "dM" or both, for dates that do not tell day from month."""
-    out = None
-    for shape, formats in _SHAPES:
+    out = F
+    for shape, formats in _COMMON:
         tried = []
         for f in formats:
             for mark in "/-":
@@ -92,8 +117,15 @@ def _reading(value: Column, orders: tuple[str, ...]) -> Column:
                     break
             else:
                 tried.append(f)
-        parsed = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in tried])
-        out = F.when(value.rlike(shape), parsed) if out is None else out.when(value.rlike(shape), parsed)
+        out = out.when(value.rlike(shape), F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in tried]))
+    # other shapes are first brought to one; a clock of 12 hours is read as it stands and then moved
+    hours = F
+    for pattern, shift in _HALF_DAY_SHIFTS:
+        hours = hours.when(value.rlike(pattern), shift)
+    moved = F.make_dt_interval(F.lit(0), hours.otherwise(0))
+    out = out.when(value.rlike(_NAMED), F.try_to_timestamp(_stepped(value, _NAMED_STEPS), F.lit(_NAMED_FORMAT)) + moved)
+    places = {"Md": "$1-$2", "dM": "$2-$1"}
+    out = out.when(value.rlike(_NUMBERED), F.coalesce(*[_stepped(value, _NUMBERED_STEPS, order=places[o]).try_cast("timestamp") for o in orders]) + moved)
     return out.when(value.rlike(_WIDE) & (F.length(value) >= 8), value.try_cast("timestamp"))
 
 
@@ -136,7 +168,7 @@ def is_corrupted(c: Column | str) -> Column:
 
 def is_date(c: Column | str) -> Column:
     """A date or timestamp: numbers of year, month and day in any usual order, with one digit or two, compact (20240105), with a named month, with a
-    time or a zone."""
+    weekday or an ordinal, a month of a year (its first day); with a time of 24 or 12 hours, or a zone. Years of two digits are 1969 to 2068."""
     return _date(strip(c))
 
 
