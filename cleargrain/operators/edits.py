@@ -11,6 +11,8 @@ from cleargrain.operators.profile import data_columns, is_numeric, quoted
 from cleargrain.sources.rowid import ROW_ID
 
 EDITS = "edit_no long, row_index long, column_name string, value string"
+#: A change log: old values as they were, whatever their type, and the type of their column.
+LOG = "row_index long, column_name string, old_value string, new_value string, old variant, old_type string"
 MAX_EDITS = 100
 
 
@@ -47,7 +49,7 @@ def last_edits(edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(df: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edited table, and the log (row_index, column_name, old_value, new_value). A batch has 100 edits at most.
+    """The edited table, and the log (LOG: old_value and new_value to be read, old to be put back). A batch has 100 edits at most.
 
     Whole-number columns become doubles when an edit clears a cell or puts a fraction there.
     """
@@ -59,7 +61,7 @@ def apply_edits(df: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = last_edits(edits)
     touched = [r[0] for r in last.select("column_name").distinct().collect()]
     if not touched:
-        return df, df.sparkSession.createDataFrame([], "row_index long, column_name string, old_value string, new_value string")
+        return df, df.sparkSession.createDataFrame([], LOG)
     cells = last.groupBy("row_index").pivot("column_name", touched).agg(F.first(F.struct("value")))
     cells = cells.select(F.col("row_index").alias(ROW_ID), *[quoted(c).alias(f"_e{k}") for k, c in enumerate(touched)])
     joined = df.join(F.broadcast(cells), ROW_ID, "left")  # MAX_EDITS rows at most
@@ -73,21 +75,40 @@ def apply_edits(df: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
             new, old = (new, old.cast("double")) if wide[k] else (new.cast(kind), old)
         out[c] = F.when(F.col(f"_e{k}").isNotNull(), new).otherwise(old)
     edited = joined.select(*[(out[c].alias(c) if c in out else quoted(c)) for c in df.columns])
-    pairs = [F.when(F.col(f"_e{k}").isNotNull(), F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("old_value"), F.col(f"_e{k}.value").alias("new_value"))) for k, c in enumerate(touched)]
+
+    def entry(k: int, c: str) -> Column:
+        kind = df.schema[c].dataType.simpleString()
+        old = (quoted(c).cast("string").alias("old_value"), F.col(f"_e{k}.value").alias("new_value"), quoted(c).cast("variant").alias("old"), F.lit(kind).alias("old_type"))
+        return F.when(F.col(f"_e{k}").isNotNull(), F.struct(F.lit(c).alias("column_name"), *old))
+
+    pairs = [entry(k, c) for k, c in enumerate(touched)]
     log = joined.select(F.col(ROW_ID).alias("row_index"), F.explode(F.array_compact(F.array(*pairs))).alias("x")).select("row_index", "x.*")
     return edited, log
 
 
 def undo_edits(df: DataFrame, log: DataFrame, rows_then: int) -> DataFrame:
-    """Old values back; refused if rows were added or removed since."""
+    """Old values back as they were, blanks and nulls too, and columns that an edit widened in their old type; refused if rows were added or removed since.
+
+    A column stays wide where a later edit left a fraction in it. A log has MAX_EDITS entries at most; columns that df lacks are passed over.
+    """
     if df.count() != rows_then:
         raise ValueError("the number of rows has changed since the edit")
-    edits = log.select(F.lit(0).cast("long").alias("edit_no"), "row_index", "column_name", F.col("old_value").alias("value"))
-    return apply_edits(df, edits)[0]
+    kinds = {c: kind for c, kind in log.select("column_name", "old_type").distinct().limit(MAX_EDITS).collect() if c in df.columns}
+    if not kinds:
+        return df
+    cells = log.groupBy(F.col("row_index").alias(ROW_ID)).agg(*[F.max(F.when(F.col("column_name") == c, F.struct(F.lit(1), F.col("old").cast(kind).alias("old")))).alias(f"_u{k}") for k, (c, kind) in enumerate(kinds.items())])
+    joined = df.join(F.broadcast(cells), ROW_ID, "left")  # MAX_EDITS rows at most
+    back = {c: F.when(F.col(f"_u{k}").isNotNull(), F.col(f"_u{k}.old").cast(df.schema[c].dataType)).otherwise(quoted(c)) for k, c in enumerate(kinds)}
+    wider = [c for c, kind in kinds.items() if df.schema[c].dataType.simpleString() == "double" and kind in ("tinyint", "smallint", "int", "bigint")]
+    if wider:
+        fractions = joined.agg(*[F.count_if(back[c] % 1 != 0) for c in wider]).first()
+        back |= {c: back[c].cast(kinds[c]) for c, n in zip(wider, fractions) if not n}
+    return joined.select(*[(back[c].alias(c) if c in back else quoted(c)) for c in df.columns])
 
 
 def edit_history(log: DataFrame, limit: int = 20) -> DataFrame:
-    return log.orderBy(F.desc("edited_at")).limit(limit)
+    """The latest entries of a log with edited_at; of one time those of higher rows first."""
+    return log.orderBy(F.desc("edited_at"), F.desc("row_index")).limit(limit)
 
 
 def row_filter(df: DataFrame, column: str, op: str, value: str | None = None) -> Column | None:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleargrain.functions import values as V
-from cleargrain.operators.charts import AGGREGATIONS, chosen_dates, usable
-from cleargrain.operators.profile import ColumnProfile, is_text, quoted, value_frequencies
+from cleargrain.operators.charts import AGGREGATIONS, aggregated, chosen_dates, usable
+from cleargrain.operators.guard import UnsafeQueryError, check_tree
+from cleargrain.operators.profile import ColumnProfile, data_columns, is_text, quoted, value_frequencies
 
 VIEW = "dataset"
 MAX_ROWS = 1_000
@@ -21,16 +23,13 @@ WRITE_WORDS = (
     "export", "import", "grant", "revoke", "vacuum", "set", "refresh", "cache", "uncache",
 )
 ROW_NAMES = ("count", "count_star", "n", "rows", "row_count", "num_rows")
-RESULT_WORDS = (("sum_", "Total "), ("total_", "Total "), ("avg_", "Average "), ("mean_", "Average "), ("max_", "Maximum "), ("min_", "Minimum "), ("count_", "Count of "))
+SYNONYMS = {"total": "sum", "mean": "avg"}
 DIALECT = ((r"\bVARCHAR\b(?!\s*\()", "STRING"), (r"\bregexp_matches\s*\(", "regexp_like("), (r'"([^"]+)"', r"`\1`"))
 
 
-class UnsafeQueryError(ValueError):
-    """Not a single read-only query."""
-
-
 def guard(sql: str) -> str:
-    """The query in Spark's dialect, if it is one SELECT or WITH without writing words."""
+    """The query in Spark's dialect, if it is one SELECT or WITH without writing words. A semicolon may end it."""
+    sql = re.sub(r"\s*;\s*$", "", sql)
     bare = re.sub(r"'(?:[^']|'')*'", "''", sql)
     if not sql.strip():
         raise UnsafeQueryError("empty query")
@@ -50,8 +49,9 @@ def guard(sql: str) -> str:
 
 
 def run_sql(df: DataFrame, sql: str, limit: int = MAX_ROWS) -> DataFrame:
-    """A guarded query over the view dataset, of limit rows at most."""
+    """A guarded query over the view dataset, of limit rows at most. It reads that view and its own named queries, no file, table or other view."""
     query = guard(sql)
+    check_tree(df.sparkSession, query, (VIEW,))
     df.createOrReplaceTempView(VIEW)
     return df.sparkSession.sql(query).limit(limit)
 
@@ -72,8 +72,8 @@ def same_text(column: str, value: str) -> Column:
 
 
 def top_categories(df: DataFrame, category: str, measure: str, agg: str = "sum", n: int = 10) -> DataFrame:
-    value = AGGREGATIONS[agg].build(usable(df, measure, agg))
-    return df.groupBy(quoted(category)).agg(value.alias(f"{agg}_{measure}")).orderBy(F.desc(f"{agg}_{measure}"), quoted(category)).limit(min(n, 100))
+    rows = df.select(quoted(category), usable(df, measure, agg).alias("_m"))
+    return aggregated(rows, [category], agg, "_m", f"{agg}_{measure}").orderBy(F.desc(quoted(f"{agg}_{measure}")), quoted(category)).limit(min(n, 100))
 
 
 def by_category(df: DataFrame, category: str, measure: str, agg: str = "sum") -> DataFrame:
@@ -103,7 +103,7 @@ def filtered(df: DataFrame, mask: Column, agg: str | None = None, measure: str |
     if agg == "count":
         return rows.agg(F.count(F.lit(1)).alias("count"))
     if agg:
-        return rows.agg(AGGREGATIONS[agg].build(usable(df, measure, agg)).alias(f"{agg}_{measure}"))
+        return aggregated(rows.select(usable(df, measure, agg).alias("_m")), [], agg, "_m", f"{agg}_{measure}")
     return rows.limit(50)
 
 
@@ -147,26 +147,61 @@ def result_facts(result: DataFrame) -> DataFrame:
     return kept.select("rank", "label", "value", share.alias("share"), "total", "rows").orderBy("rank")
 
 
-def truncation_note(row_count: int, sql: str, cap: int = MAX_ROWS) -> str | None:
-    if row_count >= cap:
-        return f"The table stops at {cap:,} rows; sums over it leave the others out."
-    if re.search(r"\border\s+by\b", sql, re.I):
+def truncation_note(result: DataFrame, cap: int = MAX_ROWS) -> str | None:
+    """What a reader of a result should know of its length, read off its plan: the row cap, or a limit over rows in no order, cut it."""
+    plan = result._jdf.queryExecution().optimizedPlan()
+    limits, ordered = [], False
+    while plan is not None:  # down from the top as long as no two inputs meet
+        kind = plan.getClass().getSimpleName()
+        ordered = ordered or kind == "Sort"
+        limits += [int(plan.limitExpr().toString())] if kind == "GlobalLimit" else []
+        plan = plan.children().apply(0) if plan.children().size() == 1 else None
+    if not limits:
         return None
-    limit = re.search(r"\blimit\s+(\d+)\s*$", sql, re.I)
-    if limit and cap > int(limit[1]) <= row_count:
-        return f"LIMIT {int(limit[1])} cut the list without an order; count the rows for a total."
+    shown = result.count()
+    if shown >= cap:
+        return f"The table stops at {cap:,} rows; sums over it leave the others out."
+    if shown == min(limits) and not ordered:
+        return f"LIMIT {min(limits)} cut the list without an order; count the rows for a total."
     return None
 
 
-def ungrounded(answers: DataFrame, facts: DataFrame, key: str = "id") -> DataFrame:
-    """key, value: numbers stated in answers (key, text) that are no faithful rounding of any fact (key, value) of that key.
+def _bands(value: Column, places: Column) -> Column:
+    """Structs (place, band): the value rounded to each number of decimals; those that are out of a long's range have none."""
+    # half a unit of the place, with room for binary fractions
+    scaled = lambda p: value * F.pow(F.lit(10.0), p) + 0.5 + 1e-9
+    found = F.transform(places, lambda p: F.struct(p.cast("int").alias("place"), F.when(F.abs(scaled(p)) < 9e18, F.floor(scaled(p))).alias("band")))
+    return F.filter(found, lambda b: b.band.isNotNull())
+
 
-    Facts of one key are few; the join is on the key, so a number meets its own answer's facts only.
+def ungrounded(answers: DataFrame, facts: DataFrame, key: str = "id", table: DataFrame | None = None) -> DataFrame:
+    """key, value: numbers stated in answers (key, text) that no fact grounds.
+
+    A fact grounds a number that is its rounding to the decimals shown, or one more or less; a fact of 0 only 0. Facts with the column key
+    hold for the answer of that key, facts (value) without it for all answers, as do the numbers of rows and columns of table. Both sides
+    are cut into bands, one for each number of decimals that matters, and meet where a band is equal: an equi-join, whatever the number of facts.
     """
-    stated = answers.select(quoted(key).alias("_id"), F.posexplode(V.stated_numbers("text")).alias("_at", "_x")).select("_id", "_at", F.col("_x.value").alias("value"), F.col("_x.decimals").alias("decimals"))
-    known = facts.select(quoted(key).alias("_id"), F.col("value").cast("double").alias("truth"))
-    judged = stated.join(known, "_id", "left").groupBy("_id", "_at", "value").agg(F.coalesce(F.bool_or(V.is_faithful(F.col("value"), F.col("decimals"), F.col("truth"))), F.lit(False)).alias("ok"))
-    return judged.where("not ok").select(F.col("_id").alias(key), "value")
+    id_, keyed = quoted(key), key in facts.columns
+    stated = answers.select(id_.alias("_id"), F.posexplode(V.stated_numbers("text")).alias("_at", "_x")).select("_id", "_at", F.col("_x.value").alias("value"), F.col("_x.decimals").alias("decimals"))
+    stated = stated.where("value is not null")
+    zero = F.array(F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("band")))
+    own = _bands(F.col("value"), F.array_distinct(F.array(F.greatest(F.col("decimals") - 1, F.lit(0)), F.col("decimals"), F.col("decimals") + 1)))
+    asked = stated.withColumn("b", F.explode(F.when(F.abs("value") < 1e-6, F.concat(own, zero)).otherwise(own))).select("_id", "_at", "b.place", "b.band")
+    most = stated.agg(F.max("decimals")).first()[0] or 0
+    truth = F.col("value").cast("double")
+    every = F.when(F.abs(truth) < 1e-9, zero).otherwise(_bands(truth, F.sequence(F.lit(0), F.lit(most + 1))))
+    bands = lambda rows, *ids: rows.select(*ids, F.explode(every).alias("b")).select(*[F.col(c) for c in ("_id",) if ids], "b.place", "b.band").distinct()
+    shared = None if keyed else facts.select("value")
+    if table is not None:
+        sizes = table.agg(F.count(F.lit(1)).cast("double").alias("rows")).select(F.explode(F.array("rows", F.lit(float(len(data_columns(table)))))).alias("value"))
+        shared = sizes if shared is None else shared.unionByName(sizes)
+    grounded = []
+    if keyed:
+        grounded.append(asked.join(bands(facts.select(id_.alias("_id"), "value"), "_id"), ["_id", "place", "band"], "left_semi").select("_id", "_at"))
+    if shared is not None:
+        grounded.append(asked.join(bands(shared), ["place", "band"], "left_semi").select("_id", "_at"))
+    found = reduce(DataFrame.unionByName, grounded).distinct()
+    return stated.join(found, ["_id", "_at"], "left_anti").select(F.col("_id").alias(key), "value")
 
 
 def result_chart(result: DataFrame, forced: str | None = None) -> tuple[DataFrame, str] | None:
@@ -197,9 +232,21 @@ def rule(df: DataFrame, column: str, op: str, value: str | float | None = None)
         return F.coalesce(compare(V.casefold(c.cast("string")), F.lit(str(value).strip().lower())), F.lit(False))
 
 
+#: A condition's tokens: quoted texts, quoted names, comparisons, numbers, anything else.
+CONDITION_TOKENS = re.compile(r"""(?P<text>'(?:[^']|'')*')|(?P<name>"[^"]+"|`[^`]+`)|(?P<compare>[<>!]=|<>|[<>=])|(?P<number>(?<![\w.])-?\d+(?:\.\d+)?(?![\w.]))|(?P<space>\s+)|(?P<other>\w+|.)""", re.S)
+
+
 def heal_condition(condition: str) -> str:
-    """Comparisons of a quoted or backquoted column with a number get a lenient cast."""
-    return re.sub(r'["`]([^"`]+)["`]\s*(<=|>=|<>|!=|=|<|>)\s*(-?\d+(?:\.\d+)?)', r"try_cast(`\1` AS DOUBLE) \2 \3", condition)
+    """The condition with a lenient cast around every quoted column that is compared with a number, on either side; texts stay as they are."""
+    tokens = [(m.lastgroup, m[0]) for m in CONDITION_TOKENS.finditer(condition)]
+    solid = [i for i, (kind, _) in enumerate(tokens) if kind != "space"]
+    words = [word for _, word in tokens]
+    for left, middle, right in zip(solid, solid[1:], solid[2:]):
+        kinds = tuple(tokens[i][0] for i in (left, middle, right))
+        if kinds in (("name", "compare", "number"), ("number", "compare", "name")):
+            at = left if kinds[0] == "name" else right
+            words[at] = f"try_cast(`{words[at][1:-1]}` AS DOUBLE)"
+    return "".join(words)
 
 
 def sentence(result: DataFrame) -> DataFrame:
@@ -210,7 +257,7 @@ def sentence(result: DataFrame) -> DataFrame:
         label, value = result.columns
         name, x = quoted(label).cast("string"), quoted(value).cast("double")
         most, least = (F.min(F.when(x.isNotNull(), F.struct(v.alias("x"), name.alias("name"))))["name"] for v in (-x, x))
-        groups = F.format_string(f"{value} over %d groups: most in %s (%s), least in %s (%s).", rows, most, number(F.max(x)), least, number(F.min(x)))
+        groups = F.format_string("%s over %d groups: most in %s (%s), least in %s (%s).", F.lit(value), rows, most, number(F.max(x)), least, number(F.min(x)))
         plain = F.format_string("Rows: %d.", rows)
         return result.agg(F.when((rows >= 2) & (F.count_distinct(F.coalesce(name, F.lit("None"))) == rows), groups).otherwise(plain).alias("answer"))
     parts = []
@@ -223,13 +270,9 @@ def sentence(result: DataFrame) -> DataFrame:
 
 
 def axis_label(name: str) -> str:
-    """sum_price -> Total price; row counts -> Number of rows."""
-    bare = re.sub(r"\(\s*\**\s*\)", "", name).strip()
-    if bare.lower() in ROW_NAMES:
+    """A result column in words: the aggregation's word (Total, Average, Number of values) and the column; row counts in full."""
+    words = name.replace("(*)", "").replace("(", "_").replace(")", "").replace("_", " ").split()
+    if "_".join(words).lower() in ROW_NAMES:
         return "Number of rows"
-    for start, word in RESULT_WORDS:
-        if bare.lower().startswith(start):
-            return (word + bare[len(start) :].replace("_", " ")).strip()
-    return bare.replace("_", " ")
-
-
+    spec = AGGREGATIONS.get(SYNONYMS.get(words[0].lower(), words[0].lower())) if len(words) > 1 else None
+    return spec.word.format(m=" ".join(words[1:])) if spec else " ".join(words)

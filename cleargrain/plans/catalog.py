@@ -473,6 +473,30 @@ def edits_undone(spark, d):
     return edits.undo_edits(after, log, df.count()).select(ROW_ID, "tier", "revenue")
 
 
+@register("e4_undo_types", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id, o_custkey, CASE WHEN (row_number() OVER (ORDER BY o_orderkey) - 1) % 3 = 0 THEN '  ' ELSE o_orderstatus END AS status FROM orders")
+def types_undone(spark, d):
+    # a blank text is edited away and a fraction widens a column of whole numbers; the undo brings both back
+    o = with_row_ids(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus"), ["o_orderkey"])
+    o = o.select(ROW_ID, "o_custkey", F.when(F.col(ROW_ID) % 3 == 0, "  ").otherwise(F.col("o_orderstatus")).alias("status"))
+    batch = spark.createDataFrame([(1, 3, "status", "F"), (2, 4, "status", " "), (3, 5, "o_custkey", "1.5"), (4, 6, "o_custkey", "")], edits.EDITS)
+    after, log = edits.apply_edits(o, batch)
+    return edits.undo_edits(after, log, o.count())
+
+
+@register("e3_edit_log", """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, 'o_orderstatus' AS column_name, o_orderstatus AS old_value, 'X' AS new_value, 'string' AS old_type
+FROM orders QUALIFY row_index IN (7, 11, 20)""")
+def edit_log(spark, d):
+    o = with_row_ids(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    batch = spark.createDataFrame([(1, 7, "o_orderstatus", "W"), (2, 7, "o_orderstatus", "X"), (3, 11, "o_orderstatus", "X"), (4, 20, "o_orderstatus", "X")], edits.EDITS)
+    return edits.apply_edits(o, batch)[1].drop("old")
+
+
+@register("e5_edit_history", """SELECT * FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderdate AS edited_at FROM orders) ORDER BY edited_at DESC, row_index DESC LIMIT 20""")
+def edits_of_late(spark, d):
+    o = with_row_ids(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderkey"])
+    return edits.edit_history(o.select(F.col(ROW_ID).alias("row_index"), F.col("o_orderdate").alias("edited_at")))
+
+
 def filter_query(name: str, column: str, op: str, value: str | None, condition: str) -> None:
     def run(spark, d):
         return edits.query_rows(dirty_rows(spark, d), column, op, value, limit=200, offset=10)[0].select(ROW_ID, "order_id")
@@ -685,6 +709,71 @@ def grounded(spark, d):
     return query.ungrounded(said, o.select("o_orderkey", F.col("o_totalprice").alias("value")), "o_orderkey")
 
 
+@register("k19_any_fact", r"""WITH f AS (SELECT o_totalprice AS v FROM orders UNION ALL SELECT count(*)::DOUBLE FROM orders UNION ALL SELECT 2.0),
+s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN round(o_totalprice * 3, 2) ELSE round(o_totalprice, 2) END AS value, 2 AS d FROM orders
+  UNION ALL SELECT o_orderkey, n::DOUBLE AS value, 0 FROM orders, (SELECT count(*) AS n FROM orders)),
+p AS (SELECT *, unnest([greatest(d - 1, 0), d, d + 1]) AS p FROM s)
+SELECT o_orderkey, value FROM s EXCEPT ALL SELECT DISTINCT o_orderkey, value FROM p
+WHERE (p, floor(value * pow(10, p) + 0.5 + 1e-9)) IN (SELECT (p, floor(v * pow(10, p) + 0.5 + 1e-9)) FROM f, (SELECT unnest(range(4)) AS p))""")
+def grounded_anywhere(spark, d):
+    # an answer states the number of rows and a price, every tenth one a triple price; any order's price grounds it
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    price = F.when(F.col("o_orderkey") % 10 == 3, F.col("o_totalprice") * 3).otherwise(F.col("o_totalprice"))
+    said = o.select("o_orderkey", F.concat(F.lit(f"Of {o.count():,} rows one costs "), F.format_number(price, 2), F.lit(".")).alias("text"))
+    return query.ungrounded(said, o.select(F.col("o_totalprice").alias("value")), "o_orderkey", table=o)
+
+
+@register("k11_pairs", "SELECT l_quantity, l_extendedprice FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem)")
+def number_pairs(spark, d):
+    rows = table(spark, d, "lineitem")
+    return query.pairs(rows.join(rows.agg(F.min("l_orderkey").alias("l_orderkey")), "l_orderkey"), "l_quantity", "l_extendedprice")
+
+
+@register("k18_truncation", """SELECT * FROM (VALUES ('capped', 'The table stops at 1,000 rows; sums over it leave the others out.'), ('cut', 'LIMIT 7 cut the list without an order; count the rows for a total.'),
+('ordered', NULL), ('whole', NULL)) t(query, note) WHERE (SELECT count(*) FROM orders) > 1000""")
+def truncation_notes(spark, d):
+    asked = {"capped": "SELECT * FROM dataset", "cut": "SELECT o_orderkey FROM dataset LIMIT 7", "ordered": "SELECT o_orderkey FROM dataset ORDER BY o_totalprice LIMIT 7", "whole": "SELECT o_orderstatus, count(*) AS n FROM dataset GROUP BY 1;"}
+    o = table(spark, d, "orders")
+    return spark.createDataFrame([(k, query.truncation_note(query.run_sql(o, q))) for k, q in asked.items()], "query string, note string")
+
+
+@register("k2_refused_queries", "SELECT * FROM (VALUES ('file', false), ('java', false), ('other view', false), ('subquery', false), ('semicolon', true), ('named query', true)) t(query, runs) WHERE (SELECT count(*) FROM orders) > 0")
+def refused(spark, d):
+    asked = {
+        "file": "SELECT * FROM text.`/etc/hostname`", "java": "SELECT reflect('java.lang.System', 'currentTimeMillis') FROM dataset", "other view": "SELECT * FROM other", "semicolon": "SELECT count(*) FROM dataset;",
+        "subquery": "SELECT o_orderkey FROM dataset WHERE o_orderkey IN (SELECT o_orderkey FROM other)", "named query": "WITH x AS (SELECT o_orderkey FROM dataset) SELECT count(*) FROM x",
+    }
+    o = table(spark, d, "orders")
+    o.createOrReplaceTempView("other")
+    out = []
+    for name, q in asked.items():
+        try:
+            out.append((name, query.run_sql(o, q).count() > 0))
+        except query.UnsafeQueryError:
+            out.append((name, False))
+    return spark.createDataFrame(out, "query string, runs boolean")
+
+
+@register("g4_median_by_supplier", "SELECT CAST(l_suppkey AS VARCHAR) AS name, median(l_extendedprice)::DOUBLE AS value FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def median_by_supplier(spark, d):
+    return charts.category_chart(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", "median")
+
+
+@register("g9_monthly_median", "SELECT strftime(o_orderdate, '%Y-%m') AS x, median(o_totalprice) AS y FROM orders GROUP BY 1")
+def monthly_median(spark, d):
+    return charts.line_chart(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "median")
+
+
+@register("s1_failing_rule", "SELECT round(100.0 * count(*) FILTER (WHERE o_totalprice <= 300000) / count(*), 1) AS overall, count(*) FILTER (WHERE o_totalprice > 300000) AS dirty_rows FROM orders")
+def score_beside_failing_rules(spark, d):
+    # one rule divides by zero on some row and is left out; the others count
+    o = with_row_ids(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    rules = [checks.rule_check(o, k, c) for k, c in enumerate(("o_totalprice > 300000", "1 / (o_orderkey - 1) < 0", "o_totalprice < 0;"))]
+    facts = checks.gather_facts(o)
+    only = {(x.key, x.column) for x in checks.row_checks(o, facts)}
+    return score.score(o, facts, rules, only).select("overall", "dirty_rows")
+
+
 @register("k20_result_chart", "SELECT o_orderpriority AS name, count(*)::DOUBLE AS value FROM orders GROUP BY 1 ORDER BY 1 LIMIT 12")
 def result_chart(spark, d):
     return query.result_chart(table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")))[0]

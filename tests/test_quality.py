@@ -2,6 +2,7 @@ import json
 import os
 import random
 import shutil
+import statistics
 import subprocess
 import sys
 from pathlib import Path
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from cleargrain.functions import values as V
 from cleargrain.operators import charts, checks, edits, fixes, govern, profile, query, score
 from cleargrain.operators.profile import profile_columns
+from cleargrain.operators.ranks import grouped_median
 from cleargrain.sources import files
 from cleargrain.sources.rowid import ROW_ID, with_row_ids
 from cleargrain.sources.versions import VersionStore
@@ -269,8 +271,100 @@ def test_a_failing_user_check_ends_nothing(golden):
 
 def test_registers_without_the_llm_folders(tmp_path):
     root = Path(__file__).resolve().parents[1]
-    for name in ("cleargrain", "__spark_entry__.py", "corpus_pipeline.py"):
-        source = root / name
+    for source in filter(Path.exists, (root / name for name in ("cleargrain", "__spark_entry__.py", "corpus_pipeline.py"))):
+        name = source.name
         shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+@pytest.mark.parametrize(
+    "text, stamp",
+    [
+        ("1/5/2024 3:30 PM", "2024-01-05 15:30"), ("1/5/24", "2024-01-05 00:00"), ("5.3.2024", "2024-05-03 00:00"), ("Jan 2024", "2024-01-01 00:00"), ("March 5 2024 10:00", "2024-03-05 10:00"),
+        ("Mon, 05 Mar 2024", "2024-03-05 00:00"), ("20240105T101500", "2024-01-05 10:15"), ("2024/01/05 10:00:00Z", "2024-01-05 10:00"), ("Sept 5, 2024", "2024-09-05 00:00"), ("5th of March 2024", "2024-03-05 00:00"),
+        ("12/5/1999 12:05 a.m.", "1999-12-05 00:05"), ("5-Mar-98", "1998-03-05 00:00"), ("2024-01-05 10:15:00 -0500", "2024-01-05 15:15"), ("1/5/2024 13:30 PM", None), ("2024-02-30", None), ("may be", None),
+        ("1.2.3.4", None), ("555-1234", None), ("31/31/24", None), ("", None),
+    ],
+)
+def test_dates_in_many_forms(spark, text, stamp):
+    row = spark.createDataFrame([(text,)], "v string").select(F.date_format(V.date_reading("v", day_first=False), "yyyy-MM-dd HH:mm"), V.is_date("v")).first()
+    assert tuple(row) == (stamp, stamp is not None)
+
+
+def test_medians_of_groups_of_any_size(spark):
+    rng = random.Random(4)
+    rows = [("hot", float(rng.randint(0, 5))) for _ in range(900)] + [("two", 1.0), ("two", 4.0), (None, 3.0), ("none", None)] + [(f"g{i}", rng.random()) for i in range(40) for _ in range(i)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = grouped_median(df, ["g"], "x", "m")
+    assert "percentile" not in got._jdf.queryExecution().toString().lower()
+    want = {g: statistics.median(v) if (v := [x for k, x in rows if k == g and x is not None]) else None for g in {r[0] for r in rows}}
+    assert {r["g"]: r["m"] for r in got.collect()} == pytest.approx(want)
+    assert grouped_median(df, [], "x", "m").first()[0] == pytest.approx(statistics.median(x for _, x in rows if x is not None))
+    assert [tuple(r) for r in grouped_median(df.limit(0), [], "x", "m").collect()] == [(None,)] and grouped_median(df.limit(0), ["g"], "x", "m").count() == 0
+
+
+def test_queries_reach_nothing_but_their_table(spark):
+    df = spark.createDataFrame([(1, "a;b", 2.5), (2, "b", 3.5)], "k long, s string, x double")
+    df.createOrReplaceTempView("secret")
+    spark.udf.register("leak", lambda x: x)
+    for bad in (
+        "SELECT * FROM text.`/etc/hostname`", "SELECT reflect('java.lang.System', 'currentTimeMillis') FROM dataset", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT * FROM secret", "SELECT leak(k) FROM dataset",
+        "SELECT k FROM dataset WHERE EXISTS (SELECT 1 FROM secret)", "SELECT (SELECT max(k) FROM secret) FROM dataset", "WITH secret2 AS (SELECT * FROM secret) SELECT * FROM secret2", "SELECT * FROM range(5)", "SELECT 1; SELECT 2", "SELEC",
+    ):
+        with pytest.raises(query.UnsafeQueryError):
+            query.run_sql(df, bad)
+    for good, n in (("SELECT * FROM dataset;", 2), ("WITH secret AS (SELECT k FROM dataset) SELECT * FROM secret", 2), ("SELECT count(*) FROM dataset WHERE s = 'a;b' ; ", 1)):
+        assert query.run_sql(df, good).count() == n
+    with pytest.raises(ValueError):
+        checks.rule_check(df, "r", "reflect('java.lang.System', 'exit', 0) is null")
+    assert checks.preview_rule(df, "x > 3 ;")[0].first()[0] == 1
+
+
+def test_numbers_are_grounded_by_any_fact(spark):
+    table = spark.createDataFrame([(i, float(i)) for i in range(3)], "k long, x double")
+    said = spark.createDataFrame([(1, "There are 3 rows in 2 columns, 12.3 on average"), (2, "0 or 0.004, 99 and -7.26")], "id long, text string")
+    facts = spark.createDataFrame([(12.26,), (0.0,), (-7.3,)], "value double")
+    left = {(r["id"], r["value"]) for r in query.ungrounded(said, facts, table=table).collect()}
+    assert left == {(2, 0.004), (2, 99.0)}
+    plan = query.ungrounded(said, facts, table=table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    keyed = facts.selectExpr("1 as id", "value")
+    assert {(r["id"], r["value"]) for r in query.ungrounded(said, keyed).collect()} >= {(1, 3.0), (1, 2.0), (2, -7.26)}
+
+
+def test_names_with_percent_signs(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "`name %d` string, `growth %` double")
+    assert query.sentence(df).first()[0].startswith("growth % over 2 groups")
+    points = df.toDF("name", "value")
+    assert govern.explain_points(points, "growth %s").first()[0].startswith("growth %s: most in b")
+    profile = spark.createDataFrame([("growth %", 0.0, "numeric")], "name string, null_pct double, semantic_type string")
+    scores = spark.createDataFrame([(95.0, 10, 12)], "overall double, clean_rows long, row_count long")
+    assert govern.data_story("50 %s", profile, scores).first()[0].startswith("Table 50 %s: 12 rows")
+
+
+def test_failing_rules_are_left_out_of_the_score(spark):
+    df = with_row_ids(spark.createDataFrame([(i, float(i)) for i in range(10)], "k long, x double"), ["k"])
+    rules = [checks.rule_check(df, k, c) for k, c in enumerate(("x > 7", "1 / (k - 3) < 0", "cast('z' || k as int) > 0", "x < 1"))]
+    facts = checks.gather_facts(df)
+    only = {(x.key, x.column) for x in checks.row_checks(df, facts)}
+    with pytest.warns(UserWarning):
+        assert score.score(df, facts, rules, only).first()["dirty_rows"] == 3
+        rows, kept = score.scored_rows(df, facts, rules, only)
+    assert [x.key for x in kept if x.key.startswith("custom")] == ["custom_0", "custom_3"] and rows.where("size(failed_checks) > 0").count() == 3
+
+
+def test_undo_brings_back_blanks_and_types(spark):
+    df = with_row_ids(spark.createDataFrame([(1, "  ", 5), (2, None, 6), (3, "x", 7)], "k long, s string, n long"), ["k"])
+    batch = spark.createDataFrame([(1, 0, "s", "new"), (2, 1, "s", "was null"), (3, 2, "n", "1.5"), (4, 0, "n", " ")], edits.EDITS)
+    after, log = edits.apply_edits(df, batch)
+    assert after.schema["n"].dataType.simpleString() == "double"
+    back = edits.undo_edits(after, log, 3)
+    assert back.schema == df.schema and back.exceptAll(df).isEmpty()
+    later = edits.apply_edits(after, spark.createDataFrame([(1, 1, "n", "2.5")], edits.EDITS))[0]
+    assert edits.undo_edits(later, log, 3).orderBy("k").select("n").collect() == [(5.0,), (2.5,), (7.0,)]
+
+
+def test_conditions_are_healed_on_either_side():
+    healed = query.heal_condition("""3 <= "a b" AND `c`<>-1.5 AND s = '"x" > 1' AND d > 2""")
+    assert healed == """3 <= try_cast(`a b` AS DOUBLE) AND try_cast(`c` AS DOUBLE)<>-1.5 AND s = '"x" > 1' AND d > 2"""
