@@ -187,6 +187,23 @@ def test_wrappers_do_not_take_the_article_along(spark, wrapper, article):
     assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"{text} {i}") for i in range(4)]
 
 
+@pytest.mark.parametrize("n", [1, 3, 8])
+@pytest.mark.parametrize("around", ["{}", "<div class=body>{}</div>", "<div class=body><section><div>{}</div></section></div>"])
+def test_the_whole_article_stays(spark, n, around):
+    """Headings that all pages share, alone or beside others, and elements whose names hold a listed word among others; what is named apart goes."""
+    names = ["search-history", "notice-board", "reply-to-critics", "share-price", "ad-1905", "neutral"]
+    rows, want = [], {}
+    for i in range(n):
+        told = "".join(f"<div class='{c}'><p>chapter {i} on {c}</p></div>" for c in names)
+        body = f"<h1>Dish {i}</h1><h2>Ingredients</h2><p>salt and {i} eggs</p><h2>Method</h2><p>boil for {i} minutes</p><h3 class=part>Notes</h3><div class=last><h2>Serving</h2></div>{told}"
+        gone = "<div class=ad>buy</div><div class='related-posts'><p>other</p></div><div class='Share shareButtons'>share it</div><aside>side</aside><div id=comments><p>reply</p></div>"
+        rows.append((i, f"http://dishes{n}.example.com/{i}", f"<body><nav>menu</nav><article>{around.format(body + gone)}</article><div class='search-history'>past</div><footer>end</footer></body>"))
+        want[i] = f"Dish {i} Ingredients salt and {i} eggs Method boil for {i} minutes Notes Serving " + " ".join(f"chapter {i} on {c}" for c in names)
+    pages = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string")
+    got = [(r["page_id"], r["text"]) for r in html_extract.extract_pages(pages).collect()]
+    assert sorted(got) == sorted([*want.items(), (0, want[0])])
+
+
 def test_lists_of_links_stay_unless_they_repeat(spark):
     text = "a story of a good many words with its sources below it"
     rows = [
