@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.common import cut_lineage, share, shared
-from cleargrain.llm.components import connected_components, forest, roots_of
+from cleargrain.llm.components import SALTS, connected_components, forest, roots_of
 
 THRESHOLD = 0.93
 #: A code is CODES product codes, each with WORDS words a half: 32,768 filters, whose numbers take two bytes.
@@ -102,7 +102,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared_filter
     Rows link when their labels are equal and not null, their embeddings have the same length and the cosine,
     in double precision, reaches the threshold. Null or zero embeddings and such with null or non-finite
     components link with nothing, nor does a null vec_id: its component_id is null, kept false. Equal embeddings of
-    one label are one class, compared once; each member links with the others. Empty table: no rows.
+    one label are one class, compared once; each member links with the others. Rows that share a vec_id are vectors of their own, with their
+    own links. Empty table: no rows.
     """
     value = F.col("embedding").cast("array<double>")
     stored = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
@@ -111,7 +112,14 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared_filter
     usable &= F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("x", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     good = rows.where("usable").withColumn("class", F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("x").cast("array<string>"))))
-    classes = cut_lineage(good.groupBy("class", "label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")))
+    classes = cut_lineage(good.groupBy("class", "label", "x").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")))
+    # a class goes by its smallest vec_id or, where another class has the same, by its number in the order of these
+    shared_ids = not classes.groupBy("first").count().where("count > 1").isEmpty()
+    if shared_ids:
+        order = ["first", "class"]
+        classes = cut_lineage(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rep", F.monotonically_increasing_id()))
+    else:
+        classes = classes.withColumn("rep", F.col("first").cast("long"))
     dims = [r[0] for r in classes.select(F.size("x")).distinct().collect()]
     held = share(vectors, {d: product_code(d, threshold, shared_filters, seed) for d in dims})
 
@@ -212,11 +220,11 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shared_filter
     links = solved.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(solved, "rep", "root").withColumnRenamed("node", "rep")
     members = good.select("vec_id", "class").join(classes.select("class", "rep", "n"), "class").join(links, "rep", "left").join(component, "rep", "left")
-    linked = members.select(
-        "vec_id",
-        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
-    )
+    linked = members.select("vec_id", "class", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    if shared_ids:  # numbers back to ids, a component's members in SALTS tasks
+        names = classes.select(F.col("rep").alias("component_id"), F.col("first").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        linked = linked.withColumn("salt", F.pmod(F.xxhash64("vec_id", "class"), F.lit(SALTS)).cast("int")).join(names, ["component_id", "salt"]).withColumn("component_id", F.col("id").cast("long"))
+    linked = linked.select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

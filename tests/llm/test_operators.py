@@ -84,6 +84,15 @@ def test_crowded_filters_are_split(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(79, 0)}
 
 
+def test_vectors_that_share_an_id_link_apart(spark):
+    rng = np.random.default_rng(5)
+    one, two = rng.standard_normal((2, 64))
+    near = lambda x: [float(v) for v in x + 0.02 * rng.standard_normal(64)]
+    rows = [(7, near(one), 1), (7, near(two), 1), (3, near(one), 1), (9, near(two), 1), (12, near(two), 1), (9, near(two), 2), (9, near(two), 2)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows_of(neardup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))))
+    assert got == [(3, 1, 3, True), (7, 1, 3, False), (7, 2, 7, True), (9, 1, 9, True), (9, 1, 9, True), (9, 2, 7, False), (12, 2, 7, False)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
