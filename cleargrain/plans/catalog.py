@@ -798,6 +798,41 @@ def governed(spark, d):
     return govern.classify(profile(dirty_sales(spark, d)))
 
 
+@register("h2_flags", f"""SELECT name, regexp_matches(name, '{"|".join(govern.PII_HINTS)}') AS is_pii, regexp_matches(name, '{"|".join(govern.FINANCIAL_HINTS)}') AS is_financial, regexp_matches(name, '{"|".join(govern.HEALTH_HINTS)}') AS is_health
+FROM (SELECT unnest(['c_custkey', 'customer_name', 'account_balance', 'blood_group', 'patient_income']) AS name) WHERE (SELECT count(*) FROM customer) > 0""")
+def flagged_columns(spark, d):
+    c = table(spark, d, "customer")
+    c = c.select("c_custkey", F.col("c_name").alias("customer_name"), F.col("c_acctbal").alias("account_balance"), F.when(F.col("c_custkey") % 2 == 0, "A").otherwise("B").alias("blood_group"), (F.col("c_acctbal") * 2).alias("patient_income"))
+    return govern.flag_columns(profile(c)).select("name", "is_pii", "is_financial", "is_health")
+
+
+@register("h1_health_data", "SELECT 'healthcare' AS classification, count(*) > 0 AS filled FROM customer")
+def health_data(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("patient"), F.col("c_acctbal").alias("salary"))
+    return govern.classify(profile(c)).select("classification", (F.size("pii_columns") >= 0).alias("filled"))
+
+
+@register("q6_q7_cardinality", "SELECT 'high_cardinality' AS check_key, 'remark' AS column_name, count(DISTINCT o_orderkey) AS count FROM orders UNION ALL SELECT 'low_cardinality', 'part', count(DISTINCT o_orderkey % 2) FROM orders")
+def cardinality(spark, d):
+    o = with_row_ids(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    o = o.select(ROW_ID, F.concat(F.lit("said of order "), F.col("o_orderkey").cast("string"), F.lit(" by the clerk")).alias("remark"), (F.col("o_orderkey") % 2).cast("int").alias("part"))
+    return checks.run_checks(o, samples=False).where("check_key like '%cardinality'").select("check_key", "column_name", "count")
+
+
+@register("p13_p14_kinds", """SELECT * FROM (SELECT 'done' AS name, 'boolean' AS physical_type, 'boolean' AS semantic_type, 0::BIGINT AS null_count, 0.0::DOUBLE AS null_pct, count(DISTINCT o_orderstatus = 'F') AS distinct_count FROM orders
+UNION ALL SELECT 'at', 'timestamp', 'datetime', count(*) FILTER (WHERE o_orderkey % 10 = 0), round(100.0 * count(*) FILTER (WHERE o_orderkey % 10 = 0) / count(*), 2), count(DISTINCT o_orderdate) FILTER (WHERE o_orderkey % 10 <> 0) FROM orders
+UNION ALL SELECT 'nothing', 'string', 'text', count(*), 100.0, 0 FROM orders)""")
+def kinds_of_columns(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_orderstatus") == "F").alias("done"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate").cast("timestamp")).alias("at"), F.lit(None).cast("string").alias("nothing"))
+    return profile(o).select("name", "physical_type", "semantic_type", "null_count", "null_pct", "distinct_count")
+
+
+@register("s4_empty_table", "SELECT 0.0::DOUBLE AS overall, count(*) AS row_count, count(*) AS dirty_rows, 0.0::DOUBLE AS validity FROM orders WHERE o_orderkey < 0")
+def score_of_nothing(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey < 0")
+    return score.score(with_row_ids(o, ["o_orderkey"])).select("overall", "row_count", "dirty_rows", "validity")
+
+
 @register("h4_tier", SPELLINGS + f", s AS (SELECT round(100.0 * count(*) FILTER (WHERE NOT ({ANY_MASK} OR {DOUBLE})) / count(*), 1) AS overall FROM d, q) SELECT overall, CASE WHEN overall >= 80 THEN 'gold' WHEN overall >= 60 THEN 'silver' ELSE 'bronze' END AS ingestion_tier FROM s")
 def tiers(spark, d):
     return govern.tier(score.score(dirty_rows(spark, d)), True).select("overall", "ingestion_tier")
