@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cleargrain.functions import values as V
 from cleargrain.operators.guard import check_tree
+from cleargrain.operators.lookups import BROADCAST_BYTES, HOT_KEYS, ROW_BYTES, looked_up
 from cleargrain.operators.profile import ColumnProfile, data_columns, exact_quantiles, is_numeric, is_text, profile_columns, quoted, row_key, value_frequencies
 from cleargrain.sources.rowid import ROW_ID
 from cleargrain.sources.versions import settled
@@ -36,10 +37,6 @@ COLUMN_LEVEL = ("constant_column", "duplicate_columns", "high_cardinality", "low
 SEVERITY_ORDER = ("critical", "high", "medium", "low", "info")
 VALIDATORS = {"email": V.is_email, "phone": V.is_phone, "url": V.is_url, "date": V.is_date}
 NUMERIC_TYPES = ("numeric", "integer", "currency")
-#: Odd spellings of a column are broadcast up to this size, with ROW_BYTES for each; beyond it they are shuffled.
-BROADCAST_BYTES, ROW_BYTES = 4_000_000, 64
-#: Tasks over which the rows of one repeated key are dealt.
-SALTS = 16
 FINDINGS = "check_key string, dimension string, severity string, count long, column_name string, sample array<string>"
 
 
@@ -90,10 +87,19 @@ def canonical_spellings(frequencies: DataFrame) -> DataFrame:
 
 
 def odd_spellings(frequencies: DataFrame) -> DataFrame:
-    """column_name, value, n: the spellings that are not the canonical one of their key."""
+    """column_name, value, n, spelling: the spellings that are not the canonical one of their key, which is given beside them."""
     several = canonical_spellings(frequencies).where("spellings > 1")
     keyed = frequencies.withColumn("key", V.casefold("value"))
-    return keyed.join(several, ["column_name", "key"]).where("value != spelling").select("column_name", "value", "n")
+    return keyed.join(several, ["column_name", "key"]).where("value != spelling").select("column_name", "value", "n", "spelling")
+
+
+def spelling_table(odd: DataFrame, frequencies: DataFrame, add: Column) -> DataFrame:
+    """For looked_up() on row_key([column]): the odd spellings of one column with what to add, and its frequent other ones without."""
+    key = row_key(["value"])  # the same as that of the column, since only values are hashed
+    rows = frequencies.agg(F.sum("n").alias("all"))
+    frequent = frequencies.join(F.broadcast(rows), F.col("n") * HOT_KEYS > F.col("all")).join(odd.select("value"), "value", "left_anti")
+    entries = odd.select(key.alias("_k"), F.col("n").alias("_rows"), add)
+    return entries.unionByName(frequent.select(key.alias("_k"), F.col("n").alias("_rows")), allowMissingColumns=True)
 
 
 def quartiles(df: DataFrame, names: list[str], frequencies: DataFrame | None = None) -> dict[str, tuple[float, float]]:
@@ -129,8 +135,9 @@ def outlier_bounds(q: tuple[float, float]) -> tuple[float, float]:
 
 def with_odd_spelling(df: DataFrame, name: str) -> DataFrame:
     """Rows whose spelling is not the canonical one; odd spellings are joined, never collected."""
-    odd = odd_spellings(value_frequencies(df, [name])).select(F.col("value").alias("_odd"))
-    return df.join(odd, quoted(name).cast("string") == F.col("_odd"), "left_semi")
+    frequencies = settled(value_frequencies(df, [name]))
+    entries = spelling_table(settled(odd_spellings(frequencies)), frequencies, F.lit(True).alias("_odd"))
+    return looked_up(df, entries, row_key([name])).where("_odd").drop("_odd")
 
 
 def row_checks(df: DataFrame, facts: Facts) -> list[RowCheck]:
@@ -186,43 +193,38 @@ def user_checks(df: DataFrame, facts: Facts, fn: Callable[[DataFrame, Facts], li
 def flag_spellings(df: DataFrame, facts: Facts) -> tuple[DataFrame, list[RowCheck]]:
     """df with a column per column in facts.cased that is null but in rows with an odd spelling, and the checks on them.
 
-    Odd spellings are joined back by value, however many they are.
+    Odd spellings are joined back by value, however many they are, and however many rows one of them has.
     """
     checks: list[RowCheck] = []
     for k, (name, size) in enumerate(facts.cased.items()):
-        odd = facts.odd.where(F.col("column_name") == name).select(F.col("value").alias(f"_odd{k}"))
-        df = df.join(F.broadcast(odd) if size <= BROADCAST_BYTES else odd, quoted(name).cast("string") == F.col(f"_odd{k}"), "left")
+        odd = facts.odd.where(F.col("column_name") == name)
+        if size <= BROADCAST_BYTES or facts.frequencies is None:
+            right = odd.select(F.col("value").alias(f"_odd{k}"))
+            df = df.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, quoted(name).cast("string") == F.col(f"_odd{k}"), "left")
+        else:
+            entries = spelling_table(odd, facts.frequencies.where(F.col("column_name") == name), F.lit(True).alias(f"_odd{k}"))
+            df = looked_up(df, entries, row_key([name]))
         checks.append(RowCheck("case_inconsistency", name, F.col(f"_odd{k}").isNotNull(), DIMENSIONS["case_inconsistency"], SEVERITIES["case_inconsistency"]))
     return df, checks
 
 
-def _with_sizes(df: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """df left joined with the sizes of repeated keys."""
-    sizes = settled(sizes)
-    if sizes.count() * ROW_BYTES <= BROADCAST_BYTES:
-        return df.join(F.broadcast(sizes), key, "left")
-    salt = F.pmod(F.xxhash64(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", salt).join(spread, [key, "_salt"], "left").drop("_salt")
-
-
 def flag_duplicates(df: DataFrame, facts: Facts) -> tuple[DataFrame, list[RowCheck]]:
     """df with the size of each row's group of equal rows and of equal ids, and the checks on them.
 
-    Sizes are aggregated first and joined back on a hash: broadcast while the repeated keys are few, else by key and salt, so a group with
-    very many copies meets in no one task. Masks take all members of a group; counts leave one of each group out.
+    Sizes are aggregated first and joined back on a hash, so that a group with very many copies meets in no one task. Masks take all members of a group; counts leave one of each group out.
     """
     names = [f.name for f in data_columns(df)]
     checks: list[RowCheck] = []
-    keyed = df.withColumn("_whole", row_key(names) if names else F.lit(None).cast("int"))
-    keyed = _with_sizes(keyed, keyed.groupBy("_whole").agg(F.count("*").alias("_copies")).where("_copies > 1"), "_whole")
+    sizes = lambda rows, key, name: rows.groupBy(key.alias("_k")).agg(F.count("*").alias("_rows")).where("_rows > 1").withColumn(name, F.col("_rows"))
     extra = lambda size: F.when(size > 1, (size - 1) / size).otherwise(0.0)  # noqa: E731  sums to copies - 1 over a group
+    whole = row_key(names) if names else F.lit(None).cast("struct<a:long,b:long>")
+    keyed = looked_up(df, sizes(df, whole, "_copies"), whole)
     checks.append(RowCheck("duplicate_rows", None, _false_if_null(F.col("_copies") > 1), "uniqueness", lambda n, rows: "high" if n > 0.05 * rows else "medium", extra(F.col("_copies"))))
     for k, p in enumerate(x for x in facts.columns if x.semantic_type == "id"):
-        sizes = df.where(quoted(p.name).isNotNull()).groupBy(quoted(p.name).alias(f"_id{k}")).agg(F.count("*").alias(f"_same{k}"))
-        keyed = _with_sizes(keyed.withColumn(f"_id{k}", quoted(p.name)), sizes.where(F.col(f"_same{k}") > 1), f"_id{k}").drop(f"_id{k}")
+        own = row_key([p.name])
+        keyed = looked_up(keyed, sizes(df.where(quoted(p.name).isNotNull()), own, f"_same{k}"), F.when(quoted(p.name).isNotNull(), own))
         checks.append(RowCheck("duplicate_ids", p.name, _false_if_null(F.col(f"_same{k}") > 1), "integrity", "high", extra(F.col(f"_same{k}"))))
-    return keyed.drop("_whole"), checks
+    return keyed, checks
 
 
 def duplicate_column_pairs(df: DataFrame, columns: list[ColumnProfile]) -> list[tuple[str, str]]:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cleargrain.functions import values as V
-from cleargrain.operators.checks import VALIDATORS, Facts, canonical_spellings, gather_facts, outlier_bounds, quartiles, with_odd_spelling
+from cleargrain.operators.checks import VALIDATORS, Facts, gather_facts, odd_spellings, outlier_bounds, quartiles, spelling_table
+from cleargrain.operators.lookups import looked_up
 from cleargrain.operators.profile import data_columns, exact_quantiles, is_numeric, is_text, profile_columns, quoted, row_key, value_frequencies
 from cleargrain.operators.score import FIXABLE, severity_rank
 from cleargrain.sources.rowid import ROW_ID
 from cleargrain.sources.versions import settled
 
+CHANGES = "_row_id long, identifier string, kind string, column_name string, old_value string, new_value string"
 NO_FILL_TYPES = ("email", "phone", "url", "id")
 
 
@@ -31,10 +33,13 @@ class Fix:
 
 @dataclass
 class FixResult:
-    df: DataFrame
+    df: DataFrame | None
     op: str
     rows_affected: int
     detail: str
+    column: str | None = None
+    #: The fix removed rows rather than values.
+    value_free: bool = False
 
 
 def never_filled(name: str) -> bool:
@@ -43,10 +48,15 @@ def never_filled(name: str) -> bool:
     return any(x in low for x in ("email", "phone", "url")) or low == "id" or low.endswith(("_id", " id"))
 
 
+def with_first(df: DataFrame, names: list[str]) -> DataFrame:
+    """Adds _first: the least row number of the rows with equal values, nulls being equal; null where no other row is equal."""
+    groups = df.groupBy(row_key(names).alias("_k")).agg(F.count("*").alias("_rows"), F.min(ROW_ID).alias("_first")).where("_rows > 1")
+    return looked_up(df, groups, row_key(names))
+
+
 def keep_first(df: DataFrame, names: list[str]) -> DataFrame:
-    """The first row by number of each group of equal values; nulls are equal. The least number of a group is aggregated, then joined."""
-    first = df.groupBy(row_key(names).alias("_k")).agg(F.min(ROW_ID).alias(ROW_ID)).select(ROW_ID)
-    return df.join(first, ROW_ID, "left_semi")
+    """The first row by number of each group of equal values; nulls are equal."""
+    return with_first(df, names).where(F.coalesce(F.col("_first") == F.col(ROW_ID), F.lit(True))).drop("_first")
 
 
 def typical_value(df: DataFrame, name: str) -> tuple[object, str]:
@@ -60,64 +70,206 @@ def typical_value(df: DataFrame, name: str) -> tuple[object, str]:
     return ("Unknown", "Unknown") if best is None else (best, "mode")
 
 
-def apply_fix(df: DataFrame, key: str, column: str | None = None, facts: Facts | None = None) -> FixResult:
-    """Apply one fix to a table with row numbers. Other rows and columns stay as they are."""
+@dataclass
+class Step:
+    """What a fix does to one table: rows in mask get a new value in column or, without a value, go; or rows equal in unique but the first go."""
+
+    op: str
+    detail: str
+    column: str | None = None
+    value: Column | None = None
+    mask: Column | None = None
+    unique: list[str] | None = None
+    #: Table and key for looked_up(); its column _found_value may be used by value and mask.
+    lookup: tuple[DataFrame, Column] | None = None
+    #: The new value is of another type, so the step must not be made where it changes no row.
+    retypes: bool = False
+
+
+def keeps_type(kind, value_type: str) -> bool:
+    return kind.simpleString() == value_type
+
+
+def planned(df: DataFrame, key: str, column: str | None = None, facts: Facts | None = None) -> Step:
+    """The step that mends a finding, with the statistics that it needs of the table as it is."""
     if key == "duplicate_rows":
-        out = keep_first(df, [f.name for f in data_columns(df)])
-        return FixResult(out, "drop_duplicates", df.count() - out.count(), "kept the first of each group")
+        return Step("drop_duplicates", "kept the first of each group", unique=[f.name for f in data_columns(df)])
     if key not in FIXABLE or column is None or column not in df.columns:
         raise UnfixableIssueError(f"{key} on {column}")
     c, kind = quoted(column), df.schema[column].dataType
-
-    def put(value: Column, mask: Column, op: str, detail: str) -> FixResult:
-        mask = F.coalesce(mask, F.lit(False))
-        return FixResult(df.withColumn(column, value), op, df.where(mask).count(), detail)
-
     if key == "missing_values":
         if never_filled(column):
-            return FixResult(df.where(c.isNotNull()), "drop_rows", df.where(c.isNull()).count(), "rows without a value dropped")
+            return Step("drop_rows", "rows without a value dropped", column, mask=c.isNull())
         value, how = typical_value(df, column)
         if value is None:
-            return FixResult(df, "fill", 0, "nothing to fill from")
+            return Step("fill", "nothing to fill from", column, c, F.lit(False))
         wide = F.lit(value) if is_text(kind) else F.lit(value).cast("double")
-        return put(F.coalesce(c if is_text(kind) else c.cast("double"), wide), c.isNull(), "fill", f"{how}: {value}")
+        filled = F.coalesce(c if is_text(kind) else c.cast("double"), wide)
+        return Step("fill", f"{how}: {value}", column, filled, c.isNull(), retypes=not (is_text(kind) or keeps_type(kind, "double")))
     if key == "blank_strings":
-        value, how = typical_value(df, column)
         if never_filled(column):
-            return FixResult(df.where(~V.is_blank(c)), "drop_rows", df.where(V.is_blank(c)).count(), "blank rows dropped")
-        return put(F.when(V.is_blank(c), F.lit(value)).otherwise(c), V.is_blank(c), "fill_blanks", f"{how}: {value}")
+            return Step("drop_rows", "blank rows dropped", column, mask=V.is_blank(c))
+        value, how = typical_value(df, column)
+        return Step("fill_blanks", f"{how}: {value}", column, F.when(V.is_blank(c), F.lit(value)).otherwise(c), V.is_blank(c))
     if key == "whitespace":
-        return put(V.strip(c), V.has_outer_space(c), "trim", "outer space removed")
+        return Step("trim", "outer space removed", column, V.strip(c), V.has_outer_space(c))
     if key.startswith("invalid_"):
         valid = F.coalesce(VALIDATORS[key.removeprefix("invalid_")](c), F.lit(False))
-        return put(F.when(valid, c), c.isNotNull() & ~valid, "null_invalid", "invalid values set to null")
+        return Step("null_invalid", "invalid values set to null", column, F.when(valid, c), c.isNotNull() & ~valid)
     if key == "negative_values":
         bad = F.coalesce(V.to_number(c) < 0, F.lit(False))
-        return put(F.when(~bad, c), bad, "null_negative", "negative values set to null")
+        return Step("null_negative", "negative values set to null", column, F.when(~bad, c), bad)
     if key == "outliers":
         q = (facts.quartiles.get(column) if facts else None) or quartiles(df, [column]).get(column)
         if not q or q[0] == q[1]:
-            return FixResult(df, "clip", 0, "no spread")
+            return Step("clip", "no spread", column, c, F.lit(False))
         lo, hi = outlier_bounds(q)
         x = c.cast("double")
         clipped = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
-        return put(clipped, (x < lo) | (x > hi), "clip", f"to {lo:g} … {hi:g}")
+        return Step("clip", f"to {lo:g} … {hi:g}", column, clipped, (x < lo) | (x > hi), retypes=not keeps_type(kind, "double"))
     if key == "case_inconsistency":
-        names = canonical_spellings(value_frequencies(df, [column])).where("spellings > 1").select("key", "spelling")
-        fixed = df.withColumn("_k", V.casefold(c)).join(names.withColumnRenamed("key", "_k"), "_k", "left")
-        fixed = fixed.withColumn(column, F.coalesce("spelling", c)).select(*[quoted(x) for x in df.columns])
-        return FixResult(fixed, "unify_case", with_odd_spelling(df, column).count(), "most frequent spelling")
+        frequencies = settled(value_frequencies(df, [column]))
+        names = spelling_table(settled(odd_spellings(frequencies)), frequencies, F.col("spelling").alias("_found_value"))
+        found = F.col("_found_value")
+        return Step("unify_case", "most frequent spelling", column, F.coalesce(found, c), found.isNotNull(), lookup=(names, row_key([column])))
     if key == "mixed_types":
         numbers = V.is_number(c)
         share = df.agg(F.avg(numbers.cast("double"))).first()[0] or 0.0
         if share >= 0.5:
-            return put(F.when(numbers, c.try_cast("double")), ~numbers, "to_number", "text set to null")
-        return put(F.when(~numbers, c), numbers, "to_text", "numbers set to null")
+            return Step("to_number", "text set to null", column, F.when(numbers, c.try_cast("double")), ~numbers, retypes=True)
+        return Step("to_text", "numbers set to null", column, F.when(~numbers, c), numbers)
     if key == "duplicate_ids":
-        nulls = df.where(c.isNull())
-        out = keep_first(df.where(c.isNotNull()), [column]).unionByName(nulls)
-        return FixResult(out, "drop_duplicate_ids", df.count() - out.count(), "kept the first row of each id")
-    return FixResult(df.drop(column), "drop_column", 1, f"column {column} dropped")
+        return Step("drop_duplicate_ids", "kept the first row of each id", column, unique=[column])
+    return Step("drop_column", f"column {column} dropped", column)
+
+
+class Chain:
+    """A table with row numbers under a series of steps that are put off as long as they can be.
+
+    Steps on single rows become projections; each marks the rows that it touches, and rows that it removes stay, marked, to the end of the
+    section. A section ends where a step needs statistics of, or compares, rows that hang on a join: the table is then written to the
+    checkpoint folder, and all counts of the section are observed in that one pass. logged: the original values of changed columns travel
+    with the rows, so the change log is read off them without a join.
+    """
+
+    #: Steps in a section at most, so that plans stay short.
+    LONGEST = 12
+
+    def __init__(self, df: DataFrame, identifier: str | None = None, logged: bool = False):
+        self.start, self.names, self.logged = df.schema, list(df.columns), logged
+        self.frame = df.withColumn("_gone", F.lit(None).cast("int"))
+        if logged:
+            self.frame = self.frame.withColumn("_own", quoted(identifier).cast("string") if identifier else F.lit(None).cast("string"))
+        self.results: list[FixResult] = []
+        self.pending: dict[str, FixResult] = {}
+        self.old: dict[str, str] = {}
+        self.removed: list[DataFrame] = []
+        self.joined = False
+
+    @property
+    def table(self) -> DataFrame:
+        """The rows that are left, as the steps so far make them."""
+        return self.frame.where("_gone is null").select(*map(quoted, self.names))
+
+    def fix(self, key: str, column: str | None = None) -> FixResult:
+        """One more fix. What it touched is counted by the end of its section."""
+        if self.joined and key in ("missing_values", "blank_strings", "outliers", "case_inconsistency", "mixed_types"):
+            self.settle()
+        return self.put(planned(self.table, key, column))
+
+    def put(self, step: Step) -> FixResult:
+        result = FixResult(None, step.op, 0, step.detail, step.column)
+        if step.retypes and self.table.where(step.mask).isEmpty():
+            return result
+        self.results.append(result)
+        if step.unique is None and step.mask is None:
+            result.rows_affected = 1
+            self.names.remove(step.column)
+            self.frame = self.frame.drop(step.column)
+            return result
+        if len(self.pending) >= self.LONGEST or (step.unique is not None and self.joined):
+            self.settle()
+        hit, left = f"_hit{len(self.pending)}", F.col("_gone").isNull()
+        if step.unique is not None:
+            # rows that earlier steps removed must be no one's first
+            if any(r.value_free for r in self.pending.values()):
+                self.settle()
+            self.frame, self.joined = with_first(self.frame, step.unique), True
+            mask = F.col("_first") != F.col(ROW_ID)
+            if step.column is not None:
+                mask = mask & quoted(step.column).isNotNull()
+        else:
+            if step.lookup is not None:
+                self.frame, self.joined = looked_up(self.frame, *step.lookup), True
+            mask = step.mask
+        self.frame = self.frame.withColumn(hit, F.coalesce(mask, F.lit(False)) & left)
+        if step.value is None:
+            result.value_free = True
+            self.frame = self.frame.withColumn("_gone", F.when(F.col(hit), F.lit(len(self.results))).otherwise(F.col("_gone")))
+        else:
+            if self.logged:
+                value = F.when(F.col(hit), F.struct(quoted(step.column).cast("string").alias("value")))  # a change of type alone is none
+                name = self.old.setdefault(step.column, f"_old{len(self.old)}")
+                self.frame = self.frame.withColumn(name, F.coalesce(F.col(name), value) if name in self.frame.columns else value)
+            self.frame = self.frame.withColumn(step.column, step.value)
+        self.frame = self.frame.drop("_first", "_found_value")
+        self.pending[hit] = result
+        return result
+
+    def settle(self) -> None:
+        """End of a section: one pass writes the table and counts what each step touched."""
+        if not self.pending and not self.joined:
+            return
+        seen = Observation()
+        written = settled(self.frame.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(h)).alias(h) for h in self.pending]))
+        counts = seen.get
+        for hit, result in self.pending.items():
+            result.rows_affected = counts[hit]
+        if self.logged and any(r.value_free for r in self.pending.values()):
+            self.removed.append(written.where("_gone is not null").select(ROW_ID, F.col("_own").alias("identifier")))
+        self.frame = written.where("_gone is null").drop(*self.pending)
+        self.pending, self.joined = {}, False
+
+    def finish(self) -> tuple[DataFrame, list[FixResult]]:
+        """The table, and the steps that touched something."""
+        self.settle()
+        return self.table, [r for r in self.results if r.rows_affected]
+
+    def log(self) -> DataFrame:
+        """As changes() between the first table and the last."""
+        self.settle()
+        if not self.logged:
+            raise ValueError("the chain keeps no log")
+        none = F.lit(None).cast("string")
+        out = self.frame.sparkSession.createDataFrame(
+            [(None, None, "dropped column", c.name, None, None) for c in self.start.fields if c.name not in self.names], CHANGES)
+        for rows in self.removed:
+            out = out.unionByName(rows.select(ROW_ID, "identifier", F.lit("removed").alias("kind"), none.alias("column_name"), none.alias("old_value"), none.alias("new_value")))
+        kept = [(c, o) for c, o in self.old.items() if c in self.names]
+        if kept:
+            cells = [
+                F.when(
+                    F.col(o).isNotNull() & ~F.col(f"{o}.value").eqNullSafe(quoted(c).cast("string")),
+                    F.struct(F.lit(c).alias("column_name"), F.col(f"{o}.value").alias("old_value"), quoted(c).cast("string").alias("new_value")),
+                )
+                for c, o in kept
+            ]
+            cells = F.explode(F.array_compact(F.array(*cells))).alias("x")
+            out = out.unionByName(self.frame.select(ROW_ID, F.col("_own").alias("identifier"), cells).select(ROW_ID, "identifier", F.lit("changed").alias("kind"), "x.*"))
+        return out
+
+
+def apply_fix(df: DataFrame, key: str, column: str | None = None, facts: Facts | None = None) -> FixResult:
+    """Apply one fix to a table with row numbers. Other rows and columns stay as they are."""
+    step = planned(df, key, column, facts)
+    if step.unique is not None:
+        out = keep_first(df, step.unique) if column is None else keep_first(df.where(quoted(column).isNotNull()), step.unique).unionByName(df.where(quoted(column).isNull()))
+        return FixResult(out, step.op, df.count() - out.count(), step.detail, step.column)
+    if step.mask is None:
+        return FixResult(df.drop(column), step.op, 1, step.detail, step.column)
+    wide, mask = looked_up(df, *step.lookup) if step.lookup else df, F.coalesce(step.mask, F.lit(False))
+    out = wide.where(~mask) if step.value is None else wide.withColumn(column, step.value)
+    return FixResult(out.select(*map(quoted, df.columns)), step.op, wide.where(mask).count(), step.detail, step.column)
 
 
 def plan_fixes(findings: DataFrame) -> list[Fix]:
@@ -126,37 +278,34 @@ def plan_fixes(findings: DataFrame) -> list[Fix]:
     return list(dict.fromkeys(Fix(r[0], r[1]) for r in rows.collect()))  # a row per check and column
 
 
-def fix_all(df: DataFrame, fixes: list[Fix], every: int = 5) -> tuple[DataFrame, list[FixResult]]:
-    """Each fix on the result of the one before; those that no longer apply or change nothing are left out.
+def fix_all(df: DataFrame, fixes: list[Fix]) -> tuple[DataFrame, list[FixResult]]:
+    """Each fix on the result of the one before; those that no longer apply or change nothing are left out."""
+    return _folded(Chain(df), fixes).finish()
 
-    The chain is written to the checkpoint folder every few fixes, so its plan stays short.
-    """
-    done: list[FixResult] = []
+
+def fix_all_logged(df: DataFrame, fixes: list[Fix], identifier: str | None = None) -> tuple[DataFrame, list[FixResult], DataFrame]:
+    """As fix_all(), with the change log from the first table to the last, which the fixes write down as they go."""
+    chain = _folded(Chain(df, identifier, logged=True), fixes)
+    return *chain.finish(), chain.log()
+
+
+def _folded(chain: Chain, fixes: list[Fix], kept: list[Fix] | None = None) -> Chain:
     for fix in fixes:
         try:
-            result = apply_fix(df, fix.key, fix.column)
+            chain.fix(fix.key, fix.column)
         except UnfixableIssueError:
             continue
-        if result.rows_affected:
-            done.append(result)
-            df = settled(result.df) if len(done) % every == 0 else result.df
-    return df, done
+        if kept is not None:
+            kept.append(fix)
+    return chain
 
 
 def replay(baseline: DataFrame, fixes: list[Fix], without: Fix | None = None) -> tuple[DataFrame, list[Fix]]:
     """Undo one fix: the others, in order, over the baseline; statistics are found anew. Also the fixes that still applied."""
-    df, kept = baseline, []
-    for fix in fixes:
-        if fix == without:
-            without = None
-            continue
-        try:
-            result = apply_fix(df, fix.key, fix.column)
-        except UnfixableIssueError:
-            continue
-        df = result.df
-        kept.append(fix)
-    return df, kept
+    others, kept = list(fixes), []
+    if without in others:
+        others.remove(without)
+    return _folded(Chain(baseline), others, kept).finish()[0], kept
 
 
 def changes(before: DataFrame, after: DataFrame, identifier: str | None = None) -> DataFrame:
@@ -191,79 +340,81 @@ def clean(df: DataFrame, columns=None) -> tuple[DataFrame, DataFrame]:
     """One-click cleaning, in fixed order, with the meanings that columns had before: the table, and one row per step that changed it.
 
     Trim; drop repeated rows; null invalid contacts and dates; fill gaps; title case; country and gender names; text
-    numbers to numbers; clip outliers. Steps of one kind share a pass. Steps list rows and how many each touched.
+    numbers to numbers; clip outliers. Steps list the rows that each touched. The table is written twice, before gaps are filled and at the end.
     """
-    spark, start = df.sparkSession, columns or profile_columns(df, samples=False)
-    kind = {c.name: c.semantic_type for c in start}
-    ops: list[tuple[str, str | None, int, str]] = []
-
-    def step(frame: DataFrame, op: str, values: dict[str, tuple[Column, Column]], detail: str) -> DataFrame:
-        """values: column -> (new value, mask of changed rows)."""
-        if not values:
-            return frame
-        counts = frame.agg(*[F.count_if(F.coalesce(m, F.lit(False))).alias(f"c{k}") for k, (_, m) in enumerate(values.values())]).first()
-        for k, name in enumerate(values):
-            if counts[k]:
-                ops.append((op, name, counts[k], detail))
-        return frame.withColumns({n: v for k, (n, (v, _)) in enumerate(values.items()) if counts[k]})
-
-    texts = lambda frame: [f.name for f in data_columns(frame) if is_text(f.dataType)]
-    df = step(df, "trim_whitespace", {c: (V.strip(quoted(c)), V.has_outer_space(quoted(c))) for c in texts(df)}, "outer space removed")
-    df = settled(df)
-    unique = settled(keep_first(df, [f.name for f in data_columns(df)]))
-    removed = df.count() - unique.count()
-    if removed:
-        ops.append(("remove_duplicates", None, removed, "kept the first of each group"))
-    df = unique
-    doubtful = {}
-    for c in texts(df):
-        if kind.get(c) in VALIDATORS:
-            ok = F.coalesce(VALIDATORS[kind[c]](quoted(c)), F.lit(False))
-            doubtful[c] = (F.when(ok, quoted(c)), quoted(c).isNotNull() & ~ok)
-    df = settled(step(df, "quarantine_invalid", doubtful, "invalid values set to null"))
-    gaps = {}
-    missing = df.agg(*[F.count_if(quoted(f.name).isNull()).alias(f.name) for f in data_columns(df)]).first().asDict() if data_columns(df) else {}
-    for f in data_columns(df):
-        if missing.get(f.name) and kind.get(f.name) not in NO_FILL_TYPES and (is_text(f.dataType) or is_numeric(f.dataType)):
-            value, _ = typical_value_or_blank(df, f.name)
-            if value is not None:
-                c = quoted(f.name)
-                gaps[f.name] = (F.coalesce(c if is_text(f.dataType) else c.cast("double"), F.lit(value)), c.isNull())
-    df = step(df, "fill_missing", gaps, "median, mode or Unknown")
-    cased = {c: (V.title_case(quoted(c)), quoted(c) != V.title_case(quoted(c))) for c in texts(df) if kind.get(c) == "categorical"}
-    df = step(df, "standardize_case", cased, "title case")
-    named = {}
-    for c in texts(df):
-        table = V.COUNTRIES if "country" in c.lower() else V.GENDERS if "gender" in c.lower() or c.lower() == "sex" else None
-        if table:
-            named[c] = (V.mapped(quoted(c), table), quoted(c) != V.mapped(quoted(c), table))
-    df = settled(step(df, "normalize_names", named, "country and gender names"))
-    shares = df.agg(*[F.avg(V.is_number(quoted(c)).cast("double")).alias(c) for c in texts(df)]).first().asDict() if texts(df) else {}
-    numbers = {c: (V.to_number(quoted(c)), quoted(c).isNotNull()) for c in texts(df) if (shares.get(c) or 0) >= 0.95}
-    df = step(df, "convert_numeric", numbers, "text to number")
-    measures = [f.name for f in data_columns(df) if is_numeric(f.dataType) and kind.get(f.name) in ("numeric", "integer", "currency")]
-    filled = df.agg(*[F.count(quoted(c)).alias(c) for c in measures]).first().asDict() if measures else {}
-    capped = {}
-    for c, q in quartiles(df, measures).items():
+    chain = _cleaned(Chain(df), df, columns)
+    return chain.finish()[0], _operations(chain)
+
+
+def clean_logged(df: DataFrame, columns=None, identifier: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As clean(), with the change log, which the steps write down as they go."""
+    chain = _cleaned(Chain(df, identifier, logged=True), df, columns)
+    return chain.finish()[0], _operations(chain), chain.log()
+
+
+def _operations(chain: Chain) -> DataFrame:
+    rows = [(r.op, r.column, r.rows_affected, r.detail) for r in chain.results if r.rows_affected]
+    return chain.frame.sparkSession.createDataFrame(rows, "op string, column_name string, rows_affected long, detail string")
+
+
+def _cleaned(chain: Chain, df: DataFrame, columns) -> Chain:
+    kind = {c.name: c.semantic_type for c in columns or profile_columns(df, samples=False)}
+    fields = lambda test: [f.name for f in data_columns(chain.table) if test(f.dataType)]
+    for name in fields(is_text):
+        chain.put(Step("trim_whitespace", "outer space removed", name, V.strip(quoted(name)), V.has_outer_space(quoted(name))))
+    chain.put(Step("remove_duplicates", "kept the first of each group", unique=[f.name for f in data_columns(df)]))
+    for name in fields(is_text):
+        if kind.get(name) in VALIDATORS:
+            ok = F.coalesce(VALIDATORS[kind[name]](quoted(name)), F.lit(False))
+            chain.put(Step("quarantine_invalid", "invalid values set to null", name, F.when(ok, quoted(name)), quoted(name).isNotNull() & ~ok))
+    chain.settle()
+    for name, (value, step_type) in _gap_values(chain.table, kind).items():
+        c = quoted(name) if step_type == "string" else quoted(name).cast("double")
+        retypes = step_type != "string" and not keeps_type(chain.table.schema[name].dataType, "double")
+        chain.put(Step("fill_missing", "median, mode or Unknown", name, F.coalesce(c, F.lit(value)), quoted(name).isNull(), retypes=retypes))
+    for name in fields(is_text):
+        c = quoted(name)
+        if kind.get(name) == "categorical":
+            chain.put(Step("standardize_case", "title case", name, V.title_case(c), c != V.title_case(c)))
+        names = V.COUNTRIES if "country" in name.lower() else V.GENDERS if "gender" in name.lower() or name.lower() == "sex" else None
+        if names:
+            chain.put(Step("normalize_names", "country and gender names", name, V.mapped(c, names), c != V.mapped(c, names)))
+    texts = fields(is_text)
+    shares = chain.table.agg(*[F.avg(V.is_number(quoted(c)).cast("double")).alias(c) for c in texts]).first().asDict() if texts else {}
+    for name in texts:
+        if (shares[name] or 0) >= 0.95:
+            chain.put(Step("convert_numeric", "text to number", name, V.to_number(quoted(name)), quoted(name).isNotNull()))
+    measures = [c for c in fields(is_numeric) if kind.get(c) in ("numeric", "integer", "currency")]
+    filled = chain.table.agg(*[F.count(quoted(c)).alias(c) for c in measures]).first().asDict() if measures else {}
+    for name, q in quartiles(chain.table, measures).items():
         lo, hi = outlier_bounds(q)
-        if filled[c] >= 10 and lo != hi:
-            x = quoted(c).cast("double")
-            capped[c] = (F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi))), (x < lo) | (x > hi))
-    df = step(df, "cap_outliers", capped, "clipped to the quartile bounds")
-    return df, spark.createDataFrame(ops, "op string, column_name string, rows_affected long, detail string")
-
-
-def typical_value_or_blank(df: DataFrame, name: str) -> tuple[object, str]:
-    """As typical_value, but a blank text may be the most frequent one: trimming leaves blanks as they are."""
-    if is_numeric(df.schema[name].dataType):
-        return typical_value(df, name)
-    best = value_frequencies(df, [name]).agg(F.min_by("value", F.struct(-F.col("n"), F.col("value")))).first()[0]
-    return ("Unknown", "Unknown") if best is None else (best, "mode")
-
-
-def touched_rows(before: DataFrame, after: DataFrame, limit: int = 200) -> DataFrame:
-    """column_name (null: removed rows), rows: the first row numbers that a cleaning changed, and how many."""
-    log = changes(before, after)
+        if filled[name] >= 10 and lo != hi:
+            x = quoted(name).cast("double")
+            clipped = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+            chain.put(Step("cap_outliers", "clipped to the quartile bounds", name, clipped, (x < lo) | (x > hi), retypes=not keeps_type(chain.table.schema[name].dataType, "double")))
+    return chain
+
+
+def _gap_values(df: DataFrame, kind: dict[str, str]) -> dict[str, tuple[object, str]]:
+    """What fills the gaps of each column that has some: medians as doubles, the most frequent texts, which may be blank after a trim, or Unknown."""
+    fields = [f for f in data_columns(df) if kind.get(f.name) not in NO_FILL_TYPES and (is_text(f.dataType) or is_numeric(f.dataType))]
+    if not fields:
+        return {}
+    missing = df.agg(*[F.count_if(quoted(f.name).isNull()).alias(f"c{k}") for k, f in enumerate(fields)]).first()
+    gaps = [f for k, f in enumerate(fields) if missing[k]]
+    if not gaps:
+        return {}
+    frequencies = settled(value_frequencies(df, [f.name for f in gaps]))
+    numbers, texts = [f.name for f in gaps if is_numeric(f.dataType)], [f.name for f in gaps if is_text(f.dataType)]
+    medians = exact_quantiles(frequencies.where(F.col("column_name").isin(numbers)), [0.5]) if numbers else {}
+    best = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
+    modes = {r[0]: r[1] for r in frequencies.where(F.col("column_name").isin(texts)).groupBy("column_name").agg(best).collect()} if texts else {}  # a row per column
+    out = {c: (medians[c][0], "double") for c in numbers if c in medians} | {c: (modes.get(c, "Unknown"), "string") for c in texts}
+    return {f.name: out[f.name] for f in gaps if f.name in out}
+
+
+def touched_rows(log: DataFrame, limit: int = 200) -> DataFrame:
+    """column_name (null: removed rows), rows: the first row numbers of a change log that a column was changed in, and how many there are."""
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(ROW_ID))
     counts = log.groupBy("column_name").agg(F.count("*").alias("rows_affected"))
     first = log.withColumn("_n", place).where(F.col("_n") <= limit).groupBy("column_name").agg(F.array_sort(F.collect_list(ROW_ID)).alias("rows"))

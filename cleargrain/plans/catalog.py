@@ -383,6 +383,16 @@ def latest(spark, d):
     return score.latest_reports(months).select("dataset_id", "overall_score", "previous_score")
 
 
+@register("a15_deep_page", "WITH r AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS _row_id, l_orderkey, l_linenumber, l_quantity FROM lineitem), "
+          "k AS (SELECT _row_id, l_orderkey, l_linenumber, row_number() OVER (ORDER BY _row_id) - 1 AS place, count(*) OVER () AS n FROM r WHERE l_quantity >= 10) SELECT _row_id, l_orderkey, l_linenumber FROM k WHERE place >= n - n // 5 AND place < n - n // 5 + 100")
+def deep_page(spark, d):
+    rows = with_row_ids(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"])
+    store = VersionStore(spark, scratch(spark))
+    version = store.save(rows.where("l_quantity >= 10"), "lineitem", paged=True)
+    n = store.row(version)["rows"]
+    return store.page(100, n - n // 5, version).select(ROW_ID, "l_orderkey", "l_linenumber")
+
+
 @register("s13_decisions", "SELECT user_id AS dataset_id, arg_max(event_type, (ts, event_id)) AS decision FROM events GROUP BY 1")
 def decisions(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("dataset_id"), F.col("event_type").alias("decision"), F.struct("ts", "event_id").alias("decided_at"))
@@ -429,9 +439,20 @@ def fixed(spark, d):
 
 @register("x15_change_log", DUCK + f"SELECT 'changed' AS kind, 'email' AS column_name, count(*) AS n FROM d WHERE {BAD_EMAIL} UNION ALL SELECT 'changed', 'full_name', count(*) FROM d WHERE full_name <> {STRIP('full_name')}")
 def change_log(spark, d):
-    before = dirty_rows(spark, d)
-    after, _ = fixes.fix_all(before, [PLAN[0], PLAN[2]])
-    return fixes.changes(before, after, "order_id").groupBy("kind", "column_name").agg(F.count("*").alias("n"))
+    log = fixes.fix_all_logged(dirty_rows(spark, d), [PLAN[0], PLAN[2]], "order_id")[2]
+    return log.groupBy("kind", "column_name").agg(F.count("*").alias("n"))
+
+
+# as above, of a whole chain, cell by cell: rows that were removed, values that were set to null or trimmed
+@register("x15_chain_log", ROWS + f""", e AS (SELECT DISTINCT order_id, segment FROM d), {canon('segment').replace('FROM d', 'FROM e')}, n AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY _row_id) AS copy FROM r), u AS (SELECT * FROM n WHERE copy = 1)
+SELECT _row_id, order_id::VARCHAR AS identifier, 'removed' AS kind, NULL::VARCHAR AS column_name, NULL::VARCHAR AS old_value, NULL::VARCHAR AS new_value FROM n WHERE copy > 1
+UNION ALL SELECT _row_id, order_id::VARCHAR, 'changed', 'email', email, NULL FROM u WHERE {BAD_EMAIL}
+UNION ALL SELECT _row_id, order_id::VARCHAR, 'changed', 'full_name', full_name, {STRIP('full_name')} FROM u WHERE full_name <> {STRIP('full_name')}
+UNION ALL SELECT _row_id, order_id::VARCHAR, 'changed', 'segment', segment, (SELECT spelling FROM c_segment WHERE k = lower({STRIP('u.segment')})) FROM u
+  WHERE segment <> (SELECT spelling FROM c_segment WHERE k = lower({STRIP('u.segment')}))""")
+def chain_log(spark, d):
+    plan = [PLAN[0], PLAN[1], PLAN[2], fixes.Fix("case_inconsistency", "segment")]
+    return fixes.fix_all_logged(dirty_rows(spark, d), plan, "order_id")[2]
 
 
 @register("x16_x19_undo_one", DUCK + FIXED.replace(f"CASE WHEN {IS_EMAIL} THEN email END AS email", "email"))
@@ -456,6 +477,19 @@ def compared_sides(spark, d):
     return fixes.before_after(df, fixes.clean(df)[0])
 
 
+TOUCHED = ("full_name", "email", "phone")
+
+
+@register("c9_touched_rows", ROWS + f""", n AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY _row_id) AS copy FROM r), u AS (SELECT * FROM n WHERE copy = 1),
+x AS (SELECT NULL::VARCHAR AS column_name, _row_id FROM n WHERE copy > 1 UNION ALL SELECT 'full_name', _row_id FROM u WHERE full_name <> {STRIP('full_name')}
+UNION ALL SELECT 'email', _row_id FROM u WHERE {BAD_EMAIL} UNION ALL SELECT 'phone', _row_id FROM u WHERE {BAD_PHONE})
+SELECT column_name, count(*) AS rows_affected, array_to_string(list(_row_id ORDER BY _row_id)[1:200], ',') AS first_rows FROM x GROUP BY 1""")
+def touched(spark, d):
+    log = fixes.clean_logged(dirty_rows(spark, d))[2]
+    rows = fixes.touched_rows(log.where(F.col("column_name").isNull() | F.col("column_name").isin(*TOUCHED)))
+    return rows.select("column_name", "rows_affected", F.array_join(F.col("rows").cast("array<string>"), ",").alias("first_rows"))
+
+
 # ---- edits and row filters
 
 

@@ -13,7 +13,7 @@ from golden import SCHEMA, golden_rows
 from pyspark.sql import functions as F
 
 from cleargrain.functions import values as V
-from cleargrain.operators import charts, checks, edits, fixes, govern, profile, query, score
+from cleargrain.operators import charts, checks, edits, fixes, govern, lookups, profile, query, score
 from cleargrain.operators.profile import profile_columns
 from cleargrain.operators.ranks import grouped_median
 from cleargrain.sources import files
@@ -75,6 +75,7 @@ def test_fix_counts_match_findings(golden, facts):
 @pytest.mark.parametrize("bytes_broadcast", [checks.BROADCAST_BYTES, 0])
 def test_odd_spellings_of_a_large_column(spark, monkeypatch, bytes_broadcast):
     monkeypatch.setattr(checks, "BROADCAST_BYTES", bytes_broadcast)
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", bytes_broadcast)
     df = spark.range(100_003).selectExpr(f"id as {ROW_ID}", "case when id < 2 then 'Ann Lee' when id = 2 then 'ann lee' when id > 3 then concat('name ', id) end as full_name")
     facts = checks.gather_facts(df)
     found = checks.run_checks(df, facts).where("check_key = 'case_inconsistency'").collect()
