@@ -74,13 +74,42 @@ def term_weights(text: str | None, shingler: Shingler) -> np.ndarray:
     return out
 
 
-def latent_axes(weighted: np.ndarray, rank: int, seed: int, turns: int = 6) -> np.ndarray:
-    """The leading right singular vectors of the rows, by subspace iteration with room for half as many more."""
+class Lines:
+    """Sparse rows of term weights, made dense a block at a time: no more than BLOCK rows of full width are ever held."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]]):
+        self.rows = [(np.frombuffer(t, dtype=np.int16), np.frombuffer(w, dtype=np.float16)) for t, w in rows]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for i in range(0, len(self.rows), BLOCK):
+            part = self.rows[i : i + BLOCK]
+            dense = np.zeros((len(part), DIMENSION), np.float32)
+            for line, (at, weights) in zip(dense, part):
+                line[at] = weights
+            yield dense
+
+    def counts(self) -> np.ndarray:
+        """Rows that hold each term."""
+        out = np.zeros(DIMENSION, dtype=np.int64)
+        for at, weights in self.rows:
+            out[at[weights != 0]] += 1
+        return out
+
+
+def latent_axes(lines: Lines, idf: np.ndarray, rank: int, seed: int, turns: int = 6) -> np.ndarray:
+    """The leading right singular vectors of the weighted rows, by subspace iteration with room for half as many more."""
     rng = np.random.default_rng(seed)
-    basis = rng.standard_normal((weighted.shape[1], rank + rank // 2)).astype(np.float32)
+    basis = rng.standard_normal((DIMENSION, rank + rank // 2)).astype(np.float32)
     for _ in range(turns):
-        basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
-    _, _, axes = np.linalg.svd(weighted @ basis, full_matrices=False)
+        total = np.zeros_like(basis)
+        for block in lines.blocks():
+            block *= idf
+            total += block.T @ (block @ basis)
+        basis, _ = np.linalg.qr(total)
+    _, _, axes = np.linalg.svd(np.vstack([(block * idf) @ basis for block in lines.blocks()]), full_matrices=False)
     return (basis @ axes.T)[:, :rank].astype(np.float32)
 
 
@@ -126,16 +155,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, r
 
     rows = sorted(train.mapInPandas(weigh, "key long, label int, terms binary, weights binary").collect())  # about max_labelled rows
     y = np.array([r["label"] for r in rows], dtype=np.float64)
-    x = np.zeros((len(rows), DIMENSION), np.float32)
-    for line, r in zip(x, rows):
-        line[np.frombuffer(r["terms"], dtype=np.int16)] = np.frombuffer(r["weights"], dtype=np.float16)
-    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
-    rank = min(rank, max(1, len(x)))
-    x *= idf
-    axes = latent_axes(x, rank, seed) if len(x) else np.zeros((DIMENSION, rank), np.float32)
-    x /= idf
+    lines = Lines([(r["terms"], r["weights"]) for r in rows])
+    idf = np.log((1 + len(lines)) / (1 + lines.counts())).astype(np.float32) + 1
+    rank = min(rank, max(1, len(lines)))
+    axes = latent_axes(lines, idf, rank, seed) if len(lines) else np.zeros((DIMENSION, rank), np.float32)
     model = NeighbourModel(idf, axes, np.zeros((0, rank), np.float32), y, float(y.mean()) if len(y) else 0.5)
-    model.vectors = model.project(x)
+    if len(lines):
+        model.vectors = np.vstack([model.project(block) for block in lines.blocks()])
     return model
 
 
