@@ -53,7 +53,7 @@ def test_a_chain_does_what_its_fixes_do_one_by_one(golden, plan):
     assert {r[0] for r in log.where("kind = 'removed'").select(ROW_ID).collect()} == set(before) - set(after)
 
 
-def test_a_chain_writes_a_table_level_fix_in_three_jobs(spark, golden):
+def test_a_chain_with_a_table_level_fix_takes_few_jobs(spark, golden):
     tracker, plan = spark.sparkContext.statusTracker(), [PLAN[0], PLAN[3], PLAN[4], PLAN[6]]
     spark.sparkContext.setJobGroup("chain", "")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # which splits a query into a job per shuffle
