@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,17 +78,48 @@ def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+def _counted_as(kind: T.DataType) -> str:
+    """The type under which values of a column are counted: whole numbers as long, other atomic ones as they are, the rest as text."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+        return "bigint"
+    plain = is_numeric(kind) or isinstance(kind, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    return kind.simpleString() if plain else "string"
+
+
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_name, value (text), n: how often each non-null value of each column occurs, from one shuffle."""
+    """column_name, value (text), n: how often each non-null value of each column occurs.
+
+    Columns of one type are expanded and counted together, as values of that type; only distinct ones are written as text. Each type reads its
+    own columns alone. Both zeros of floating-point numbers count as one value.
+    """
     names = columns if columns is not None else [f.name for f in data_columns(df)]
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
-    pairs = [F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("value")) for c in names]
-    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    by_type: dict[str, list[str]] = {}
+    for name in names:
+        by_type.setdefault(_counted_as(df.schema[name].dataType), []).append(name)
+    parts = []
+    for kind, own in by_type.items():
+        long = df.select(*[quoted(c).cast(kind).alias(c) for c in own]).unpivot([], [quoted(c) for c in own], "column_name", "value")
+        counted = long.where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+        parts.append(counted.select("column_name", F.col("value").cast("string").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def distinct_counts(frequencies: DataFrame) -> DataFrame:
-    return frequencies.groupBy("column_name").agg(F.count("*").alias("distinct_count"))
+def distinct_sketches(df: DataFrame, by: list[str] | None = None, lg_k: int = 12) -> DataFrame:
+    """by, name, sketch: a HyperLogLog sketch (of 2^lg_k registers) of the non-null values of each column, in one scan without a shuffle of values.
+
+    Sketches are binary, may be stored beside a version or a day of data and are merged by merged_sketches(). A column without values has a sketch of none.
+    """
+    own = [f.name for f in data_columns(df) if f.name not in (by or [])]
+    seen = df.groupBy(*map(quoted, by or [])).agg(*[F.hll_sketch_agg(F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c))), F.lit(lg_k)).alias(c) for c in own])
+    return seen.unpivot([quoted(c) for c in by or []], [quoted(c) for c in own], "name", "sketch")
+
+
+def merged_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, name, sketch, approx_distinct: sketches of parts of a table merged into those of the whole, and their estimates (within some 3 % at 2^12 registers)."""
+    whole = sketches.groupBy(*(by or []), "name").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return whole.withColumn("approx_distinct", F.hll_sketch_estimate("sketch"))
 
 
 def exact_quantiles(frequencies: DataFrame, shares: list[float]) -> dict[str, list[float]]:
@@ -139,14 +171,16 @@ def leading_values(df: DataFrame, k: int = SAMPLES, head: int = 1_000) -> dict[s
     return out
 
 
-def pattern_counts(frequencies: DataFrame, names: list[str]) -> dict[str, dict[str, int]]:
-    """How many values of each column match each pattern; distinct values are trimmed and tested once."""
-    if not names:
-        return {}
-    rows = frequencies.where(F.col("column_name").isin(names)).select("column_name", "n", V.is_number("value").alias("num"), V.strip("value").alias("s"))
-    rows = rows.select("column_name", "n", "num", *[test(F.col("s")).alias(p) for p, test in PATTERNS])
-    counted = rows.groupBy("column_name").agg(*[F.sum(F.when(F.col(p), F.col("n")).otherwise(0)).alias(p) for p in ("num", *(p for p, _ in PATTERNS))])
-    return {r["column_name"]: r.asDict() for r in counted.collect()}  # a row per column
+def frequency_facts(frequencies: DataFrame, texts: list[str]) -> dict[str, dict[str, int]]:
+    """The number of distinct values of each column that has any and, for texts, how many values match each pattern; a distinct value is trimmed and tested once."""
+    own = F.col("column_name").isin(texts)
+    counts = frequencies.where(~own).groupBy("column_name").agg(F.count("*").alias("distinct"))
+    if texts:
+        rows = frequencies.where(own).select("column_name", "n", V.is_number("value").alias("num"), V.strip("value").alias("s"))
+        rows = rows.select("column_name", "n", "num", *[test(F.col("s")).alias(p) for p, test in PATTERNS])
+        matched = [F.sum(F.when(F.col(p), F.col("n")).otherwise(0)).alias(p) for p in ("num", *(p for p, _ in PATTERNS))]
+        counts = rows.groupBy("column_name").agg(F.count("*").alias("distinct"), *matched).unionByName(counts, allowMissingColumns=True)
+    return {r["column_name"]: r.asDict() for r in counts.collect()}  # a row per column
 
 
 def name_hint(name: str, allowed=None) -> str | None:
@@ -185,16 +219,15 @@ def profile_columns(df: DataFrame, samples: bool = True, first_rows: int | None
         if is_numeric(f.dataType):
             aggs += [F.avg(c).cast("double").alias(f"mean{k}"), F.stddev_samp(c).cast("double").alias(f"std{k}")]
     seen = df.agg(*aggs).first()
-    frequencies = settled(value_frequencies(df)) if frequencies is None else frequencies
-    distinct = {r[0]: r[1] for r in distinct_counts(frequencies).collect()}  # a row per column
-    matches = pattern_counts(frequencies, [f.name for f in fields if is_text(f.dataType)])
+    own = frequencies if frequencies is not None else value_frequencies(df)  # read once
+    known = frequency_facts(own, [f.name for f in fields if is_text(f.dataType)])
     firsts = leading_values(df) if samples and ROW_ID in df.columns else {}
     head = _first_shares(df, fields, first_rows) if first_rows and ROW_ID in df.columns else {}
     rows, out = seen["rows"], []
     for k, f in enumerate(fields):
-        filled, d = seen[f"n{k}"], distinct.get(f.name, 0)
-        share = lambda p: matches[f.name][p] / filled if filled and f.name in matches else 0.0  # noqa: B023, E731
+        filled, d = seen[f"n{k}"], known.get(f.name, {}).get("distinct", 0)
         text = is_text(f.dataType)
+        share = lambda p: known[f.name][p] / filled if filled and f.name in known else 0.0  # noqa: B023, E731
         shares = head.get(f.name) or ({p: share(p) for p, _ in PATTERNS} if text else {})
         numeric = is_numeric(f.dataType)
         out.append(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cleargrain.functions import values as V
 from cleargrain.operators import charts, checks, edits, fixes, govern, query, score
-from cleargrain.operators.profile import dataset_profile, first_values, profile, profile_columns, value_frequencies
+from cleargrain.operators.profile import dataset_profile, distinct_sketches, first_values, merged_sketches, profile, profile_columns, value_frequencies
 from cleargrain.plans.dirty import COLUMNS, DUCK, dirty_rows, dirty_sales
 from cleargrain.sources import files
 from cleargrain.sources.rowid import ROW_ID, with_row_ids
@@ -225,6 +225,26 @@ def lineitem_profile(spark, d):
     return profile(table(spark, d, "lineitem").select(*cols)).select("name", "null_count", "distinct_count", "cardinality_ratio", "mean_val")
 
 
+SKETCHED = ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+
+
+@register("p4_merged_sketches", " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS distinct_count, true AS within_5_percent FROM lineitem" for c in SKETCHED))
+def sketched(spark, d):
+    """Sketches kept for each return flag, merged into those of the table, beside the exact counts."""
+    df = table(spark, d, "lineitem")
+    merged = merged_sketches(distinct_sketches(df.select("l_returnflag", *SKETCHED), ["l_returnflag"]))
+    exact = value_frequencies(df, list(SKETCHED)).groupBy(F.col("column_name").alias("name")).agg(F.count("*").alias("distinct_count"))
+    near = F.abs(F.col("approx_distinct") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")
+    return exact.join(F.broadcast(merged), "name").select("name", "distinct_count", near.alias("within_5_percent"))  # a row per column
+
+
+@register("p4_types_frequencies", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values, count({c}) AS filled, max(n_{k}) AS largest FROM (SELECT *, count(*) OVER (PARTITION BY {c}) AS n_{k} FROM lineitem) WHERE {c} IS NOT NULL"
+    for k, c in enumerate(("l_linenumber", "l_discount", "l_extendedprice", "l_returnflag", "l_shipdate"))))
+def typed_frequencies(spark, d):
+    counted = value_frequencies(table(spark, d, "lineitem"), ["l_linenumber", "l_discount", "l_extendedprice", "l_returnflag", "l_shipdate"])
+    return counted.groupBy("column_name").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("filled"), F.max("n").alias("largest"))
+
+
 @register("p7_first_values", ROWS + " UNION ALL ".join(
     f" SELECT '{c}' AS column_name, list({c} ORDER BY _row_id) AS sample_values FROM (SELECT * FROM r WHERE {c} IS NOT NULL ORDER BY _row_id LIMIT 5)" for c in ("email", "notes", "segment")))
 def firsts(spark, d):

@@ -11,13 +11,17 @@ ROW_ID = "_row_id"
 def with_row_ids(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Adds dense row numbers from 0.
 
-    With order_by the numbers follow that order: rows are range-partitioned once and written to the checkpoint
-    folder, so that the partition counts and the numbers see the same rows. Without it, they follow the
-    order of the partitions as they are.
+    With order_by the numbers follow that order, ties in the order of a hash of the whole row: rows are range-partitioned once by both, so the rows
+    of one key spread over tasks, and written to the checkpoint folder, so that the partition counts and the numbers see the same rows. Rows equal in
+    every column stay together. Without order_by, numbers follow the order of the partitions as they are.
     """
     from cleargrain.sources.versions import settled
 
-    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
+    ordered = df
+    if order_by:
+        hashed = [f"`{f.name.replace('`', '``')}`" for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+        keys = [*order_by, F.xxhash64(*[x for c in hashed for x in (F.col(c).isNull(), F.col(c))])]
+        ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = settled(ordered.withColumn("_mono", F.monotonically_increasing_id()))
     pid = F.shiftright("_mono", 33)
     counts = placed.groupBy(pid.alias("_pid")).agg(F.count("*").alias("_n"))  # one row per partition

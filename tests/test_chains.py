@@ -1,12 +1,15 @@
-"""Chains of fixes against single fixes, their logs against a comparison of tables, hot keys, and pages by files."""
+"""Chains of fixes against single fixes, their logs against a comparison of tables, hot keys, pages by files, and frequencies by type."""
+
+from datetime import date
+from decimal import Decimal
 
 import pytest
 from golden import SCHEMA, golden_rows
 from pyspark.sql import functions as F
 
-from cleargrain.operators import fixes, lookups
+from cleargrain.operators import fixes, lookups, profile
 from cleargrain.operators.profile import row_key
-from cleargrain.sources.rowid import ROW_ID
+from cleargrain.sources.rowid import ROW_ID, with_row_ids
 from cleargrain.sources.versions import VersionStore
 
 EVERY_FIX = [
@@ -136,3 +139,42 @@ def test_writers_never_share_a_version(spark, tmp_path, monkeypatch):
     empty = spark.createDataFrame([], one.manifest().schema)
     monkeypatch.setattr(two, "manifest", lambda: empty)  # as if it had looked before the other one wrote
     assert (first, two.save(spark.range(4).toDF("x"), "t"), one.restore(first)) == (1, 2, 3)
+
+
+def test_rows_of_one_key_spread_over_tasks(spark):
+    """A key with a third of all rows takes several ranges, and numbers still follow the order, the same in each run."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), F.concat(F.lit("t"), "id").alias("text"), F.create_map(F.lit("a"), "id").alias("m"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = with_row_ids(df, ["key"])
+        sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(sizes) < 2 * sum(sizes) / len(sizes) and len(sizes) > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    rows = sorted(got.select("_row_id", "key", "text").collect())
+    assert [r[0] for r in rows] == list(range(60_000)) and [r[1] for r in rows] == sorted(r[1] for r in rows)
+    assert rows == sorted(with_row_ids(df.repartition(5), ["key"]).select("_row_id", "key", "text").collect())
+
+
+def test_frequencies_of_every_type(spark):
+    """Each type is counted as it is and written as Spark writes it; whole numbers of all widths share a pass; nulls count nowhere."""
+    kinds = "`a b` tinyint, i int, l bigint, d double, f float, n decimal(9,2), t date, s string, o boolean, z array<int>, e string"
+    row = (1, 2, 3, 0.1, 0.5, Decimal("1.50"), date(2024, 1, 5), "x", True, [1, None], None)
+    df = spark.createDataFrame([row, row, (None,) * 11, (2, 2, 3, -0.0, 0.5, None, None, " ", False, [], None), (None, None, None, 0.0, None, None, None, None, None, None, None)], kinds)
+    got = {(r[0], r[1]): r[2] for r in profile.value_frequencies(df).collect()}
+    assert got == {
+        ("a b", "1"): 2, ("a b", "2"): 1, ("i", "2"): 3, ("l", "3"): 3, ("d", "0.1"): 2, ("d", "0.0"): 2, ("f", "0.5"): 3, ("n", "1.50"): 2, ("t", "2024-01-05"): 2,
+        ("s", "x"): 2, ("s", " "): 1, ("o", "true"): 2, ("o", "false"): 1, ("z", "[1, null]"): 2, ("z", "[]"): 1,
+    }
+    assert profile.value_frequencies(df, []).count() == 0
+    by_name = {c.name: c.distinct_count for c in profile.profile_columns(df, samples=False)}
+    assert by_name == {"a b": 2, "i": 1, "l": 1, "d": 2, "f": 1, "n": 1, "t": 1, "s": 2, "o": 2, "z": 2, "e": 0}
+
+
+def test_sketches_merge(spark):
+    df = spark.range(40_000).select((F.col("id") % 4).alias("part"), (F.col("id") % 9_000).alias("k"), F.lit(None).cast("string").alias("none"))
+    merged = profile.merged_sketches(profile.distinct_sketches(df, ["part"])).collect()
+    got = {r["name"]: r["approx_distinct"] for r in merged}
+    assert got["none"] == 0 and abs(got["k"] - 9_000) < 450
+    assert profile.merged_sketches(profile.distinct_sketches(df.limit(0), ["part"])).count() == 0
