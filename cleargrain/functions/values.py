@@ -54,6 +54,10 @@ _NUMBERED_STEPS = (
     (_HALF_DAY, "$1"), (r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)", "$1-$2-$3 $4:$5:$6"), (r"^(\d{1,2})([-/.])(\d{1,2})\2(69|[7-9]\d)(?!\d)", "$1-$3-19$4"), (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{2})(?!\d)", "$1-$3-20$4"), (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", "$3-{order}"),
     (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3"), (r"^(\d{4})/(\d{1,2})$", "$1-$2"), (", *| +at +", " "), (r" *([+-]\d\d):?(\d\d)$(?<=:\d\d[+-]\d\d:?\d\d| [+-]\d\d:?\d\d)", "$1:$2"),
 )
+#: How every text that reads as a date begins; most texts end their test here.
+_DATE_START = r"(?i)^(?:[0-9+-]|mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+#: Where a month can stand in a date of numbers, by order; the parser is spared dates that cannot be of an order, as it is slow to fail.
+_MONTH_PLACE = {"Md": r"^(?:0?\d|1[0-2])[-/]", "dM": r"^\d{1,2}[-/](?:0?\d|1[0-2])[-/]"}
 #: What else may read as a timestamp, one with a zone above all.
 _WIDE = r"^[+-]?\d{1,6}[-/ .T:]"
 
@@ -63,8 +67,13 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Without Unicode space at either end."""
-    return F.regexp_replace(_col(c), f"^{_SPACE}+|{_SPACE}+$", "")
+    """Without Unicode space at either end. Only texts that have some there are searched from end to end."""
+    value = _col(c)
+    return F.when(_ends_in_space(value), F.regexp_replace(value, f"^{_SPACE}+|{_SPACE}+$", "")).otherwise(value)
+
+
+def _ends_in_space(value: Column) -> Column:
+    return F.concat(F.substring(value, 1, 1), F.substring(value, -1, 1)).rlike(_SPACE)
 
 
 def is_blank(c: Column | str) -> Column:
@@ -73,7 +82,7 @@ def is_blank(c: Column | str) -> Column:
 
 
 def has_outer_space(c: Column | str) -> Column:
-    return F.coalesce(_col(c) != strip(c), F.lit(False))
+    return F.coalesce(_ends_in_space(_col(c)), F.lit(False))
 
 
 # The tests of trimmed text; the public ones trim first.
@@ -107,17 +116,18 @@ def _stepped(value: Column, steps: tuple, **names: str) -> Column:
 
 def _reading(value: Column, orders: tuple[str, ...]) -> Column:
     """The timestamp of trimmed text, or null. orders: "Md", "dM" or both, for dates that do not tell day from month."""
-    out = F
+    out = F.when(~value.rlike(_DATE_START), F.lit(None).cast("timestamp"))
+    parsed = lambda f: F.try_to_timestamp(value, F.lit(f))
     for shape, formats in _COMMON:
         tried = []
         for f in formats:
             for mark in "/-":
                 if f"{{order{mark}}}" in f:
-                    tried += [f.replace(f"{{order{mark}}}", mark.join(o)) for o in orders]
+                    tried += [F.when(value.rlike(_MONTH_PLACE[o]), parsed(f.replace(f"{{order{mark}}}", mark.join(o)))) for o in orders]
                     break
             else:
-                tried.append(f)
-        out = out.when(value.rlike(shape), F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in tried]))
+                tried.append(parsed(f))
+        out = out.when(value.rlike(shape), F.coalesce(*tried))
     # other shapes are first brought to one; a clock of 12 hours is read as it stands and then moved
     hours = F
     for pattern, shift in _HALF_DAY_SHIFTS:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +34,8 @@ SEVERITIES = {
     "duplicate_ids": "high", "empty_dataset": "critical",
 }
 COLUMN_LEVEL = ("constant_column", "duplicate_columns", "high_cardinality", "low_cardinality", "datatype_mismatch")
+#: Masks name the values that fail a check if a column has no more of them, and no more bytes in them.
+FEW_VALUES, FEW_BYTES = 50, 10_000
 SEVERITY_ORDER = ("critical", "high", "medium", "low", "info")
 VALIDATORS = {"email": V.is_email, "phone": V.is_phone, "url": V.is_url, "date": V.is_date}
 NUMERIC_TYPES = ("numeric", "integer", "currency")
@@ -208,6 +210,34 @@ def flag_spellings(df: DataFrame, facts: Facts) -> tuple[DataFrame, list[RowChec
     return df, checks
 
 
+def known_values(facts: Facts, checks: list[RowCheck]) -> list[RowCheck]:
+    """The checks; the mask of one on a text alone that few values fail names these values, so that rows need no patterns.
+
+    Values are tested once each, as value_findings() does. Columns in which more than FEW_VALUES values, or long ones, fail keep their masks.
+    """
+    tests: dict[str, list[RowCheck]] = {}
+    for x in checks:
+        if x.test and x.key in DIMENSIONS:
+            tests.setdefault(x.column, []).append(x)
+    if not tests or facts.frequencies is None:
+        return checks
+    value, bits = F.col("value"), F
+    for name, own in tests.items():
+        bits = bits.when(F.col("column_name") == name, sum((F.when(x.test(value), F.lit(1 << j)).otherwise(F.lit(0)) for j, x in enumerate(own)), F.lit(0)))
+    failing = settled(facts.frequencies.select("column_name", "value", bits.alias("bits")).where("bits > 0"))
+    sizes = failing.groupBy("column_name").agg(F.count("*").alias("values"), F.sum(F.octet_length("value")).alias("bytes")).collect()  # a row per column
+    many = {r[0] for r in sizes if r[1] > FEW_VALUES or r[2] > FEW_BYTES}
+    few: dict[str, list] = {r[0]: [] for r in sizes if r[0] not in many}
+    for name, text, found in failing.where(F.col("column_name").isin(list(few))).collect() if few else []:  # FEW_VALUES rows a column at most
+        few[name].append((text, found))
+    masks = {}
+    for name, own in tests.items():
+        for j, x in enumerate(own if name not in many else []):
+            bad = [text for text, found in few.get(name, []) if found >> j & 1]
+            masks[id(x)] = _false_if_null(quoted(name).cast("string").isin(bad)) if bad else F.lit(False)
+    return [replace(x, mask=masks[id(x)]) if id(x) in masks else x for x in checks]
+
+
 def flag_duplicates(df: DataFrame, facts: Facts) -> tuple[DataFrame, list[RowCheck]]:
     """df with the size of each row's group of equal rows and of equal ids, and the checks on them.
 

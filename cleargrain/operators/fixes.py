@@ -84,6 +84,8 @@ class Step:
     lookup: tuple[DataFrame, Column] | None = None
     #: The new value is of another type, so the step must not be made where it changes no row.
     retypes: bool = False
+    #: The new value is null in mask and the old one elsewhere, so value needs no work of its own.
+    clears: bool = False
 
 
 def keeps_type(kind, value_type: str) -> bool:
@@ -115,7 +117,7 @@ def planned(df: DataFrame, key: str, column: str | None = None, facts: Facts | N
         return Step("trim", "outer space removed", column, V.strip(c), V.has_outer_space(c))
     if key.startswith("invalid_"):
         valid = F.coalesce(VALIDATORS[key.removeprefix("invalid_")](c), F.lit(False))
-        return Step("null_invalid", "invalid values set to null", column, F.when(valid, c), c.isNotNull() & ~valid)
+        return Step("null_invalid", "invalid values set to null", column, F.when(valid, c), c.isNotNull() & ~valid, clears=True)
     if key == "negative_values":
         bad = F.coalesce(V.to_number(c) < 0, F.lit(False))
         return Step("null_negative", "negative values set to null", column, F.when(~bad, c), bad)
@@ -211,7 +213,7 @@ class Chain:
                 value = F.when(F.col(hit), F.struct(quoted(step.column).cast("string").alias("value")))  # a change of type alone is none
                 name = self.old.setdefault(step.column, f"_old{len(self.old)}")
                 self.frame = self.frame.withColumn(name, F.coalesce(F.col(name), value) if name in self.frame.columns else value)
-            self.frame = self.frame.withColumn(step.column, step.value)
+            self.frame = self.frame.withColumn(step.column, F.when(~F.col(hit), quoted(step.column)) if step.clears else step.value)
         self.frame = self.frame.drop("_first", "_found_value")
         self.pending[hit] = result
         return result
@@ -366,7 +368,7 @@ def _cleaned(chain: Chain, df: DataFrame, columns) -> Chain:
     for name in fields(is_text):
         if kind.get(name) in VALIDATORS:
             ok = F.coalesce(VALIDATORS[kind[name]](quoted(name)), F.lit(False))
-            chain.put(Step("quarantine_invalid", "invalid values set to null", name, F.when(ok, quoted(name)), quoted(name).isNotNull() & ~ok))
+            chain.put(Step("quarantine_invalid", "invalid values set to null", name, F.when(ok, quoted(name)), quoted(name).isNotNull() & ~ok, clears=True))
     chain.settle()
     for name, (value, step_type) in _gap_values(chain.table, kind).items():
         c = quoted(name) if step_type == "string" else quoted(name).cast("double")
@@ -422,15 +424,15 @@ def touched_rows(log: DataFrame, limit: int = 200) -> DataFrame:
     return counts.join(first, same).select(counts["*"], "rows")
 
 
-def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Two rows, before and after: score, rows, columns, duplicates, mean share of nulls."""
+def before_after(before: DataFrame, after: DataFrame, facts: Facts | None = None) -> DataFrame:
+    """Two rows, before and after: score, rows, columns, duplicates, mean share of nulls. facts: those of the table before, if they are there already."""
     from cleargrain.operators.score import score
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame, name: str, facts: Facts | None = None) -> DataFrame:
         nulls = df.agg(F.round(sum(F.avg(quoted(f.name).isNull().cast("double")) for f in data_columns(df)) / max(1, len(data_columns(df))) * 100, 2)).first()[0]
-        s = score(df, gather_facts(df)).select("overall", "row_count", "duplicate_rows")
+        s = score(df, facts or gather_facts(df)).select("overall", "row_count", "duplicate_rows")
         return s.select(F.lit(name).alias("side"), "*", F.lit(len(data_columns(df))).alias("col_count"), F.lit(nulls).alias("avg_null_pct"))
 
-    return side(before, "before").unionByName(side(after, "after"))
+    return side(before, "before", facts).unionByName(side(after, "after"))
 
 

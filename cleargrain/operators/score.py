@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleargrain.operators.checks import ALL_DIMENSIONS, COLUMN_LEVEL, SEVERITY_ORDER, Facts, RowCheck, flag_duplicates, flag_spellings, gather_facts, made_by_users, row_checks, unsound
+from cleargrain.operators.checks import ALL_DIMENSIONS, COLUMN_LEVEL, SEVERITY_ORDER, Facts, RowCheck, flag_duplicates, flag_spellings, gather_facts, known_values, made_by_users, row_checks, unsound
 
 APPROVED_FROM = 75.0
 
@@ -43,17 +43,23 @@ EXPLANATIONS = {
 OTHER_EXPLANATION = ("a rule on this table flags them", "What the rule guards against may be the case here.", "Look through the rows in {col}.")
 
 
+def flagged_rows(df: DataFrame, facts: Facts, rules: list[RowCheck], excluded: set) -> tuple[DataFrame, list[RowCheck]]:
+    """df with what the masks of the checks read, and the checks that count."""
+    flagged, doubles = flag_duplicates(df, facts)
+    flagged, casings = flag_spellings(flagged, facts)
+    checks = [x for x in (*row_checks(df, facts), *casings, *doubles, *rules) if (x.key, x.column) not in excluded]
+    checks = known_values(facts, checks)
+    bad = set(map(id, unsound(flagged, made_by_users(checks))))
+    return flagged, [x for x in checks if id(x) not in bad]
+
+
 def scored_rows(df: DataFrame, facts: Facts | None = None, rules: list[RowCheck] = (), excluded: set = frozenset()) -> tuple[DataFrame, list[RowCheck]]:
     """df with failed_checks, the keys of the checks that flag each row; and the checks. excluded: pairs (key, column).
 
     Users' checks that cannot take some value of the rows are left out; one scan of their masks tells.
     """
     facts = facts or gather_facts(df)
-    flagged, doubles = flag_duplicates(df, facts)
-    flagged, casings = flag_spellings(flagged, facts)
-    checks = [x for x in (*row_checks(df, facts), *casings, *doubles, *rules) if (x.key, x.column) not in excluded]
-    bad = set(map(id, unsound(flagged, made_by_users(checks))))
-    checks = [x for x in checks if id(x) not in bad]
+    flagged, checks = flagged_rows(df, facts, rules, excluded)
     marks = F.array(*[F.when(x.mask, F.lit(x.key)) for x in checks]) if checks else F.array().cast("array<string>")
     return flagged.select(*[F.col(f"`{c}`") for c in df.columns], F.array_distinct(F.array_compact(marks)).alias("failed_checks")), checks
 
@@ -69,11 +75,7 @@ def score(df: DataFrame, facts: Facts | None = None, rules: list[RowCheck] = (),
     take some value of the rows are left out; one scan of their masks tells.
     """
     facts = facts or gather_facts(df)
-    flagged, doubles = flag_duplicates(df, facts)
-    flagged, casings = flag_spellings(flagged, facts)
-    checks = [x for x in (*row_checks(df, facts), *casings, *doubles, *rules) if (x.key, x.column) not in excluded]
-    bad = set(map(id, unsound(flagged, made_by_users(checks))))
-    checks = [x for x in checks if id(x) not in bad]
+    flagged, checks = flagged_rows(df, facts, rules, excluded)
     # each mask is worked out once, in a projection of its own
     counted = [x.counted.alias("_extra") for x in checks if x.key == "duplicate_rows"]
     rows = flagged.select(F.lit(0).alias("_none"), *[x.mask.alias(f"_m{k}") for k, x in enumerate(checks)], *counted)

@@ -27,9 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def compilable(spark: SparkSession) -> None:
+    """Lets Spark split the code of wide expressions: the JVM runs methods of more than 8,000 bytes uncompiled, many times slower."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8_000)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back, its lineage cut."""
     shared_folder(df.sparkSession)
+    compilable(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
