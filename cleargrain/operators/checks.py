@@ -16,7 +16,7 @@ from cleargrain.operators.guard import check_tree
 from cleargrain.operators.lookups import BROADCAST_BYTES, HOT_KEYS, ROW_BYTES, looked_up
 from cleargrain.operators.profile import ColumnProfile, data_columns, exact_quantiles, is_numeric, is_text, profile_columns, quoted, row_key, value_frequencies
 from cleargrain.sources.rowid import ROW_ID
-from cleargrain.sources.versions import settled
+from cleargrain.sources.versions import fine_shuffles, settled
 
 # Dimension of each check, checks on a whole column, order of severities.
 DIMENSIONS = {
@@ -90,6 +90,7 @@ def canonical_spellings(frequencies: DataFrame) -> DataFrame:
 
 def odd_spellings(frequencies: DataFrame) -> DataFrame:
     """column_name, value, n, spelling: the spellings that are not the canonical one of their key, which is given beside them."""
+    fine_shuffles(frequencies.sparkSession)
     several = canonical_spellings(frequencies).where("spellings > 1")
     keyed = frequencies.withColumn("key", V.casefold("value"))
     return keyed.join(several, ["column_name", "key"]).where("value != spelling").select("column_name", "value", "n", "spelling")

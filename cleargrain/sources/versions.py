@@ -32,6 +32,22 @@ def compilable(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8_000)
 
 
+#: Partitions that a shuffle starts with, and the bytes up to which they are joined.
+FINE_PARTS, FINE_BYTES = 1_000, 16 << 20
+
+
+def fine_shuffles(spark: SparkSession) -> None:
+    """Shuffles start with many small partitions, which Spark joins up to FINE_BYTES: what a task holds does not grow with the table.
+
+    Sizes that the session sets itself stay.
+    """
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions")) < FINE_PARTS:
+        spark.conf.set(name, FINE_PARTS)
+    if spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) in (None, "67108864b", "64MB", "64m"):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", FINE_BYTES)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back, its lineage cut."""
     shared_folder(df.sparkSession)
