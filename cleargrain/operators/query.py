@@ -13,6 +13,7 @@ from cleargrain.functions import values as V
 from cleargrain.operators.charts import AGGREGATIONS, aggregated, chosen_dates, usable
 from cleargrain.operators.guard import UnsafeQueryError, check_tree
 from cleargrain.operators.profile import ColumnProfile, data_columns, is_text, quoted, value_frequencies
+from cleargrain.sources.versions import fine_shuffles
 
 VIEW = "dataset"
 MAX_ROWS = 1_000
@@ -181,6 +182,7 @@ def ungrounded(answers: DataFrame, facts: DataFrame, key: str = "id", table: Dat
     hold for the answer of that key, facts (value) without it for all answers, as do the numbers of rows and columns of table. Both sides
     are cut into bands, one for each number of decimals that matters, and meet where a band is equal: an equi-join, whatever the number of facts.
     """
+    fine_shuffles(answers.sparkSession)
     id_, keyed = quoted(key), key in facts.columns
     stated = answers.select(id_.alias("_id"), F.posexplode(V.stated_numbers("text")).alias("_at", "_x")).select("_id", "_at", F.col("_x.value").alias("value"), F.col("_x.decimals").alias("decimals"))
     stated = stated.where("value is not null")

@@ -76,3 +76,16 @@ def test_cleared_values_are_tested_once(spark):
     chain.fix("invalid_email", "email")
     assert len(re.findall("RLIKE [^ ]*A-Za-z0-9._%", optimized(chain.table.select("email")))) <= 1
     assert chain.finish()[0].where("email is null").count() == 5
+
+def test_shuffles_of_spellings_and_numbers_start_fine(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.unset(name)
+    words = spark.createDataFrame([("Ab",), ("Ab",), ("aB",)], "t string")
+    odd = checks.odd_spellings(value_frequencies(words, ["t"]))
+    assert [tuple(r) for r in odd.collect()] == [("t", "aB", 1, "Ab")]
+    assert ", 1000)" in odd._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(name)
+    said = spark.createDataFrame([(1, "It is 2.5 or 7.")], "id long, text string")
+    open_ = query.ungrounded(said, spark.createDataFrame([(2.5,)], "value double"))
+    assert [tuple(r) for r in open_.collect()] == [(1, 7.0)]
+    assert ", 1000)" in open_._jdf.queryExecution().executedPlan().toString()
