@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 # The patterns and formats that decide what is valid.
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 PHONE = r"^\+?[\d\s().\-]{7,20}$"
+PHONE_DIGITS = r"^(?:\D*\d){7,15}\D*$"
 URL = r"(?i)^https?://[^\s/$.?#].[^\s]*$"
 CURRENCY = r"^[\s]*[$€£₹¥]?\s?-?\d{1,3}(,\d{3})*(\.\d+)?\s*[$€£₹¥]?\s*$"
 ZIP = r"^\d{5}(-\d{4})?$"
 NUMBER = r"^-?\d+(\.\d+)?$"
-CORRUPTED = r"[\x00-\x08\x0b\x0c\x0e-\x1f�]"
+#: Character by character, which the JVM looks up in a table; ranges are compared one by one.
+CORRUPTED = "[" + "".join(rf"\x{k:02x}" for k in range(0x20) if k not in (0x09, 0x0A, 0x0D)) + "�]"
 COUNTRIES = {
     "usa": "United States", "us": "United States", "u.s.a.": "United States", "united states of america": "United States",
     "uk": "United Kingdom", "u.k.": "United Kingdom", "uae": "United Arab Emirates",
@@ -55,7 +57,7 @@ _NUMBERED_STEPS = (
     (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3"), (r"^(\d{4})/(\d{1,2})$", "$1-$2"), (", *| +at +", " "), (r" *([+-]\d\d):?(\d\d)$(?<=:\d\d[+-]\d\d:?\d\d| [+-]\d\d:?\d\d)", "$1:$2"),
 )
 #: How every text that reads as a date begins; most texts end their test here.
-_DATE_START = r"(?i)^(?:[0-9+-]|mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_DATE_START = r"(?i)^(?:[0-9+-]|(?=[mtwfsjaond])(?:mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))"
 #: Where a month can stand in a date of numbers, by order; the parser is spared dates that cannot be of an order, as it is slow to fail.
 _MONTH_PLACE = {"Md": r"^(?:0?\d|1[0-2])[-/]", "dM": r"^\d{1,2}[-/](?:0?\d|1[0-2])[-/]"}
 #: What else may read as a timestamp, one with a zone above all.
@@ -66,10 +68,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def strip(c: Column | str) -> Column:
-    """Without Unicode space at either end. Only texts that have some there are searched from end to end."""
+def strip(c: Column | str, spaced: Column | str | None = None) -> Column:
+    """Without Unicode space at either end. Only texts that have some there are searched from end to end; spaced: has_outer_space(c), if it is there already."""
     value = _col(c)
-    return F.when(_ends_in_space(value), F.regexp_replace(value, f"^{_SPACE}+|{_SPACE}+$", "")).otherwise(value)
+    ends = _ends_in_space(value) if spaced is None else _col(spaced)
+    return F.when(ends, F.regexp_replace(value, f"^{_SPACE}+|{_SPACE}+$", "")).otherwise(value)
 
 
 def _ends_in_space(value: Column) -> Column:
@@ -93,7 +96,8 @@ def _email(value: Column) -> Column:
 
 
 def _phone(value: Column) -> Column:
-    return value.rlike(PHONE) & F.regexp_count(value, F.lit(r"\d")).between(7, 15)
+    # two patterns: Spark works out what between() compares before it looks at the first
+    return value.rlike(PHONE) & value.rlike(PHONE_DIGITS)
 
 
 def _url(value: Column) -> Column:

@@ -25,6 +25,8 @@ NUMERIC_HINTS = ("currency", "latitude", "longitude", "zip", "id")
 PATTERN_SHARE = 0.7
 SAMPLES = 5
 PATTERNS = tuple(V.TRIMMED_TESTS.items())
+#: What a profile tells of each value of a text, besides the patterns.
+MARKS = ("num", "blank", "spaced", "corrupted")
 
 
 @dataclass
@@ -44,6 +46,8 @@ class ColumnProfile:
     sample_values: list = field(default_factory=list)
     rows: int = 0
     number_share: float = 0.0
+    #: Of a text: the rows whose value matches each pattern and bears each mark.
+    matches: dict[str, int] = field(default_factory=dict)
 
     @property
     def filled(self) -> int:
@@ -86,6 +90,11 @@ def _counted_as(kind: T.DataType) -> str:
     return kind.simpleString() if plain else "string"
 
 
+def counts_exactly(kind: T.DataType) -> bool:
+    """Whether value_frequencies() tells values of a type apart as they compare: not texts of another collation, nor what it turns into text."""
+    return kind == T.StringType() or _counted_as(kind) != "string"
+
+
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, value (text), n: how often each non-null value of each column occurs.
 
@@ -171,15 +180,20 @@ def leading_values(df: DataFrame, k: int = SAMPLES, head: int = 1_000) -> dict[s
     return out
 
 
-def frequency_facts(frequencies: DataFrame, texts: list[str]) -> dict[str, dict[str, int]]:
-    """The number of distinct values of each column that has any and, for texts, how many values match each pattern; a distinct value is trimmed and tested once."""
+def frequency_facts(frequencies: DataFrame, texts: list[str]) -> dict[str, dict]:
+    """The number of distinct values of each column that has any and, for texts, the rows that are filled, that match each pattern and that bear each mark,
+    and the least and greatest value; a distinct value is trimmed and tested once."""
     own = F.col("column_name").isin(texts)
     counts = frequencies.where(~own).groupBy("column_name").agg(F.count("*").alias("distinct"))
     if texts:
-        rows = frequencies.where(own).select("column_name", "n", V.is_number("value").alias("num"), V.strip("value").alias("s"))
-        rows = rows.select("column_name", "n", "num", *[test(F.col("s")).alias(p) for p, test in PATTERNS])
-        matched = [F.sum(F.when(F.col(p), F.col("n")).otherwise(0)).alias(p) for p in ("num", *(p for p, _ in PATTERNS))]
-        counts = rows.groupBy("column_name").agg(F.count("*").alias("distinct"), *matched).unionByName(counts, allowMissingColumns=True)
+        rows = frequencies.where(own).select("column_name", "value", "n", V.has_outer_space("value").alias("spaced"))
+        rows = rows.withColumn("s", V.strip("value", "spaced"))
+        tests = {"num": V.is_number("value"), "blank": F.col("s") == "", "spaced": F.col("spaced"), "corrupted": V.is_corrupted("value")}
+        tests |= {p: test(F.col("s")) for p, test in PATTERNS}
+        rows = rows.select("column_name", "value", "n", *[test.alias(p) for p, test in tests.items()])
+        matched = [F.sum(F.when(F.col(p), F.col("n")).otherwise(0)).alias(p) for p in tests]
+        ends = [F.sum("n").alias("filled"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+        counts = rows.groupBy("column_name").agg(F.count("*").alias("distinct"), *ends, *matched).unionByName(counts, allowMissingColumns=True)
     return {r["column_name"]: r.asDict() for r in counts.collect()}  # a row per column
 
 
@@ -213,7 +227,10 @@ def profile_columns(df: DataFrame, samples: bool = True, first_rows: int | None
     """
     fields = data_columns(df)
     aggs = [F.count(F.lit(1)).alias("rows")]
+    by_value = {f.name for f in fields if f.dataType == T.StringType()}  # the order of other texts may be another one than that of their values
     for k, f in enumerate(fields):
+        if f.name in by_value:
+            continue
         c = quoted(f.name)
         aggs += [F.count(c).alias(f"n{k}"), F.min(c).cast("string").alias(f"lo{k}"), F.max(c).cast("string").alias(f"hi{k}")]
         if is_numeric(f.dataType):
@@ -225,7 +242,9 @@ def profile_columns(df: DataFrame, samples: bool = True, first_rows: int | None
     head = _first_shares(df, fields, first_rows) if first_rows and ROW_ID in df.columns else {}
     rows, out = seen["rows"], []
     for k, f in enumerate(fields):
-        filled, d = seen[f"n{k}"], known.get(f.name, {}).get("distinct", 0)
+        mine = known.get(f.name, {})
+        filled, lo, hi = (mine.get("filled", 0), mine.get("lo"), mine.get("hi")) if f.name in by_value else (seen[f"n{k}"], seen[f"lo{k}"], seen[f"hi{k}"])
+        d = mine.get("distinct", 0)
         text = is_text(f.dataType)
         share = lambda p: known[f.name][p] / filled if filled and f.name in known else 0.0  # noqa: B023, E731
         shares = head.get(f.name) or ({p: share(p) for p, _ in PATTERNS} if text else {})
@@ -234,8 +253,9 @@ def profile_columns(df: DataFrame, samples: bool = True, first_rows: int | None
             ColumnProfile(
                 f.name, k, f.dataType.simpleString(), semantic_type(f.name, f.dataType, filled, d, shares),
                 rows - filled, round((rows - filled) / rows * 100, 2) if rows else 0.0, d, round(d / rows, 4) if rows else 0.0,
-                seen[f"lo{k}"], seen[f"hi{k}"], seen[f"mean{k}"] if numeric else None,
+                lo, hi, seen[f"mean{k}"] if numeric else None,
                 (seen[f"std{k}"] or 0.0) if numeric and filled else None, firsts.get(f.name, []), rows, share("num") if text else 0.0,
+                {p: mine.get(p, 0) for p in (*MARKS, *(p for p, _ in PATTERNS))} if text else {},
             )
         )
     return out

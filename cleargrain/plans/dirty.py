@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cleargrain.sources.rowid import with_row_ids
+from cleargrain.sources.versions import stored
 
 CTE = """
 WITH base AS (
@@ -38,6 +39,11 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CTE + "SELECT * FROM d", **tables)
 
 
+def dirty_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once and without row numbers, for checks that only count."""
+    return stored(dirty_sales(spark, sf_dir))
+
+
 def dirty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With row numbers by order_id; rows of one order are equal, so ties don't matter."""
     return with_row_ids(dirty_sales(spark, sf_dir), ["order_id"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 from datetime import datetime, timezone
+from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -55,6 +56,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As settled(), but in Parquet, so that a later scan reads only the columns it needs. Rows come back in any order."""
+    compilable(df.sparkSession)
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class VersionStore:
     """Versions under one folder. A version is never overwritten; undo adds one that points to an older path."""
 
