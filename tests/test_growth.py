@@ -149,3 +149,17 @@ def test_profile_of_texts_reads_no_rows(spark):
     rows = spark.createDataFrame([(2, "b", None), (None, "é", None), (1, None, None)], "n int, t string, e string")
     got = {p.name: (p.min_val, p.max_val, p.null_count, p.distinct_count) for p in checks.gather_facts(rows).columns}
     assert got == {"n": ("1", "2", 1, 2), "t": ("b", "é", 1, 2), "e": (None, None, 3, 0)}
+
+
+def _numbers_no_rows(spark, monkeypatch, query):
+    def refused(*a, **k):
+        raise AssertionError("counts need no row numbers")
+
+    for name in ("dirty_rows", "with_row_ids"):
+        monkeypatch.setattr(catalog, name, refused)
+    return catalog.QUERIES[query](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_explanations_number_no_rows(spark, monkeypatch):
+    told = {(r["check_key"], r["column_name"]): r for r in _numbers_no_rows(spark, monkeypatch, "s10_explanations")}
+    assert len(told) == 23 and told["invalid_email", "email"]["sample"] == ["bad@@invalid"] and told["duplicate_columns", "tier_copy"]["sample"] == ["tier"]
