@@ -163,3 +163,7 @@ def _numbers_no_rows(spark, monkeypatch, query):
 def test_explanations_number_no_rows(spark, monkeypatch):
     told = {(r["check_key"], r["column_name"]): r for r in _numbers_no_rows(spark, monkeypatch, "s10_explanations")}
     assert len(told) == 23 and told["invalid_email", "email"]["sample"] == ["bad@@invalid"] and told["duplicate_columns", "tier_copy"]["sample"] == ["tier"]
+
+
+def test_texts_of_findings_number_no_rows(spark, monkeypatch):
+    assert len(_numbers_no_rows(spark, monkeypatch, "s10_texts")) == 19
