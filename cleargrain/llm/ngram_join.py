@@ -11,8 +11,8 @@ points already connected need no comparison. Regions beyond a bounded size are s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ PERCENT = 80
 #: Shingles that a task gathers before it sends them on, and those of a block of points.
 FLUSH = 500_000
 BLOCK_SHINGLES = 500_000
+#: Bytes of texts that are shingled in one go, longer texts alone.
+CHUNK_BYTES = 1 << 18
 #: Tasks over which the points of one component, or the copies of one point, are dealt when names are joined back.
 SALTS = 8
 #: Buckets of shingles number 2 to this power at least; more as points grow.
@@ -63,7 +65,8 @@ class Shingler:
     """64-bit hashes of the distinct n-word shingles of a text, in rising order.
 
     A polynomial hash over the lower-case bytes, with prefix sums, gives all words at once; n mixed word hashes in a
-    row, each times its place's own odd factor, give a shingle. Two shingles fall together with probability 2**-64.
+    row, each times its place's own odd factor, give a shingle. Two shingles fall together with probability 2**-64. chunks() does the same
+    for many texts, which it joins by spaces.
     """
 
     def __init__(self, n: int = N):
@@ -75,18 +78,22 @@ class Shingler:
         """64-bit hashes of the words in order."""
         if not text:
             return np.zeros(0, np.uint64)
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        return self._words(text.encode("utf-8", "surrogatepass"))[0]
+
+    def _words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words in order, and the byte at which each starts."""
+        raw = np.frombuffer(text, dtype=np.uint8)
         if len(raw) >= len(self.up):
             self.up, self.down = _powers(_BASE, 2 * len(raw)), _powers(_INVERSE, 2 * len(raw))
-        inside = np.zeros(len(raw) + 2, dtype=np.int8)
+        inside = np.zeros(len(raw) + 2, dtype=bool)
         inside[1:-1] = ~_SPACE[raw]
-        turns = np.diff(inside)
-        start, stop = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        start, stop = turns[::2], turns[1::2]
         if not len(start):
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), start
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((_LOWER[raw] + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
-        return mix((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+        return mix((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64)), start
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = self.words(text)
@@ -101,6 +108,50 @@ class Shingler:
             total += words[k : k + last] * self.factors[k]
         return np.unique(mix(total))
 
+    def chunks(self, texts: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of about CHUNK_BYTES of the texts (UTF-8) at a time: the shingles, text after text, and how many each has."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or b"")
+            size += len(held[-1])
+            if size >= CHUNK_BYTES:
+                yield self._many(held)
+                held, size = [], 0
+        if held:
+            yield self._many(held)
+
+    def _many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words, start = self._words(b" ".join(texts))
+        first_byte = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        edges = np.searchsorted(start, first_byte)
+        count = np.diff(edges)
+        own = np.repeat(np.arange(len(texts)), count)
+        padded = np.concatenate([words, np.zeros(self.n - 1, np.uint64)])
+        total = np.zeros(len(words), np.uint64)
+        for k in range(self.n):
+            total += padded[k : k + len(words)] * self.factors[k]
+        short = np.flatnonzero((count > 0) & (count < self.n))
+        for i in short:  # the whole sequence is one shingle; its length is part of it
+            total[edges[i]] = (words[edges[i] : edges[i + 1]] * self.factors[: count[i]]).sum(dtype=np.uint64) + np.uint64(count[i])
+        total = mix(total)
+        first = edges[1:][own] - np.arange(len(words)) >= self.n
+        for a, b in zip(edges, edges[1:] - self.n + 1):
+            if b > a + 1:
+                total[a:b].sort()
+        first[1:] &= (total[1:] != total[:-1]) | (own[1:] != own[:-1])
+        first[edges[short]] = True
+        return total[first], np.bincount(own[first], minlength=len(texts))
+
+
+def points_of(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One number, a signed long, for each of the sets that lie one after the other in shingles; 0 for an empty one."""
+    out = np.zeros(len(sizes), dtype=np.int64)
+    full = sizes > 0
+    if full.any():
+        starts = (np.cumsum(sizes) - sizes)[full]
+        out[full] = mix(np.add.reduceat(mix(shingles), starts) + sizes[full].astype(np.uint64)).astype(np.int64)
+    return out
+
 
 def point_of(shingles: np.ndarray) -> int:
     """One number for a shingle set, as a signed long."""
@@ -140,7 +191,7 @@ def _send(parts: list[tuple[int, np.ndarray]], n_buckets: int) -> pd.DataFrame:
     table = np.array([p for p, _ in parts], dtype=np.int64)
     s = mix(np.concatenate([w for _, w in parts]))  # windows hold low hashes; mixed again they fall evenly into buckets
     own = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(w) for _, w in parts])
-    order = np.argsort(s, kind="stable")
+    order = np.argsort(s)
     s, own = s[order], own[order]
     first = np.concatenate([[True], s[1:] != s[:-1]])
     run = np.cumsum(first) - 1
@@ -172,12 +223,12 @@ def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
     at = [np.frombuffer(b, dtype=np.uint32) for b in block["place"]]
     marked = np.concatenate(at) >> np.uint32(31) == 1
     point = np.concatenate([np.frombuffer(t, dtype=np.int64)[a & np.uint32(2**31 - 1)] for t, a in zip(block["points"], at)])
-    order = np.lexsort((point, s))
+    order = np.argsort(s)
     s, point, marked = s[order], point[order], marked[order]
     first = np.concatenate([[True], s[1:] != s[:-1]])
     run = np.cumsum(first) - 1
-    differ = np.concatenate([[False], ~first[1:] & (point[1:] != point[:-1])])
-    several = (np.bincount(run, weights=differ) + np.bincount(run, weights=marked)) > 0
+    differ = point != point[first][run]
+    several = np.bincount(run, weights=differ | marked) > 0
     points, counts = np.unique(point[several[run] & ~marked], return_counts=True)
     return pd.DataFrame({"point": points, "shared": counts})
 
@@ -243,11 +294,11 @@ def elect_pivots(blocks: DataFrame, n_buckets: int) -> DataFrame:
             for name, points, sizes, blob in zip(batch["block"], batch["points"], batch["sizes"], batch["shingles"]):
                 s = np.frombuffer(blob, dtype=np.uint64) >> np.uint64(32 - bits)
                 own = np.repeat(np.frombuffer(points, dtype=np.int64), np.frombuffer(sizes, dtype=np.int64))
-                order = np.lexsort((own, s))
-                s, own = s[order], own[order]
+                order = np.argsort(s)
+                s = s[order]
                 starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                 times = np.diff(np.append(starts, len(s))).astype(np.uint32)
-                s, own = s[starts], own[starts]
+                s, own = s[starts], np.minimum.reduceat(own[order], starts)
                 key, edges = s.astype(np.uint32), np.searchsorted((s >> np.uint64(32)).astype(np.int64), np.arange(n_buckets + 1))
                 rows = [(name, k, key[a:b].tobytes(), own[a:b].tobytes(), times[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
                 yield pd.DataFrame(rows, columns=["block", "bucket", "key", "pivot", "times"])
@@ -255,11 +306,11 @@ def elect_pivots(blocks: DataFrame, n_buckets: int) -> DataFrame:
     def elect(bucket: pd.DataFrame) -> pd.DataFrame:
         key, point, times = (np.frombuffer(b"".join(bucket[c]), dtype=t) for c, t in (("key", np.uint32), ("pivot", np.int64), ("times", np.uint32)))
         ends = np.cumsum(bucket["key"].map(len).to_numpy() // 4)
-        order = np.lexsort((point, key))
+        order = np.argsort(key)
         first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
         run = np.empty(len(key), np.int64)
         run[order] = np.cumsum(first) - 1
-        winner, total = point[order][first], np.bincount(run, weights=times).astype(np.uint32)
+        winner, total = np.minimum.reduceat(point[order], np.flatnonzero(first)), np.bincount(run, weights=times).astype(np.uint32)
         rows = []
         for name, a, b in zip(bucket["block"], np.concatenate([[0], ends[:-1]]), ends):
             r = run[a:b]
@@ -329,25 +380,52 @@ def assign_regions(blocks: DataFrame, pivots: DataFrame, n_buckets: int, percent
     return blocks.groupBy("block").cogroup(told.groupBy("told")).applyInPandas(settle, "region long, point long, home boolean, shingles binary")
 
 
+def may_link(sizes: np.ndarray, shared: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which sets may link with another, by their sizes and by how many of their shingles other sets hold.
+
+    Sets of n and m shingles that link share percent * (n + m) / (100 + percent) or more, and no more than either shares with all others. So a
+    near copy with many words of its own is past linking, however many sets lie about it.
+    """
+    most = ((100 + percent) * shared - percent * sizes) // percent  # the largest set that each may link with
+    order = np.argsort(sizes)
+    best = np.maximum.accumulate(most[order])  # of the sets up to a size
+    upto = np.searchsorted(sizes[order], most, side="right")
+    return (most >= sizes) | ((upto > 0) & (best[np.maximum(upto, 1) - 1] >= sizes))
+
+
 def link_in_region(sets: list[np.ndarray], home: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """For each set the number of the first set that it is connected with by links of which one end at least is at home.
 
     A Voronoi cell join: pivots are chosen among the sets at home until each of these lies within twice the link distance of one or is one,
     MAX_PIVOTS at a time; each set belongs to the nearest pivot, and visits any other cell whose radius plus the link distance reaches
-    it. Cells larger than LEAF that are smaller than the whole are joined the same way. A pivot's distances come
-    from the lists of sets that hold each of its shingles. What is connected already needs no comparison.
+    it. Cells larger than LEAF are joined the same way if that at least halves the work. A pivot's distances come
+    from the lists of sets that hold each of its shingles. What is connected already needs no comparison, and sets that cannot link take no part.
     """
     n = len(sets)
+    root = np.arange(n)
     sizes = np.array([len(s) for s in sets])
+    if n == 2:
+        common = np.intersect1d(*sets, assume_unique=True).size if 100 * sizes.min() >= percent * sizes.max() else 0
+        root[1] = 0 if 100 * common >= percent * (sizes.sum() - common) else 1
+        return root
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     flat = flat.astype(np.int32)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    by_shingle = owner[np.argsort(flat, kind="stable")]
     df = np.bincount(flat)
+    alive, before = np.ones(n, bool), n + 1
+    while 1 < alive.sum() < before:
+        before = alive.sum()
+        held = np.bincount(flat[alive[owner]], minlength=len(df))
+        alive[alive] = may_link(sizes[alive], np.bincount(owner, weights=held[flat] > 1, minlength=n).astype(np.int64)[alive], percent)
+    if not alive.all():
+        left = np.flatnonzero(alive)
+        if len(left) > 1 and home[left].any():
+            root[left] = left[link_in_region([sets[i] for i in left], home[left], percent)]
+        return root
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    by_shingle = owner[np.argsort(flat, kind="stable")]
     ends = np.cumsum(df)
     kin = np.bincount(owner, weights=df[flat], minlength=n) / np.maximum(sizes, 1)
-    root = np.arange(n)
     eps = 1 - percent / 100
 
     def against(p: int) -> np.ndarray:
@@ -373,6 +451,12 @@ def link_in_region(sets: list[np.ndarray], home: np.ndarray, percent: int = PERC
     def one(rows: np.ndarray) -> bool:
         return bool((root[rows] == root[rows[0]]).all())
 
+    def fewer(rows: np.ndarray) -> np.ndarray:
+        """Links between components have an end outside the largest, and one at home: the fewer of both."""
+        names, counts = np.unique(root[rows], return_counts=True)
+        apart, at_home = rows[root[rows] != names[counts.argmax()]], rows[home[rows]]
+        return apart if len(apart) < len(at_home) else at_home
+
     todo = [np.arange(n)]
     while todo:
         rows = todo.pop()
@@ -398,13 +482,11 @@ def link_in_region(sets: list[np.ndarray], home: np.ndarray, percent: int = PERC
                     cells.append(own | (d[c] <= near[own].max() + eps + 1e-6))
             if left.any():  # the rest is a cell of its own, with all that may reach it
                 cells.append(left | (near + eps + 1e-6 >= near[left].min()))
-            if all(cell.sum() < len(rows) for cell in cells):
-                todo += [rows[cell] for cell in cells]
+            parts = [rows[cell] for cell in cells]
+            if 2 * sum(len(part) * len(fewer(part)) for part in parts) <= len(rows) * len(fewer(rows)):
+                todo += parts
                 continue
-        # links between components have an end outside the largest, and one at home: the fewer of both are compared with all
-        names, counts = np.unique(root[rows], return_counts=True)
-        apart, at_home = rows[root[rows] != names[counts.argmax()]], rows[home[rows]]
-        for p in apart if len(apart) < len(at_home) else at_home:
+        for p in fewer(rows):  # compared with all
             if one(rows):
                 break
             against(int(p))
@@ -415,15 +497,18 @@ def _solve(percent: int):
     """Links (a, b) that connect the points of each region, or of each cell or pair of blocks of one."""
 
     def solve(bin_: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in bin_.groupby([c for c in ("region", "cell", "pair") if c in bin_], sort=True):
-            part = part.sort_values(["point", "home"], ascending=[True, False]).drop_duplicates("point")
-            if len(part) > 1 and part["home"].any():
-                root = link_in_region([np.frombuffer(b, dtype=np.uint64) for b in part["shingles"]], part["home"].to_numpy(bool), percent)
-                names = part["point"].to_numpy()
-                joined = root != np.arange(len(root))
-                out.append(pd.DataFrame({"a": names[joined], "b": names[root[joined]]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype(np.int64)
+        keys = [c for c in ("region", "cell", "pair") if c in bin_]
+        rows = bin_.sort_values([*keys, "point", "home"], ascending=[True] * (len(keys) + 1) + [False]).drop_duplicates([*keys, "point"])
+        names, home, blobs = rows["point"].to_numpy(np.int64), rows["home"].to_numpy(bool), rows["shingles"].to_numpy()
+        edges = np.append(np.flatnonzero(~rows.duplicated(keys).to_numpy()), len(rows))
+        a, b = [names[:0]], [names[:0]]
+        for i, j in zip(edges, edges[1:]):
+            if j - i > 1 and home[i:j].any():
+                root = link_in_region([np.frombuffer(x, dtype=np.uint64) for x in blobs[i:j]], home[i:j], percent)
+                joined = np.flatnonzero(root != np.arange(j - i))
+                a.append(names[i + joined])
+                b.append(names[i + root[joined]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return solve
 
@@ -446,18 +531,38 @@ def link_regions(placed: DataFrame, region_shingles: int, percent: int) -> DataF
     return links
 
 
+def _far_apart(percent: int):
+    """Of the points of a cell that were drawn, those that become pivots: the most central first, each farther than twice the link distance from the others."""
+
+    def choose(drawn: pd.DataFrame) -> pd.DataFrame:
+        drawn = drawn.sort_values("point")
+        sets = [np.frombuffer(b, dtype=np.uint64) for b in drawn["shingles"]]
+        d = np.zeros((len(sets), len(sets)))
+        for i, j in zip(*np.triu_indices(len(sets), 1)):
+            common = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+            d[i, j] = d[j, i] = 1 - common / (len(sets[i]) + len(sets[j]) - common)
+        kept: list[int] = []
+        for k in np.argsort(d.sum(axis=0), kind="stable").tolist():
+            if all(d[k, i] > 2 * (1 - percent / 100) for i in kept):
+                kept.append(k)
+        return drawn.iloc[kept]
+
+    return choose
+
+
 def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_cell: int = 16, max_rounds: int = 4) -> list[DataFrame]:
     """Links (a, b) of regions too large for one task, in parts.
 
-    In a round each large cell gets about per_cell pivots among its points at home; those go to the nearest, and any point visits each cell that it
-    may reach. Points that link with the cell's pivot are connected through it, so only the others stay at home there; a cell
-    without others is done. Cells of a bounded size are solved, larger ones split again. What gets no smaller is cut into
-    blocks of a bounded size, and each block of points at home is compared with each block of its cell.
+    In a round about per_cell points at home of each large cell are drawn, and those far apart become its pivots; points at home go to the nearest, and any point visits
+    each cell that it may reach. Points that link with the cell's pivot are connected through it, so only the others stay at home there; a cell
+    without others, or to which only its pivot belongs, is done. Cells of a bounded size are solved, larger ones split again. What does not get at least half
+    as much work (pairs of a point at home and any other) stays whole, with the points not linked with its best pivot at home if those are fewer, and is cut into
+    blocks of a bounded size: each block of points at home is compared with each block of its cell.
     """
     eps = 1 - percent / 100
     keys, keep = ["region", "cell"], ["region", "cell", "point", "home", "shingles"]
     left = cut_lineage(members.groupBy("region", "point").agg(F.max("home").alias("home"), F.first("shingles").alias("shingles")).withColumn("cell", F.lit("")))
-    out = []
+    out, whole = [], []
     size = F.length("shingles") / 8
 
     def measure(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
@@ -477,11 +582,14 @@ def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_c
 
     for round_no in range(max_rounds):
         counts = left.groupBy(*keys).agg(
-            F.count_if("home").alias("m"), F.min(F.when(F.col("home"), F.col("point"))).alias("least"), F.ceil(F.sum(size) / region_shingles).cast("int").alias("chunks")
+            F.count_if("home").alias("m"), F.min(F.when(F.col("home"), F.col("point"))).alias("least"), F.sum(size).alias("weight"), F.ceil(F.sum(size) / region_shingles).cast("int").alias("chunks")
         )
-        rows = cut_lineage(left.join(counts.where("m > 0"), keys))
+        counts = cut_lineage(counts.where("m > 0"))
+        rows = cut_lineage(left.join(counts.select(*keys, "m", "least", "chunks"), keys))
         drawn = F.pmod(F.xxhash64(F.lit(round_no), "point"), F.col("m")) < per_cell
-        pivots = rows.where(F.col("home") & (drawn | (F.col("point") == F.col("least")))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        drawn = rows.where(F.col("home") & (drawn | (F.col("point") == F.col("least")))).select(*keep)
+        pivots = drawn.groupBy(*keys).applyInPandas(_far_apart(percent), drawn.schema)
+        pivots = cut_lineage(pivots.join(counts.select(*keys, "chunks"), keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("point"), "chunks").cast("int"))
         by = [*keys, "chunk"]
         pivots = pivots.select(*[F.col(c).alias(f"p_{c}") for c in (*keep, "chunk")])  # names of their own, as both sides stem from one table
@@ -490,20 +598,27 @@ def _split_regions(members: DataFrame, region_shingles: int, percent: int, per_c
         measured = cut_lineage(measured.withColumn("near", F.array_min("d")).withColumn("nearest", F.element_at("pivot", F.array_position("d", F.array_min("d")).cast("int"))))
         met = measured.select(*keep, "near", "nearest", F.explode(F.arrays_zip("pivot", "d")).alias("z")).select("*", F.col("z.pivot").alias("pivot"), F.col("z.d").alias("dk")).drop("z")
         out.append(met.where("dk = 0 and point != pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b")))
-        # a linked point is at a distance of eps or less
-        bound = measured.where("home").groupBy(*keys, F.col("nearest").alias("pivot")).agg(F.max(F.greatest("near", F.lit(eps))).alias("radius"))
+        # a linked point is at a distance of eps or less; a pivot has been compared with its whole cell
+        bound = measured.where("home and point != nearest").groupBy(*keys, F.col("nearest").alias("pivot")).agg(F.max(F.greatest("near", F.lit(eps))).alias("radius"))
         visits = met.join(bound, [*keys, "pivot"]).where((F.col("home") & (F.col("pivot") == F.col("nearest"))) | (F.col("dk") <= F.col("radius") + eps + 1e-9))
-        cells = visits.select("region", F.concat_ws("/", "cell", F.col("pivot").cast("string")).alias("cell"), "point", (F.col("dk") > 0).alias("home"), "shingles")
+        sizes = cut_lineage(visits.groupBy(*keys, "pivot").agg(F.sum(size).alias("weight"), F.count_if(F.col("dk") > 0).alias("open")).where("open > 0"))
+        work = sizes.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("open")).alias("after")).join(counts, keys)
+        stuck = cut_lineage(work.where("2 * after > m * weight").select(*keys, "m"))
+        # cells that split too little: links between components have an end outside the largest, and one at home
+        linked = measured.join(stuck.select(*keys), keys, "left_semi").groupBy(*keys, "nearest").agg(F.count_if(F.col("near") == 0).alias("n"), F.count("*").alias("all"))
+        best = linked.groupBy(*keys).agg(F.max_by("nearest", F.struct("n", "nearest")).alias("best"), (F.sum("all") - F.max("n")).alias("apart"))
+        kept = measured.join(cut_lineage(stuck.join(best, keys)), keys)
+        apart = ~((F.col("near") == 0) & (F.col("nearest") == F.col("best")))
+        whole.append(cut_lineage(kept.withColumn("home", F.when(F.col("apart") < F.col("m"), apart).otherwise(F.col("home"))).select(*keep)))
+        cells = visits.join(sizes.select(*keys, "pivot", F.col("weight").alias("cell_weight")), [*keys, "pivot"]).join(stuck.select(*keys), keys, "left_anti")
+        cells = cells.select("region", F.concat_ws("/", "cell", F.col("pivot").cast("string")).alias("cell"), "point", (F.col("dk") > 0).alias("home"), "shingles", "cell_weight")
         cells = cut_lineage(cells)
-        sizes = cut_lineage(cells.groupBy(*keys).agg(F.sum(size).alias("weight"), F.count_if("home").alias("open")).where("open > 0"))
-        small, large = sizes.where(F.col("weight") <= region_shingles), sizes.where(F.col("weight") > region_shingles)
-        out.append(cells.join(small.select(*keys), keys, "left_semi").groupBy(*keys).applyInPandas(_solve(percent), "a long, b long"))
-        before = left.agg(F.sum(size)).first()[0] or 0
-        left = cut_lineage(cells.join(large.select(*keys), keys, "left_semi").select(*keep))
-        after = left.agg(F.sum(size)).first()[0] or 0
-        if not after or after > before:
+        out.append(cells.where(F.col("cell_weight") <= region_shingles).groupBy(*keys).applyInPandas(_solve(percent), "a long, b long"))
+        left = cells.where(F.col("cell_weight") > region_shingles).select(*keep)
+        if left.isEmpty():
             break
     # each block of points at home meets each block of all points of its cell
+    left = reduce(DataFrame.unionByName, whole, left)
     counts = left.groupBy(*keys).agg(F.ceil(F.sum(F.when(F.col("home"), size)) / region_shingles).cast("int").alias("across"), F.ceil(F.sum(size) / region_shingles).cast("int").alias("down"))
     rows = left.join(counts.where("across > 0"), keys)
     place = F.xxhash64("point")
@@ -526,16 +641,15 @@ def group_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shi
     table gives no rows. Other columns are ignored.
     """
     small_batches(docs)
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("mark"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
-            found = np.zeros((3, batch.num_rows), dtype=np.int64)
-            for i, text in enumerate(batch.column("text")):
-                s = shingle(text.as_py())
-                if len(s):
-                    found[:, i] = len(s), window_needed(len(s), percent), point_of(s)
+            found, at = np.zeros((3, batch.num_rows), dtype=np.int64), 0
+            for flat, sizes in shingle.chunks(t.as_py() for t in batch.column("text")):
+                found[:, at : at + len(sizes)] = sizes, [window_needed(x, percent) if x else 0 for x in sizes.tolist()], points_of(flat, sizes)
+                at += len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("mark"), *[pa.array(x) for x in found]], ["doc_id", "mark", "n_shingles", "window_needed", "point"]
             )
@@ -552,10 +666,11 @@ def group_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shi
     shingle = Shingler(n)
 
     def wide(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        for text in batch["text"]:
-            s = shingle(text)
-            if len(s):
-                yield point_of(s), s[: window_size(len(s), percent)]
+        for flat, sizes in shingle.chunks(batch["text"]):
+            starts = np.cumsum(sizes) - sizes
+            for point, a, b in zip(points_of(flat, sizes).tolist(), starts, starts + window_size(sizes, percent)):
+                if b > a:
+                    yield point, flat[a:b]
 
     counted = shared_counts(texts.select("text"), wide, n_buckets)
     chosen = cut_lineage(firsts.join(counted, "point").where("shared >= window_needed").select("point", "mark", "n_shingles"))
@@ -573,12 +688,13 @@ def group_ngrams(docs: DataFrame, n: int = N, percent: int = PERCENT, region_shi
         points, sets, held = [], [], 0
         for batch in batches:
             at = batch["place"].to_numpy(np.int64)
-            for text in batch["text"][(bits[at >> 3] >> (at & 7)) & 1 == 1]:
-                s = shingle(text)
-                if len(s):
-                    points.append(point_of(s))
-                    sets.append(s.tobytes())
-                    held += len(s)
+            for flat, sizes in shingle.chunks(batch["text"][(bits[at >> 3] >> (at & 7)) & 1 == 1]):
+                starts = np.cumsum(sizes) - sizes
+                for point, a, b in zip(points_of(flat, sizes).tolist(), starts, starts + sizes):
+                    if b > a:
+                        points.append(point)
+                        sets.append(flat[a:b].tobytes())
+                held += len(flat)
                 if held > FLUSH:
                     yield pd.DataFrame({"point": points, "shingles": sets})
                     points, sets, held = [], [], 0

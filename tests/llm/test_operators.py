@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleargrain.llm import html_extract, langid, mixing, neardup, ngram_join, packing, quality, sharding, topk, toxicity
-from cleargrain.llm.components import connected_components
+from cleargrain.llm.components import connected_components, roots_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key string"
 
@@ -585,3 +585,63 @@ def test_ngram_join_of_odd_rows(spark, odd_docs):
     got = rows_of(ngram_join.join_ngrams(odd_docs))
     assert len(got) == 10 and {r["component_id"] for r in got if r["doc_id"] in (1, 5)} == {1}
     assert ngram_join.join_ngrams(odd_docs.limit(0)).count() == 0
+
+
+def test_shingles_of_many_texts_in_one_go(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["a", "Bc", "d\t", "é", "ü  x"], k=rng.randint(0, 30))) for _ in range(300)] + [None, "", "  ", "x y", "x " * 3_000, "one two three four five", "\n"]
+    shingle = ngram_join.Shingler()
+    for size in (1, 500, 1 << 18):
+        monkeypatch.setattr(ngram_join, "CHUNK_BYTES", size)
+        got = []
+        for flat, sizes in shingle.chunks(None if t is None else t.encode() for t in texts):
+            sets = np.split(flat, np.cumsum(sizes)[:-1])
+            got += zip((s.tolist() for s in sets), ngram_join.points_of(flat, sizes).tolist())
+        assert got == [(shingle(t).tolist(), ngram_join.point_of(shingle(t)) if len(shingle(t)) else 0) for t in texts]
+    assert list(shingle.chunks([])) == []
+
+
+def family(rng, near, far):
+    """Shingle sets of a text of 120 words, of near copies with one word of their own and of far ones with four: these link with nothing."""
+    base = [f"w{i}" for i in range(120)]
+    out = [base]
+    for k, edits in enumerate([1] * near + [4] * far):
+        out.append(list(base))
+        for place in range(edits):
+            out[-1][25 * place + rng.randrange(8, 17)] = f"x{k}y{place}"
+    shingle = ngram_join.Shingler()
+    return [shingle(" ".join(words)) for words in out]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_sets_past_linking_take_no_part(percent):
+    rng = random.Random(percent)
+    for _ in range(300):
+        sets = [{*rng.sample(range(14), rng.randint(1, 10))} for _ in range(5)]
+        sizes, shared = np.array([len(s) for s in sets]), np.array([len(s & set().union(*(t for t in sets if t is not s))) for s in sets])
+        may = ngram_join.may_link(sizes, shared, percent)
+        for a, b in itertools.permutations(range(5), 2):
+            assert may[a] or 100 * len(sets[a] & sets[b]) < percent * len(sets[a] | sets[b])
+    sets = family(rng, 30, 40)
+    shared = [np.isin(s, np.concatenate([t for t in sets if t is not s])).sum() for s in sets]
+    assert ngram_join.may_link(np.array([len(s) for s in sets]), np.array(shared), 80).tolist() == [True] * 31 + [False] * 40
+    root = ngram_join.link_in_region(sets, np.ones(71, bool), 80)
+    assert root.tolist() == [0] * 31 + list(range(31, 71))
+
+
+def test_split_does_not_multiply_a_family(spark, monkeypatch):
+    sets = family(random.Random(2), 20, 20)
+    rows = [(7, i, True, bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    placed = spark.createDataFrame(rows, "region long, point long, home boolean, shingles binary")
+    sizes, cut = [], ngram_join.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        sizes.extend([out.count()] if "shingles" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", counted)
+    links = [(r["a"], r["b"]) for part in ngram_join._split_regions(placed, 2_500, 80) for r in part.collect()]
+    assert max(sizes) <= 2 * len(sets)  # each point in each of some 16 cells before
+    root = roots_of(len(sets), np.array([a for a, _ in links]), np.array([b for _, b in links]))
+    assert root.tolist() == [0] * 21 + list(range(21, 41))
