@@ -7,9 +7,9 @@ sum over all words of the whole text.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from cleargrain.llm.common import hash_key, share, shared, small_batches, split_of
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of ASCII text in lower case, all but letters as spaces.
+ASCII_LETTERS = bytes(ord(c.lower()) if (c := chr(i)).isascii() and c.isalpha() else 32 for i in range(256))
 LONGEST_GRAM = 4
 #: Unseen words whose backoff scores a task keeps at most; past that it starts the store anew.
 MEMO_ROWS = 50_000
@@ -40,15 +41,20 @@ def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter, for all of them."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters (Unicode category L) of the text in lower case; training and prediction share it."""
-    found = LETTERS.findall(text.lower()) if text else []
-    if all(map(str.isalpha, found)):
-        return found
-    out = []
-    for word in found:  # numbers that the pattern takes for letters, such as fractions, part words
-        out += [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
-    return out
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(ASCII_LETTERS).decode().split()
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(letters()[codes], codes, 32).astype(np.uint32).tobytes().decode("utf-32-le").split()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -149,22 +155,27 @@ def with_language(docs: DataFrame, model: BackoffModel | None, name: str = "lang
                 counted = Counter(words)
                 if used + len(counted) > len(scores):
                     rows, used = dict(m.words), n_known
-                new = [w for w in counted if w not in rows]
+                at = list(map(rows.get, counted))
+                new = [w for w, k in zip(counted, at) if k is None]
                 if used + len(new) > len(scores):
                     rows, used = dict(m.words), n_known
-                    new = [w for w in counted if w not in rows]
+                    at = list(map(rows.get, counted))
+                    new = [w for w, k in zip(counted, at) if k is None]
                 if len(new) > MEMO_ROWS:  # one document with more new words than the store holds
                     total = np.zeros(len(m.langs))
                     for i in range(0, len(new), MEMO_ROWS):
                         part = new[i : i + MEMO_ROWS]
                         total += np.array([counted.pop(w) for w in part], dtype=float) @ m.back_off(part)
+                    at = [k for k in at if k is not None]
                 else:
                     total = 0.0
                     if new:
                         scores[used : used + len(new)] = m.back_off(new)
+                        fresh = iter(range(used, used + len(new)))
                         rows.update(zip(new, range(used, used + len(new))))
+                        at = [next(fresh) if k is None else k for k in at]
                         used += len(new)
-                total = total + np.fromiter(counted.values(), dtype=float, count=len(counted)) @ scores[[rows[w] for w in counted]]
+                total = total + np.fromiter(counted.values(), dtype=float, count=len(counted)) @ scores[at]
                 share = np.exp((total - total.max()) / max(1.0, len(words) / 20))
                 best = int(total.argmax())
                 out.append((m.langs[best], float(share[best] / share.sum()), len(words)))

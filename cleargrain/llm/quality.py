@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from cleargrain.llm.common import share, shared, small_batches, split_of
 from cleargrain.llm.langid import labelled_texts, sample_rows
 from cleargrain.llm.ngram_join import Shingler, mix
 
+#: Powers of two.
 WORD_CELLS, CLASS_CELLS = 8192, 2048
 REPEAT_BINS = 8
 DIMENSION = WORD_CELLS + CLASS_CELLS + 3 * REPEAT_BINS
@@ -48,7 +50,7 @@ def repeat_shares(text: str) -> list[float]:
     words = text.lower().split()
     lines = [x for x in text.split("\n") if x.strip()]
     n = max(1, len(words))
-    same = sum(a == b for a, b in zip(words, words[1:])) / n
+    same = sum(map(eq, words, words[1:])) / n
     # vocabulary grows like the square root of the length, so long texts repeat words by nature
     return [same, 1 - min(1.0, len(set(words)) / (n**0.8)), 1 - len(set(lines)) / max(1, len(lines))]
 
@@ -61,12 +63,12 @@ def term_weights(text: str | None, shingler: Shingler) -> np.ndarray:
     if not len(words):
         return out
     terms = np.concatenate((words, mix(words[:-1] * np.uint64(3) + words[1:])))
-    out[:WORD_CELLS] = np.sqrt(WORD_PART * np.bincount((terms % np.uint64(WORD_CELLS)).astype(np.int64), minlength=WORD_CELLS) / len(terms))
+    out[:WORD_CELLS] = np.sqrt(WORD_PART * np.bincount((terms & np.uint64(WORD_CELLS - 1)).astype(np.int64), minlength=WORD_CELLS) / len(terms))
     c = CLASSES[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)]
     keep = np.ones(len(c), dtype=bool)
     keep[1:] = (c[1:] != c[:-1]) | (c[1:] > 2)
     c = np.concatenate(([0, 0], c[keep], [0]))
-    code = (c[:-2] * 40503 + c[1:-1] * 10007 + c[2:] * 101) % CLASS_CELLS
+    code = (c[:-2] * 40503 + c[1:-1] * 10007 + c[2:] * 101) & (CLASS_CELLS - 1)
     at = WORD_CELLS + CLASS_CELLS
     out[WORD_CELLS:at] = np.sqrt(CLASS_PART * np.bincount(code, minlength=CLASS_CELLS) / len(code))
     for k, share in enumerate(repeat_shares(text)):

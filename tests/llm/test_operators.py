@@ -645,3 +645,21 @@ def test_split_does_not_multiply_a_family(spark, monkeypatch):
     assert max(sizes) <= 2 * len(sets)  # each point in each of some 16 cells before
     root = roots_of(len(sets), np.array([a for a, _ in links]), np.array([b for _, b in links]))
     assert root.tolist() == [0] * 21 + list(range(21, 41))
+
+
+def test_words_are_runs_of_letters_in_any_script():
+    text = "".join(map(chr, range(0x250))) + " ǅ İ ß Σς ½a x²y ٣a Ⅳx ªb 中文、字 𝒜𝒷" + "Ab_c3D-é"
+    for t in (text, text.encode("ascii", "ignore").decode(), "", None, "12 _", "\x1ca\x85b c"):
+        assert langid.words_of(t) == "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    assert type(langid.ASCII_LETTERS) is bytes and not hasattr(langid, "LETTERS")  # one pass over bytes, no pattern
+
+
+def test_quality_terms_stay_as_they_were():
+    shingler = ngram_join.Shingler()
+    text = "One one two, 3 three!\nOne one two, 3 three!\n\nélan vital"
+    words = shingler.words(text)
+    terms = np.concatenate((words, ngram_join.mix(words[:-1] * np.uint64(3) + words[1:])))
+    plain = np.bincount([int(t) % quality.WORD_CELLS for t in terms], minlength=quality.WORD_CELLS) / len(terms)
+    assert np.allclose(quality.term_weights(text, shingler)[: quality.WORD_CELLS] ** 2, quality.WORD_PART * plain)
+    n = len(text.lower().split())
+    assert quality.repeat_shares(text)[0] == 2 / n
